@@ -1,13 +1,10 @@
-"""Reading, checking and rounding money."""
+"""Rounding and printing money."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Wide enough for every number a document may hold; records narrow it to 2 decimals.
-PARSED = "decimal(20,4)"
-
 
 def let(value: Column, body) -> Column:
     """Evaluate `value` once and hand it to `body`, keeping the whole lazy inside coalesce()."""
@@ -18,52 +15,6 @@ def nonblank(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
-def _to_number(text: Column) -> Column:
-    return nonblank(F.rtrim(text, F.lit("."))).try_cast(PARSED)
-
-
-def parse_amount(text: Column) -> Column:
-    """A number spelled in European, Anglo-Saxon or damaged form; null if it is none."""
-
-    def read(t: Column) -> Column:
-        plain = (
-            F.when(t.rlike(r"^\d+,\d{3}$"), F.replace(t, F.lit(","), F.lit("")))
-            .when(t.rlike(r"^\d{1,3}(\.\d{3})*(,\d+)?$"), F.translate(t, ",.", "."))
-            .when(t.rlike(r"^\d{1,3},\d{3},\d{1,2}$"), F.regexp_replace(t, r"^(\d+),(\d+),", "$1$2."))
-            .when(t.rlike(r"^\d{1,3}\.\d{3}\.\d{1,2}$"), F.regexp_replace(t, r"^(\d+)\.", "$1"))
-            .when(t.rlike(r"^\d{4,},\d{1,2}$"), F.replace(t, F.lit(","), F.lit(".")))
-            .otherwise(F.replace(t, F.lit(","), F.lit("")))
-        )
-        return _to_number(plain)
-
-    # The Cyrillic letter dze is read for the digit 5; blanks inside numbers go away.
-    blanks = F.lit(" \t\r\n\u00a0")
-    return let(F.translate(F.btrim(text, blanks), "Ѕѕ \u00a0", "55"), read)
-
-
-def coerce_decimal(text: Column) -> Column:
-    """Number of a hand-typed record field; anything unreadable counts as zero."""
-
-    def read(t: Column) -> Column:
-        plain = (
-            F.when(t.rlike(r"^\d+,\d{3}$"), F.replace(t, F.lit(","), F.lit("")))
-            .when(t.rlike(r"^\d{1,3}(\.\d{3})*(,\d+)?$"), F.translate(t, ",.", "."))
-            .otherwise(F.replace(t, F.lit(","), F.lit("")))
-        )
-        return F.coalesce(nonblank(plain).try_cast(PARSED), F.lit(0).cast(PARSED))
-
-    return let(F.replace(F.trim(text), F.lit(" "), F.lit("")), read)
-
-
-def valid_amount(amount: Column, cap: int) -> Column:
-    """The amount when positive and credible, else null."""
-    return F.when((amount > 0) & (amount <= cap), amount)
-
-
-def parse_valid(text: Column, cap: int) -> Column:
-    return let(parse_amount(text), lambda a: valid_amount(a, cap))
-
-
 def money(col: Column) -> Column:
     return col.cast("decimal(18,2)")
 
@@ -85,9 +36,3 @@ def round_units(col: Column) -> Column:
 def format_amount(col: Column) -> Column:
     """Two-decimal text, empty when missing."""
     return F.coalesce(money(col).cast("string"), F.lit(""))
-
-
-def format_number(col: Column) -> Column:
-    """Shortest plain text of a decimal, without trailing zeros."""
-    text = col.cast("string")
-    return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)

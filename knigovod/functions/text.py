@@ -9,16 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knigovod.fixed_values import DESCRIPTION_KEYWORDS, LATIN_OF_CYRILLIC, LEGAL_FORM_PATTERN, LOOKALIKES
+from knigovod.functions import sql
 from knigovod.functions.amounts import let
-
-
-def rx(pattern: str) -> str:
-    """Case-insensitive, with Unicode letter case, blanks and word borders."""
-    return "(?iU)" + pattern
-
-
-def strip(text: Column) -> Column:
-    return F.btrim(text, F.lit(" \t\r\n\x0b\x0c\u00a0"))
+from knigovod.functions.sql import rx
 
 
 def lookalike_regex(keyword: str) -> str:
@@ -34,14 +27,21 @@ def lookalike_regex(keyword: str) -> str:
     return "".join(parts)
 
 
-def lookalike_pattern(keyword: Column) -> Column:
-    """`lookalike_regex` of a keyword column."""
-    classes = F.create_map(*[F.lit(x) for c, more in LOOKALIKES.items() for x in (c, f"[{c}{more}]")])
-    letters = F.split(keyword, "")
-    after = lambda i: F.coalesce(F.get(letters, i + 1), F.lit(""))
-    return F.array_join(F.transform(letters, lambda c, i: (
-        F.when(c == " ", F.when(after(i).isin("", *":;-.,)"), r"\s*").otherwise(r"\s+"))
-        .otherwise(F.coalesce(classes[c], escape_regex(c))))), "")
+_CLASSES = "map(" + ", ".join(sql.quoted(x) for c, more in LOOKALIKES.items() for x in (c, f"[{c}{more}]")) + ")"
+
+
+def lookalike_pattern(keyword: str) -> str:
+    """`lookalike_regex` of a keyword that is only known in the data, as SQL text."""
+
+    def of_letters(letters: str) -> str:
+        c, i = sql.fresh("c"), sql.fresh("i")
+        after = f"coalesce(get({letters}, {i} + 1), '')"
+        blank = f"CASE WHEN {after} IN ('', ':', ';', '-', '.', ',', ')') THEN {sql.quoted(r'\s*')} ELSE {sql.quoted(r'\s+')} END"
+        return (
+            f"array_join(transform({letters}, ({c}, {i}) -> CASE WHEN {c} = ' ' THEN {blank}"
+            f" ELSE coalesce(try_element_at({_CLASSES}, {c}), {sql.escape_regex(c)}) END), '')")
+
+    return sql.let(f"split({keyword}, '')", of_letters)
 
 
 def any_keyword(text: Column, keywords) -> Column:
@@ -75,11 +75,6 @@ def match_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
-def normalize_vat(number: Column) -> Column:
-    """Digits of a tax number, without blanks and country prefix."""
-    return F.regexp_replace(F.upper(F.replace(number, F.lit(" "), F.lit(""))), "^(МК|MK)", "")
-
-
 def focus_text(text: Column) -> Column:
     """Header plus the first description lines: the part that tells what was bought."""
     lines = F.filter(
@@ -88,10 +83,6 @@ def focus_text(text: Column) -> Column:
     return F.substring(F.trim(F.concat(F.substring(text, 1, 350), F.lit(" "), extra)), 1, 500)
 
 
-def escape_regex(text: Column) -> Column:
-    return F.regexp_replace(text, r"([^\p{L}\p{N}_])", r"\\$1")
-
-
 def file_name_part(text: Column, kept: str, length: int | None = None) -> Column:
     """Letters, digits and `kept` characters; everything else becomes an underscore."""
     out = F.regexp_replace(text, f"[^{kept}]", "_")

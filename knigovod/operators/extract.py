@@ -3,6 +3,8 @@
 Each field is an ordered list of rules and the first valid hit counts: a coalesce() that stops at it.
 Rules about neighbouring lines work on the document's array of lines. So a corpus is read once and
 extracted in one map, with no shuffle at all.
+
+The rules are SQL text over the names of the text and lines columns (see functions/sql.py).
 """
 
 from __future__ import annotations
@@ -12,282 +14,261 @@ from pyspark.sql import functions as F
 
 from knigovod import fixed_values as fixed
 from knigovod.config import DEFAULT, Settings
-from knigovod.functions.amounts import let, nonblank, parse_amount, parse_valid
-from knigovod.functions.text import lookalike_regex, normalize_vat, rx, strip
+from knigovod.functions import sql
+from knigovod.functions.sql import all_of, coalesce, found, let, matches, strip, when
+from knigovod.functions.text import lookalike_regex
 from knigovod.operators.lines import item_rows, mark_sections
+from knigovod.operators.stages import computed
 
-
-def found(text: Column, pattern: str, group: int = 1) -> Column:
-    """First hit of a pattern, null if there is none."""
-    return nonblank(F.regexp_extract(text, rx(pattern), group))
-
-
-def all_found(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(text, F.lit(rx(pattern)), F.lit(group))
-
-
-def first_of(values: Column) -> Column:
-    """First element that is not null."""
-    return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
+TEXT, LINES = "full_text", "lines"
 
 
-def is_buyer(text: Column, settings: Settings) -> Column:
-    return text.rlike(rx(settings.buyer_pattern)) if settings.buyer_pattern else F.lit(False)
+def is_buyer(text: str, settings: Settings) -> str:
+    return matches(text, settings.buyer_pattern) if settings.buyer_pattern else "false"
 
 
-def alias_name(text: Column, settings: Settings) -> Column:
+def alias_name(text: str, settings: Settings) -> str:
     """Canonical name of the vendor whose alias the text holds."""
-    named = [F.when(text.rlike(rx(p)), F.lit(name)) for p, name, _ in settings.vendor_aliases]
-    return F.coalesce(*named, F.lit(None).cast("string"))
+    named = [when(matches(text, p), sql.quoted(name)) for p, name, _ in settings.vendor_aliases]
+    return coalesce(*named, "CAST(NULL AS string)")
 
 
 # --- Vendor --------------------------------------------------------------------------------------------
 
-_SUFFIX = r"(.{3,70})\b(" + "|".join(s.replace(" ", r"\ ") for s in fixed.COMPANY_SUFFIXES) + r")\b(.{0,30})"
+_SUFFIXES = r"\b(" + "|".join(s.replace(" ", r"\ ") for s in fixed.COMPANY_SUFFIXES) + r")\b"
+_COMPANY = r"(.{3,70})" + _SUFFIXES + r"(.{0,30})"
 
 
-def _plain_name(name: Column, settings: Settings) -> Column:
-    return ~name.rlike(rx(fixed.NUMERIC_ONLY)) & ~is_buyer(name, settings) & ~name.rlike(rx(fixed.TABLE_HEAD))
+def _plain_name(name: str, settings: Settings) -> str:
+    return all_of(
+        f"NOT {matches(name, fixed.NUMERIC_ONLY)}", f"NOT {is_buyer(name, settings)}", f"NOT {matches(name, fixed.TABLE_HEAD)}")
 
 
-def _labelled_vendor(lines: Column) -> Column:
-    return first_of(F.transform(lines, lambda l: let(strip(F.regexp_extract(l, rx(fixed.VENDOR_LABEL), 1)), lambda c: F.when(
-        (F.length(c) > 3) & ~c.rlike(rx(fixed.NUMERIC_ONLY)) & ~c.rlike(rx(fixed.TABLE_HEAD)), c))))
+def _labelled_vendor(lines: str) -> str:
+    return sql.first_hit(lines, lambda l: let(
+        found(l, fixed.VENDOR_LABEL), lambda n: let(strip(n), lambda c: when(all_of(
+            f"length({c}) > 3", f"NOT {matches(c, fixed.NUMERIC_ONLY)}", f"NOT {matches(c, fixed.TABLE_HEAD)}"), c))))
 
 
-def _vendor_below_label(lines: Column, settings: Settings) -> Column:
-    def below(i: Column) -> Column:
-        near = F.transform(F.slice(lines, i + 2, 2), strip)
-        return F.get(F.filter(near, lambda c: (F.length(c) > 5) & _plain_name(c, settings)), F.lit(0))
+def _vendor_below_label(lines: str, settings: Settings) -> str:
+    def below(i: str) -> str:
+        near = sql.transform(f"slice({lines}, {i} + 2, 2)", strip)
+        return sql.first_kept(near, lambda c: all_of(f"length({c}) > 5", _plain_name(c, settings)))
 
-    return first_of(F.transform(lines, lambda l, i: F.when(strip(l).rlike(rx(fixed.VENDOR_LABEL_ABOVE)), below(i))))
+    return sql.first_line(lines, lambda l, i: when(matches(strip(l), fixed.VENDOR_LABEL_ABOVE), below(i)))
 
 
-def _company_in_header(lines: Column, settings: Settings) -> Column:
-    header = F.slice(lines, F.lit(1), F.greatest(F.lit(12), F.floor(F.size(lines) / 4).cast("int")))
+def _company_in_header(lines: str, settings: Settings) -> str:
+    header = f"slice({lines}, 1, greatest(12, CAST(floor(size({lines}) / 4) AS int)))"
 
-    def usable_above(above: Column) -> Column:
-        return (
-            (above != "") & ~above.rlike(rx(fixed.BUYER_LABEL)) & _plain_name(above, settings)
-            & ~above.rlike(rx(fixed.YEAR)) & ~above.rlike(rx(fixed.ADDRESS))
-        )
+    def above_name(above: str, own: str) -> str:
+        return when(all_of(
+            f"{above} <> ''", f"NOT {matches(above, fixed.BUYER_LABEL)}", _plain_name(above, settings),
+            f"NOT {matches(above, fixed.YEAR)}", f"NOT {matches(above, fixed.ADDRESS)}"), f"concat({above}, ' ', {own})")
 
-    def name(line: Column, i: Column) -> Column:
-        prefix = F.length(strip(F.regexp_extract(line, rx(_SUFFIX), 1)))
-        own = strip(F.regexp_extract(line, rx(_SUFFIX), 0))
+    def name(line: str, i: str) -> str:
+        own = strip(f"regexp_extract({line}, {sql.quoted(sql.rx(_COMPANY))}, 0)")
+        prefix = f"length({strip(f'regexp_extract({line}, {sql.quoted(sql.rx(_COMPANY))}, 1)')})"
         # A very short prefix means that the name began on the line above.
-        above = F.when((prefix < 5) & (i > 0), strip(F.get(lines, i - 1)))
-        joined = let(above, lambda a: F.when(usable_above(a), F.concat_ws(" ", a, own)))
-        return F.coalesce(joined, F.when(prefix >= 4, own))
-
-    return first_of(F.transform(header, lambda l, i: F.when(
-        ~strip(l).rlike(rx(fixed.BUYER_LABEL)) & _not_about_others(l, settings) & l.rlike(rx(_SUFFIX)),
-        let(name(l, i), lambda n: F.when((F.length(n) > 5) & _plain_name(n, settings), n)))))
-
+        return let(own, lambda o: let(prefix, lambda p: coalesce(
+            when(f"{p} < 5 AND {i} > 0", let(strip(f"{lines}[{i} - 1]"), lambda a: above_name(a, o))),
+            when(f"{p} >= 4", o))))
 
-def _not_about_others(line: Column, settings: Settings) -> Column:
-    return ~is_buyer(line, settings) & ~line.rlike(rx(fixed.TABLE_HEAD))
+    # The bare word is looked for first: the pattern around it tries every place to begin.
+    return let(header, lambda zone: sql.first_line(zone, lambda l, i: when(all_of(
+        matches(l, _SUFFIXES), f"NOT {matches(strip(l), fixed.BUYER_LABEL)}", f"NOT {is_buyer(l, settings)}",
+        f"NOT {matches(l, fixed.TABLE_HEAD)}", matches(l, _COMPANY)),
+        let(name(l, i), lambda n: when(all_of(f"length({n}) > 5", _plain_name(n, settings)), n)))))
 
 
-def _first_plausible(lines: Column, settings: Settings) -> Column:
-    top = F.transform(F.slice(lines, 1, 10), strip)
-    return F.get(F.filter(top, lambda l: (
-        (F.length(l) >= 3) & ~l.rlike(rx(fixed.NUMERIC_ONLY)) & ~l.rlike(rx(fixed.BUYER_LABEL))
-        & _not_about_others(l, settings) & ~l.rlike(rx(fixed.ADDRESS + "|" + fixed.POST_BOX))
-        & ~l.rlike(rx(fixed.FIELD_START)) & ~l.rlike(rx(fixed.YEAR)))), F.lit(0))
+def _first_plausible(lines: str, settings: Settings) -> str:
+    return sql.first_hit(f"slice({lines}, 1, 10)", lambda line: let(strip(line), lambda l: when(all_of(
+        f"length({l}) >= 3", f"NOT {matches(l, fixed.NUMERIC_ONLY)}", f"NOT {matches(l, fixed.BUYER_LABEL)}",
+        f"NOT {is_buyer(l, settings)}", f"NOT {matches(l, fixed.TABLE_HEAD)}",
+        f"NOT {matches(l, fixed.ADDRESS + '|' + fixed.POST_BOX)}", f"NOT {matches(l, fixed.FIELD_START)}",
+        f"NOT {matches(l, fixed.YEAR)}"), l)))
 
 
-def vendor_name(text: Column, lines: Column, settings: Settings = DEFAULT) -> Column:
+def vendor_name(settings: Settings = DEFAULT, text: str = TEXT, lines: str = LINES) -> str:
     """Alias, label, label above, company form in the header, first plausible line; null if none."""
-    return F.coalesce(
+    return coalesce(
         alias_name(text, settings), _labelled_vendor(lines), _vendor_below_label(lines, settings),
         _company_in_header(lines, settings), _first_plausible(lines, settings))
 
 
-def vat_id(text: Column) -> Column:
+def vat_id(text: str = TEXT) -> str:
     """Tax number with its country letters."""
-    nearby = let(F.regexp_extract(text, rx(fixed.VAT_NEARBY), 0), lambda area: found(area, r"\d{13}", 0))
-    digits = F.coalesce(found(text, fixed.VAT_PREFIXED), found(text, fixed.VAT_LABELLED), nearby)
-    return F.concat(F.lit("МК"), digits)
+    nearby = let(found(text, fixed.VAT_NEARBY, 0), lambda area: found(area, r"\d{13}", 0))
+    return f"concat('МК', {coalesce(found(text, fixed.VAT_PREFIXED), found(text, fixed.VAT_LABELLED), nearby)})"
 
 
-def vat_number(text: Column, settings: Settings = DEFAULT) -> Column:
+def vat_number(settings: Settings = DEFAULT, text: str = TEXT) -> str:
     """Digits of the vendor's tax number: the first labelled one, or else the first run of 13 digits,
     that is not the own company's."""
     own = [n.replace(" ", "").upper().removeprefix("МК").removeprefix("MK") for n in settings.own_vat_numbers]
+    foreign = f" AND {{0}} NOT IN ({', '.join(sql.quoted(n) for n in own)})" if own else ""
 
-    def first_foreign(hits: Column) -> Column:
-        valid = F.filter(F.transform(hits, normalize_vat), lambda n: (
-            n.rlike(r"^\d{10,15}$") & (~n.isin(own) if own else F.lit(True))))
-        return F.get(valid, F.lit(0))
+    def first_foreign(pattern: str) -> str:
+        hits = sql.transform(sql.all_found(text, pattern), sql.normalize_vat)
+        return sql.first_kept(hits, lambda n: sql.fits(n, r"^\d{10,15}$") + foreign.format(n))
 
     labelled = [
-        first_foreign(all_found(text, lookalike_regex(label) + r"\s*[:\-]?\s*((?:[МMм][КKк])?\s*\d{10,15})"))
-        for label in fixed.VAT_LABELS]
-    return F.coalesce(*labelled, first_foreign(all_found(text, r"(?<!\d)(\d{13})(?!\d)")))
+        first_foreign(lookalike_regex(label) + r"\s*[:\-]?\s*((?:[МMм][КKк])?\s*\d{10,15})") for label in fixed.VAT_LABELS]
+    return coalesce(*labelled, first_foreign(r"(?<!\d)(\d{13})(?!\d)"))
 
 
 # --- Invoice number ------------------------------------------------------------------------------------
 
 
-def _clean_number(value: Column) -> Column:
-    return F.rtrim(F.rtrim(strip(value), F.lit("-")), F.lit("."))
-
-
-def _valid_number(value: Column) -> Column:
+def _valid_number(value: str) -> str:
     """The cleaned value if it can be an invoice number: long enough, no tax number, no date."""
-    return let(_clean_number(value), lambda v: F.when(
-        (v != "") & ((F.length(v) >= 3) | F.contains(v, F.lit("/")))
-        & ~v.rlike(rx(fixed.NUMBER_LIKE_VAT)) & ~v.rlike(fixed.NUMBER_LIKE_DATE), v))
+    return let(f"rtrim('.', rtrim('-', {strip(value)}))", lambda v: when(all_of(
+        f"{v} <> ''", f"(length({v}) >= 3 OR contains({v}, '/'))", f"NOT {matches(v, fixed.NUMBER_LIKE_VAT)}",
+        f"NOT {sql.fits(v, fixed.NUMBER_LIKE_DATE)}"), v))
+
 
+_AT_START = rf"^({fixed.NUMBER})"
 
-def _number_after_heading(lines: Column) -> Column:
-    at_start = rf"^({fixed.NUMBER})"
 
-    def in_window(window: Column) -> Column:
-        def hit(line: Column, j: Column) -> Column:
-            text = strip(line)
-            labelled = found(line, fixed.NUMBER_AFTER_HEADING)
-            below = F.when(
-                labelled.isNull() & text.rlike("(?U)" + fixed.NUMBER_LABEL_ALONE) & (j + 1 < F.size(window)),
-                _valid_number(found(strip(F.get(window, j + 1)), at_start)))
-            alone = F.when(j > 0, _valid_number(found(text, fixed.NUMBER_ALONE)))
-            return F.coalesce(_valid_number(labelled), below, alone)
+def _number_after_heading(lines: str) -> str:
+    def in_window(window: str) -> str:
+        def hit(line: str, j: str) -> str:
+            below = when(all_of(sql.fits(strip(line), "(?U)" + fixed.NUMBER_LABEL_ALONE), f"{j} + 1 < size({window})"),
+                         _valid_number(found(strip(f"{window}[{j} + 1]"), _AT_START)))
+            alone = when(f"{j} > 0", _valid_number(found(strip(line), fixed.NUMBER_ALONE)))
+            return let(found(line, fixed.NUMBER_AFTER_HEADING), lambda n: coalesce(
+                _valid_number(n), when(f"{n} IS NULL", below), alone))
 
-        return first_of(F.transform(window, hit))
+        return sql.first_line(window, hit)
 
-    heading = F.array_position(F.transform(lines, lambda l: l.rlike(rx(fixed.INVOICE_HEADING))), F.lit(True))
-    return let(heading, lambda at: F.when(
-        at > 0, let(F.slice(lines, at.cast("int"), F.lit(15)), in_window)))
+    at = sql.index_of(lines, lambda l, _: matches(l, fixed.INVOICE_HEADING))
+    return let(at, lambda a: when(f"{a} IS NOT NULL", let(f"slice({lines}, {a} + 1, 15)", in_window)))
 
 
-def _number_at_label(lines: Column) -> Column:
-    at_start = rf"^({fixed.NUMBER})"
-    label = rx(fixed.NUMBER_LABEL)
-    at = F.array_position(F.transform(lines, lambda l: l.rlike(label)), F.lit(True)).cast("int")
+def _number_at_label(lines: str) -> str:
+    label = sql.quoted(sql.rx(fixed.NUMBER_LABEL))
 
-    def read(at: Column) -> Column:
-        behind = F.ltrim(strip(F.regexp_replace(F.get(lines, at - 1), label, "")), F.lit(":- \t"))
-        below = F.get(F.filter(F.transform(F.slice(lines, at + 1, 2), strip), lambda l: l != ""), F.lit(0))
-        return F.coalesce(
-            _valid_number(found(behind, at_start)),
-            let(below, lambda l: F.when(~l.rlike(rx(r"(?:Датум|Date|Datum)\b")), _valid_number(found(l, at_start)))))
+    def read(at: str) -> str:
+        behind = f"ltrim(':- \\t', {strip(f'regexp_replace({lines}[{at}], {label}, {sql.quoted(str())})')})"
+        below = sql.first_kept(sql.transform(f"slice({lines}, {at} + 2, 2)", strip), lambda l: f"{l} <> ''")
+        return coalesce(
+            _valid_number(found(behind, _AT_START)),
+            let(below, lambda l: when(f"NOT {matches(l, r'(?:Датум|Date|Datum)\b')}", _valid_number(found(l, _AT_START)))))
 
-    return let(at, lambda a: F.when(a > 0, read(a)))
+    at = sql.index_of(lines, lambda l, _: matches(l, fixed.NUMBER_LABEL))
+    return let(at, lambda a: when(f"{a} IS NOT NULL", read(a)))
 
 
-def invoice_number(text: Column, lines: Column, settings: Settings = DEFAULT) -> Column:
+def invoice_number(settings: Settings = DEFAULT, text: str = TEXT, lines: str = LINES) -> str:
     """First valid hit of: labels, heading with a number below, label with the number beside or below,
     the bare word, the abbreviation, and for vendors with an alias number/year; null if none."""
-    of_year = first_of(F.transform(F.slice(lines, 1, 40), lambda l: _valid_number(found(l, fixed.NUMBER_OF_YEAR))))
-    return F.coalesce(
-        *[_valid_number(found(text, p)) for p in fixed.NUMBER_PATTERNS],
+    rules = [_valid_number(found(text, p)) for p in fixed.NUMBER_PATTERNS] + [
         _number_after_heading(lines),
         _number_at_label(lines),
         _valid_number(found(text, fixed.NUMBER_STANDALONE)),
-        _valid_number(F.replace(found(text, fixed.NUMBER_LAST_RESORT), F.lit(" "), F.lit(""))),
-        F.when(alias_name(text, settings).isNotNull(), of_year))
+        _valid_number(f"replace({found(text, fixed.NUMBER_LAST_RESORT)}, ' ', '')"),
+    ]
+    if settings.vendor_aliases:
+        of_year = sql.first_hit(f"slice({lines}, 1, 40)", lambda l: _valid_number(found(l, fixed.NUMBER_OF_YEAR)))
+        rules.append(when(f"{alias_name(text, settings)} IS NOT NULL", of_year))
+    return coalesce(*rules)
 
 
 # --- Dates ---------------------------------------------------------------------------------------------
 
 
-def due_date(text: Column) -> Column:
-    return F.coalesce(found(text, fixed.DUE_DATE), found(text, fixed.DUE_DATE_UNTIL))
+def due_date(text: str = TEXT) -> str:
+    return coalesce(found(text, fixed.DUE_DATE), found(text, fixed.DUE_DATE_UNTIL))
 
 
-def invoice_date(text: Column, lines: Column, due: Column) -> Column:
+def invoice_date(due: str, text: str = TEXT, lines: str = LINES) -> str:
     """Raw invoice date: specific labels, label above the date, any label in the first 40 lines, a due
     date that stands alone, and last the lowest date of the document. Never the due date beside it."""
 
-    def other(day: Column) -> Column:
-        return let(day, lambda d: F.when(~d.eqNullSafe(due), d))
+    def other(day: str) -> str:
+        return let(day, lambda d: when(f"NOT {d} <=> {due}", d))
 
-    def first_other(days: Column) -> Column:
-        return F.get(F.filter(days, lambda d: ~d.eqNullSafe(due)), F.lit(0))
+    def first_other(days: str) -> str:
+        return sql.first_kept(days, lambda d: f"NOT {d} <=> {due}")
 
-    header = F.array_join(F.slice(lines, 1, 40), "\n")
-    upwards = F.transform(F.reverse(lines), lambda l: found(l, fixed.DATE_STANDALONE))
-    return F.coalesce(
+    header = f"array_join(slice({lines}, 1, 40), '\\n')"
+    return coalesce(
         *[other(found(text, p)) for p in fixed.DATE_PATTERNS],
-        first_other(all_found(F.array_join(lines, "\n"), fixed.DATE_BELOW_ISSUE_LABEL)),
-        first_other(all_found(header, fixed.DATE_BELOW_LABEL)),
+        first_other(sql.all_found(f"array_join({lines}, '\\n')", fixed.DATE_BELOW_ISSUE_LABEL)),
+        first_other(sql.all_found(header, fixed.DATE_BELOW_LABEL)),
         other(found(header, fixed.DATE_GENERIC)),
         due,
-        first_of(upwards))
+        sql.first_hit(f"reverse({lines})", lambda l: found(l, fixed.DATE_STANDALONE)))
 
 
 # --- Amounts -------------------------------------------------------------------------------------------
 
 
-def _amount_near(lines: Column, line: Column, i: Column, cap: int) -> Column:
+def _amount_near(lines: str, line: str, i: str, cap: int) -> str:
     """Amount at the end of a line, or else at the start of the next line with text among three.
     Contact lines hold none."""
-    below = F.get(F.filter(F.transform(F.slice(lines, i + 2, 3), strip), lambda l: l != ""), F.lit(0))
-    contact = rx(fixed.CONTACT)
-    return F.coalesce(
-        F.when(~line.rlike(contact), parse_valid(found(line, fixed.AMOUNT_AT_END), cap)),
-        let(below, lambda l: F.when(~l.rlike(contact), parse_valid(found(l, fixed.AMOUNT_AT_START), cap))))
+    below = sql.first_kept(sql.transform(f"slice({lines}, {i} + 2, 3)", strip), lambda l: f"{l} <> ''")
+    return coalesce(
+        when(f"NOT {matches(line, fixed.CONTACT)}", sql.parse_valid(found(line, fixed.AMOUNT_AT_END), cap)),
+        let(below, lambda l: when(f"NOT {matches(l, fixed.CONTACT)}", sql.parse_valid(found(l, fixed.AMOUNT_AT_START), cap))))
 
 
-def _amounts_near(lines: Column, pattern: str, cap: int) -> Column:
-    return F.transform(lines, lambda l, i: F.when(l.rlike(rx(pattern)), _amount_near(lines, l, i, cap)))
+def _labelled_amounts(text: str, lines: str, cap: int) -> str:
+    inline = sql.transform(sql.all_found(text, fixed.TOTAL_INLINE), lambda a: sql.parse_valid(a, cap))
+    v, i = sql.fresh(), sql.fresh("i")
+    near = f"transform({lines}, ({v}, {i}) -> {when(matches(v, fixed.TOTAL_LABEL), _amount_near(lines, v, i, cap))})"
+    return f"array_max(concat({inline}, {near}))"
 
 
-def _amounts_inline(text: Column, pattern: str, cap: int) -> Column:
-    return F.transform(all_found(text, pattern), lambda a: parse_valid(a, cap))
-
-
-def _amount_above_words(lines: Column, settings: Settings) -> Column:
+def _amount_above_words(lines: str, settings: Settings) -> str:
     """Amount above 100 within five lines above the amount in words."""
-    at = F.array_position(F.transform(lines, lambda l: l.rlike(rx(fixed.IN_WORDS))), F.lit(True)).cast("int")
 
-    def amount(line: Column) -> Column:
-        usable = ~line.rlike(rx(fixed.PAYMENT_TERM)) & ~line.rlike(rx(fixed.CONTACT))
-        return F.when(usable, let(parse_amount(found(line, fixed.AMOUNT_AT_END)), lambda a: F.when(
-            (a > settings.min_amount_above_words) & (a <= settings.max_amount), a)))
+    def amount(line: str) -> str:
+        return when(
+            all_of(f"NOT {matches(line, fixed.PAYMENT_TERM)}", f"NOT {matches(line, fixed.CONTACT)}"),
+            let(sql.parse_amount(found(line, fixed.AMOUNT_AT_END)), lambda a: when(
+                f"{a} > {settings.min_amount_above_words} AND {a} <= {settings.max_amount}", a)))
 
-    def above(at: Column) -> Column:
-        start = F.greatest(at - 5, F.lit(1))
-        return first_of(F.transform(F.reverse(F.slice(lines, start, at - start)), amount))
+    def above(at: str) -> str:
+        start = f"greatest({at} - 5, 0)"
+        return sql.first_hit(f"reverse(slice({lines}, {start} + 1, {at} - {start}))", amount, sql.PARSED)
 
-    return let(at, lambda a: F.when(a > 1, above(a)))
+    at = sql.index_of(lines, lambda l, _: matches(l, fixed.IN_WORDS))
+    return let(at, lambda a: when(f"{a} > 0", above(a)))
 
 
-def total_amount(text: Column, lines: Column, settings: Settings = DEFAULT) -> Column:
+def total_amount(settings: Settings = DEFAULT, text: str = TEXT, lines: str = LINES) -> str:
+    """Largest amount with a specific label, else with a general one, else the amount above the words."""
     cap = settings.max_amount
-    return F.coalesce(
-        F.array_max(F.concat(_amounts_inline(text, fixed.TOTAL_INLINE, cap), _amounts_near(lines, fixed.TOTAL_LABEL, cap))),
-        F.array_max(_amounts_inline(text, fixed.TOTAL_GENERIC, cap)),
-        _amount_above_words(lines, settings))
+    general = sql.transform(sql.all_found(text, fixed.TOTAL_GENERIC), lambda a: sql.parse_valid(a, cap))
+    return coalesce(_labelled_amounts(text, lines, cap), f"array_max({general})", _amount_above_words(lines, settings))
 
 
 def add_totals(documents: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Adds total, subtotal, tax_rate and tax_amount; what is missing is derived where the rest allows."""
-    text, lines, cap = F.col("full_text"), F.col("lines"), settings.max_amount
-
-    def below_total(amount: Column) -> Column:
-        return let(amount, lambda a: F.when((a > 0) & (F.col("total").isNull() | (a < F.col("total"))), a))
+    cap = settings.max_amount
 
-    def positive(amount: Column) -> Column:
-        return let(amount, lambda a: F.when(a > 0, a))
+    def below_total(amount: str) -> str:
+        return let(amount, lambda a: when(f"{a} > 0 AND (total IS NULL OR {a} < total)", a))
 
-    near_tax = F.transform(lines, lambda l, i: F.when(
-        strip(l).rlike(rx(fixed.TAX_LABEL_ALONE)), below_total(_amount_near(lines, l, i, cap))))
+    net_nearby = sql.first_line(LINES, lambda l, i: when(
+        matches(l, fixed.NET_LABEL), _amount_near(LINES, l, i, cap)), sql.PARSED)
+    tax_nearby = sql.first_line(LINES, lambda l, i: when(
+        matches(strip(l), fixed.TAX_LABEL_ALONE), below_total(_amount_near(LINES, l, i, cap))), sql.PARSED)
+    rates = coalesce(*[found(TEXT, p) for p in fixed.TAX_RATE_PATTERNS])
+    taxes = [below_total(sql.parse_amount(found(TEXT, p))) for p in fixed.TAX_AMOUNT_PATTERNS]
     total, net, tax, rate = (F.col(c) for c in ("total", "subtotal", "tax_amount", "tax_rate"))
     # Zero counts as missing throughout.
     known = lambda c: c.isNotNull() & (c != 0)
     gap = total - net
-    return (
+    return computed(
         documents
-        .withColumn("total", total_amount(text, lines, settings))
+        .withColumn("total", F.expr(total_amount(settings)))
         .withColumns({
-            "subtotal": F.coalesce(
-                positive(parse_amount(found(text, fixed.NET_INLINE))),
-                first_of(_amounts_near(lines, fixed.NET_LABEL, cap))),
-            "tax_rate": F.coalesce(*[found(text, p) for p in fixed.TAX_RATE_PATTERNS]).try_cast("decimal(5,2)"),
-            "tax_amount": F.coalesce(
-                *[below_total(parse_amount(found(text, p))) for p in fixed.TAX_AMOUNT_PATTERNS], first_of(near_tax)),
+            "subtotal": F.expr(coalesce(
+                let(sql.parse_amount(found(TEXT, fixed.NET_INLINE)), lambda a: when(f"{a} > 0", a)), net_nearby)),
+            "tax_rate": F.expr(f"try_cast({rates} AS decimal(5,2))"),
+            "tax_amount": F.expr(coalesce(*taxes, tax_nearby)),
         })
         .withColumn("subtotal", F.coalesce(net, F.when(known(total) & known(tax), total - tax)))
         .withColumn("tax_amount", F.coalesce(
@@ -313,47 +294,41 @@ def add_line_items(documents: DataFrame) -> DataFrame:
     divided by 100 whose decimal point got lost. Net rows take the tax rate along. Otherwise a single
     item holds the total."""
     dec = "decimal(24,4)"
-    total = F.coalesce(F.col("total"), F.lit(0)).cast(dec)
-    net = F.col("subtotal").cast(dec)
-
-    def near(amount: Column, target: Column) -> Column:
-        tolerance = F.greatest(target * F.lit("0.02").cast("decimal(3,2)"), F.lit(1))
-        return F.coalesce((target > 0) & (F.abs(amount - target) <= tolerance), F.lit(False))
-
-    rows = F.col("_rows")
-    row_sum = F.aggregate(rows, F.lit(0).cast(dec), lambda s, x: (s + x["amount"]).cast(dec))
-    repaired = lambda x: F.bround(x["amount"] / 100, 2).cast("decimal(20,4)")
-    fits = lambda s: near(s, total) | near(s, net)
-    repair = F.filter(
-        F.transform(rows, lambda x, i: F.when(
-            (x["amount"] >= 100) & fits(F.col("_sum") - x["amount"] + repaired(x)), i)),
-        lambda i: i.isNotNull())
-    kept = F.transform(rows, lambda x, i: F.when(
-        i == F.col("_repair"), x.withField("amount", repaired(x))).otherwise(x))
-
-    def item(description: Column, amount: Column, rate: Column) -> Column:
-        return F.struct(
-            description.alias("description"), F.lit(1).cast("decimal(18,4)").alias("quantity"),
-            amount.cast("decimal(18,4)").alias("unit_price"), amount.cast("decimal(18,2)").alias("line_total"),
-            rate.cast("decimal(5,2)").alias("vat_rate"))
-
-    no_rate = F.lit(None).cast("decimal(5,2)")
-    implied = F.when(F.col("tax_rate") != 0, F.col("tax_rate")).when(
-        total > net, F.bround((total - net) * 100 / net, 1))
-    return (
+    total, net = f"CAST(coalesce(total, 0) AS {dec})", f"CAST(subtotal AS {dec})"
+
+    def near(amount: str, target: str) -> str:
+        return f"coalesce({target} > 0 AND abs({amount} - {target}) <= greatest({target} * 0.02BD, 1), false)"
+
+    def fits(amount: str) -> str:
+        return f"({near(amount, total)} OR {near(amount, net)})"
+
+    repaired = lambda x: f"CAST(bround({x}.amount / 100, 2) AS decimal(20,4))"
+    row_sum = f"aggregate(_rows, CAST(0 AS {dec}), (s, x) -> CAST(s + x.amount AS {dec}))"
+    repair = sql.first_line("_rows", lambda x, i: when(
+        f"{x}.amount >= 100 AND {fits(f'_sum - {x}.amount + {repaired(x)}')}", i), "int")
+    kept = f"transform(_rows, (x, i) -> named_struct('description', x.description, 'amount', CASE WHEN i <=> _repair THEN {repaired('x')} ELSE x.amount END))"
+
+    def item(description: str, amount: str, rate: str) -> str:
+        return (
+            f"named_struct('description', {description}, 'quantity', CAST(1 AS decimal(18,4)), 'unit_price', CAST({amount} AS decimal(18,4)),"
+            f" 'line_total', CAST({amount} AS decimal(18,2)), 'vat_rate', CAST({rate} AS decimal(5,2)))")
+
+    implied = (
+        f"CASE WHEN amount_basis = 'net' THEN CASE WHEN tax_rate <> 0 THEN tax_rate WHEN {total} > {net}"
+        f" THEN bround(({total} - {net}) * 100 / {net}, 1) END END")
+    return computed(
         documents
-        .withColumn("_rows", item_rows(F.col("lines")))
-        .withColumn("_sum", row_sum)
-        .withColumn("_repair", F.when(~fits(F.col("_sum")), F.get(repair, F.lit(0))))
-        .withColumn("_rows", kept)
-        .withColumn("_sum", row_sum)
-        .withColumn("amount_basis", F.when(F.size("_rows") == 0, "gross").when(near(F.col("_sum"), total), "gross")
-                    .when(near(F.col("_sum"), net), "net"))
-        .withColumn("_rate", F.when(F.col("amount_basis") == "net", implied))
-        .withColumn("line_items", F.when(
-            (F.size("_rows") > 0) & F.col("amount_basis").isNotNull(),
-            F.transform("_rows", lambda x: item(x["description"], x["amount"], F.col("_rate"))))
-            .otherwise(F.array(item(F.lit(fixed.SYNTHETIC_ITEM), total, no_rate))))
+        .withColumn("_rows", F.expr(item_rows(LINES)))
+        .withColumn("_sum", F.expr(row_sum))
+        .withColumn("_repair", F.expr(when(f"NOT {fits('_sum')}", repair)))
+        .withColumn("_rows", F.expr(kept))
+        .withColumn("_sum", F.expr(row_sum))
+        .withColumn("amount_basis", F.expr(
+            f"CASE WHEN size(_rows) = 0 OR {near('_sum', total)} THEN 'gross' WHEN {near('_sum', net)} THEN 'net' END"))
+        .withColumn("_rate", F.expr(implied))
+        .withColumn("line_items", F.expr(
+            f"CASE WHEN size(_rows) > 0 AND amount_basis IS NOT NULL THEN transform(_rows, x -> {item('x.description', 'x.amount', '_rate')})"
+            f" ELSE array({item(sql.quoted(fixed.SYNTHETIC_ITEM), total, 'NULL')}) END"))
         .withColumn("amount_basis", F.coalesce("amount_basis", F.lit("gross")))
         .drop("_rows", "_sum", "_repair", "_rate")
     )
@@ -364,31 +339,30 @@ def add_line_items(documents: DataFrame) -> DataFrame:
 
 def extract_heuristic(documents: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Adds every field of a record to documents (full_text, lines). Missing fields are null."""
-    text, lines = F.col("full_text"), F.col("lines")
-    marked = mark_sections(documents)
     dated = (
-        marked.withColumn("_due", due_date(text))
-        .withColumn("invoice_date_raw", invoice_date(text, lines, F.col("_due")))
-        # A due date that had to serve as invoice date is none.
-        .withColumn("due_date_raw", F.when(~F.col("_due").eqNullSafe(F.col("invoice_date_raw")), F.col("_due")))
-        .drop("_due")
+        mark_sections(documents).withColumn("_due", F.expr(due_date()))
+        .withColumn("invoice_date_raw", F.expr(invoice_date("_due")))
         .withColumns({
-            "vendor_name": vendor_name(text, lines, settings),
-            "vendor_vat_id": vat_id(text),
-            "invoice_number": invoice_number(text, lines, settings),
+            # A due date that had to serve as invoice date is none.
+            "due_date_raw": F.when(~F.col("_due").eqNullSafe(F.col("invoice_date_raw")), F.col("_due")),
+            "vendor_name": F.expr(vendor_name(settings)),
+            "vendor_vat_id": F.expr(vat_id()),
+            "invoice_number": F.expr(invoice_number(settings)),
             "payment_reference": F.lit(None).cast("string"),
         })
+        .drop("_due")
     )
-    return add_line_items(add_totals(dated, settings))
+    return add_line_items(add_totals(computed(dated), settings))
 
 
 def as_records(extracted: DataFrame) -> DataFrame:
     """Extracted documents as records: the fixed texts stand in for what was not found."""
+    known: Column = F.col("currency") if "currency" in extracted.columns else F.lit(None).cast("string")
     return extracted.withColumns({
         "vendor_name": F.coalesce("vendor_name", F.lit(fixed.UNKNOWN_VENDOR)),
         "invoice_number": F.coalesce("invoice_number", F.lit(fixed.NO_NUMBER)),
         "invoice_date_raw": F.coalesce("invoice_date_raw", F.lit("")),
         "total": F.coalesce("total", F.lit(0)).cast("decimal(18,2)"),
         "subtotal": F.col("subtotal").cast("decimal(18,2)"),
-        "currency": F.lit("MKD") if "currency" not in extracted.columns else F.coalesce("currency", F.lit("MKD")),
+        "currency": F.coalesce(known, F.lit("MKD")),
     })

@@ -6,15 +6,16 @@ scanned segments is a map without a shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knigovod.config import DEFAULT, Settings
 from knigovod.fixed_values import (
     COMMA_AMOUNT, FIRST_ROW, FOOTER_MARK, FOOTER_START, IMAGE_SUFFIXES, ITEMS_MARK, SECOND_ROW,
     TEXT_LAYER_SUFFIXES, TOTALS_MARK, TOTALS_START)
-from knigovod.functions.amounts import let, parse_amount
-from knigovod.functions.text import rx, strip
+from knigovod.functions import amounts, sql
+from knigovod.functions.sql import all_of, coalesce, let, matches, strip, when
+from knigovod.operators.stages import computed
 
 # --- Files and pages -----------------------------------------------------------------------------------
 
@@ -33,7 +34,7 @@ def route_files(files: DataFrame) -> DataFrame:
 
 def text_layer(documents: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Pages without blank lines, and whether their text suffices to go without a scan."""
-    kept = F.transform("pages", lambda p: let(
+    kept = F.transform("pages", lambda p: amounts.let(
         F.filter(F.split(p["text"], r"\r\n|\r|\n"), lambda l: F.trim(l) != ""),
         lambda lines: F.struct(
             p["page"].alias("page"), F.array_join(lines, "\n").alias("text"), lines.alias("lines"))))
@@ -71,16 +72,24 @@ _SETTLED = 64
 
 
 def segment_rows(segments: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Adds row_no to the confident segments of each page: a segment joins the current row when its
-    vertical centre is within the tolerance of the row's running mean.
+    """Adds row_y, the height a visual row begins at, to the confident segments of each page. A segment
+    joins the current row when its vertical centre is within the tolerance of the row's running mean.
 
     The mean depends on the order of centres only, so the walk runs over the distinct heights of a page
-    with their counts. Their number is bounded by the height of a page in pixels, however many segments
-    it has; a repeated height is applied until the mean has settled."""
+    with their counts: at most the height of a page in pixels, however many segments it has. A repeated
+    height is applied until the mean has settled. A gap wider than the tolerance always opens a row, as
+    the mean never exceeds the last height; it cuts the walk into short independent stretches."""
     kept = segments.filter(F.col("conf") > settings.min_segment_confidence).withColumn(
         "y", (F.col("y_top") + F.col("y_bottom")) / 2)
     heights = kept.groupBy("doc_id", "page", "y").agg(F.count(F.lit(1)).alias("n"))
-    state = "struct<mean double, row_no int, placed array<struct<y double, row_no int>>>"
+    down = Window.partitionBy("doc_id", "page").orderBy("y")
+    gap = F.coalesce(F.col("y") - F.lag("y").over(down) > settings.row_tolerance, F.lit(True))
+    stretches = (
+        heights.withColumn("gap", gap.cast("int"))
+        .withColumn("stretch", F.sum("gap").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("doc_id", "page", "stretch").agg(F.array_sort(F.collect_list(F.struct("y", "n"))).alias("heights"))
+    )
+    state = "struct<mean double, row_y double, placed array<struct<y double, row_y double>>>"
 
     def repeat(mean: Column, y: Column, times: Column) -> Column:
         rounds = F.when(times > 0, F.sequence(F.lit(1), F.least(times, F.lit(_SETTLED)).cast("int")))
@@ -88,31 +97,31 @@ def segment_rows(segments: DataFrame, settings: Settings = DEFAULT) -> DataFrame
 
     def step(acc: Column, h: Column) -> Column:
         opens = acc["mean"].isNull() | (F.abs(h["y"] - acc["mean"]) > settings.row_tolerance)
-        row_no = F.when(opens, acc["row_no"] + 1).otherwise(acc["row_no"])
+        row_y = F.when(opens, h["y"]).otherwise(acc["row_y"])
         mean = F.when(opens, repeat(h["y"], h["y"], h["n"] - 1)).otherwise(repeat(acc["mean"], h["y"], h["n"]))
         return F.struct(
-            mean.alias("mean"), row_no.alias("row_no"),
-            F.concat(acc["placed"], F.array(F.struct(h["y"].alias("y"), row_no.alias("row_no")))).alias("placed"),
+            mean.alias("mean"), row_y.alias("row_y"),
+            F.concat(acc["placed"], F.array(F.struct(h["y"].alias("y"), row_y.alias("row_y")))).alias("placed"),
         ).cast(state)
 
     start = F.struct(
-        F.lit(None).cast("double").alias("mean"), F.lit(-1).alias("row_no"),
-        F.array().cast("array<struct<y double, row_no int>>").alias("placed")).cast(state)
+        F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("row_y"),
+        F.array().cast("array<struct<y double, row_y double>>").alias("placed")).cast(state)
     placed = (
-        heights.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("y", "n"))).alias("heights"))
+        stretches
         .select("doc_id", "page", F.explode(F.aggregate("heights", start, step, lambda a: a["placed"])).alias("h"))
-        .select("doc_id", "page", "h.y", "h.row_no")
+        .select("doc_id", "page", "h.y", "h.row_y")
     )
     return kept.join(placed, ["doc_id", "page", "y"])
 
 
 def segment_lines(segments: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Text lines (doc_id, page, row_no, line) of scanned pages; empty lines dropped."""
+    """Text lines (doc_id, page, row_y, line) of scanned pages; empty lines dropped."""
     rows = segment_rows(segments, settings)
     parts = F.array_sort(F.collect_list(F.struct("x_left", "y", "text")))
     return (
-        rows.groupBy("doc_id", "page", "row_no").agg(parts.alias("parts"))
-        .select("doc_id", "page", "row_no",
+        rows.groupBy("doc_id", "page", "row_y").agg(parts.alias("parts"))
+        .select("doc_id", "page", "row_y",
                 F.trim(F.array_join(F.transform("parts", lambda p: p["text"]), " ")).alias("line"))
         .filter(F.col("line") != "")
     )
@@ -121,7 +130,7 @@ def segment_lines(segments: DataFrame, settings: Settings = DEFAULT) -> DataFram
 def segment_pages(segments: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Documents (doc_id, pages) of scanned segments."""
     lines = segment_lines(segments, settings).groupBy("doc_id", "page").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("row_no", "line"))), lambda l: l["line"]).alias("lines"))
+        F.transform(F.array_sort(F.collect_list(F.struct("row_y", "line"))), lambda l: l["line"]).alias("lines"))
     page = F.struct("page", F.array_join("lines", "\n").alias("text"), "lines")
     return (
         lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
@@ -138,54 +147,37 @@ def audit_segments(segments: DataFrame, settings: Settings = DEFAULT) -> DataFra
 # --- Sections ------------------------------------------------------------------------------------------
 
 
-def first_index(lines: Column, test, after: Column) -> Column:
-    """0-based index of the first line beyond `after` that passes the test, null if none."""
-    hits = F.transform(lines, lambda l, i: F.when((i > after) & test(l, i), i))
-    return F.get(F.filter(hits, lambda i: i.isNotNull()), F.lit(0))
-
-
-def _starts_table(lines: Column):
+def _starts_table(line: str, i: str) -> str:
     """Line opens the item table: a first row, with a second row within 19 lines and a decimal amount
     on the way there."""
-
-    def test(line: Column, i: Column) -> Column:
-        ahead = F.slice(lines, i + 2, 19)
-        second = F.array_position(F.transform(ahead, lambda l: l.rlike(rx(SECOND_ROW))), F.lit(True))
-        return line.rlike(rx(FIRST_ROW)) & let(second, lambda j: (j > 0) & F.array_join(
-            F.slice(lines, i + 1, j.cast("int") + 1), " ").rlike(COMMA_AMOUNT))
-
-    return test
+    second = sql.index_of(f"slice(lines, {i} + 2, 19)", lambda l, _: matches(l, SECOND_ROW))
+    return all_of(matches(line, FIRST_ROW), let(second, lambda j: (
+        f"({j} IS NOT NULL AND {sql.fits(f'array_join(slice(lines, {i} + 1, {j} + 2), {sql.quoted(chr(32))})', COMMA_AMOUNT)})")))
 
 
 def add_sections(documents: DataFrame) -> DataFrame:
     """Adds table_at, totals_at, footer_at: line indexes where the sections begin (null if none)."""
-    lines = F.col("lines")
-    marked = F.exists(lines, lambda l: F.contains(l, F.lit(ITEMS_MARK)))
-    return (
+    marked = sql.first_kept("lines", lambda l: f"contains({l}, {sql.quoted(ITEMS_MARK)})")
+    starts = lambda pattern, after: when(f"{after} IS NOT NULL", sql.index_of(
+        "lines", lambda l, _: matches(strip(l), pattern), after))
+    return computed(
         documents
-        .withColumn("table_at", F.when(~marked, first_index(lines, _starts_table(lines), F.lit(-1))))
-        .withColumn("totals_at", F.when(F.col("table_at").isNotNull(), first_index(
-            lines, lambda l, _: strip(l).rlike(rx(TOTALS_START)), F.col("table_at"))))
-        .withColumn("footer_at", F.when(F.col("totals_at").isNotNull(), first_index(
-            lines, lambda l, _: strip(l).rlike(rx(FOOTER_START)), F.col("totals_at"))))
+        .withColumn("table_at", F.expr(when(f"{marked} IS NULL", sql.index_of("lines", _starts_table))))
+        .withColumn("totals_at", F.expr(starts(TOTALS_START, "table_at")))
+        .withColumn("footer_at", F.expr(starts(FOOTER_START, "totals_at")))
     )
 
 
 def mark_sections(documents: DataFrame) -> DataFrame:
     """Puts a mark line, between blank lines, in front of each section; marked documents stay as
     they are."""
-
-    def mark(text: str, line: Column) -> Column:
-        return F.array(F.lit(""), F.lit(text), F.lit(""), line)
-
-    marked = F.flatten(F.transform("lines", lambda l, i: (
-        F.when(i == F.col("table_at"), mark(ITEMS_MARK, l))
-        .when(i == F.col("totals_at"), mark(TOTALS_MARK, l))
-        .when(i == F.col("footer_at"), mark(FOOTER_MARK, l))
-        .otherwise(F.array(l)))))
-    return add_sections(documents).withColumn(
-        "lines", F.when(F.col("table_at").isNull(), F.col("lines")).otherwise(marked)).drop(
-        "table_at", "totals_at", "footer_at")
+    mark = lambda at, text: f"WHEN i <=> {at} THEN array('', {sql.quoted(text)}, '', l)"
+    marked = (
+        f"flatten(transform(lines, (l, i) -> CASE {mark('table_at', ITEMS_MARK)} {mark('totals_at', TOTALS_MARK)}"
+        f" {mark('footer_at', FOOTER_MARK)} ELSE array(l) END))")
+    return computed(add_sections(documents).withColumn(
+        "lines", F.expr(f"CASE WHEN table_at IS NULL THEN lines ELSE {marked} END")).drop(
+        "table_at", "totals_at", "footer_at"))
 
 
 def sectioned_lines(documents: DataFrame) -> DataFrame:
@@ -209,36 +201,34 @@ def sectioned_lines(documents: DataFrame) -> DataFrame:
 ITEM_ROW = "struct<description string, amount decimal(20,4)>"
 
 
-def parse_item(line: Column) -> Column:
+def parse_item(line: str) -> str:
     """struct(description, amount): the amount is the last word, or else the last two together."""
 
-    def read(words: Column) -> Column:
-        n = F.size(words)
-
-        def item(count: int, amount: Column) -> Column:
-            return F.when((n > count) & (amount > 0), F.struct(
-                F.array_join(F.slice(words, 1, n - count), " ").alias("description"),
-                amount.alias("amount")))
+    def read(words: str) -> str:
+        def item(count: int, amount: str) -> str:
+            return let(sql.parse_amount(amount), lambda a: when(
+                f"size({words}) > {count} AND {a} > 0",
+                f"named_struct('description', array_join(slice({words}, 1, size({words}) - {count}), ' '), 'amount', {a})"))
 
-        last = F.get(words, n - 1)
-        return F.coalesce(
-            let(parse_amount(last), lambda a: item(1, a)),
-            F.when(n > 2, let(parse_amount(F.concat(F.get(words, n - 2), last)), lambda a: item(2, a))))
+        last = f"get({words}, size({words}) - 1)"
+        return coalesce(item(1, last), when(
+            f"size({words}) > 2", item(2, f"concat(get({words}, size({words}) - 2), {last})")))
 
-    text = strip(line)
-    return F.when((text != "") & ~text.startswith("---"), let(F.split(text, r"(?U)\s+"), read))
+    return let(strip(line), lambda l: when(
+        f"{l} <> '' AND NOT startswith({l}, '---')", let(f"split({l}, '(?U)\\\\s+')", read)))
 
 
-def item_rows(lines: Column) -> Column:
+def item_rows(lines: str) -> str:
     """Item rows between the marks of the item table and of the next section, empty if unmarked."""
 
-    def place(marks: list[str], after: Column) -> Column:
-        return first_index(lines, lambda l, _: strip(l).isin(marks), after)
+    def place(marks: list[str], after: str) -> str:
+        listed = ", ".join(sql.quoted(m) for m in marks)
+        return sql.index_of(lines, lambda l, _: f"{strip(l)} IN ({listed})", after)
 
-    def section(start: Column) -> Column:
-        return let(place([TOTALS_MARK, FOOTER_MARK], start), lambda end: F.slice(
-            lines, start + 2, F.coalesce(end - start - 1, F.size(lines))))
+    def section(start: str) -> str:
+        return let(place([TOTALS_MARK, FOOTER_MARK], start), lambda end: (
+            f"slice({lines}, {start} + 2, coalesce({end} - {start} - 1, size({lines})))"))
 
-    items = let(place([ITEMS_MARK], F.lit(-1)), lambda start: F.when(start.isNotNull(), section(start)))
-    return F.coalesce(
-        F.filter(F.transform(items, parse_item), lambda x: x.isNotNull()), F.array().cast(f"array<{ITEM_ROW}>"))
+    rows = let(place([ITEMS_MARK], "-1"), lambda start: when(f"{start} IS NOT NULL", sql.keep(
+        sql.transform(section(start), parse_item), lambda x: f"{x} IS NOT NULL")))
+    return coalesce(rows, f"CAST(array() AS array<{ITEM_ROW}>)")

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knigovod.config import DEFAULT, Settings
-from knigovod.functions.text import match_form, rx
+from knigovod.functions.sql import rx
+from knigovod.functions.text import match_form
 from knigovod.operators.contains import contains_join, grams
 
 

@@ -119,7 +119,7 @@ def escape_regex(text: str) -> str:
 # --- Amounts -------------------------------------------------------------------------------------------
 
 # Wide enough for every number a document may hold; records narrow it to two decimals.
-PARSED = "decimal(20,4)"
+PARSED = "decimal(24,8)"
 
 
 def _number(text: str) -> str:

@@ -293,7 +293,7 @@ def add_line_items(documents: DataFrame) -> DataFrame:
     Item rows count if they sum up to the total or the net amount, as read or with the one amount
     divided by 100 whose decimal point got lost. Net rows take the tax rate along. Otherwise a single
     item holds the total."""
-    dec = "decimal(24,4)"
+    dec = "decimal(28,8)"
     total, net = f"CAST(coalesce(total, 0) AS {dec})", f"CAST(subtotal AS {dec})"
 
     def near(amount: str, target: str) -> str:
@@ -302,7 +302,7 @@ def add_line_items(documents: DataFrame) -> DataFrame:
     def fits(amount: str) -> str:
         return f"({near(amount, total)} OR {near(amount, net)})"
 
-    repaired = lambda x: f"CAST(bround({x}.amount / 100, 2) AS decimal(20,4))"
+    repaired = lambda x: f"CAST(bround({x}.amount / 100, 2) AS {sql.PARSED})"
     row_sum = f"aggregate(_rows, CAST(0 AS {dec}), (s, x) -> CAST(s + x.amount AS {dec}))"
     repair = sql.first_line("_rows", lambda x, i: when(
         f"{x}.amount >= 100 AND {fits(f'_sum - {x}.amount + {repaired(x)}')}", i), "int")

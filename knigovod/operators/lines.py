@@ -198,7 +198,7 @@ def sectioned_lines(documents: DataFrame) -> DataFrame:
 
 # --- Item rows -----------------------------------------------------------------------------------------
 
-ITEM_ROW = "struct<description string, amount decimal(20,4)>"
+ITEM_ROW = f"struct<description string, amount {sql.PARSED}>"
 
 
 def parse_item(line: str) -> str:

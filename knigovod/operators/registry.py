@@ -14,6 +14,7 @@ from knigovod.config import DEFAULT, Settings
 from knigovod.functions.sql import rx
 from knigovod.functions.text import match_form
 from knigovod.operators.contains import contains_join, grams
+from knigovod.operators.stages import staged
 
 
 def with_match_form(registry: DataFrame) -> DataFrame:
@@ -253,9 +254,10 @@ def match_names(names: DataFrame, registry: DataFrame, settings: Settings = DEFA
 def resolve(records: DataFrame, registry: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Counterparty of each record by vendor name; unsure ones by a scan of the document text.
 
-    records: doc_id, vendor_name, full_text. A scan hit also replaces the vendor name, unless it is
+    records: doc_id, vendor_name, full_text; read several times, so a scan or a staged table. A scan hit also replaces the vendor name, unless it is
     the buyer."""
-    by_name = match_names(records, registry, settings)
+    # One row per distinct name; both joins below read it.
+    by_name = staged(match_names(records, registry, settings), "names")
     named = records.join(by_name, "vendor_name", "left")
     unsure = named.filter(F.col("komitent_id").isNull() | F.col("komitent_low_confidence"))
     scanned = scan_texts(

@@ -148,7 +148,7 @@ def health(templates: DataFrame, corrections: DataFrame) -> DataFrame:
 def session_counts(session_items: DataFrame, invoices: DataFrame) -> DataFrame:
     """Posted invoices of each session."""
     return (
-        session_items.join(invoices.select("invoice_id", "status"), "invoice_id", "left")
+        session_items.select("session_id", "invoice_id").join(invoices.select("invoice_id", "status"), "invoice_id", "left")
         .groupBy("session_id").agg(
             F.count_if(F.col("status").isin(*POSTED)).alias("posted"), F.count(F.lit(1)).alias("total"))
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,3 +23,21 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     scans stay as they are, so at scale this adds no shuffle."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path below the session's `spark.checkpoint.dir`, the folder all executors share. What is kept
+    there must outlive the loss of any executor, so a session without one is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{folder.rstrip('/')}/{name}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written once to the shared folder and read back: for results of long maps that
+    several joins read. Readers take only the columns they need, and a lost executor costs its own tasks
+    only. The table may be deleted when the job is done."""
+    path = shared_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

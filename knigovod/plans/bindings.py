@@ -303,7 +303,7 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("Total: "), F.format_number(from_cents(total), 2))),
         page(
             F.concat(F.lit("Занаетчија "), cust_text, F.lit(" Битола")), F.concat(F.lit("Фактура 25-"), number),
-            "За извршена работа", _european(total), "Рок за плаќање 30 дена", "Со зборови: според износот",
+            "За извршена работа", _european(total), "Рок до 30 дена", "Со зборови: според износот",
             F.concat(F.lit("Скопје, "), dots(day), F.lit("г."))),
         page(
             F.concat(F.lit("Customer "), cust_text, F.lit(" DOOEL Skopje")), vat,
@@ -354,7 +354,7 @@ def keyword_templates(spark: SparkSession) -> DataFrame:
 
     rows = [
         (0, "k0", "Both words", "", "MKD", None, ["Занаетчија", "Со зборови :"], {}, {}, {}),
-        (1, "k1", "Look-alikes", "", "MKD", None, ["Exp/", "DUE  DATE"], {}, {}, {}),
+        (1, "k1", "Look-alikes", "", "MKD", None, ["Exp/", "DUE DATE"], {}, {}, {}),
         (2, "k2", "Latin letters", "", "MKD", None, ["Xaртија A4"], {}, {}, {}),
         (3, "k3", "No keywords", "", "MKD", None, [], {}, {}, {}),
         (4, "k4", "Fallback", "", "MKD", None, ["плаќање"], {}, {}, {}),

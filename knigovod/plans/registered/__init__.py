@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +22,12 @@ def plain(df: DataFrame, *columns: str) -> DataFrame:
     return chosen.withColumns(casts) if casts else chosen
 
 
+def ensure_shared_folder(spark: SparkSession) -> None:
+    """A local session that names no checkpoint folder gets a temporary one; a cluster must name its own."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local"):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="knigovod-"))
+
+
 def with_sql(*parts: str) -> str:
     """Common table expressions followed by the query."""
     return "WITH " + ",\n".join(parts[:-1]) + "\n" + parts[-1]

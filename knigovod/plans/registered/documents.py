@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from knigovod.fixed_values import SYNTHETIC_ITEM
 from knigovod.operators import extract as ex
 from knigovod.operators import lines as ln
+from knigovod.operators.stages import spread
 from knigovod.operators.verify import verify_records
 from knigovod.plans.bindings import RENDERED, SETTINGS, rendered, table
 from knigovod.plans.process import process_documents, verified_records
-from knigovod.plans.registered import plain, with_sql
+from knigovod.plans.registered import ensure_shared_folder, plain, with_sql
 
 _PAGE_LINES = 5
 
@@ -155,7 +156,7 @@ def extract_dates(spark, sf):
     return dated.select("doc_id", "day", F.when(~F.col("due").eqNullSafe(F.col("day")), F.col("due")).alias("due"))
 
 
-DAY = "strftime(day, CASE layout WHEN 2 THEN '%d/%m/%Y' WHEN 5 THEN '%d.%m,%y' ELSE '%d.%m.%Y' END)"
+DAY = "CASE layout WHEN 2 THEN strftime(day, '%d/%m/%Y') WHEN 5 THEN strftime(day, '%d.%m,%y') ELSE strftime(day, '%d.%m.%Y') END"
 dates_sql = with_sql(RENDERED, f"""
 SELECT doc_id, {DAY} AS day, CASE layout WHEN 0 THEN strftime(day + 30, '%d.%m.%Y') WHEN 2 THEN strftime(day + 30, '%d/%m/%Y') END AS due FROM doc""")
 
@@ -227,7 +228,8 @@ def process_given_documents(spark, sf):
     """The whole job over the given documents, which are noise to it: what it makes of each."""
     from knigovod.plans.bindings import registry, templates
 
-    docs = ln.from_text(table(spark, sf, "documents").select("doc_id", F.col("text").alias("full_text")))
+    ensure_shared_folder(spark)
+    docs = ln.from_text(spread(table(spark, sf, "documents").select("doc_id", F.col("text").alias("full_text")), "doc_id"))
     records = process_documents(docs, templates(spark, sf), registry(spark, sf), settings=SETTINGS)
     return plain(records, "doc_id", "vendor_name", "invoice_number", "invoice_date_text", "total", "konto", "komitent_id", "error")
 

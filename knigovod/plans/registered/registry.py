@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from knigovod.operators import registry as rg
 from knigovod.plans.bindings import ASKED, REGISTRY, SETTINGS, asked_names, registry, table
-from knigovod.plans.registered import plain, with_sql
+from knigovod.plans.registered import ensure_shared_folder, plain, with_sql
 
 
 def registry_by_id(spark, sf):
@@ -116,6 +116,7 @@ def registry_cascade(spark, sf):
     texts = _texts(spark, sf).select(F.col("text_id").alias("doc_id"), F.col("text").alias("full_text"))
     records = asked_names(spark, sf).select("doc_id", "vendor_name").join(texts, "doc_id", "left").withColumn(
         "full_text", F.coalesce("full_text", F.lit("")))
+    ensure_shared_folder(spark)
     return rg.resolve(records, registry(spark, sf), SETTINGS).select(
         "doc_id", "vendor_name", "komitent_id", "komitent_score", "komitent_low_confidence")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,7 +9,8 @@ from pyspark.sql import functions as F
 from knigovod.operators import workflow as wf
 from knigovod.operators import reports
 from knigovod.plans.bindings import INVOICES, acted_invoices, actions, as_of, invoices, table
-from knigovod.plans.registered import plain, with_sql
+from knigovod.operators.stages import shared_path
+from knigovod.plans.registered import ensure_shared_folder, plain, with_sql
 from knigovod.streaming import jobs
 
 GAP = 1800
@@ -41,7 +41,7 @@ SELECT invoice_id, CASE WHEN blocked AND status NOT IN ('Approved', 'Exported')
 
 
 def _uploads(spark, sf):
-    return table(spark, sf, "events").select("user_id", F.col("ts").alias("received_ts"))
+    return table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("received_ts"))
 
 
 def sessions(spark, sf):
@@ -63,19 +63,10 @@ volume_sql = """SELECT CAST(d AS DATE) AS day, (SELECT count(*) FROM events WHER
 FROM generate_series(DATE '2024-01-17', DATE '2024-01-30', INTERVAL 1 DAY) AS t(d)"""
 
 
-def shared_folder(spark) -> str:
-    """A new folder for a stream, below the session's checkpoint folder. A local session without one
-    gets a temporary folder."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="knigovod-"))
-    return jobs.checkpoint_path(spark, f"run-{uuid.uuid4().hex}")
-
-
 def _completed(spark, stream, mode: str = "complete"):
     """Result of a stream that has read all there is. A repeated batch overwrites its own folder."""
-    folder = shared_folder(spark)
+    ensure_shared_folder(spark)
+    folder = shared_path(spark, f"run-{uuid.uuid4().hex}")
 
     def keep(batch, epoch):
         batch.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
@@ -96,7 +87,7 @@ def _event_stream(spark, sf):
 
 
 def stream_daily_volume(spark, sf):
-    arrived = _event_stream(spark, sf).select(F.col("ts").alias("received_ts"))
+    arrived = _event_stream(spark, sf).select(F.col("ts").cast("timestamp").alias("received_ts"))
     return _completed(spark, jobs.daily_volume(arrived))
 
 
@@ -104,7 +95,7 @@ stream_volume_sql = "SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events G
 
 
 def stream_sessions(spark, sf):
-    arrived = _event_stream(spark, sf).select("user_id", F.col("ts").alias("received_ts"))
+    arrived = _event_stream(spark, sf).select("user_id", F.col("ts").cast("timestamp").alias("received_ts"))
     return _completed(spark, jobs.upload_sessions(arrived))
 
 

@@ -106,65 +106,82 @@ def compared_form(norm: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(norm), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Percentage of shared trigrams of two compared forms (Dice), to one decimal."""
-    left, right = grams(a, 3), grams(b, 3)
+def dice(left: Column, right: Column) -> Column:
+    """Percentage of shared elements of two arrays without repeats, to one decimal."""
     shared = F.size(F.array_intersect(left, right))
     return F.round(200.0 * shared / F.greatest(F.size(left) + F.size(right), F.lit(1)), 1)
 
 
-def _prefixed(named: DataFrame, key: str, frequency: DataFrame, floor: float) -> DataFrame:
-    """Each name with the rarest of its trigrams: enough of them that two names at least `floor`
-    alike must share one (prefix filter of set-similarity joins)."""
-    cut = named.select(key, "form", F.explode(grams(F.col("form"), 3)).alias("gram"))
-    # A name has few trigrams; the list per name is as short as the name.
-    ranked = (
-        cut.join(frequency, "gram", "left")
-        .groupBy(key, "form").agg(F.sort_array(F.collect_list(
-            F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("ranked"))
-    )
-    t = floor / 100.0
-    needed = F.ceil(F.size("ranked") * F.lit(t / (2 - t)) - F.lit(1e-9)).cast("int")
-    kept = F.transform(F.slice("ranked", F.lit(1), F.size("ranked") - needed + 1), lambda r: r["gram"])
-    return ranked.select(key, "form", kept.alias("prefix")).withColumn("gram", F.explode("prefix"))
+def similarity(a: Column, b: Column) -> Column:
+    """Percentage of shared trigrams of two compared forms."""
+    return dice(grams(a, 3), grams(b, 3))
 
 
-def similar_names(names: DataFrame, registry: DataFrame, floor: float) -> DataFrame:
-    """All (name_id, reg_order, score) with a similarity of at least `floor`.
+def _ranked(named: DataFrame, key: str, frequency: DataFrame) -> DataFrame:
+    """Trigrams of each name, those that are rare in the registry first."""
+    cut = named.select(key, F.explode(grams(F.col("form"), 3)).alias("gram"))
+    # A name has few trigrams; the list per name is as short as the name.
+    return cut.join(frequency, "gram", "left").groupBy(key).agg(F.transform(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))), lambda r: r["gram"]).alias("grams"))
 
-    names: name_id, form. The join is on rare trigrams; a pair is taken up only at the first trigram
-    both prefixes share, so no pair appears twice and none needs deduplication."""
-    entries = registry.select("reg_order", compared_form(F.col("norm_name")).alias("form"))
-    frequency = (
-        entries.select(F.explode(grams(F.col("form"), 3)).alias("gram")).groupBy("gram")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    left = _prefixed(names, "name_id", frequency, floor)
-    right = _prefixed(entries, "reg_order", frequency, floor).withColumnsRenamed(
-        {"form": "reg_form", "prefix": "reg_prefix"})
+
+def _prefixed(ranked: DataFrame, floor: float) -> DataFrame:
+    """One row per rare trigram: of two names at least `floor` alike, one of these is shared (prefix
+    filter of set-similarity joins)."""
+    t = floor / 100.0
+    needed = F.ceil(F.size("grams") * F.lit(t / (2 - t)) - F.lit(1e-9)).cast("int")
+    return ranked.withColumn("prefix", F.slice("grams", F.lit(1), F.size("grams") - needed + 1)).withColumn(
+        "gram", F.explode("prefix"))
+
+
+def similar_names(names: DataFrame, entries: DataFrame, floor: float) -> DataFrame:
+    """All (name_id, reg_order, score) with a similarity of at least `floor`; both sides with their
+    ranked trigrams. A pair is taken up only at the first trigram both prefixes share, so none appears
+    twice. Pairs whose lengths rule the similarity out are dropped before they are compared."""
+    left = _prefixed(names, floor)
+    right = _prefixed(entries, floor).withColumnsRenamed({"grams": "reg_grams", "prefix": "reg_prefix"})
+    n, m = F.size("grams"), F.size("reg_grams")
+    possible = 200.0 * F.least(n, m) / (n + m) >= floor - 0.05
     return (
         left.join(right, "gram")
+        .filter(possible)
         .filter(F.get(F.array_intersect("prefix", "reg_prefix"), F.lit(0)) == F.col("gram"))
-        .withColumn("score", similarity(F.col("form"), F.col("reg_form")))
-        .filter(F.col("score") >= floor).select("name_id", "reg_order", "score")
+        .select("name_id", "reg_order", dice(F.col("grams"), F.col("reg_grams")).alias("score"))
+        .filter(F.col("score") >= floor)
     )
 
 
 def fuzzy_winner(names: DataFrame, registry: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Most similar registry entry of each name, if it leads the runner-up by the margin."""
+    """Most similar registry entry of each name (name_id, form), if it leads the runner-up by the margin.
+
+    The search goes down from a high floor, where few trigrams decide, and a name leaves it as soon as
+    the result is certain: two entries above the floor, or one that leads the floor by the margin. So
+    the wide search at the lowest floor is left to names that are like nothing much."""
+    entries = registry.select("reg_order", compared_form(F.col("norm_name")).alias("form"))
+    frequency = (
+        entries.select(F.explode(grams(F.col("form"), 3)).alias("gram")).groupBy("gram")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    ranked_entries = staged(_ranked(entries, "reg_order", frequency), "entry-grams")
+    undecided = staged(_ranked(names, "name_id", frequency), "name-grams")
     best_first = Window.partitionBy("name_id").orderBy(F.desc("score"), "reg_order")
-    # row_number <= 2 prunes each map task to two rows per name before the shuffle.
-    top = similar_names(names, registry, settings.match_floor).withColumn(
-        "place", F.row_number().over(best_first)).filter(F.col("place") <= 2)
-    first = F.col("place") == 1
-    return (
-        top.groupBy("name_id").agg(
+    decided = None
+    last = settings.match_floor
+    for floor in [f for f in (80.0, 60.0) if f > last] + [last]:
+        # row_number <= 2 prunes each map task to two rows per name before the shuffle.
+        top = similar_names(undecided, ranked_entries, floor).withColumn(
+            "place", F.row_number().over(best_first)).filter(F.col("place") <= 2)
+        first = F.col("place") == 1
+        found = top.groupBy("name_id").agg(
             F.max(F.when(first, F.col("score"))).alias("score"),
             F.max(F.when(first, F.col("reg_order"))).alias("reg_order"),
             F.max(F.when(~first, F.col("score"))).alias("runner_up"))
-        .filter(F.col("runner_up").isNull() | (F.col("score") >= F.col("runner_up") + settings.match_margin))
-        .select("name_id", "reg_order", "score", "runner_up")
-    )
+        certain = F.col("runner_up").isNotNull() | (F.col("score") >= floor + settings.match_margin) | F.lit(floor == last)
+        sure = staged(found.filter(certain), "similar")
+        decided = sure if decided is None else decided.unionByName(sure)
+        undecided = undecided.join(sure.select("name_id"), "name_id", "left_anti")
+    return decided.filter(
+        F.col("runner_up").isNull() | (F.col("score") >= F.col("runner_up") + settings.match_margin))
 
 
 # --- Names against the registry ------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knigovod.config import DEFAULT, Settings
+from knigovod.functions.amounts import let
 from knigovod.functions.sql import rx
 from knigovod.functions.text import match_form
 from knigovod.operators.contains import contains_join, grams
@@ -106,49 +107,56 @@ def compared_form(norm: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(norm), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
-def dice(left: Column, right: Column) -> Column:
-    """Percentage of shared elements of two arrays without repeats, to one decimal."""
+def similarity(a: Column, b: Column) -> Column:
+    """Percentage of shared trigrams of two compared forms (Dice), to one decimal."""
+    left, right = grams(a, 3), grams(b, 3)
     shared = F.size(F.array_intersect(left, right))
     return F.round(200.0 * shared / F.greatest(F.size(left) + F.size(right), F.lit(1)), 1)
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Percentage of shared trigrams of two compared forms."""
-    return dice(grams(a, 3), grams(b, 3))
+def gram_codes(form: Column) -> Column:
+    """Distinct trigrams as integers: three code points of 21 bits each, so no two share a code."""
+    code = lambda i, shift: F.shiftleft(F.ascii(F.substr(form, i, F.lit(1))).cast("bigint"), shift)
+    starts = F.when(F.length(form) >= 3, F.sequence(F.lit(1), F.length(form) - 2))
+    return F.array_distinct(F.transform(
+        F.coalesce(starts, F.array().cast("array<int>")), lambda i: code(i, 42) + code(i + 1, 21) + code(i + 2, 0)))
 
 
 def _ranked(named: DataFrame, key: str, frequency: DataFrame) -> DataFrame:
     """Trigrams of each name, those that are rare in the registry first."""
-    cut = named.select(key, F.explode(grams(F.col("form"), 3)).alias("gram"))
+    cut = named.select(key, F.explode(gram_codes(F.col("form"))).alias("gram"))
     # A name has few trigrams; the list per name is as short as the name.
     return cut.join(frequency, "gram", "left").groupBy(key).agg(F.transform(
         F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))), lambda r: r["gram"]).alias("grams"))
 
 
 def _prefixed(ranked: DataFrame, floor: float) -> DataFrame:
-    """One row per rare trigram: of two names at least `floor` alike, one of these is shared (prefix
-    filter of set-similarity joins)."""
+    """One row per rare trigram and its place: of two names at least `floor` alike, one of these is
+    shared (prefix filter of set-similarity joins)."""
     t = floor / 100.0
     needed = F.ceil(F.size("grams") * F.lit(t / (2 - t)) - F.lit(1e-9)).cast("int")
-    return ranked.withColumn("prefix", F.slice("grams", F.lit(1), F.size("grams") - needed + 1)).withColumn(
-        "gram", F.explode("prefix"))
+    prefix = F.slice("grams", F.lit(1), F.size("grams") - needed + 1)
+    return ranked.withColumn("n", F.size("grams")).select("*", F.posexplode(prefix).alias("place", "gram"))
 
 
 def similar_names(names: DataFrame, entries: DataFrame, floor: float) -> DataFrame:
     """All (name_id, reg_order, score) with a similarity of at least `floor`; both sides with their
-    ranked trigrams. A pair is taken up only at the first trigram both prefixes share, so none appears
-    twice. Pairs whose lengths rule the similarity out are dropped before they are compared."""
-    left = _prefixed(names, floor)
-    right = _prefixed(entries, floor).withColumnsRenamed({"grams": "reg_grams", "prefix": "reg_prefix"})
-    n, m = F.size("grams"), F.size("reg_grams")
-    possible = 200.0 * F.least(n, m) / (n + m) >= floor - 0.05
-    return (
-        left.join(right, "gram")
-        .filter(possible)
-        .filter(F.get(F.array_intersect("prefix", "reg_prefix"), F.lit(0)) == F.col("gram"))
-        .select("name_id", "reg_order", dice(F.col("grams"), F.col("reg_grams")).alias("score"))
-        .filter(F.col("score") >= floor)
-    )
+    ranked trigrams.
+
+    Two names that meet at a trigram share at most what follows it on either side; where that is too
+    little the join drops them before they are compared. A pair counts only at its first shared
+    trigram, so none appears twice."""
+    # Dealt out by name: the comparison keeps all cores busy, and the best of a name need no shuffle after
+    # a broadcast of the entries.
+    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = _prefixed(names.repartition(parts, "name_id"), floor).alias("l")
+    right = _prefixed(entries, floor).alias("r")
+    most = F.least(F.col("l.n") - F.col("l.place"), F.col("r.n") - F.col("r.place"))
+    total = F.col("l.n") + F.col("r.n")
+    met = left.join(right, (F.col("l.gram") == F.col("r.gram")) & (200.0 * most / total >= floor - 0.05))
+    score = let(F.array_intersect("l.grams", "r.grams"), lambda shared: F.when(
+        F.get(shared, F.lit(0)) == F.col("l.gram"), F.round(200.0 * F.size(shared) / total, 1)))
+    return met.select("name_id", "reg_order", score.alias("score")).filter(F.col("score") >= floor)
 
 
 def fuzzy_winner(names: DataFrame, registry: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -159,7 +167,7 @@ def fuzzy_winner(names: DataFrame, registry: DataFrame, settings: Settings = DEF
     the wide search at the lowest floor is left to names that are like nothing much."""
     entries = registry.select("reg_order", compared_form(F.col("norm_name")).alias("form"))
     frequency = (
-        entries.select(F.explode(grams(F.col("form"), 3)).alias("gram")).groupBy("gram")
+        entries.select(F.explode(gram_codes(F.col("form"))).alias("gram")).groupBy("gram")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     ranked_entries = staged(_ranked(entries, "reg_order", frequency), "entry-grams")

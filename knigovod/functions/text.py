@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from knigovod.fixed_values import DESCRIPTION_KEYWORDS, LATIN_OF_CYRILLIC, LEGAL_FORM_PATTERN, LOOKALIKES
 from knigovod.functions import sql
@@ -49,7 +50,7 @@ def any_keyword(text: Column, keywords) -> Column:
     return F.exists(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(text, k))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 

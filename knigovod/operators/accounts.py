@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from knigovod.config import DEFAULT, MAX_BROADCAST_BYTES, Settings
 from knigovod.fixed_values import DEFAULT_KONTO, KONTO_RULES, OTHER_KONTO_LABELS
+from knigovod.functions.amounts import let
 from knigovod.functions.vectors import best_match, stack
 from knigovod.operators.contains import contains_join, small_rows
 
@@ -31,8 +32,9 @@ def rule_konto(text: Column, rules) -> Column:
 
     rules: (konto, keyword) in rule order; the list becomes one constant array."""
     listed = F.array(*[F.struct(F.lit(k).alias("konto"), F.lit(w.lower()).alias("keyword")) for k, w in rules])
-    hit = F.filter(listed, lambda r: F.contains(F.lower(text), r["keyword"]))
-    return F.get(hit, F.lit(0))["konto"]
+    # The text is folded once, and the search ends with the first keyword that is found.
+    return let(F.lower(text), lambda t: F.aggregate(listed, F.lit(None).cast("string"), lambda hit, r: F.coalesce(
+        hit, F.when(F.contains(t, r["keyword"]), r["konto"]))))
 
 
 def listed_rules(rules: DataFrame):

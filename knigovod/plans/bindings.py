@@ -86,6 +86,11 @@ INVOICES = """inv AS (
   FROM orders)"""
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Given documents (doc_id, text)."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def stated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items whose stated totals are partly off: by one cent, two cents, or ten."""
     li = table(spark, sf_dir, "lineitem")
@@ -117,7 +122,9 @@ STATED_LINES = """stated AS (
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as the journal takes them: some round off, some are returns."""
-    li, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    li = spread(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_tax", "l_returnflag"), "l_orderkey")
+    part = table(spark, sf_dir, "part")
     rounds = (F.col("l_linenumber") == 1) & (F.col("l_partkey") % 10 == 0)
     back = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") >= 6)
     net = F.when(rounds, F.col("l_suppkey") % 200 - 100).when(back, -cents("l_extendedprice")).otherwise(cents("l_extendedprice"))

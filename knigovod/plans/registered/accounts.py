@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from knigovod.fixed_values import KONTO_RULES, OTHER_KONTO_LABELS
 from knigovod.operators import accounts as ac
 from knigovod.plans.bindings import (
-    ACCOUNTS, PART_RULES, SETTINGS, accounts, corrections, part_rules, rule_case, table, vector_accounts, vector_queries)
+    texts, ACCOUNTS, PART_RULES, SETTINGS, accounts, corrections, part_rules, rule_case, table, vector_accounts, vector_queries)
 from knigovod.plans.registered import plain, with_sql
 from knigovod.plans.registered.journals import JOURNAL, entries
 
@@ -20,8 +20,8 @@ DOCUMENT_RULES = [(i, konto, label, k) for i, (konto, label, words, more, _) in
 
 
 def konto_rules(spark, sf):
-    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text")
-    ruled = ac.suggest_by_rules(texts, ac.konto_rules(spark))
+    asked = texts(spark, sf).select(F.col("doc_id").alias("text_id"), "text")
+    ruled = ac.suggest_by_rules(asked, ac.konto_rules(spark))
     return ruled.select(F.col("text_id").alias("doc_id"), F.coalesce("rule_konto", F.lit("4499")).alias("konto"))
 
 
@@ -125,8 +125,8 @@ def approve_to_correction(spark, sf):
     """What approving the orders that have a document of the same number would teach."""
     from knigovod.operators.journal import first_expense_line
 
-    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("invoice_id"), F.substring("text", 1, 120).alias("preview"))
-    return first_expense_line(entries(spark, sf)).join(texts, "invoice_id")
+    previews = texts(spark, sf).select(F.col("doc_id").alias("invoice_id"), F.substring("text", 1, 120).alias("preview"))
+    return first_expense_line(entries(spark, sf)).join(previews, "invoice_id")
 
 
 approve_sql = with_sql(JOURNAL, """

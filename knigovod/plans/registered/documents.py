@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from knigovod.fixed_values import SYNTHETIC_ITEM
 from knigovod.operators import extract as ex
 from knigovod.operators import lines as ln
-from knigovod.operators.stages import spread
 from knigovod.operators.verify import verify_records
-from knigovod.plans.bindings import RENDERED, SETTINGS, rendered, table
+from knigovod.plans.bindings import texts, RENDERED, SETTINGS, rendered, table
 from knigovod.plans.process import process_documents, verified_records
 from knigovod.plans.registered import plain, with_sql
 
@@ -18,7 +17,7 @@ _PAGE_LINES = 5
 
 def _paged(spark, sf):
     """Given documents cut into pages of five lines, inside each row."""
-    d = table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("all_lines"))
+    d = texts(spark, sf).select("doc_id", F.split("text", "\n").alias("all_lines"))
     starts = F.sequence(F.lit(0), F.floor((F.size("all_lines") - 1) / _PAGE_LINES).cast("int"))
     pages = F.transform(starts, lambda i: F.struct(
         (i + 1).alias("page"),
@@ -54,7 +53,7 @@ SELECT doc_id, n_chars, CASE WHEN n_chars >= 100 THEN 'pdf_text_layer' END AS ex
 
 
 def document_lines(spark, sf):
-    docs = ln.from_text(table(spark, sf, "documents").select("doc_id", F.col("text").alias("full_text")))
+    docs = ln.from_text(texts(spark, sf).select("doc_id", F.col("text").alias("full_text")))
     return plain(ln.explode_lines(docs))
 
 
@@ -64,7 +63,7 @@ FROM (SELECT doc_id, string_split_regex(text, '\r\n|\r|\n') AS l FROM documents)
 
 def _segments(spark, sf):
     """Words of the given documents as scanned segments: ten to a visual row, at uneven heights."""
-    words = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("pos", "text"))
+    words = texts(spark, sf).select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("pos", "text"))
     return words.select(
         "doc_id", F.lit(1).alias("page"), ((F.col("pos") * 7) % 10 * 50.0 + F.col("pos") % 10).alias("x_left"),
         (F.floor(F.col("pos") / 10) * 30 + F.col("pos") * 7 % 9 - 5).cast("double").alias("y_top"),
@@ -228,7 +227,7 @@ def process_given_documents(spark, sf):
     """The whole job over the given documents, which are noise to it: what it makes of each."""
     from knigovod.plans.bindings import registry, templates
 
-    docs = ln.from_text(spread(table(spark, sf, "documents").select("doc_id", F.col("text").alias("full_text")), "doc_id"))
+    docs = ln.from_text(texts(spark, sf).select("doc_id", F.col("text").alias("full_text")))
     records = process_documents(docs, templates(spark, sf), registry(spark, sf), settings=SETTINGS)
     return plain(records, "doc_id", "vendor_name", "invoice_number", "invoice_date_text", "total", "konto", "komitent_id", "error")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from knigovod.operators import registry as rg
-from knigovod.plans.bindings import ASKED, REGISTRY, SETTINGS, asked_names, registry, table
+from knigovod.plans.bindings import texts, ASKED, REGISTRY, SETTINGS, asked_names, registry, table
 from knigovod.plans.registered import plain, with_sql
 
 
@@ -94,7 +94,7 @@ WHERE regexp_matches(lower(a.vendor_name), 'vndor[0-9]*9( |$)')""")
 
 def _texts(spark, sf):
     """Given documents with a registered name at the end."""
-    d, r = table(spark, sf, "documents"), registry(spark, sf)
+    d, r = texts(spark, sf), registry(spark, sf)
     named = d.join(r.select(F.col("reg_order").alias("doc_id"), "name"), "doc_id", "left")
     return named.select(F.col("doc_id").alias("text_id"), F.concat_ws("\n", "text", F.upper("name")).alias("text"))
 
@@ -113,8 +113,8 @@ SELECT doc_id AS text_id, id, name, CAST(90 AS DOUBLE) AS score, hits FROM scans
 
 def registry_cascade(spark, sf):
     """Orders as records; those with a document of the same number can be scanned."""
-    texts = _texts(spark, sf).select(F.col("text_id").alias("doc_id"), F.col("text").alias("full_text"))
-    records = asked_names(spark, sf).select("doc_id", "vendor_name").join(texts, "doc_id", "left").withColumn(
+    found = _texts(spark, sf).select(F.col("text_id").alias("doc_id"), F.col("text").alias("full_text"))
+    records = asked_names(spark, sf).select("doc_id", "vendor_name").join(found, "doc_id", "left").withColumn(
         "full_text", F.coalesce("full_text", F.lit("")))
     return rg.resolve(records, registry(spark, sf), SETTINGS).select(
         "doc_id", "vendor_name", "komitent_id", "komitent_score", "komitent_low_confidence")

@@ -8,7 +8,7 @@ from knigovod.fixed_values import DESCRIPTION_KEYWORDS, LATIN_OF_CYRILLIC
 from knigovod.functions import dates, sql, text
 from knigovod.operators import lines as ln
 from knigovod.operators.verify import validate_records, with_outcome
-from knigovod.plans.bindings import INVOICES, cents, from_cents, invoices, table
+from knigovod.plans.bindings import texts, INVOICES, cents, from_cents, invoices, table
 from knigovod.plans.registered import money_text, plain, with_sql
 
 
@@ -85,7 +85,7 @@ translit_sql = f"""SELECT c_custkey, {_replaced(f"('{_CYRILLIC}' || c_mktsegment
 
 
 def focus_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.focus_text(F.col("text")).alias("focus"))
+    return texts(spark, sf).select("doc_id", text.focus_text(F.col("text")).alias("focus"))
 
 
 focus_sql = f"""WITH l AS (SELECT doc_id, text, [trim(x, ' ') FOR x IN string_split_regex(text, '\\r\\n|\\r|\\n')

@@ -88,39 +88,45 @@ def journal(invoices: DataFrame, lines: DataFrame, konto: Column) -> DataFrame:
         .withColumn("vendor", F.coalesce("vendor", F.lit("")))
     )
 
-    chosen = F.coalesce(F.col("line_key") == F.col("absorbs.line_key"), F.lit(False))
-    amount = F.when(chosen, round_cents(gross + F.col("absorbs.extra"))).otherwise(gross)
-    opis = F.coalesce(F.nullif(F.trim("description"), F.lit("")), F.col("vendor"))
-    expense = (
-        priced.filter(regular)
-        .join(headers.select("invoice_id", "vendor", "konto_suggestion", "absorbs"), "invoice_id")
-        .withColumn("amount", amount)
-        .filter(F.abs("amount") >= F.lit("0.01").cast("decimal(18,2)"))
-        .withColumn("opis", opis)
-        .withColumn("konto_text", F.concat_ws(" ", "opis", "vendor"))
-        .select(
-            "invoice_id", "line_key",
-            F.coalesce("konto_suggestion", konto).alias("konto"), "opis",
-            F.when(F.col("amount") >= 0, money(round_units(F.col("amount")))).otherwise(money(F.lit(0))).alias("debit"),
-            F.when(F.col("amount") < 0, money(round_units(-F.col("amount")))).otherwise(money(F.lit(0))).alias("credit"),
-        )
-    )
+    # Two more rows per invoice join the same way as its lines: the payable, and for invoices without
+    # any line the total itself as the expense. So the summary is needed once.
     no_key = F.lit(None).cast(lines.schema["line_key"].dataType).alias("line_key")
-    # Without any line the total itself is the expense, in whole units on both sides.
+    none = lambda c: F.lit(None).cast(c)
+    extra = invoices.select(
+        "invoice_id", no_key, none("string").alias("description"), none("decimal(18,2)").alias("gross"),
+        F.explode(F.array(F.lit("payable"), F.lit("whole"))).alias("kind"))
+    rows = (
+        priced.filter(regular).select("invoice_id", "line_key", "description", "gross", F.lit("line").alias("kind"))
+        .unionByName(extra).join(headers, "invoice_id")
+    )
+    is_line, is_payable = F.col("kind") == "line", F.col("kind") == "payable"
+    chosen = F.coalesce(F.col("line_key") == F.col("absorbs.line_key"), F.lit(False))
+    # The total counts in whole units on both sides where it stands for the lines.
     whole_total = money(round_units(F.col("total")))
-    single = (
-        headers.filter(~F.col("has_lines"))
-        .withColumn("konto_text", F.col("vendor"))
-        .select("invoice_id", no_key, F.coalesce("konto_suggestion", konto).alias("konto"),
-                F.when(F.col("vendor") == "", "Expense").otherwise(F.col("vendor")).alias("opis"),
-                whole_total.alias("debit"), money(F.lit(0)).alias("credit"))
+    payable = F.when(~F.col("has_lines"), whole_total).when(F.col("posted") != 0, money(F.col("posted"))).otherwise(F.col("total"))
+    amount = (
+        F.when(is_line, F.when(chosen, round_cents(gross + F.col("absorbs.extra"))).otherwise(gross))
+        .when(is_payable, -payable).otherwise(F.col("total"))
     )
-    payable = headers.select(
-        "invoice_id", no_key, F.lit(PAYABLE_KONTO).alias("konto"), F.lit(PAYABLE_TEXT).alias("opis"),
-        money(F.lit(0)).alias("debit"),
-        F.when(~F.col("has_lines"), whole_total).when(F.col("posted") != 0, money(F.col("posted")))
-        .otherwise(F.col("total")).alias("credit"))
-    return expense.unionByName(single).unionByName(payable)
+    opis = (
+        F.when(is_payable, F.lit(PAYABLE_TEXT))
+        .when(is_line, F.coalesce(F.nullif(F.trim("description"), F.lit("")), F.col("vendor")))
+        .otherwise(F.when(F.col("vendor") == "", "Expense").otherwise(F.col("vendor")))
+    )
+    posted = (
+        rows.filter((F.col("kind") != "whole") | ~F.col("has_lines"))
+        .select("invoice_id", "line_key", "kind", "vendor", "konto_suggestion", amount.alias("amount"), opis.alias("opis"))
+        .filter((F.col("kind") != "line") | (F.abs("amount") >= F.lit("0.01").cast("decimal(18,2)")))
+        .withColumn("konto_text", F.when(F.col("kind") == "line", F.concat_ws(" ", "opis", "vendor")).otherwise(F.col("vendor")))
+    )
+    zero = money(F.lit(0))
+    units = lambda a: F.when(F.col("kind") == "payable", a).otherwise(money(round_units(a)))
+    is_credit = (F.col("kind") == "payable") | (F.col("amount") < 0)
+    return posted.select(
+        "invoice_id", "line_key",
+        F.when(F.col("kind") == "payable", PAYABLE_KONTO).otherwise(F.coalesce("konto_suggestion", konto)).alias("konto"), "opis",
+        F.when(is_credit, zero).otherwise(units(F.col("amount"))).alias("debit"),
+        F.when(is_credit, units(-F.col("amount"))).otherwise(zero).alias("credit"))
 
 
 def journal_totals(entries: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knigovod.config import DEFAULT, Settings
+from knigovod.config import DEFAULT, MAX_BROADCAST_BYTES, Settings
 from knigovod.functions.amounts import let
 from knigovod.functions.sql import rx
 from knigovod.functions.text import match_form
@@ -123,11 +123,12 @@ def gram_codes(form: Column) -> Column:
 
 
 def _ranked(named: DataFrame, key: str, frequency: DataFrame) -> DataFrame:
-    """Trigrams of each name, those that are rare in the registry first."""
+    """Trigrams of each name, those that are rare in the registry first, and how rare each is."""
     cut = named.select(key, F.explode(gram_codes(F.col("form"))).alias("gram"))
     # A name has few trigrams; the list per name is as short as the name.
-    return cut.join(frequency, "gram", "left").groupBy(key).agg(F.transform(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))), lambda r: r["gram"]).alias("grams"))
+    listed = F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")))
+    return cut.join(frequency, "gram", "left").groupBy(key).agg(listed.alias("ranked")).select(
+        key, F.transform("ranked", lambda r: r["gram"]).alias("grams"), F.transform("ranked", lambda r: r["n"]).alias("counts"))
 
 
 def _prefixed(ranked: DataFrame, floor: float) -> DataFrame:
@@ -136,24 +137,36 @@ def _prefixed(ranked: DataFrame, floor: float) -> DataFrame:
     t = floor / 100.0
     needed = F.ceil(F.size("grams") * F.lit(t / (2 - t)) - F.lit(1e-9)).cast("int")
     prefix = F.slice("grams", F.lit(1), F.size("grams") - needed + 1)
-    return ranked.withColumn("n", F.size("grams")).select("*", F.posexplode(prefix).alias("place", "gram"))
+    rows = ranked.withColumn("n", F.size("grams")).select("*", F.posexplode(prefix).alias("place", "gram"))
+    # Both sides know how many entries hold a trigram, so they agree on how often to split it.
+    salts = F.least(F.lit(64), F.floor(F.get("counts", F.col("place")) / SALT_EVERY) + 1).cast("int")
+    return rows.withColumn("salts", salts).drop("counts")
+
+
+# A trigram of more entries than this is dealt out to several tasks.
+SALT_EVERY = 10_000
 
 
 def similar_names(names: DataFrame, entries: DataFrame, floor: float) -> DataFrame:
     """All (name_id, reg_order, score) with a similarity of at least `floor`; both sides with their
-    ranked trigrams.
+    ranked trigrams, as staged tables.
 
     Two names that meet at a trigram share at most what follows it on either side; where that is too
     little the join drops them before they are compared. A pair counts only at its first shared
-    trigram, so none appears twice."""
+    trigram, so none appears twice. Entries of a checked size go to every task; otherwise the join is a
+    shuffle on the trigram, with common trigrams split by name."""
     # Dealt out by name: the comparison keeps all cores busy, and the best of a name need no shuffle after
     # a broadcast of the entries.
     parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = _prefixed(names.repartition(parts, "name_id"), floor).alias("l")
-    right = _prefixed(entries, floor).alias("r")
+    left = _prefixed(names.repartition(parts, "name_id"), floor)
+    left = left.withColumn("salt", F.pmod(F.xxhash64("name_id"), F.col("salts")).cast("int")).alias("l")
+    right = _prefixed(entries, floor).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    size = right.agg(F.sum(8 * F.col("n") + 64)).head()[0] or 0
+    right = (F.broadcast(right) if size <= MAX_BROADCAST_BYTES else right).alias("r")
     most = F.least(F.col("l.n") - F.col("l.place"), F.col("r.n") - F.col("r.place"))
     total = F.col("l.n") + F.col("r.n")
-    met = left.join(right, (F.col("l.gram") == F.col("r.gram")) & (200.0 * most / total >= floor - 0.05))
+    met = left.join(right, (F.col("l.gram") == F.col("r.gram")) & (F.col("l.salt") == F.col("r.salt"))
+                    & (200.0 * most / total >= floor - 0.05))
     score = let(F.array_intersect("l.grams", "r.grams"), lambda shared: F.when(
         F.get(shared, F.lit(0)) == F.col("l.gram"), F.round(200.0 * F.size(shared) / total, 1)))
     return met.select("name_id", "reg_order", score.alias("score")).filter(F.col("score") >= floor)

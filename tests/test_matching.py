@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from knigovod.config import Settings
@@ -39,7 +40,11 @@ def dice(a, b):
     return round(200.0 * len(x & y) / (len(x) + len(y)) + 1e-9, 1)
 
 
-def test_similar_names_are_all_found(spark):
+@pytest.mark.parametrize("spread_out", [False, True])
+def test_similar_names_are_all_found(spark, monkeypatch, spread_out):
+    if spread_out:
+        monkeypatch.setattr(rg, "SALT_EVERY", 3)
+        monkeypatch.setattr(rg, "MAX_BROADCAST_BYTES", 0)
     rng = random.Random(5)
     stems = ["Alpha Trade", "Beta Group", "Gama Trade Import", "Delta Systems"]
     names = [f"{rng.choice(stems)} {rng.choice('xyz')}{rng.randrange(30)}" for _ in range(60)]

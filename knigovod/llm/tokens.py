@@ -1,7 +1,7 @@
 """Token files: documents as ids, in Arrow IPC files of equal-length sequences.
 
 A part file holds one range of documents in ascending order of id. Its record batches have two columns of fixed-size
-lists, `ids` (uint32) and `mask` (uint8, 1 for a real id), so a reader that maps the file finds sequence k of a batch
+lists, `ids` (uint16, or uint32 for larger vocabularies) and `mask` (a bit, 1 for a real id), so a reader that maps the file finds sequence k of a batch
 at k * sequence length, without copying. The schema's metadata holds the part's documents: ids, and numbers of tokens.
 
 Tasks write below a shared folder under a name of their own attempt, and hand on a row that names the file. Only rows
@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,48 +28,93 @@ SEQUENCE = 2048
 SEQUENCES_A_BATCH = 256
 END_ID = 0
 #: Texts between two looks at the cache of encoded pieces, and pieces in each of its two generations.
-TEXTS, PIECES = 256, 250_000
+TEXTS, PIECES = 256, 400_000
 
-#: White space that a pre-tokenizer might join with the space after it.
-JOINED = re.compile(r"\s ")
+#: White space that a pre-tokenizer might join across the places where texts are cut.
+JOINED = re.compile(r"\s |\s\s\s|\s\s\Z")
+
+#: Letters (with number signs, which are told apart later), and ASCII marks but the apostrophe.
+WORD_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+
+#: Byte to character of the vocabulary: printable bytes stand for themselves, the others for U+0100 and up.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LEVEL = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in PRINTED)}
 
 
 class Encoder:
     """Encodes texts with a byte-level BPE tokenizer of the tokenizers library. Its pre-tokenizer never joins a piece
-    across a single space that follows a non-space, so texts are cut there, and each distinct piece is encoded once
-    while it stays in the cache. Texts with other white space before a space are encoded whole."""
+    across a single space, or before a line feed, so texts are cut there, and each distinct piece is encoded once while
+    it stays in the cache. Texts with longer runs of white space are pre-tokenized whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are then ordinary text
+        self.cut, self.model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.marks: dict[str, bytes] = {}
+        self.feed = self._level(LEVEL[10])
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32).tobytes() for e in done]
+    def _level(self, level: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(level)]).tobytes()
+
+    def _ids(self, text: str) -> bytes:
+        return b"".join([self._level(token) for token, _ in self.cut(text)])
+
+    def _word(self, word: str) -> bytes:
+        """Letters with the space before them: one pre-token. Bytes are written as the characters that stand for them
+        in the vocabulary, the space as U+0120."""
+        return self._level("\u0120" + (word if word.isascii() else word.encode().decode("latin-1").translate(LEVEL)))
+
+    def _piece(self, piece: str) -> bytes:
+        """A piece with the space before it, unless it begins with a line feed. A word, and the run of ASCII marks (but
+        the apostrophe) that ends it, are pre-tokens; anything else is left to the pre-tokenizer."""
+        if piece.isalpha():
+            return self._word(piece)
+        if piece[:1] == "\n":
+            if piece[1:].isalpha():
+                return self.feed + self._level(piece[1:].encode().decode("latin-1").translate(LEVEL))
+            return self._ids(piece)
+        parts = WORD_MARKS.fullmatch(piece)
+        if not parts or not parts[1].isalpha():
+            return self._ids(" " + piece)
+        word, marks = parts.groups()
+        if marks not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            self.marks[marks] = self._level(marks)
+        return (self.young.get(word) or self.old.get(word) or self._word(word)) + self.marks[marks]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if JOINED.search(t) else t.split(" ") for t in texts]
+        """The ids of each text, as 16-bit numbers where the vocabulary allows, else 32-bit."""
+        cut = [None if JOINED.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
         needed: set[str] = set()
         for parts in cut:
             if parts:
-                needed.update(parts[1:])
+                needed.update(parts)
         fresh = needed.difference(self.young)
         if fresh:
             if len(self.young) > PIECES:
                 self.old, self.young = self.young, {}
                 fresh = needed
-            kept = fresh.intersection(self.old)
-            for piece in kept:
-                self.young[piece] = self.old[piece]
-            new = list(fresh.difference(kept))
-            self.young.update(zip(new, self.whole([" " + p for p in new])))
-        firsts = iter(self.whole([t if parts is None else parts[0] for t, parts in zip(texts, cut)]))
+            known = self.old.get
+            self.young.update([(p, known(p) or self._piece(p)) for p in fresh])
         get = self.young.__getitem__
-        return [next(firsts) + (b"".join(map(get, parts[1:])) if parts else b"") for parts in cut]
+        return [self._ids(t) if parts is None else self._ids(parts[0]) + b"".join(map(get, parts[1:]))
+                for t, parts in zip(texts, cut)]
+
+
+#: One encoder per tokenizer in a worker process; its cache serves one task after the other.
+ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    if path not in ENCODERS:
+        ENCODERS[path] = Encoder(path)
+    return ENCODERS[path]
 
 
 def _store(folder: str) -> tuple[pa.fs.FileSystem, str]:
@@ -78,23 +124,21 @@ def _store(folder: str) -> tuple[pa.fs.FileSystem, str]:
     return (pa.fs.LocalFileSystem(), folder) if folder.startswith("/") else pa.fs.FileSystem.from_uri(folder)
 
 
-def _write(folder: str, part: int, ids: list, counts: list[int], pieces: list[bytes], length: int) -> str:
+def _write(folder: str, part: int, ids: list, counts: list[int], pieces: list[bytes], length: int, kind: np.dtype) -> str:
     """One part file; its path below `folder`."""
     files, base = _store(folder)
     name = f"part-{part:06d}-{uuid.uuid4().hex}.arrow"
     files.create_dir(base, recursive=True)
-    schema = pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+    schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
     documents = pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(counts, pa.int64())})
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, documents.schema) as writer:
         writer.write_table(documents)
     schema = schema.with_metadata({"documents": sink.getvalue().to_pybytes()})
-    raw = b"".join(pieces)
-    n = len(raw) // 4
+    n = sum(counts)
     padded = -(-n // length) * length
-    flat = np.zeros(padded, np.uint32)
-    flat[:n] = np.frombuffer(raw, np.uint32)
-    mask = (np.arange(padded) < n).astype(np.uint8)
+    flat = np.frombuffer(b"".join([*pieces, bytes((padded - n) * kind.itemsize)]), kind)
+    mask = np.arange(padded) < n
     with files.open_output_stream(f"{base}/{name}") as out, pa.ipc.new_file(out, schema) as writer:
         step = length * SEQUENCES_A_BATCH
         for low in range(0, padded, step):
@@ -114,12 +158,17 @@ def read_part(folder: str, name: str) -> tuple[pa.Table, pa.ipc.RecordBatchFileR
     return documents, reader
 
 
-def sequence(reader: pa.ipc.RecordBatchFileReader, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence k of a part, and its mask, as views of the file."""
+def sequence(reader: pa.ipc.RecordBatchFileReader, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+    """Sequence k of a part, and its mask (a bit per id), as views of the file."""
     batch, row = reader.get_batch(k // SEQUENCES_A_BATCH), k % SEQUENCES_A_BATCH
     length = batch.schema.field("ids").type.list_size
-    view = lambda i: batch.column(i).flatten().to_numpy()[row * length:(row + 1) * length]
-    return view(0), view(1)
+    cut = lambda i: batch.column(i).flatten().slice(row * length, length)
+    return cut(0).to_numpy(), cut(1)
+
+
+def ids_of(batch: pa.RecordBatch) -> np.ndarray:
+    """The ids of a batch that its mask marks, in order."""
+    return batch.column(0).flatten().filter(batch.column(1).flatten()).to_numpy()
 
 
 MANIFEST = "part bigint, folder string, name string, n_docs bigint, n_tokens bigint"
@@ -132,20 +181,21 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, doc
     executors have. No rows give no files. Other columns are not read."""
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/llm-tokens-{uuid.uuid4().hex}"
-    end = np.array([END_ID], np.uint32).tobytes()
 
     def run(batches):
-        encoder, ids, counts, pieces = Encoder(tokenizer), [], [], []
+        encoder, ids, counts, pieces = encoder_of(tokenizer), [], [], []
+        kind = np.dtype(f"u{array(encoder.code).itemsize}")
+        end = np.array([END_ID], kind).tobytes()
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for low in range(0, len(texts), TEXTS):
                 for encoded in encoder.encode(texts[low:low + TEXTS]):
                     pieces.append(encoded + end)
-                    counts.append(len(encoded) // 4 + 1)
+                    counts.append(len(encoded) // kind.itemsize + 1)
             ids.extend(keys)
         if ids:
             part = TaskContext.get().partitionId()
-            name = _write(folder, part, ids, counts, pieces, length)
+            name = _write(folder, part, ids, counts, pieces, length, kind)
             yield pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int64()), "folder": [folder], "name": [name],
                 "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([sum(counts)], pa.int64())})
@@ -170,11 +220,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 documents, reader = read_part(row["folder"], row["name"])
                 counts = documents.column("n_tokens").to_numpy()
                 starts = np.cumsum(counts) - counts
-                stream = [reader.get_batch(i) for i in range(reader.num_record_batches)]
-                flat = np.concatenate([b.column(0).flatten().to_numpy() for b in stream])
-                mask = np.concatenate([b.column(1).flatten().to_numpy() for b in stream])
-                flat = np.ascontiguousarray(flat[mask.view(bool)])
-                sums = [zlib.crc32(flat[a:a + n]) for a, n in zip(starts.tolist(), counts.tolist())]
+                flat = np.concatenate([ids_of(reader.get_batch(i)) for i in range(reader.num_record_batches)])
+                sums = [zlib.crc32(flat[a:a + n].astype("<u4")) for a, n in zip(starts.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": documents.column("doc_id").combine_chunks(), "start": pa.array(starts + row["base"], pa.int64()),
                     "n_tokens": pa.array(counts, pa.int64()), "ids_crc32": pa.array(sums, pa.int64())})

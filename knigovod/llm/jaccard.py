@@ -2,9 +2,9 @@
 
 Method: the n-grams of a text are ordered rarest first (by how often the corpus holds them, then by hash). Two sets
 that are similar enough share an n-gram among the first `size - ceil(threshold * size) + 1` of each (prefix filter).
-Pairs that meet on a prefix n-gram pass a length filter, a positional filter (how much can still be shared after the
-places where they meet) and a suffix filter (the counts of n-grams in eight hash ranges bound the overlap); those
-that are left are verified once on the whole sets.
+Pairs that meet on a prefix n-gram pass a length filter, a positional filter (how much can still be shared from the
+places on where they meet first) and, in the last round, a suffix filter (ranges of hashes that only one of them has bound
+the overlap); those that are left are verified once on the whole sets.
 
 Texts with equal sets are one class and are joined as one. Within a prefix n-gram's texts, pairs are not all made:
 each round compares the texts with one pivot per n-gram, and joins what is linked into components; the last round
@@ -27,13 +27,14 @@ from knigovod.llm.shared import buckets_for, staged, text_bytes
 WIDTH, PERCENT = 5, 80
 #: Bits of an n-gram's hash that are counted; a collision only changes the order, alike for all texts.
 KEY_BITS = 48
-RANGES = 8
+#: Ranges of hashes per n-gram of a set in the suffix filter, at least; their number is a power of two.
+RANGES = 4
 #: Rounds of comparing with one pivot per n-gram before the remaining pairs are compared.
 PIVOT_ROUNDS = 3
 
 ASKED = "bucket bigint, pack bigint, n bigint, keys binary, counts binary"
 ANSWERED = "pack bigint, bucket bigint, values binary"
-RECORDS = "kind string, doc_id bigint, n bigint, class bigint, token bigint, place int, ranges array<int>, grams binary"
+RECORDS = "kind string, doc_id bigint, n bigint, class bigint, token bigint, place int, grams binary"
 
 
 def _sets(p: Pack, width: int):
@@ -110,8 +111,6 @@ def _records(packs: DataFrame, answers: DataFrame, width: int, percent: int) ->
         mine[chosen] = True
         shared &= mine[document]
         held = np.flatnonzero(np.bincount(document[shared], minlength=len(p.ids)) > 0)
-        ranges = np.bincount(document * RANGES + (grams >> np.uint64(61)).astype(np.int64),
-                             minlength=len(p.ids) * RANGES).astype(np.int32).reshape(-1, RANGES)
         d = document[shared]
         n_text, n_set, n_prefix = len(p.ids), len(held), len(d)
         none = [None] * n_text
@@ -123,27 +122,59 @@ def _records(packs: DataFrame, answers: DataFrame, width: int, percent: int) ->
             "n": pa.array(sizes[which], pa.int64()), "class": pa.array(classes[which], pa.int64()),
             "token": pa.array(np.concatenate([np.zeros(n_text + n_set, np.int64), g[shared].view(np.int64)]), pa.int64()),
             "place": pa.array(np.concatenate([np.zeros(n_text + n_set, np.int64), place[shared]]).astype(np.int32), pa.int32()),
-            "ranges": pa.ListArray.from_arrays(
-                pa.array(np.maximum(np.arange(len(kinds) + 1) - n_text - n_set, 0).astype(np.int32) * RANGES, pa.int32()),
-                pa.array(ranges[d].reshape(-1), pa.int32())),
             "grams": pa.array(none + [grams[first[i]:first[i] + sizes[i]].tobytes() for i in held] + [None] * n_prefix, pa.binary())})
 
     return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(run, RECORDS)
 
 
+def _sketches(sets: DataFrame) -> DataFrame:
+    """class, bits, half: which of `RANGES` or more ranges of hashes per n-gram hold one, as words of 64 ranges; and
+    the same in half as many ranges, for pairs of sets on either side of a power of two."""
+
+    def words(grams: np.ndarray, exponent: int) -> list[int]:
+        bits = np.zeros(1 << exponent, np.uint8)
+        bits[(grams >> np.uint64(64 - exponent)).astype(np.int64)] = 1
+        return np.packbits(bits, bitorder="little").view(np.int64).tolist()
+
+    def run(batches):
+        for batch in batches:
+            bits, half = [], []
+            for value in batch.column(1):
+                grams = np.frombuffer(value.as_py(), np.uint64)
+                exponent = max(7, (RANGES * len(grams) - 1).bit_length())
+                bits.append(words(grams, exponent))
+                half.append(words(grams, exponent - 1))
+            yield pa.RecordBatch.from_pydict({
+                "class": batch.column(0), "bits": pa.array(bits, pa.list_(pa.int64())), "half": pa.array(half, pa.list_(pa.int64()))})
+
+    return sets.select("class", "grams").mapInArrow(run, "class bigint, bits array<bigint>, half array<bigint>")
+
+
 def _may_link(percent: int) -> Column:
-    """Length, positional and suffix filter for two prefix rows `x` and `y` of one n-gram.
+    """Length and positional filter for two prefix rows `x` and `y` of one n-gram.
 
     Overlap o of sets of sizes a and b passes if 100 o >= percent (a + b - o)."""
     a, b = F.col("x.n"), F.col("y.n")
-    needed = F.lit(percent) * (a + b)
-    lengths = (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    # At most the common n-grams before the place in either order, this one, and what is left after it.
-    ahead = F.least(F.col("x.place"), F.col("y.place"))
-    after = F.least(a - F.col("x.place"), b - F.col("y.place"))
-    positional = (100 + percent) * (ahead + after) >= needed
-    bound = sum(F.least(F.col("x.ranges")[i], F.col("y.ranges")[i]) for i in range(RANGES))
-    return lengths & positional & ((100 + percent) * bound >= needed)
+    lengths = 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    # A pair that links meets at its first common n-gram, and there all that it shares is still to come. Where it
+    # meets again later, it need not pass.
+    left = F.least(a - F.col("x.place"), b - F.col("y.place"))
+    return lengths & ((100 + percent) * left >= F.lit(percent) * (a + b))
+
+
+def _suffix_filter(percent: int) -> Column:
+    """Each range that one set has and the other has not holds an n-gram that they do not share."""
+
+    def alone(p: str, q: str) -> str:
+        return f"aggregate(zip_with({p}, {q}, (i, j) -> bit_count(i & ~j)), 0, (s, k) -> s + k)"
+
+    def overlap(p: str, q: str) -> str:
+        return f"least(x.n - {alone(p, q)}, y.n - {alone(q, p)})"
+
+    bound = (f"CASE WHEN size(x.bits) = size(y.bits) THEN {overlap('x.bits', 'y.bits')} "
+             f"WHEN size(x.half) = size(y.bits) THEN {overlap('x.half', 'y.bits')} "
+             f"WHEN size(x.bits) = size(y.half) THEN {overlap('x.bits', 'y.half')} ELSE least(x.n, y.n) END")
+    return F.expr(f"{100 + percent} * ({bound}) >= {percent} * (x.n + y.n)")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -163,11 +194,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_b.select("a", "b", "s", "t").mapInArrow(run, "a bigint, b bigint")
 
 
-def _pairs(x: DataFrame, y: DataFrame, percent: int, condition: Column) -> DataFrame:
-    met = x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & condition & _may_link(percent))
+def _pairs(x: DataFrame, y: DataFrame, condition: Column) -> DataFrame:
+    met = x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & condition)
     return met.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
 
 
+def _relabelled(entries: DataFrame, pivots: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of those n-grams whose texts are still in different components. Rows in the component of a pivot are
+    marked; the next pivot is not taken from among them."""
+    known = labels.withColumnsRenamed({"node": "class", "label": "new"})
+    entries = entries.join(known, "class", "left").withColumn("label", F.coalesce("new", "class")).drop("new")
+    pivots = pivots.select("token", "class").join(known, "class", "left").select("token", F.coalesce("new", "class").alias("pivot"))
+    open_tokens = entries.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
+    # An n-gram whose texts have all been in a pivot's component has no pivot of its own any more.
+    entries = entries.join(open_tokens, "token", "left_semi").join(pivots, "token", "left")
+    marked = F.col("done") | F.coalesce(F.col("label") == F.col("pivot"), F.lit(False))
+    return staged(entries.withColumn("done", marked).drop("pivot").select("token", "class", "n", "place", "label", "done"), "prefixes")
+
+
 def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH,
                        percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, class, component_id for each row of `docs`.
@@ -182,31 +226,30 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     records = staged(_records(packs, _answers(asks), width, percent), "jaccard")
     texts = records.filter("kind = 'text'").select("doc_id", F.col("n").alias("n_shingles"), "class")
     sets = records.filter("kind = 'set'").groupBy("class").agg(F.first("grams").alias("grams"))
-    entries = records.filter("kind = 'prefix'").groupBy("token", "class").agg(
-        F.min("n").alias("n"), F.min("place").alias("place"), F.first("ranges").alias("ranges"))
+    entries = records.filter("kind = 'prefix'").groupBy("token", "class").agg(F.min("n").alias("n"), F.min("place").alias("place"))
     crowded = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("token")
-    entries = staged(entries.join(crowded, "token", "left_semi").withColumn("label", F.col("class")), "prefixes")
+    entries = staged(entries.join(crowded, "token", "left_semi").select(
+        "token", "class", "n", "place", F.col("class").alias("label"), F.lit(False).alias("done")), "prefixes")
     sets = staged(sets.join(entries.select("class").distinct(), "class", "left_semi"), "sets")
     links, labels = None, None
-    for round_number in range(PIVOT_ROUNDS + 1):
+    for last in [False] * PIVOT_ROUNDS + [True]:
         if entries.isEmpty():
             break
-        if round_number < PIVOT_ROUNDS:
-            order = F.xxhash64(F.lit(round_number), "class")
-            pivots = entries.groupBy("token").agg(
-                F.min_by(F.struct("class", "label", "n", "place", "ranges"), order).alias("p")).select("token", "p.*")
-            found = _pairs(entries, pivots, percent, F.col("x.label") != F.col("y.label"))
+        if not last:
+            # The pivot has the fewest n-grams of its own before this one: it is near the middle of its group.
+            pivots = entries.filter("NOT done").groupBy("token").agg(F.min_by(
+                F.struct("class", "label", "n", "place"), F.struct(F.col("place") / F.col("n"), "class")).alias("p")).select("token", "p.*")
+            pivots = staged(pivots, "pivots")
+            found = _pairs(entries, pivots, (F.col("x.label") != F.col("y.label")) & _may_link(percent))
         else:
-            found = _pairs(entries, entries, percent, F.col("x.label") < F.col("y.label"))
+            open_sets = sets.join(entries.select("class").distinct(), "class", "left_semi")
+            sketched = staged(entries.join(_sketches(open_sets), "class"), "sketched")
+            found = _pairs(sketched, sketched, (F.col("x.label") < F.col("y.label")) & _may_link(percent) & _suffix_filter(percent))
         new = staged(_verified(found, sets, percent), "links")
         links = new if links is None else links.unionByName(new)
         labels = staged(components(links), "labels")
-        if round_number < PIVOT_ROUNDS:
-            entries = entries.drop("label").join(labels.withColumnsRenamed({"node": "class"}), "class", "left")
-            entries = entries.withColumn("label", F.coalesce("label", "class"))
-            open_tokens = entries.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter(
-                "lo < hi").select("token")
-            entries = staged(entries.join(open_tokens, "token", "left_semi"), "prefixes")
+        if not last:
+            entries = _relabelled(entries, pivots, labels)
     if labels is not None:
         texts = texts.join(labels.withColumnsRenamed({"node": "class"}), "class", "left")
     else:

@@ -26,6 +26,8 @@ from knigovod.llm.packs import Pack, bucket_of, cuts, load, load_sorted, pack, s
 from knigovod.llm.shared import buckets_for, staged, text_bytes
 
 CUTOFF = 5
+#: Bytes of text in a pack; its pairs take about ten times as much.
+PACK_BYTES = 5 << 20
 END = np.uint64(0x9D5C0FFEE1234567)
 
 RUNS = "kind int, bucket bigint, keys binary, counts binary"
@@ -302,7 +304,7 @@ def katz_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: st
     buckets = buckets_for(spark, size)
     # So many bits that about one pair in a million meets another; only counts of counts are taken from these keys.
     bits = min(64, max(48, math.ceil(math.log2(size + 2)) + 18))
-    packs = pack(docs, doc_id, text, flag=F.coalesce(train, F.lit(False)))
+    packs = pack(docs, doc_id, text, PACK_BYTES, F.coalesce(train, F.lit(False)))
     counted = staged(_counted(_runs(packs, buckets, bits)), "katz")
     how = counted.select("kind", "bucket", F.explode(F.arrays_zip("c", "n")).alias("x")).select("kind", "bucket", "x.c", "x.n")
     sums: dict[int, dict[int, int]] = {1: {}, 2: {}}

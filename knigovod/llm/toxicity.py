@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from knigovod.llm.decontaminate import words_of
 
 SLOTS, FACTORS = 1 << 18, 4
-#: At most so many labelled texts are learned from, and only terms that so many of them hold.
-SAMPLE, LEAST_TEXTS = 20_000, 8
-EPOCHS, RATE, L2 = 12, 0.15, 2e-4
+#: At most so many labelled texts are learned from. A term is learned if at least `LEAST_TEXTS` of them hold it and it
+#: goes with the label, or if a share of `COMMON` of them holds it.
+SAMPLE, LEAST_TEXTS, CHI_SQUARED, COMMON = 20_000, 4, 25.0, 0.05
+EPOCHS, RATE, L2 = 8, 0.1, 1e-3
 
 
 def slots_of(text: bytes, cache: dict) -> np.ndarray:
@@ -56,11 +57,23 @@ class Machine:
         return float(1.0 / (1.0 + np.exp(-np.clip(value, -30.0, 30.0))))
 
 
+def chosen_slots(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The terms that are learned: those that go with the label beyond chance (chi-squared with one degree of freedom),
+    and those so common that their weights cannot fit single texts; the latter may matter in pairs only."""
+    flat = np.concatenate([*texts, np.empty(0, np.int64)]).astype(np.int64)
+    of = np.repeat(labels, [len(t) for t in texts]) if len(texts) else np.empty(0)
+    n, toxic = max(len(texts), 1), max(float(np.sum(labels)), 1e-9)
+    seen, bad = np.bincount(flat, minlength=SLOTS).astype(float), np.bincount(flat, weights=of, minlength=SLOTS)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        square = n * (bad * n - seen * toxic) ** 2 / (seen * (n - seen) * toxic * max(n - toxic, 1e-9))
+    associated = (np.nan_to_num(square, posinf=0.0) >= CHI_SQUARED) & (seen >= LEAST_TEXTS)
+    return np.flatnonzero(associated | (seen >= COMMON * n))
+
+
 def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     """(bias, slots, weights, factors). Texts are taken in the given order, one step each; all texts of one label
     give a constant score on that side."""
-    seen = np.bincount(np.concatenate([*texts, np.empty(0, np.int64)]).astype(np.int64), minlength=SLOTS)
-    slots = np.flatnonzero(seen >= min(LEAST_TEXTS, max(1, len(texts) // 20)))
+    slots = chosen_slots(texts, labels)
     where = np.full(SLOTS, -1, np.int64)
     where[slots] = np.arange(len(slots))
     rows = [where[t][where[t] >= 0] for t in texts]

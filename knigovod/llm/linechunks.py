@@ -80,11 +80,12 @@ def without_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str =
     firsts = _found(given, False).withColumn("w", where).groupBy("h").agg(
         F.min("w").alias("first"), F.max("w").alias("last")).filter("first <> last").select("h", "first")
     firsts = staged(firsts, "chunks")
-    repeated = staged(_found(given, True).join(firsts, "h").withColumn("w", where), "repeats")
+    # Both joins move texts: sort-merge at every size, so that what is moved grows as the texts do.
+    repeated = staged(_found(given, True).join(firsts.hint("merge"), "h").withColumn("w", where), "repeats")
     originals = repeated.filter("w = first").groupBy("h").agg(F.first("body").alias("original"))
     removed = repeated.filter("w <> first").join(originals, "h").filter("body = original")
     gone = removed.groupBy("doc_id", "k").agg(F.collect_set("place").alias("places"))
-    joined = given.alias("g").join(gone.alias("r"), F.expr("g.doc_id <=> r.doc_id AND g.k = r.k"), "left").select("g.doc_id", "t", "places")
+    joined = given.alias("g").join(gone.alias("r").hint("merge"), F.expr("g.doc_id <=> r.doc_id AND g.k = r.k"), "left").select("g.doc_id", "t", "places")
 
     def run(batches):
         for batch in batches:

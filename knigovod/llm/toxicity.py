@@ -22,9 +22,10 @@ from knigovod.llm.decontaminate import words_of
 
 SLOTS, FACTORS = 1 << 18, 4
 #: At most so many labelled texts are learned from. A term is learned if at least `LEAST_TEXTS` of them hold it and it
-#: goes with the label, or if a share of `COMMON` of them holds it.
-SAMPLE, LEAST_TEXTS, CHI_SQUARED, COMMON = 20_000, 4, 25.0, 0.05
-EPOCHS, RATE, L2 = 8, 0.1, 1e-3
+#: goes with the label, or if a share of `COMMON` of them holds it, `MANY` at least.
+SAMPLE, LEAST_TEXTS, CHI_SQUARED, COMMON, MANY = 20_000, 4, 25.0, 0.05, 100
+#: Passes over the texts, and steps, at least.
+EPOCHS, STEPS, RATE, L2 = 8, 40_000, 0.1, 1e-3
 
 
 def slots_of(text: bytes, cache: dict) -> np.ndarray:
@@ -67,7 +68,7 @@ def chosen_slots(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
         square = n * (bad * n - seen * toxic) ** 2 / (seen * (n - seen) * toxic * max(n - toxic, 1e-9))
     associated = (np.nan_to_num(square, posinf=0.0) >= CHI_SQUARED) & (seen >= LEAST_TEXTS)
-    return np.flatnonzero(associated | (seen >= COMMON * n))
+    return np.flatnonzero(associated | (seen >= max(COMMON * n, MANY)))
 
 
 def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
@@ -85,7 +86,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> tuple[flo
     bias, gb = float(np.log(share / (1 - share))), 1.0
     if len(np.unique(labels)) < 2:
         return (bias, slots[:0], w[:0], v[:0])
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS // len(rows)))):
         for k in random.permutation(len(rows)):
             i = rows[k]
             x = 1.0 / np.sqrt(max(len(i), 1))
@@ -118,8 +119,9 @@ def labelled(docs: DataFrame, labels: DataFrame, may_learn: Column, doc_id: str,
                 "id": batch.column(0), "toxic": batch.column(1), "slots": pa.array([np.sort(s) for s in slots], pa.list_(pa.int64()))})
 
     # At most `sample` rows of two numbers: sent to the documents, so that texts stay where they are.
-    met = docs.join(F.broadcast(chosen), docs[doc_id] == chosen["_id"])
-    return met.select(F.col("_id").cast("bigint").alias("id"), "toxic", F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t")).mapInArrow(
+    texts = docs.select(F.col(doc_id).alias("_doc"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t"))
+    met = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
+    return met.select(F.col("_id").cast("bigint").alias("id"), "toxic", "t").mapInArrow(
         run, "id bigint, toxic int, slots array<bigint>")
 
 

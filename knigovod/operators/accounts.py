@@ -39,8 +39,9 @@ def rule_konto(text: Column, rules) -> Column:
 
 def listed_rules(rules: DataFrame):
     """(konto, keyword) in rule order, or None when the table is too large to be folded in."""
-    rows = small_rows(rules.select("rule_order", "konto", "keyword"))
-    return None if rows is None else [(r.konto, r.keyword) for r in sorted(rows, key=lambda r: r.rule_order)]
+    rows = small_rows(rules.select("rule_order", "konto", "keyword").filter("keyword IS NOT NULL"))
+    return None if rows is None else [
+        (r.konto, r.keyword) for r in sorted(rows, key=lambda r: (r.rule_order, r.konto is not None, r.konto or "", r.keyword))]
 
 
 def suggest_by_rules(texts: DataFrame, rules: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def suggest_by_rules(texts: DataFrame, rules: DataFrame) -> DataFrame:
     listed = listed_rules(rules)
     if listed is not None:
         return texts.withColumn("rule_konto", rule_konto(F.col("text"), listed))
-    numbered = rules.withColumn("needle_id", F.struct("rule_order", "konto"))
+    numbered = rules.filter("keyword IS NOT NULL").withColumn("needle_id", F.struct("rule_order", "konto"))
     pairs = contains_join(
         texts.select("text_id", F.lower("text").alias("text")),
         numbered.select("needle_id", F.lower("keyword").alias("needle")))

@@ -8,6 +8,8 @@ side is the one adaptive execution may split when an invoice is hot.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +39,13 @@ def _largest(amount: Column, condition: Column) -> Column:
     return F.min(F.when(condition, F.struct((-amount).alias("minus"), F.col("line_key").alias("line_key"))))
 
 
-def journal(invoices: DataFrame, lines: DataFrame, konto: Column) -> DataFrame:
+def journal(invoices: DataFrame, lines: DataFrame, konto: Column | Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Journal rows (invoice_id, line_key, konto, opis, debit, credit) of invoices.
 
     invoices: invoice_id, vendor, total, tax_amount, konto_suggestion
     lines:    invoice_id, line_key (any orderable type, unique per invoice), description, line_total,
               vat_rate
-    konto:    account for the column `konto_text` (description and vendor)
+    konto:    account for the column `konto_text` (description and vendor), or what adds the column `konto` to such rows
 
     The payable row has a null line_key and sorts last.
     """
@@ -119,12 +121,15 @@ def journal(invoices: DataFrame, lines: DataFrame, konto: Column) -> DataFrame:
         .filter((F.col("kind") != "line") | (F.abs("amount") >= F.lit("0.01").cast("decimal(18,2)")))
         .withColumn("konto_text", F.when(F.col("kind") == "line", F.concat_ws(" ", "opis", "vendor")).otherwise(F.col("vendor")))
     )
+    if callable(konto):
+        posted = konto(posted)
+        konto = F.col("konto")
     zero = money(F.lit(0))
     units = lambda a: F.when(F.col("kind") == "payable", a).otherwise(money(round_units(a)))
     is_credit = (F.col("kind") == "payable") | (F.col("amount") < 0)
     return posted.select(
         "invoice_id", "line_key",
-        F.when(F.col("kind") == "payable", PAYABLE_KONTO).otherwise(F.coalesce("konto_suggestion", konto)).alias("konto"), "opis",
+        F.when(F.col("kind") == "payable", PAYABLE_KONTO).otherwise(F.coalesce(F.nullif(F.trim("konto_suggestion"), F.lit("")), konto)).alias("konto"), "opis",
         F.when(is_credit, zero).otherwise(units(F.col("amount"))).alias("debit"),
         F.when(is_credit, units(-F.col("amount"))).otherwise(zero).alias("credit"))
 

@@ -134,12 +134,13 @@ def _ranked(named: DataFrame, key: str, frequency: DataFrame) -> DataFrame:
 def _prefixed(ranked: DataFrame, floor: float) -> DataFrame:
     """One row per rare trigram and its place: of two names at least `floor` alike, one of these is
     shared (prefix filter of set-similarity joins)."""
-    t = floor / 100.0
+    # Scores are rounded to one decimal before they are held against the floor.
+    t = (floor - 0.05) / 100.0
     needed = F.ceil(F.size("grams") * F.lit(t / (2 - t)) - F.lit(1e-9)).cast("int")
     prefix = F.slice("grams", F.lit(1), F.size("grams") - needed + 1)
     rows = ranked.withColumn("n", F.size("grams")).select("*", F.posexplode(prefix).alias("place", "gram"))
     # Both sides know how many entries hold a trigram, so they agree on how often to split it.
-    salts = F.least(F.lit(64), F.floor(F.get("counts", F.col("place")) / SALT_EVERY) + 1).cast("int")
+    salts = (F.floor(F.get("counts", F.col("place")) / SALT_EVERY) + 1).cast("int")
     return rows.withColumn("salts", salts).drop("counts")
 
 

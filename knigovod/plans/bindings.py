@@ -6,8 +6,6 @@ whole cents on the SQL side and decimals on the Spark side.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +24,9 @@ def as_of(day: str = AS_OF) -> Column:
 
 
 def ensure_shared_folder(spark: SparkSession) -> None:
-    """A local session that names no checkpoint folder gets a temporary one; a cluster must name its own."""
+    """A local session that names no checkpoint folder gets one below its warehouse; a cluster must name its own."""
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local"):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="knigovod-"))
+        spark.conf.set("spark.checkpoint.dir", spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -110,3 +110,41 @@ def test_registered(spark, name):
     names = [d[0] for d in cursor.description]
     assert sorted(names) == sorted(result.columns)
     assert rows([tuple(r) for r in result.collect()], result.columns) == rows(cursor.fetchall(), names)
+
+
+def test_many_line_rules_post_the_same_journal(spark):
+    """Beyond the rules that fold into an expression, accounts come from a join; both ways agree, also on ties and nulls."""
+    from knigovod.config import MAX_INLINE_ROWS
+    from knigovod.operators.accounts import suggest_by_rules
+
+    texts = spark.createDataFrame([(1, "red box"), (2, "blue box"), (3, "none"), (4, "")], "text_id int, text string")
+    schema = "rule_order int, konto string, label string, keyword string"
+    few = [(1, "9", "x", "box"), (1, "1", "y", "red"), (1, "2", "z", None), (0, "5", "w", "blue")]
+    many = few + [(10 + k, "7", "f", f"filler{k}") for k in range(MAX_INLINE_ROWS)]
+    short, long = (suggest_by_rules(texts, spark.createDataFrame(r, schema)).select("text_id", "rule_konto").collect() for r in (few, many))
+    assert dict(short) == dict(long) == {1: "1", 2: "5", 3: None, 4: None}
+
+
+def test_template_table_round_trip(spark, tmp_path):
+    from knigovod.sources import readers, sinks
+
+    rows = spark.createDataFrame([(str(k), f"v{k}") for k in range(5)], "id string, display_name string").repartition(3)
+    sinks.write_templates(rows, str(tmp_path / "t"))
+    back = readers.read_templates(spark, str(tmp_path / "t"))
+    assert back.count() == 5 and sorted(r.template_order for r in back.collect()) == list(range(5))
+    assert readers.read_templates(spark, str(tmp_path / "missing")).count() == 0
+
+
+def test_a_template_field_sent_twice(spark):
+    from knigovod import schemas
+    from knigovod.operators.templates import screen_templates, set_defaults, upsert_templates
+
+    one = {"id": "a", "display_name": "A", "template_order": 0, "patterns": {"total": "(?P<v>\\d+)", "vendor_name": "(x)?(?(1)a|b)"}}
+    table = spark.createDataFrame([one], schemas.TEMPLATES)
+    changes = spark.createDataFrame([("a", "vendor_name", "first"), ("a", "vendor_name", "second")], "id string, field string, value string").coalesce(1)
+    changed, _ = set_defaults(table, changes)
+    assert changed.first().defaults == {"vendor_name": "second"}
+    sent = spark.createDataFrame([{"id": "b", "display_name": "one"}, {"id": "b", "display_name": "two"}], schemas.TEMPLATES).coalesce(1)
+    assert [r.display_name for r in upsert_templates(table, sent).collect() if r.id == "b"] == ["two"]
+    good, bad = screen_templates(table)
+    assert good.first().patterns == {"total": "(?<v>\\d+)"} and [r.field for r in bad.collect()] == ["vendor_name"]

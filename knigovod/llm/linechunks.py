@@ -3,6 +3,8 @@
 A rolling hash over the hashes of the last `SPAN` lines says after which lines a chunk ends, so a passage is cut in the
 same places whatever stands before it. Chunks of two or more lines that occur more than once in the corpus are removed
 after their bytes are compared, but for the first occurrence (least doc_id, then position).
+
+Texts move twice: the chunks that may be removed to where their hash is, and the documents to where their repeats are.
 """
 
 from __future__ import annotations

@@ -77,60 +77,64 @@ OTHER_KONTO_LABELS = {
     DEFAULT_KONTO: "Останати трошоци на работење",
 }
 
-# Account rules, first match wins.
-#   account, label, keywords, more keywords for whole documents, more keywords for single lines
-KONTO_RULES = [
-    ("4030", "Електрична енергија",
-     ["gemak", "elektr", "електр", "struja", "струја", "kwh", "kw/h", "осветлув", "осветување",
-      "дистрибуц", "distribuc"],
-     ["evn", "energie"], ["evn ", "евн"]),
-    ("4031", "Топлинска енергија",
-     ["toplin", "toplif", "toplana", "grejanje", "греење", "heating"], [], []),
-    ("4032", "Горива",
-     ["gorivo", "nafta", "benzin", "dizel", "petrol", "fuel", "гориво", "нафта", "бензин"],
-     [], ["дизел"]),
-    ("4150", "Снабдување со вода",
-     ["komunalec", "vodovod", "voda ", " voda", "water", "водовод", "вода", "канализ"], [], []),
-    ("4010", "Канцелариски материјали",
-     ["kancelariski", "kancelar", "канцелар", "hartija", "paper", "toner", "тонер"],
-     [], ["materijal", "repro"]),
-    ("4011", "Материјал за чистење и одржување",
-     ["cistko", "chistko", "^istko", "cleanin", "чистко", "чистење"], [], []),
-    ("4110", "Поштенски услуги",
-     ["po[tenski", "postensk", "пошт", "makedonska po[ta"], ["ptt"], ["ptt "]),
-    ("4111", "Телефонски услуги",
-     ["telefonski", "telekomunikac", "a1 mak", "one mak", "телефон", "telefon", "мобил", "mobil"],
-     ["makedonski telekomunikacii"], []),
-    ("4112", "Интернет услуги",
-     ["internet", "wifi", "broadband", "fiber", "adsl", "интернет"], [], []),
-    ("4130", "Услуги за тековно и инвестиционо одржување",
-     ["odr@uvawe", "odrzuvanje", "одржув", "поправк", "popravk", "tekovno", "investiciono",
-      "maintenance", "servis"], [], []),
-    ("4140", "Наемнини за деловни простории",
-     ["naemnin", "kirija", "кирија", "закуп", "zakup", "renta", "najem", "leasing", "lizing", "наем"],
-     [], []),
-    ("4450", "Премии за осигурување",
-     ["osigur", "polisa", "triglav", "uniqa", "grawe", "insurance", "осигур", "полиса"], [], []),
-    ("4170", "Рекламирање и пропаганда",
-     ["reklam", "marketing", "oglas", "реклам", "маркет", "огласув", "propaganda"], [], ["media"]),
-    ("44905", "Нотарски услуги", ["notarski", "нотар", "notary"], [], []),
-    ("449051", "Адвокатски услуги",
-     ["advokat", "правни", "pravni", "legal", "lawyer", "адвокат"], [], []),
-    ("44907", "ИТ услуги",
-     ["software", "softver", "licenc", "лиценц", "cloud", "hosting", "saas", "erp", "it service",
-      "лиценза"], ["it uslugi"], ["softvyer"]),
-    ("44902", "Консултантски и советодавни услуги",
-     ["konsultant", "sovetodav", "smetkovod", "revizija", "reviz", "audit", "консалт", "ревиз"],
-     ["консултант"], ["konsalt", "сметководс"]),
-    ("4460", "Банкарски услуги",
-     ["bankarski", "banka", "bank ", "provizija", "камата", "kamata", "commission", "банка",
-      "провизија"], ["banking"], []),
-    ("4109", "Транспортни услуги",
-     ["prevoz", "transport", "dostava", "logistik", "freight", "cargo", "delivery", "kurirsk",
-      "куриерск", "достава", "превоз", "такси", "taxi"], [], []),
-    ("44000", "Дневници за службени патувања",
-     ["hotel", "avion", "airlin", "letov", "dnevnic", "travel", "хотел", "патувањ", "smestu",
-      "сместув"], ["patuvanj"], []),
+# Account rules for whole documents, first match wins.
+DOCUMENT_RULES = [
+    ("4030", ["gemak", "evn", "elektr", "struja", "струја", "kwh", "kw/h", "осветлув", "осветување", "дистрибуц", "distribuc",
+              "електр", "energie"]),
+    ("4031", ["toplin", "toplif", "toplana", "grejanje", "греење", "heating"]),
+    ("4032", ["gorivo", "nafta", "benzin", "dizel", "petrol", "fuel", "гориво", "нафта", "бензин"]),
+    ("4150", ["komunalec", "vodovod", "voda ", " voda", "water", "водовод", "вода", "канализ"]),
+    ("4010", ["kancelariski", "kancelar", "канцелар", "hartija", "paper", "toner", "тонер"]),
+    ("4011", ["cistko", "chistko", "^istko", "cleanin", "чистко", "чистење"]),
+    ("4110", ["po[tenski", "postensk", "пошт", "makedonska po[ta", "ptt"]),
+    ("4111", ["telefonski", "telekomunikac", "a1 mak", "one mak", "телефон", "telefon", "мобил", "mobil",
+              "makedonski telekomunikacii"]),
+    ("4112", ["internet", "wifi", "broadband", "fiber", "adsl", "интернет"]),
+    ("4130", ["odr@uvawe", "odrzuvanje", "одржув", "поправк", "popravk", "tekovno", "investiciono", "maintenance", "servis"]),
+    ("4140", ["naemnin", "kirija", "кирија", "закуп", "zakup", "renta", "najem", "leasing", "lizing", "наем"]),
+    ("4450", ["osigur", "polisa", "triglav", "uniqa", "grawe", "insurance", "осигур", "полиса"]),
+    ("4170", ["reklam", "marketing", "oglas", "реклам", "маркет", "огласув", "propaganda"]),
+    ("44905", ["notarski", "нотар", "notary"]),
+    ("449051", ["advokat", "правни", "pravni", "legal", "lawyer", "адвокат"]),
+    ("44907", ["software", "softver", "licenc", "лиценц", "cloud", "hosting", "saas", "erp", "it uslugi", "it service", "лиценза"]),
+    ("44902", ["konsultant", "sovetodav", "smetkovod", "revizija", "reviz", "audit", "консалт", "ревиз", "консултант"]),
+    ("4460", ["bankarski", "banking", "banka", "bank ", "provizija", "камата", "kamata", "commission", "банка", "провизија"]),
+    ("4109", ["prevoz", "transport", "dostava", "logistik", "freight", "cargo", "delivery", "kurirsk", "куриерск", "достава",
+              "превоз", "такси", "taxi"]),
+    ("44000", ["hotel", "avion", "airlin", "letov", "dnevnic", "travel", "patuvanj", "хотел", "патувањ", "smestu", "сместув"]),
+]
+
+# Account rules for single lines, with the labels of the accounts, first match wins.
+LINE_RULES = [
+    ("4030", "Електрична енергија", ["gemak", "evn ", "електр", "elektr", "struja", "струја", "kwh", "kw/h", "осветлув",
+                                     "осветување", "дистрибуц", "distribuc", "ЕВН"]),
+    ("4031", "Топлинска енергија", ["toplin", "toplif", "toplana", "grejanje", "греење", "heating"]),
+    ("4032", "Горива", ["gorivo", "nafta", "benzin", "dizel", "petrol", "fuel", "гориво", "нафта", "бензин", "дизел"]),
+    ("4150", "Снабдување со вода", ["komunalec", "vodovod", "voda ", " voda", "water", "водовод", "вода", "канализ"]),
+    ("4010", "Канцелариски материјали", ["kancelariski", "kancelar", "канцелар", "hartija", "paper", "toner", "тонер",
+                                         "materijal", "repro"]),
+    ("4011", "Материјал за чистење и одржување", ["^istko", "cistko", "chistko", "cleanin", "чистко", "чистење"]),
+    ("4110", "Поштенски услуги", ["po[tenski", "postensk", "пошт", "makedonska po[ta", "ptt "]),
+    ("4111", "Телефонски услуги", ["telefonski", "telekomunikac", "a1 mak", "one mak", "телефон", "telefon", "мобил", "mobil"]),
+    ("4112", "Интернет услуги", ["internet", "wifi", "broadband", "fiber", "adsl", "интернет"]),
+    ("4130", "Услуги за тековно и инвестиционо одржување", ["odr@uvawe", "odrzuvanje", "одржув", "поправк", "popravk", "tekovno",
+                                                            "investiciono", "maintenance", "servis"]),
+    ("4140", "Наемнини за деловни простории", ["naemnin", "kirija", "кирија", "закуп", "zakup", "renta", "najem", "leasing",
+                                               "lizing", "наем"]),
+    ("4450", "Премии за осигурување", ["osigur", "polisa", "triglav", "uniqa", "grawe", "insurance", "осигур", "полиса"]),
+    ("4170", "Рекламирање и пропаганда", ["reklam", "marketing", "oglas", "реклам", "маркет", "огласув", "propaganda", "media"]),
+    ("44905", "Нотарски услуги", ["notarski", "нотар", "notary"]),
+    ("449051", "Адвокатски услуги", ["advokat", "правни", "pravni", "legal", "lawyer", "адвокат"]),
+    ("44907", "ИТ услуги", ["software", "softvyer", "softver", "licenc", "лиценц", "cloud", "hosting", "saas", "erp",
+                            "it service", "лиценза"]),
+    ("44902", "Консултантски и советодавни услуги", ["konsalt", "konsultant", "sovetodav", "revizija", "reviz", "audit",
+                                                     "консалт", "ревиз", "smetkovod", "сметководс"]),
+    ("4460", "Банкарски услуги", ["bankarski", "banka", "bank ", "provizija", "камата", "kamata", "commission", "банка",
+                                  "провизија"]),
+    ("4109", "Транспортни услуги", ["prevoz", "transport", "dostava", "logistik", "freight", "cargo", "delivery", "kurirsk",
+                                    "куриерск", "достава", "превоз", "такси", "taxi"]),
+    ("44000", "Дневници за службени патувања", ["hotel", "avion", "airlin", "letov", "dnevnic", "travel", "хотел", "патувањ",
+                                                "smestu", "сместув"]),
 ]
 
 # --- Patterns: all read without regard to letter case -------------------------------------------------

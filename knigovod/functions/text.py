@@ -55,9 +55,17 @@ def _compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
+#: Characters that composing may change or join to the one before: marks, jamo, those with another canonical form, and those
+#: that the JVM's tables do not know yet.
+COMPOSABLE = (
+    r"[\p{M}\p{Cn}\x{37E}\x{374}\x{387}\x{900}-\x{FFF}\x{1100}-\x{11FF}\x{1F00}-\x{1FFF}\x{2000}\x{2001}\x{2126}\x{212A}\x{212B}\x{2329}\x{232A}\x{2ADC}"
+    r"\x{F900}-\x{FAFF}\x{FB1D}-\x{FB4F}\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1D}]")
+
+
 def compose_unicode(df: DataFrame, *columns: str) -> DataFrame:
-    """Compose decomposed letters once, at ingest (Spark has no built-in for it)."""
-    return df.withColumns({c: _compose(F.col(c)) for c in columns})
+    """Compose decomposed letters once, at ingest (Spark has no built-in for it). Only texts that hold such letters leave
+    the JVM."""
+    return df.withColumns({c: F.coalesce(_compose(F.when(F.col(c).rlike(COMPOSABLE), F.col(c))), F.col(c)) for c in columns})
 
 
 def transliterate(text: Column) -> Column:

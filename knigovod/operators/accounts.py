@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knigovod.config import DEFAULT, MAX_BROADCAST_BYTES, Settings
-from knigovod.fixed_values import DEFAULT_KONTO, KONTO_RULES, OTHER_KONTO_LABELS
+from knigovod.fixed_values import DEFAULT_KONTO, DOCUMENT_RULES, LINE_RULES, OTHER_KONTO_LABELS
 from knigovod.functions.amounts import let
 from knigovod.functions.vectors import best_match, stack
 from knigovod.operators.contains import contains_join, small_rows
@@ -20,10 +20,9 @@ from knigovod.operators.contains import contains_join, small_rows
 
 def konto_rules(spark: SparkSession, scope: str = "document") -> DataFrame:
     """The default rule table, for whole documents or for single lines."""
-    rows = []
-    for order, (konto, label, keywords, documents, lines) in enumerate(KONTO_RULES):
-        more = documents if scope == "document" else lines
-        rows += [(order, konto, label, keyword) for keyword in keywords + more]
+    labels = {konto: label for konto, label, _ in LINE_RULES}
+    listed = DOCUMENT_RULES if scope == "document" else [(konto, words) for konto, _, words in LINE_RULES]
+    rows = [(order, konto, labels[konto], word) for order, (konto, words) in enumerate(listed) for word in words]
     return spark.createDataFrame(rows, "rule_order int, konto string, label string, keyword string")
 
 
@@ -104,7 +103,10 @@ def expense_accounts(accounts: DataFrame) -> DataFrame:
 
 # --- Nearest vectors ---------------------------------------------------------------------------------
 
-_NEAREST = "query_id bigint, item_id bigint, similarity double"
+
+def _nearest_schema(queries: DataFrame) -> str:
+    """Hits carry the queries' own type of id."""
+    return f"query_id {queries.schema['query_id'].dataType.simpleString()}, item_id bigint, similarity double"
 
 
 def nearest(queries: DataFrame, items: DataFrame, at_least: float, earlier: bool = False,
@@ -120,7 +122,7 @@ def nearest(queries: DataFrame, items: DataFrame, at_least: float, earlier: bool
     """
     first = items.select(F.size("embedding")).head()
     if first is None:
-        return queries.sparkSession.createDataFrame([], _NEAREST)
+        return queries.sparkSession.createDataFrame([], _nearest_schema(queries))
     if items.count() * first[0] * 8 <= max_bytes:
         return _nearest_in_matrix(queries, items, at_least, earlier)
     return _nearest_by_pivots(queries, items, at_least, earlier, first[0], max_bytes)
@@ -137,7 +139,7 @@ def _nearest_in_matrix(queries: DataFrame, items: DataFrame, at_least: float, ea
             if len(batch):
                 yield _hits(batch["query_id"].to_numpy(), stack(batch["embedding"]), ids, matrix, at_least, earlier)
 
-    return queries.select("query_id", "embedding").mapInPandas(match, _NEAREST)
+    return queries.select("query_id", "embedding").mapInPandas(match, _nearest_schema(queries))
 
 
 def _hits(query_ids, queries, item_ids, items, at_least: float, earlier: bool) -> pd.DataFrame:
@@ -183,7 +185,7 @@ def _nearest_by_pivots(queries: DataFrame, items: DataFrame, at_least: float, ea
 
     n_blocks = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), (F.col("pivot") + 1).cast("int"))
     visits = queries.select("query_id", "embedding").mapInPandas(
-        visit, "query_id bigint, embedding array<float>, pivot bigint")
+        visit, f"query_id {queries.schema['query_id'].dataType.simpleString()}, embedding array<float>, pivot bigint")
     # Blocks of both sides are of bounded size: items by their block of the pivot, queries by a chunk
     # each; every query chunk meets every item block.
     chunks = visits.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("chunks"))
@@ -202,14 +204,14 @@ def _nearest_by_pivots(queries: DataFrame, items: DataFrame, at_least: float, ea
 
     def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "item_id": [], "similarity": []}).astype(
-                {"query_id": "int64", "item_id": "int64", "similarity": "float64"})
+            return pd.DataFrame({"query_id": left["query_id"].iloc[:0], "item_id": [], "similarity": []}).astype(
+                {"item_id": "int64", "similarity": "float64"})
         right = right.sort_values("item_id")
         return _hits(left["query_id"].to_numpy(), stack(left["embedding"]), right["item_id"].to_numpy(),
                      stack(right["embedding"]), at_least, earlier)
 
     key = ["pivot", "block", "chunk"]
-    partial = query_blocks.groupBy(*key).cogroup(item_blocks.groupBy(*key)).applyInPandas(multiply, _NEAREST)
+    partial = query_blocks.groupBy(*key).cogroup(item_blocks.groupBy(*key)).applyInPandas(multiply, _nearest_schema(queries))
     best = F.max(F.struct("similarity", (-F.col("item_id")).alias("minus")))
     return partial.groupBy("query_id").agg(best.alias("best")).select(
         "query_id", (-F.col("best.minus")).alias("item_id"), F.col("best.similarity").alias("similarity"))

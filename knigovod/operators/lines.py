@@ -14,6 +14,7 @@ from knigovod.fixed_values import (
     COMMA_AMOUNT, FIRST_ROW, FOOTER_MARK, FOOTER_START, IMAGE_SUFFIXES, ITEMS_MARK, SECOND_ROW,
     TEXT_LAYER_SUFFIXES, TOTALS_MARK, TOTALS_START)
 from knigovod.functions import amounts, sql
+from knigovod.functions.text import compose_unicode
 from knigovod.functions.sql import all_of, coalesce, let, matches, strip, when
 from knigovod.operators.stages import computed
 
@@ -57,8 +58,8 @@ def merge_pages(documents: DataFrame) -> DataFrame:
 
 
 def from_text(documents: DataFrame) -> DataFrame:
-    """Documents given as plain full_text."""
-    return documents.withColumn("lines", F.split("full_text", r"\r\n|\r|\n"))
+    """Documents given as plain full_text; its letters are composed."""
+    return compose_unicode(documents, "full_text").withColumn("lines", F.split("full_text", r"\r\n|\r|\n"))
 
 
 def explode_lines(documents: DataFrame) -> DataFrame:

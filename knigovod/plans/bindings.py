@@ -236,24 +236,22 @@ ACCOUNTS = """acc AS (
 
 
 def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    return e.filter("vec_id % 10 = 0").select(
+    return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("corr_id"), "embedding", F.concat(F.lit("4"), F.col("label")).alias("konto"),
         F.lit(None).cast("string").alias("komitent_id"), F.lit("").alias("preview"))
 
 
 def vector_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    return e.filter("vec_id % 10 = 1").select(
+    return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("acct_order"),
         F.concat(F.when(F.col("vec_id") % 4 == 1, "2").otherwise("4"), F.lit("1"), F.col("label")).alias("code"), "embedding")
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All other vectors, each with the text of the document of the same number."""
+    """Every vector read backwards (so that it is not its own neighbour), with the text of the document of the same number."""
     e, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
-    return e.filter("vec_id % 10 > 1").join(d.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left").select(
-        F.col("vec_id").alias("query_id"), "embedding", F.coalesce("text", F.lit("")).alias("text"))
+    return e.join(d.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left").select(
+        F.col("vec_id").alias("query_id"), F.reverse("embedding").alias("embedding"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 # --- Rendered documents ------------------------------------------------------------------------------------
@@ -345,14 +343,14 @@ RENDERED = """doc AS (
 
 
 def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Templates for two customers in three by tax number; the rest have none or go by keyword."""
+    """A template for each customer; two in three are found by tax number, the others state none."""
     c = table(spark, sf_dir, "customer")
     key = F.col("c_custkey")
     no_map = F.create_map().cast("map<string,string>")
-    return c.filter(key % 3 != 2).select(
+    return c.select(
         key.cast("int").alias("template_order"), F.concat(F.lit("t"), key).alias("id"),
         F.concat(F.lit("Template "), key).alias("display_name"),
-        F.concat(F.lit("MK "), F.lpad(key.cast("string"), 13, "0")).alias("vat_number"),
+        F.when(key % 3 != 2, F.concat(F.lit("MK "), F.lpad(key.cast("string"), 13, "0"))).otherwise("").alias("vat_number"),
         F.lit("MKD").alias("currency"), F.lit("user_saved").alias("source"),
         F.array().cast("array<string>").alias("keywords"),
         F.when(key % 2 == 0, F.create_map(

@@ -6,7 +6,8 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from knigovod.fixed_values import KONTO_RULES, OTHER_KONTO_LABELS
+from knigovod import fixed_values
+from knigovod.fixed_values import OTHER_KONTO_LABELS
 from knigovod.operators import accounts as ac
 from knigovod.plans.bindings import (
     texts, ACCOUNTS, PART_RULES, SETTINGS, accounts, corrections, part_rules, rule_case, table, vector_accounts, vector_queries)
@@ -16,7 +17,7 @@ from knigovod.plans.registered.journals import JOURNAL, entries
 # The given vectors point everywhere; at the usual thresholds none would be near another.
 NEAR = replace(SETTINGS, correction_similarity=0.35, description_similarity=0.3)
 
-DOCUMENT_RULES = [(i, konto, label, k) for i, (konto, label, words, more, _) in enumerate(KONTO_RULES) for k in words + more]
+DOCUMENT_RULES = [(i, konto, "", k) for i, (konto, words) in enumerate(fixed_values.DOCUMENT_RULES) for k in words]
 
 
 def konto_rules(spark, sf):
@@ -64,9 +65,9 @@ FROM (SELECT s_suppkey AS query_id, (s_suppkey % 90 + 10) || CASE WHEN s_suppkey
 JOIN acc ON contains(lower(code), query) OR contains(lower(description), query) QUALIFY place <= 8""")
 
 VECTORS = """vec AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-corr AS (SELECT vec_id AS id, e, '4' || label AS konto FROM vec WHERE vec_id % 10 = 0),
-chart AS (SELECT vec_id AS id, e, '41' || label AS konto FROM vec WHERE vec_id % 10 = 1 AND vec_id % 4 <> 1),
-ask AS (SELECT vec_id AS query_id, e, coalesce(text, '') AS text FROM vec LEFT JOIN documents ON doc_id = vec_id WHERE vec_id % 10 > 1),
+corr AS (SELECT vec_id AS id, e, '4' || label AS konto FROM vec),
+chart AS (SELECT vec_id AS id, e, '41' || label AS konto FROM vec WHERE vec_id % 4 <> 1),
+ask AS (SELECT vec_id AS query_id, list_reverse(e) AS e, coalesce(text, '') AS text FROM vec LEFT JOIN documents ON doc_id = vec_id),
 learned AS (SELECT query_id, konto, list_inner_product(ask.e, corr.e) AS s FROM ask, corr
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) = 1 AND s >= 0.35),
 described AS (SELECT query_id, konto, list_inner_product(ask.e, chart.e) AS s FROM ask, chart
@@ -102,14 +103,16 @@ FROM ask a LEFT JOIN learned l USING (query_id) LEFT JOIN described d USING (que
 
 
 def approvals(spark, sf):
-    """New vectors, the same again later with another account, and repeats of known corrections."""
+    """Every vector backwards as a new approval, some of these again later with another account, and every known correction
+    again. Approvals without an account teach nothing."""
     e = table(spark, sf, "embeddings")
-    row = lambda shift, konto: (
-        (F.col("vec_id") + shift).alias("corr_id"), "embedding", konto.alias("konto"),
+    row = lambda shift, vector, konto: (
+        (F.col("vec_id") + shift).alias("corr_id"), vector.alias("embedding"), konto.alias("konto"),
         F.lit(None).cast("string").alias("komitent_id"), F.lit("").alias("preview"))
-    new = e.filter("vec_id % 10 = 2").select(*row(10**12, F.concat(F.lit("5"), "label")))
-    again = e.filter("vec_id % 20 = 2").select(*row(2 * 10**12, F.concat(F.lit("6"), "label")))
-    known = e.filter("vec_id % 50 = 0").select(*row(3 * 10**12, F.concat(F.lit("7"), "label")))
+    backwards = F.reverse("embedding")
+    new = e.select(*row(10**12, backwards, F.concat(F.lit("5"), "label")))
+    again = e.select(*row(2 * 10**12, backwards, F.when(F.col("vec_id") % 20 == 2, F.concat(F.lit("6"), "label"))))
+    known = e.select(*row(3 * 10**12, F.col("embedding"), F.when(F.col("vec_id") % 50 == 0, F.concat(F.lit("7"), "label")).otherwise("")))
     return new.unionByName(again).unionByName(known)
 
 
@@ -117,8 +120,8 @@ def learn_upsert(spark, sf):
     return ac.learn(corrections(spark, sf), approvals(spark, sf), SETTINGS).select("corr_id", "konto")
 
 
-learn_sql = """SELECT vec_id AS corr_id, CASE WHEN vec_id % 50 = 0 THEN '7' ELSE '4' END || label AS konto FROM embeddings WHERE vec_id % 10 = 0
-UNION ALL SELECT vec_id + 1000000000000, CASE WHEN vec_id % 20 = 2 THEN '6' ELSE '5' END || label FROM embeddings WHERE vec_id % 10 = 2"""
+learn_sql = """SELECT vec_id AS corr_id, CASE WHEN vec_id % 50 = 0 THEN '7' ELSE '4' END || label AS konto FROM embeddings
+UNION ALL SELECT vec_id + 1000000000000, CASE WHEN vec_id % 20 = 2 THEN '6' ELSE '5' END || label FROM embeddings"""
 
 
 def approve_to_correction(spark, sf):

@@ -88,12 +88,45 @@ def test_process_stream(spark, tmp_path):
 
 def test_learn_stream(spark, tmp_path):
     schema = "corr_id long, embedding array<float>, konto string, komitent_id string, preview string"
-    spark.createDataFrame([(1, [1.0, 0.0], "4111", None, "")], schema).write.parquet(str(tmp_path / "versions" / "v0"))
+    spark.createDataFrame([(1, [1.0, 0.0], "4111", None, "")], schema).write.parquet(str(tmp_path / "versions" / "version=0"))
     spark.createDataFrame([(5, [1.0, 0.0], "4112", None, ""), (6, [0.0, 1.0], "4030", None, "")], schema).write.parquet(str(tmp_path / "in"))
     query = jobs.learn_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "versions"),
                               job=f"l-{uuid.uuid4().hex}")
     query.awaitTermination()
-    assert {(r.corr_id, r.konto) for r in spark.read.parquet(str(tmp_path / "versions" / "v1")).collect()} == {(1, "4112"), (6, "4030")}
+    assert {(r.corr_id, r.konto) for r in spark.read.parquet(str(tmp_path / "versions" / "version=1")).collect()} == {(1, "4112"), (6, "4030")}
+
+
+def test_suggest_stream_reads_the_newest_version(spark, tmp_path):
+    from knigovod.operators.accounts import konto_rules
+
+    schema = "corr_id long, embedding array<float>, konto string, komitent_id string, preview string"
+    for version, konto in ((0, "4111"), (1, "4150"), (10, "4170")):
+        spark.createDataFrame([(1, [1.0, 0.0], konto, None, "")], schema).write.parquet(str(tmp_path / "versions" / f"version={version}"))
+    asked = "query_id string, embedding array<float>, text string"
+    spark.createDataFrame([("a", [1.0, 0.0], ""), ("b", [0.0, 1.0], "интернет"), ("c", [-1.0, 0.0], "")], asked).write.parquet(str(tmp_path / "in"))
+    accounts = spark.createDataFrame([(1, "4030", [0.6, 0.8])], "acct_order long, code string, embedding array<float>")
+    jobs.suggest_stream(spark.readStream.schema(asked).parquet(str(tmp_path / "in")), str(tmp_path / "versions"), accounts,
+                        konto_rules(spark), str(tmp_path / "out"), job=f"s-{uuid.uuid4().hex}").awaitTermination()
+    got = {r.query_id: (r.konto, r.method, r.confidence) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"a": ("4170", "learned_correction", 1.0), "b": ("4030", "embedding_match", 0.8), "c": ("4499", "keyword", 0.0)}
+
+
+def test_whole_job_takes_corrections_screened_templates_and_decomposed_letters(spark):
+    import unicodedata
+
+    given = documents(spark, 3).withColumn("embedding", F.when(F.col("doc_id") == "d0", F.array(F.lit(1.0), F.lit(0.0))).when(
+        F.col("doc_id") == "d1", F.array(F.lit(0.0), F.lit(1.0))).cast("array<float>"))
+    text = given.withColumn("full_text", F.concat("full_text", F.lit(unicodedata.normalize("NFD", "\nЃорѓи"))))
+    corrections = spark.createDataFrame([(1, [1.0, 0.0], "4450")], "corr_id long, embedding array<float>, konto string")
+    accounts = spark.createDataFrame([(1, "4030", [0.6, 0.8]), (2, "1000", [0.0, 1.0])], "acct_order long, code string, embedding array<float>")
+    broken = spark.createDataFrame([{"id": "t", "display_name": "T", "template_order": 0, "vat_number": "", "keywords": ["Пример"],
+                                     "patterns": {"invoice_number": "(INV-[\\d-]+", "vendor_name": "(?P<v>Пример)"}}], TEMPLATES)
+    records = process_documents(from_text(text), broken, registry(spark), corrections=corrections, accounts=accounts)
+    got = {r.doc_id: r for r in records.collect()}
+    assert {k: (r.konto, r.konto_method, r.konto_confidence) for k, r in got.items()} == {
+        "d0": ("4450", "learned_correction", 1.0), "d1": ("4030", "embedding_match", 0.8), "d2": ("4111", "keyword", 0.0)}
+    assert {r.invoice_number for r in got.values()} == {"INV-2024-0", "INV-2024-1", "INV-2024-2"}
+    assert all(r.full_text.endswith("Ѓорѓи") and r.template_id == "t" for r in got.values())
 
 
 def test_entry(spark):

@@ -65,6 +65,15 @@ def test_names(spark):
     assert row.latin == "Dzhambaz Ljubcho DOOEL Skopje" and row.form == "Dzhambaz Ljubcho"
 
 
+def test_every_character_that_composing_changes_is_sent_to_it(spark):
+    import unicodedata
+
+    changed = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.normalize("NFC", chr(c)) != chr(c)]
+    second = {unicodedata.normalize("NFD", chr(c))[1:] for c in range(0x110000) if not 0xD800 <= c < 0xE000} - {""}
+    seen = spark.createDataFrame([(c,) for c in changed + sorted(second)], "c string")
+    assert seen.filter(~F.col("c").rlike(text.COMPOSABLE)).count() == 0
+
+
 def test_composed_letters(spark):
     df = text.compose_unicode(spark.createDataFrame([("Ѓорѓи", 1), (None, 2), ("abc", 3)], "t string, k int"), "t")
     assert [r.t for r in df.orderBy("k").collect()] == ["Ѓорѓи", None, "abc"]

@@ -1,10 +1,13 @@
 """Secret scans: base patterns, and password strength by the cost of guessing.
 
 Base patterns find assignments of long values to credential names, access keys and long hexadecimal runs. Beyond them,
-values in the context of a credential (`pwd: x`, `password is x`, ...) are held against a guesser. A dynamic program
+every value in the context of a credential (`password=x`, `pwd: x`, `password is x`, ...), also one that a base pattern
+covers, is held against a guesser. A dynamic program
 over the value finds the cheapest segmentation into dictionary words (cost: the word's rank, doubled for capitals),
 dates, repeats, keyboard walks and brute-force spans; segments multiply, and n of them cost n! orders. A value that
-takes `10 ** LEAST_GUESSES` guesses or more is reported as `guess`; a plain word after "password is" is cheap.
+takes `10 ** LEAST_GUESSES` guesses or more is reported as `guess`; a plain word after "password is" is cheap. So an
+assignment with a guess inside holds a strong secret, one without a placeholder or a weak password. The span covers the
+whole value; a value beyond `RATED` characters is rated by as many, which costs no more than the whole.
 
 The dictionary is the corpus's own: its most frequent words, by rank, up to `DICTIONARY` words (beyond that rank a
 word is about as dear as brute force over its letters, so more would not change a decision).
@@ -29,7 +32,8 @@ ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 CONTEXT = re.compile(
     rb"""(?i:\b(?:password|passwd|passphrase|passcode|pwd|secret|token|credentials?|api[_ -]?key|access[_ -]?key|pin|login))"""
-    rb"""["']?(?:[ ]{0,3}[:=]{1,2}[ ]{0,3}|[ ](?:is|was|are)[ ]{1,3}:?[ ]?)["']?([^\s"'<>,;]{6,128})""")
+    rb"""["']?(?:[ ]{0,3}[:=]{1,2}[ ]{0,3}|[ ](?:is|was|are)[ ]{1,3}:?[ ]?)["']?([^\s"'<>,;]{6,})""")
+RATED = 128
 KINDS = ("assign", "access", "hex", "guess")
 
 #: Rows of a keyboard, and its neighbours by column: fixed values.
@@ -109,17 +113,15 @@ def guesses(value: str, ranks: dict[str, int]) -> float:
 
 
 def spans_of(raw: bytes, ranks: dict[str, int], least: float = LEAST_GUESSES) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of all secrets of a text, in bytes, sorted. A `guess` that lies within a base span adds nothing."""
+    """(start, kind, end) of all secrets of a text, in bytes, sorted."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(raw) if m.end(1) - m.start(1) >= 12]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(raw) if m.end() - m.start() >= 18]
     found += [(a, 2, b) for a, b in hex_runs(raw)]
     for m in CONTEXT.finditer(raw):
         low, value = m.start(1), m.group(1).rstrip(b".!?)]}")
         high = low + len(value)
-        if len(value) < 6 or any(a <= low and high <= b for a, _, b in found):
-            continue
-        text = value.decode("utf-8", "ignore")
-        if guesses(text, ranks) >= least and any(not c.isalpha() for c in text):
+        text = value[:4 * RATED].decode("utf-8", "ignore")[:RATED]
+        if len(value) >= 6 and guesses(text, ranks) >= least and any(not c.isalpha() for c in text):
             found.append((low, 3, high))
     return sorted(found)
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from knigovod.llm.shared import staged
+
 DICTIONARY = 30_000
 #: log10 of the guesses from which a value in credential context is a secret.
 LEAST_GUESSES = 9.0
@@ -148,7 +150,15 @@ def frequent_words(docs: DataFrame, text: str = "text", most: int = DICTIONARY)
             yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in kept], pa.string()), "n": pa.array([n for _, n in kept], pa.int64())})
 
     counted = docs.select(F.col(text).cast("binary")).dropna().mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counted.filter("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()
+    counted = staged(counted.filter("n > 1"), "words")
+    # A top-k sends k rows of each partition to the driver. So the least count among the top comes first, from the number of
+    # words of each count, of which there are few; then only the words that reach it are sorted.
+    least, above = 1, 0
+    for row in counted.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most).collect():
+        least, above = row["n"], above + row["words"]
+        if above >= most:
+            break
+    rows = counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()
     return {row["word"]: rank for rank, row in enumerate(rows, 1)}
 
 

@@ -139,6 +139,13 @@ def test_secrets(spark, nothing):
     assert secrets.secret_spans(nothing).count() == 0
 
 
+def test_frequent_words(spark, nothing):
+    texts = ["aaa bbb ccc Aaa", "ccc bbb aaa ddd", None, "ddd eee é1 xy xy", ""]
+    given = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert secrets.frequent_words(given) == {"aaa": 1, "bbb": 2, "ccc": 3, "ddd": 4}
+    assert secrets.frequent_words(given, most=2) == {"aaa": 1, "bbb": 2} and secrets.frequent_words(nothing) == {}
+
+
 def test_guesses():
     ranks = {"dragon": 5, "monkey": 9}
     cost = lambda v: secrets.guesses(v, ranks)

@@ -134,6 +134,13 @@ def journal(invoices: DataFrame, lines: DataFrame, konto: Column | Callable[[Dat
         F.when(is_credit, units(-F.col("amount"))).otherwise(zero).alias("credit"))
 
 
+def completed(entries: DataFrame, invoices: DataFrame, lines: DataFrame, konto: Column | Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Given journal rows, and generated ones for the invoices that have none. `lines` may hold those of all invoices: the
+    journal joins them with the invoices that are left."""
+    missing = invoices.join(entries.select("invoice_id").distinct(), "invoice_id", "left_anti")
+    return entries.unionByName(journal(missing, lines, konto))
+
+
 def journal_totals(entries: DataFrame) -> DataFrame:
     """Sums per invoice and whether they balance to the cent."""
     return (

@@ -11,9 +11,12 @@ from knigovod.plans.bindings import INVOICES, LINES, invoices, lines, part_rules
 from knigovod.plans.registered import plain, with_sql
 
 
+def _konto(spark):
+    return F.coalesce(rule_konto(F.col("konto_text"), listed_rules(part_rules(spark))), F.lit(DEFAULT_KONTO))
+
+
 def entries(spark, sf):
-    konto = F.coalesce(rule_konto(F.col("konto_text"), listed_rules(part_rules(spark))), F.lit(DEFAULT_KONTO))
-    return jn.journal(invoices(spark, sf), lines(spark, sf), konto)
+    return jn.journal(invoices(spark, sf), lines(spark, sf), _konto(spark))
 
 
 _UNITS = "CASE WHEN {0} >= 0 THEN ({0} + 50) // 100 ELSE -((-({0}) + 50) // 100) END"
@@ -91,10 +94,25 @@ first_sql = with_sql(JOURNAL, """
 SELECT invoice_id, konto FROM journal WHERE debit_c > 0 AND konto <> '2200'
 QUALIFY row_number() OVER (PARTITION BY invoice_id ORDER BY line_no NULLS LAST, l_partkey, l_suppkey) = 1""")
 
+def journals_completed(spark, sf):
+    """Exported invoices bring a journal row of their own; the others get theirs generated."""
+    inv, rows = invoices(spark, sf), lines(spark, sf)
+    brought = inv.filter("status = 'Exported'").select(
+        "invoice_id", F.lit(None).cast(rows.schema["line_key"].dataType).alias("line_key"), F.lit("9990").alias("konto"),
+        F.lit("as posted").alias("opis"), F.col("total").alias("debit"), F.col("total").alias("credit"))
+    return plain(jn.completed(brought, inv, rows, _konto(spark)), "invoice_id", "konto", "opis", "debit", "credit")
+
+
+completed_sql = with_sql(JOURNAL, """
+SELECT invoice_id, konto, opis, debit_c / 100.0 AS debit, credit_c / 100.0 AS credit FROM journal
+WHERE invoice_id NOT IN (SELECT invoice_id FROM inv WHERE status = 'Exported')
+UNION ALL SELECT invoice_id, '9990', 'as posted', total_c / 100.0, total_c / 100.0 FROM inv WHERE status = 'Exported'""")
+
 QUERIES = {
     "journal_entries": (journal_entries, journal_sql),
     "journal_balance": (journal_balance, balance_sql),
     "journal_by_account": (journal_by_account, by_account_sql),
     "journal_rounding": (journal_rounding, rounding_sql),
+    "journals_completed": (journals_completed, completed_sql),
     "first_expense_account": (first_expense_account, first_sql),
 }

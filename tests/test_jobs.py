@@ -14,7 +14,7 @@ from knigovod.operators import journal as jn
 from knigovod.operators import workflow as wf
 from knigovod.operators.lines import from_text
 from knigovod.operators.registry import with_match_form
-from knigovod.plans.process import post, process_documents
+from knigovod.plans.process import decorated, post, process_documents
 from knigovod.schemas import TEMPLATES
 from knigovod.sources import readers, sinks
 from knigovod.streaming import jobs
@@ -49,6 +49,16 @@ def test_document_to_ledger(spark, tmp_path):
     assert back.select("DATUM KNIZENJE").distinct().head()[0] == "15.03.2024"
 
 
+def test_invoices_from_elsewhere_get_a_journal(spark):
+    records = process_documents(from_text(documents(spark)), spark.createDataFrame([], TEMPLATES), registry(spark))
+    day = F.lit("2024-03-20").cast("date")
+    invoices, entries = post(records, day)
+    brought = entries.filter("invoice_id = 'd0' AND konto = '2200'")
+    shown, whole = decorated(invoices, brought, day)
+    assert shown.count() == 3 and {(r.invoice_id, r.n) for r in whole.groupBy("invoice_id").agg(F.count("*").alias("n")).collect()} == {
+        ("d0", 1), ("d1", 3), ("d2", 3)}
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "reg.csv").write_text("reg_order,id,name\n0,12.0, Пример АД \n1,,x\n2,A7,Друг\n")
     assert [(r.id, r.name) for r in readers.read_registry(spark, str(tmp_path / "reg.csv")).orderBy("reg_order").collect()] == [

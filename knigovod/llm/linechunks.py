@@ -1,15 +1,18 @@
-"""Line dedup on content-defined chunks of lines.
+"""Line dedup: on repeated passages of any length from two lines up, or on content-defined chunks of lines.
 
-A rolling hash over the hashes of the last `SPAN` lines says after which lines a chunk ends, so a passage is cut in the
-same places whatever stands before it. Chunks of two or more lines that occur more than once in the corpus are removed
-after their bytes are compared, but for the first occurrence (least doc_id, then position).
+Passages: a piece is a line that is not blank, with the next such line and what is blank between them; pieces overlap
+and begin at every line, so a repeated passage is a run of repeated pieces wherever it stands and whatever is around
+it. Chunks: a rolling hash over the hashes of the last `SPAN` lines says after which lines a chunk ends; a passage that
+holds no whole chunk is not found. Pieces (or chunks of two or more lines) that occur more than once in the corpus are
+removed after their bytes are compared, but for the first occurrence (least doc_id, then position).
 
-Texts move twice: the chunks that may be removed to where their hash is, and the documents to where their repeats are.
+Texts move twice: the pieces that may be removed to where their hash is, and the documents to where their repeats are.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -44,15 +47,26 @@ def _eligible(lines: list[bytes]) -> bool:
     return sum(1 for x in lines if x.strip()) >= LEAST_LINES
 
 
-def _found(docs: DataFrame, with_text: bool) -> DataFrame:
-    """One row per chunk that may be removed: doc_id, k (hash of the text), place, h, and its bytes if wanted."""
+def pieces(raw: bytes) -> list[tuple[int, int, int]]:
+    """(hash, first line, end line) of every two lines of a text that follow each other, but for blank lines between."""
+    lines = raw.split(b"\n")
+    full = [k for k, x in enumerate(lines) if x.strip()]
+    out = []
+    for low, last in zip(full, full[1:]):
+        own = hashlib.blake2b(b"\n".join(lines[low:last + 1]), digest_size=8).digest()
+        out.append((int.from_bytes(own, "little", signed=True), low, last + 1))
+    return out
+
+
+def _found(docs: DataFrame, with_text: bool, cut: Callable) -> DataFrame:
+    """One row per piece that may be removed: doc_id, k (hash of the text), place, h, and its bytes if wanted."""
 
     def run(batches):
         for batch in batches:
             ids, keys, places, hashes, bodies = [], [], [], [], []
             for i, k, value in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 lines = value.split(b"\n")
-                for h, low, high in chunks(value):
+                for h, low, high in cut(value):
                     if high - low >= LEAST_LINES and _eligible(lines[low:high]):
                         ids.append(i)
                         keys.append(k)
@@ -76,14 +90,26 @@ def without_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str =
     (doc_id, text) are one document: what is removed from one is removed from all. Chunks of fewer than two lines that
     are not blank are never removed. A chunk whose hash is that of another but whose bytes are not stays. Other columns
     are not read."""
+    return _without(docs, doc_id, text, chunks)
+
+
+def without_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same columns for repeated passages: every line of a run of two or more lines that are not blank goes if
+    each piece of the run stands, byte for byte, earlier in the corpus; n_chunks counts the pieces. A line goes only if an
+    equal line stands earlier, so each distinct line stays once at least. Blank lines go only between lines that do.
+    Nulls, empty texts and repeated rows as in `without_repeated_chunks`."""
+    return _without(docs, doc_id, text, pieces)
+
+
+def _without(docs: DataFrame, doc_id: str, text: str, cut: Callable) -> DataFrame:
     given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t"))
     given = given.withColumn("k", F.xxhash64("t"))
     where = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("i"), "k", "place")
-    firsts = _found(given, False).withColumn("w", where).groupBy("h").agg(
+    firsts = _found(given, False, cut).withColumn("w", where).groupBy("h").agg(
         F.min("w").alias("first"), F.max("w").alias("last")).filter("first <> last").select("h", "first")
     firsts = staged(firsts, "chunks")
     # Both joins move texts: sort-merge at every size, so that what is moved grows as the texts do.
-    repeated = staged(_found(given, True).join(firsts.hint("merge"), "h").withColumn("w", where), "repeats")
+    repeated = staged(_found(given, True, cut).join(firsts.hint("merge"), "h").withColumn("w", where), "repeats")
     originals = repeated.filter("w = first").groupBy("h").agg(F.first("body").alias("original"))
     removed = repeated.filter("w <> first").join(originals, "h").filter("body = original")
     gone = removed.groupBy("doc_id", "k").agg(F.collect_set("place").alias("places"))
@@ -93,11 +119,10 @@ def without_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str =
         for batch in batches:
             n_lines, n_chunks, n_removed, kept = [], [], [], []
             for value, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                lines, out, found = value.split(b"\n"), [], chunks(value)
+                lines, found = value.split(b"\n"), cut(value)
                 dropped = set(places or ())
-                for _, low, high in found:
-                    if low not in dropped:
-                        out.extend(lines[low:high])
+                gone_lines = {n for _, low, high in found if low in dropped for n in range(low, high)}
+                out = [x for n, x in enumerate(lines) if n not in gone_lines] if gone_lines else lines
                 n_lines.append(len(lines))
                 n_chunks.append(len(found))
                 n_removed.append(len(lines) - len(out))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from knigovod.llm.decontaminate import contamination
 from knigovod.llm.jaccard import similarity_classes
 from knigovod.llm.katz import katz_scores
-from knigovod.llm.linechunks import without_repeated_chunks
+from knigovod.llm.linechunks import without_repeated_passages
 from knigovod.llm.mixing import mixed
 from knigovod.llm.secrets import secret_spans
 from knigovod.llm.suffixes import remove_repeats
@@ -39,7 +39,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op1_line_dedup(spark, sf):
-    out = without_repeated_chunks(table(spark, sf, "documents"))
+    out = without_repeated_passages(table(spark, sf, "documents"))
     return out.select("doc_id", "n_lines", "n_chunks", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

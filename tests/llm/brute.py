@@ -262,3 +262,25 @@ def line_dedup(docs, chunks):
                 kept += lines[low:high]
         out.append((i, len(lines), len(cut), len(lines) - len(kept), sha(b"\n".join(kept))))
     return out
+
+
+def passages(docs):
+    """(id, text left) without the lines of every pair of full lines that stands earlier, byte for byte."""
+    def pairs(t):
+        lines = t.split(b"\n")
+        full = [k for k, x in enumerate(lines) if x.strip()]
+        return lines, [(a, b + 1) for a, b in zip(full, full[1:])]
+
+    rows = [(i, (t or "").encode()) for i, t in docs]
+    place = lambda i, t, low: (i is not None, i or 0, xxhash.xxh64(t, seed=42).intdigest() ^ (1 << 63), low)
+    first, out = {}, []
+    for i, t in rows:
+        lines, found = pairs(t)
+        for low, high in found:
+            body = tuple(lines[low:high])
+            first[body] = min(first.get(body, place(i, t, low)), place(i, t, low))
+    for i, t in rows:
+        lines, found = pairs(t)
+        gone = {k for low, high in found if first[tuple(lines[low:high])] != place(i, t, low) for k in range(low, high)}
+        out.append((i, b"\n".join(x for k, x in enumerate(lines) if k not in gone)))
+    return out

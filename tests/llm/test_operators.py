@@ -74,6 +74,29 @@ def chunked(raw):
     return {h for h, _, _ in linechunks.chunks(raw)}
 
 
+def test_passages_in_mid_document(spark, docs, nothing):
+    """Every repeat of two lines or more goes, whatever stands around it; single lines stay."""
+    r = random.Random(7)
+    rows, planted = [], {}
+    for n in (1, 2, 3, 4, 6, 10, 20):
+        for copy in range(30):
+            shared = [f"passage {n} {copy} {k}" + ("\n" if k % 3 == 1 else "") for k in range(n)]
+            for twin in range(2):
+                around = [[f"own {n} {copy} {twin} {side} {k}" for k in range(r.randint(1, 9))] for side in range(2)]
+                planted[len(rows)] = (around, shared, n, twin)
+                rows.append((len(rows), "\n".join(around[0] + shared + around[1])))
+    out = linechunks.without_repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    for row in out:
+        (before, after), shared, n, twin = planted[row.doc_id]
+        kept = bytes(row.kept).decode()
+        assert all(x in kept.split("\n") for x in before + after)
+        assert (shared[0].strip() in kept.split("\n")) == (n == 1 or twin == 0), (n, kept)
+        assert kept.count("passage") == (0 if n > 1 and twin else n)
+    out = linechunks.without_repeated_passages(docs).collect()
+    same([(x.doc_id, bytes(x.kept)) for x in out], brute.passages(ROWS))
+    assert linechunks.without_repeated_passages(nothing).count() == 0
+
+
 def test_fingerprints(docs, nothing):
     same(winnow.edited_fingerprints(docs).collect(), brute.fingerprints(ROWS), 9)
     assert winnow.edited_fingerprints(nothing).count() == 0

@@ -44,13 +44,15 @@ LEVEL = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in
 class Encoder:
     """Encodes texts with a byte-level BPE tokenizer of the tokenizers library. Its pre-tokenizer never joins a piece
     across a single space, or before a line feed, so texts are cut there, and each distinct piece is encoded once while
-    it stays in the cache. Texts with longer runs of white space are pre-tokenized whole."""
+    it stays in the cache. Texts with longer runs of white space are pre-tokenized whole; texts that hold the content of
+    an added token are encoded by the library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are then ordinary text
+        #: Added tokens are matched before any cutting, so texts that hold one's content are left to the library.
+        self.added = [a.content for a in self.tokenizer.get_added_tokens_decoder().values() if a.content]
         self.cut, self.model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.marks: dict[str, bytes] = {}
@@ -64,6 +66,10 @@ class Encoder:
     def _ids(self, text: str) -> bytes:
         return b"".join([self._level(token) for token, _ in self.cut(text)])
 
+    def _whole(self, text: str) -> bytes:
+        """The ids that the library gives for a text, its added tokens among them."""
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def _word(self, word: str) -> bytes:
         """Letters with the space before them: one pre-token. Bytes are written as the characters that stand for them
         in the vocabulary, the space as U+0120."""
@@ -90,7 +96,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as 16-bit numbers where the vocabulary allows, else 32-bit."""
-        cut = [None if JOINED.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        whole = {k: self._whole(t) for k, t in enumerate(texts) if any(a in t for a in self.added)}
+        cut = [None if k in whole or JOINED.search(t) else t.replace("\n", " \n").split(" ") for k, t in enumerate(texts)]
         needed: set[str] = set()
         for parts in cut:
             if parts:
@@ -103,8 +110,8 @@ class Encoder:
             known = self.old.get
             self.young.update([(p, known(p) or self._piece(p)) for p in fresh])
         get = self.young.__getitem__
-        return [self._ids(t) if parts is None else self._ids(parts[0]) + b"".join(map(get, parts[1:]))
-                for t, parts in zip(texts, cut)]
+        return [whole[k] if k in whole else self._ids(t) if parts is None else self._ids(parts[0]) + b"".join(map(get, parts[1:]))
+                for k, (t, parts) in enumerate(zip(texts, cut))]
 
 
 #: One encoder per tokenizer in a worker process; its cache serves one task after the other.

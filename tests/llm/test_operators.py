@@ -322,6 +322,21 @@ def test_encoder_against_the_library():
     assert [np.frombuffer(x, np.uint16).tolist() for x in encoder.encode(texts)] == wanted
 
 
+def test_added_tokens_in_texts(spark):
+    """Ids as a freshly loaded tokenizer gives them, in texts that hold added tokens too."""
+    from tokenizers import Tokenizer
+
+    plain, encoder = Tokenizer.from_file(tokenizer_path()), tokens.Encoder(tokenizer_path())
+    r = random.Random(13)
+    signs = ["a", "b ", " c", "\n", "  ", ".", "é", "<|endoftext|>", "<|endof", "|>"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>"] + ["".join(r.choice(signs) for _ in range(r.randint(0, 12))) for _ in range(500)]
+    wanted = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in wanted[0] and [np.frombuffer(x, np.uint16).tolist() for x in encoder.encode(texts)] == wanted
+    out = tokens.read_tokens(tokens.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), tokenizer_path()))
+    got = {x.doc_id: (x.n_tokens, x.ids_crc32) for x in out.collect()}
+    assert got == {k: (len(w) + 1, zlib.crc32(np.array(w + [tokens.END_ID], "<u4"))) for k, w in enumerate(wanted)}
+
+
 def test_repeated_bytes(docs, nothing):
     out = suffixes.remove_repeats(docs, digest=True).collect()
     same(out, brute.remove_repeats(ROWS))

@@ -6,11 +6,12 @@ covers, is held against a guesser. A dynamic program
 over the value finds the cheapest segmentation into dictionary words (cost: the word's rank, doubled for capitals),
 dates, repeats, keyboard walks and brute-force spans; segments multiply, and n of them cost n! orders. A value that
 takes `10 ** LEAST_GUESSES` guesses or more is reported as `guess`; a plain word after "password is" is cheap. So an
-assignment with a guess inside holds a strong secret, one without a placeholder or a weak password. The span covers the
-whole value; a value beyond `RATED` characters is rated by as many, which costs no more than the whole.
+assignment with a guess inside holds a strong secret, one without a placeholder or a weak password. The whole value is
+rated and reported, however long: what can no longer cost less than the least is not followed.
 
-The dictionary is the corpus's own: its most frequent words, by rank, up to `DICTIONARY` words (beyond that rank a
-word is about as dear as brute force over its letters, so more would not change a decision).
+The dictionary is the corpus's own: all its words of letters by rank, but for those that stand as a value in credential
+context, so that copies of a secret do not make it a word. Only the words that some value may be made of leave the
+executors.
 """
 
 from __future__ import annotations
@@ -33,9 +34,10 @@ LEAST_GUESSES = 9.0
 ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 CONTEXT = re.compile(
-    rb"""(?i:\b(?:password|passwd|passphrase|passcode|pwd|secret|token|credentials?|api[_ -]?key|access[_ -]?key|pin|login))"""
-    rb"""["']?(?:[ ]{0,3}[:=]{1,2}[ ]{0,3}|[ ](?:is|was|are)[ ]{1,3}:?[ ]?)["']?([^\s"'<>,;]{6,})""")
-RATED = 128
+    rb"""(?i:(?:password|passwd|passphrase|passcode|pwd|secret|token|credentials?|api[_ -]?key|access[_ -]?key|pin|login))"""
+    rb"""["']?(?:[ \t]*[:=]{1,2}[ \t]*|[ \t]+(?:is|was|are)[ \t]+:?[ \t]*)["']?([^\s"'<>,;]{6,})""")
+#: Letters of a dictionary word.
+LETTERS = (3, 24)
 KINDS = ("assign", "access", "hex", "guess")
 
 #: Rows of a keyboard, and its neighbours by column: fixed values.
@@ -62,10 +64,10 @@ def alphabet(part: str) -> int:
             + 10 * any("0" <= c <= "9" for c in part) + 33 * any(not (c.isascii() and c.isalnum()) for c in part)) or 1
 
 
-def _walk(value: str, at: int) -> int:
-    """End of the longest keyboard walk from `at`: neighbours on the keyboard, one key after the other."""
+def _walk(value: str, at: int, most: float) -> int:
+    """End of the longest keyboard walk from `at`, of `most` keys at most: neighbours, one key after the other."""
     end = at + 1
-    while end < len(value):
+    while end < len(value) and end - at < most:
         one, two = PLACES.get(value[end - 1]), PLACES.get(value[end])
         if one is None or two is None or abs(one[0] - two[0]) > 1 or abs(one[1] - two[1]) > 1 or one == two:
             break
@@ -73,45 +75,80 @@ def _walk(value: str, at: int) -> int:
     return end
 
 
-def guesses(value: str, ranks: dict[str, int]) -> float:
-    """log10 of the guesses that `value` takes: the least over all segmentations."""
-    n, low = len(value), value.lower()
+def _segments(value: str, low: str, i: int, per_place: float, room: float, ranks) -> list[tuple[int, float]]:
+    """(end, cost) of the segments from `i`; brute force and walks only as long as they cost no more than `room`."""
+    n, out = len(value), []
+    for j in range(i + LETTERS[0], min(n, i + LETTERS[1]) + 1):
+        rank = ranks.get(low[i:j])
+        if rank is not None:
+            capitals = sum(1 for c in value[i:j] if c.isupper())
+            out.append((j, math.log10(rank + 1) + (math.log10(2) if capitals in (1, j - i) else capitals * math.log10(2))))
+    for j in range(i + 4, min(n, i + 10) + 1):
+        if DATE.fullmatch(value, i, j):
+            digits = sum(c.isdigit() for c in value[i:j])
+            out.append((j, (YEAR_COST if j - i == 4 and digits == 4 else DATE_COST) + (SEPARATOR_COST if digits < j - i else 0)))
+    for j in range(i + 4, _walk(low, i, room / 0.3 + 1) + 1):
+        out.append((j, math.log10(len(PLACES)) + math.log10(8) + 0.3 * (j - i)))
+    for unit in range(1, min(8, (n - i) // 2) + 1):
+        j = i + unit
+        while j + unit <= n and value[j:j + unit] == value[i:i + unit]:
+            j += unit
+        if j - i >= max(3, 2 * unit):
+            base = min([unit * math.log10(max(alphabet(value[i:i + unit]), 10))] + [
+                math.log10(r + 1) for r in [ranks.get(low[i:i + unit])] if r is not None])
+            out.append((j, base + math.log10((j - i) // unit)))
+    out.extend((j, per_place * (j - i)) for j in range(i + 1, int(min(n, i + room / per_place + 1)) + 1))
+    return out
+
+
+def guesses(value: str, ranks, limit: float = math.inf) -> float:
+    """log10 of the guesses that `value` takes: the least over all segmentations; infinite from `limit` on."""
+    n, low = len(value), "".join(x if len(x := c.lower()) == 1 else c for c in value)
     per_place = math.log10(max(alphabet(value), 10))
-    segments: list[list[tuple[int, float]]] = [[] for _ in range(n)]  # by start: (end, cost)
-    for i in range(n):
-        for j in range(i + 3, min(n, i + 24) + 1):
-            rank = ranks.get(low[i:j])
-            if rank is not None:
-                capitals = sum(1 for c in value[i:j] if c.isupper())
-                segments[i].append((j, math.log10(rank + 1) + (math.log10(2) if capitals in (1, j - i) else capitals * math.log10(2))))
-        for j in range(i + 4, min(n, i + 10) + 1):
-            if DATE.fullmatch(value, i, j):
-                digits = sum(c.isdigit() for c in value[i:j])
-                segments[i].append((j, (YEAR_COST if j - i == 4 and digits == 4 else DATE_COST) + (SEPARATOR_COST if digits < j - i else 0)))
-        end = _walk(low, i)
-        for j in range(i + 4, end + 1):
-            segments[i].append((j, math.log10(len(PLACES)) + math.log10(8) + 0.3 * (j - i)))
-        for unit in range(1, min(8, (n - i) // 2) + 1):
-            j = i + unit
-            while j + unit <= n and value[j:j + unit] == value[i:i + unit]:
-                j += unit
-            if j - i >= max(3, 2 * unit):
-                base = min([unit * math.log10(max(alphabet(value[i:i + unit]), 10))] + [
-                    math.log10(r + 1) for r in [ranks.get(low[i:i + unit])] if r is not None])
-                segments[i].append((j, base + math.log10((j - i) // unit)))
-        segments[i].extend((j, per_place * (j - i)) for j in range(i + 1, n + 1))
-    # Cheapest way to each place with so many segments; more than eight never pay.
-    most = min(n, 8)
-    best = [[math.inf] * (most + 1) for _ in range(n + 1)]
-    best[0][0] = 0.0
+    # Cheapest way to each place with so many segments. Ten cost 10! orders and ten words, more than `LEAST_GUESSES`.
+    most = min(n, 10)
+    orders = [math.log10(math.factorial(k)) for k in range(most + 1)]
+    best: dict[int, list[float]] = {0: [0.0] + [math.inf] * most}
+    upto = 0
     for i in range(n):
+        if i > upto:
+            break
+        row = best.pop(i, None)
+        if row is None:
+            continue
+        segments = _segments(value, low, i, per_place, limit - min(row), ranks)
         for used in range(most):
-            cost = best[i][used]
+            cost = row[used]
             if cost < math.inf:
-                for j, own in segments[i]:
-                    if cost + own < best[j][used + 1]:
-                        best[j][used + 1] = cost + own
-    return min(cost + math.log10(math.factorial(used)) for used, cost in enumerate(best[n]) if cost < math.inf) if n else 0.0
+                for j, own in segments:
+                    total = cost + own
+                    if total + orders[used + 1] < limit:
+                        to = best.get(j)
+                        if to is None:
+                            to = best[j] = [math.inf] * (most + 1)
+                            upto = max(upto, j)
+                        if total < to[used + 1]:
+                            to[used + 1] = total
+    return min((c + o for c, o in zip(best[n], orders)), default=math.inf) if n in best else math.inf
+
+
+class Asked:
+    """A dictionary that has every word at the first rank, and notes which it was asked for."""
+
+    def __init__(self):
+        self.words: set[str] = set()
+
+    def get(self, word: str) -> int | None:
+        if LETTERS[0] <= len(word) <= LETTERS[1] and word.isalpha():
+            self.words.add(word)
+            return 1
+        return None
+
+
+def values_of(raw: bytes) -> list[tuple[int, int]]:
+    """(start, end) of the values in credential context."""
+    found = [(m.start(1), m.start(1) + len(m.group(1).rstrip(b".!?)]}"))) for m in CONTEXT.finditer(raw)]
+    return [(a, b) for a, b in found if b - a >= 6]
 
 
 def spans_of(raw: bytes, ranks: dict[str, int], least: float = LEAST_GUESSES) -> list[tuple[int, int, int]]:
@@ -119,11 +156,8 @@ def spans_of(raw: bytes, ranks: dict[str, int], least: float = LEAST_GUESSES) ->
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(raw) if m.end(1) - m.start(1) >= 12]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(raw) if m.end() - m.start() >= 18]
     found += [(a, 2, b) for a, b in hex_runs(raw)]
-    for m in CONTEXT.finditer(raw):
-        low, value = m.start(1), m.group(1).rstrip(b".!?)]}")
-        high = low + len(value)
-        text = value[:4 * RATED].decode("utf-8", "ignore")[:RATED]
-        if len(value) >= 6 and guesses(text, ranks) >= least and any(not c.isalpha() for c in text):
+    for low, high in values_of(raw):
+        if guesses(raw[low:high].decode("utf-8", "ignore"), ranks, least) >= least:
             found.append((low, 3, high))
     return sorted(found)
 
@@ -136,21 +170,56 @@ def code_points(raw: bytes, places: list[int]) -> list[int]:
     return before[places].tolist()
 
 
-def frequent_words(docs: DataFrame, text: str = "text", most: int = DICTIONARY) -> dict[str, int]:
-    """Ranks of the corpus's most frequent words of 3 to 24 letters a-z, counted over all texts. Ties go by the word."""
+def counted_words(docs: DataFrame, text: str, least: float | None = None) -> DataFrame:
+    """(word, n, asked) of the corpus's words of 3 to 24 letters that are not values in credential context, n counted over
+    all texts; with `least`, also of the words that could make a value cheaper than that, as `asked`."""
 
     def run(batches):
         from collections import Counter
 
         for batch in batches:
             counts: Counter = Counter()
+            asked: set[str] = set()
             for value in batch.column(0):
-                counts.update(value.as_py().lower().split())
-            kept = [(w.decode(), n) for w, n in counts.items() if 3 <= len(w) <= 24 and w.isalpha() and w.isascii()]
-            yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in kept], pa.string()), "n": pa.array([n for _, n in kept], pa.int64())})
+                raw = value.as_py()
+                found = values_of(raw)
+                for low, high in found if least is not None else ():
+                    own = Asked()
+                    if guesses(raw[low:high].decode("utf-8", "ignore"), own, least) < least:
+                        asked |= own.words
+                if found:
+                    ends = [0, *(high for _, high in found)]
+                    raw = b" ".join(raw[a:b] for a, b in zip(ends, [*(low for low, _ in found), len(raw)]))
+                counts.update(raw.lower().split())
+            kept: Counter = Counter()
+            for w, n in counts.items():
+                word = w.decode("utf-8", "ignore").lower()
+                if LETTERS[0] <= len(word) <= LETTERS[1] and word.isalpha():
+                    kept[word] += n
+            words = [*kept, *(asked - kept.keys())]
+            yield pa.RecordBatch.from_pydict({
+                "word": pa.array(words, pa.string()), "n": pa.array([kept[w] for w in words], pa.int64()),
+                "asked": pa.array([w in asked for w in words], pa.bool_())})
+
+    given = docs.select(F.col(text).cast("binary")).dropna().mapInArrow(run, "word string, n bigint, asked boolean")
+    return given.groupBy("word").agg(F.sum("n").alias("n"), F.max("asked").alias("asked")).filter("n > 0")
 
-    counted = docs.select(F.col(text).cast("binary")).dropna().mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = staged(counted.filter("n > 1"), "words")
+
+def ranks_of(docs: DataFrame, text: str = "text", least: float = LEAST_GUESSES) -> dict[str, float]:
+    """Ranks among all words of the corpus, for those that values in credential context may be made of. Words of equal
+    count share the middle of their ranks."""
+    counted = staged(counted_words(docs, text, least), "words")
+    # How many words have each count: few rows, as counts repeat.
+    middle, above = {}, 0
+    for row in counted.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect():
+        middle[row["n"]] = above + (row["words"] + 1) / 2
+        above += row["words"]
+    return {row["word"]: middle[row["n"]] for row in counted.filter("asked").select("word", "n").collect()}
+
+
+def frequent_words(docs: DataFrame, text: str = "text", most: int = DICTIONARY) -> dict[str, int]:
+    """Ranks of the corpus's most frequent words, as `counted_words` counts them. Ties go by the word."""
+    counted = staged(counted_words(docs, text).filter("n > 1").select("word", "n"), "words")
     # A top-k sends k rows of each partition to the driver. So the least count among the top comes first, from the number of
     # words of each count, of which there are few; then only the words that reach it are sorted.
     least, above = 1, 0
@@ -171,8 +240,8 @@ def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     kind as in `KINDS`) for each row of `docs`.
 
     Null and empty texts have none. Repeated rows give repeated results, also in the counts of the dictionary. Very
-    long texts are scanned whole. `ranks` replaces the corpus's dictionary. Other columns are not read."""
-    words = docs.sparkSession.sparkContext.broadcast(frequent_words(docs, text) if ranks is None else ranks)
+    long texts and values are rated whole. `ranks` replaces the corpus's dictionary. Other columns are not read."""
+    words = docs.sparkSession.sparkContext.broadcast(ranks_of(docs, text, least) if ranks is None else ranks)
 
     def run(batches):
         known = words.value

@@ -162,6 +162,30 @@ def test_secrets(spark, nothing):
     assert secrets.secret_spans(nothing).count() == 0
 
 
+def test_secrets_in_common_contexts(spark):
+    """Names with something before them, tabs, values of letters only, and values with a cheap beginning."""
+    strong = ["k9#vQ2!mZ7p", "k9vQ2mZ7pLw3", "qXkTvbRmWzLpHd", "a" * 200 + "k9#vQ2!mZ7px"]
+    before = ["DB_PASSWORD=", "MYSQL_PWD=", "client_secret: ", "userPassword = ", "api2token\t=\t", "password is ", "pwd:\t"]
+    texts = [b + v for b in before for v in strong]
+    weak = ["password is internationally", "DB_PASSWORD=" + "ab" * 500, "my secret is größeres", "token was Internationally."]
+    # 40,000 words above the two, which are then far down the list; a secret's own copies do not make it a word.
+    filler = " ".join("".join(chr(97 + k // 26 ** j % 26) for j in range(4)) for k in range(40_000))
+    rows = list(enumerate([*texts, *weak, f"{filler} {filler}", "internationally größeres", *texts[:12]]))
+    out = secrets.secret_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    guessed = {x.doc_id: [dict(rows)[x.doc_id][a:b] for k, a, b in zip(x.kinds, x.starts, x.ends) if k == "guess"] for x in out}
+    assert [guessed[k] for k in range(len(texts))] == [[v] for _ in before for v in strong]
+    assert not any(guessed[len(texts) + k] for k in range(len(weak) + 2))
+
+
+def test_limit_of_guesses():
+    """Stopping at the limit does not change what is below it."""
+    r, ranks = random.Random(21), {"dragon": 5, "monkey": 9, "abc": 40}
+    for _ in range(300):
+        value = "".join(r.choice(["dragon", "Monkey", "abc", "1999", "a", "k", "#", "qwer", "7"]) for _ in range(r.randint(1, 7)))
+        whole = secrets.guesses(value, ranks)
+        assert secrets.guesses(value, ranks, 9.0) == (whole if whole < 9.0 else float("inf"))
+
+
 def test_frequent_words(spark, nothing):
     texts = ["aaa bbb ccc Aaa", "ccc bbb aaa ddd", None, "ddd eee é1 xy xy", ""]
     given = spark.createDataFrame([(t,) for t in texts], "text string")

@@ -10,9 +10,13 @@ one pass over the documents, which are not shuffled for it.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from knigovod.llm.shared import staged
 
@@ -22,6 +26,10 @@ BLOCK_WORDS = 100_000
 #: Bytes of words: 0-9, a-z and all of non-ASCII characters; A-Z are lower-cased, the rest separates.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
+WORD = re.compile(rb"[^ ]+")
+#: The column that carries spans from block to block.
+MARKS = "_hit_spans"
+
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
@@ -235,29 +243,72 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "spans", (hit > 0).alias("contaminated"))
 
 
-def _clean(docs: DataFrame, items: list, window: int, text: str, max_words: int, max_coverage: float) -> DataFrame:
-    """The rows that one block of items leaves, with all their columns; they stay where they are."""
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of several blocks in order, overlapping and adjoining ones put together."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(spans):
+        if out and out[-1][1] >= low:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
+    return out
+
+
+def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """A text without spans of words, from the first letter of each span to its last; what separates words stays."""
+    at = [m.span() for m in WORD.finditer(text.translate(WORD_BYTES))]
+    cuts = [0, *(k for low, high in spans for k in (at[low][0], at[high - 1][1])), len(text)]
+    return b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
+
+
+def _marked(docs: DataFrame, items: list, window: int, text: str, last: Callable | None) -> DataFrame:
+    """The rows with `MARKS`, the spans that this block of items hits put to those of the blocks before. At the last
+    block, `last` (words, spans -> whether the row stays, whether its text is cut) is applied instead and `MARKS` goes.
+    Rows stay where they are."""
     pairs, at = _pairs(items), docs.columns.index(text)
+    columns = [c for c in docs.columns if c != MARKS]
+    before = len(columns) < len(docs.columns)
+    span = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
 
     def run(batches):
         automaton = Automaton(pairs, window)
         for batch in batches:
-            keep = []
-            for value in batch.column(at):
-                words = words_of((value.as_py() or "").encode())
-                hit = sum(b - a for a, b in automaton.found(words)[0])
-                keep.append(hit <= max_words or hit <= max_coverage * len(words))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            known = batch.column(len(columns)).to_pylist() if before else [()] * batch.num_rows
+            marks, keep, texts = [], [], []
+            for value, earlier in zip(batch.column(at), known):
+                raw = (value.as_py() or "").encode()
+                words = words_of(raw)
+                spans = _merged([*((x["low"], x["high"]) for x in earlier), *map(tuple, automaton.found(words)[0])])
+                if last is None:
+                    marks.append([{"low": a, "high": b} for a, b in spans])
+                else:
+                    stays, cut = last(len(words), spans)
+                    keep.append(stays)
+                    texts.append(without_spans(raw, spans).decode() if stays and cut and spans else value.as_py())
+            arrays = [batch.column(k) for k in range(len(columns))]
+            if last is None:
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(marks, span)], names=[*columns, MARKS])
+            else:
+                arrays[at] = pa.array(texts, batch.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    schema = StructType([f for f in docs.schema.fields if f.name != MARKS])
+    return docs.mapInArrow(run, schema if last else schema.add(MARKS, ArrayType(StructType().add("low", IntegerType()).add("high", IntegerType()))))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-                   window: int = WINDOW, max_words: int = 0, max_coverage: float = 0.0, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of `docs`, all columns, without the documents of which a block of items hits more than `max_words`
-    words and more than a share of `max_coverage`. By default any hit excludes a document. Nulls, empty texts and
-    repeated rows as in `contamination`."""
+                   window: int = WINDOW, max_words: int = 0, max_coverage: float = 0.0, block_words: int = BLOCK_WORDS,
+                   cut: bool = False) -> DataFrame:
+    """The rows of `docs`, all columns, without the documents of which the items, all blocks together, hit more than
+    `max_words` words and more than a share of `max_coverage`. By default any hit excludes a document. With `cut`, the
+    texts of those that stay lose the words that are hit; what then meets is not searched again. Nulls, empty texts
+    and repeated rows as in `contamination`."""
+
+    def last(n_words: int, spans: list[tuple[int, int]]) -> tuple[bool, bool]:
+        hit = sum(b - a for a, b in spans)
+        return hit <= max_words or hit <= max_coverage * n_words, cut
+
     items, blocks = _blocks(benchmark, item_id, item_text, block_words)
     for b in range(blocks):
-        docs = _clean(docs, _block(items, b, blocks), window, text, max_words, max_coverage)
+        docs = _marked(docs, _block(items, b, blocks), window, text, last if b == blocks - 1 else None)
     return docs

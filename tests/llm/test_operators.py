@@ -129,6 +129,30 @@ def test_contamination(spark, docs, nothing):
     assert decontaminate.contamination(docs, items.limit(0)).filter("contaminated").count() == 0
 
 
+def test_limits_hold_over_all_blocks(spark):
+    """Length and coverage are those of the spans of all blocks together, and `cut` takes them out of the text."""
+    one, two = (" ".join(f"{x}{k}" for k in range(12)) for x in "ab")
+    items = spark.createDataFrame([(1, one), (2, two)], "item_id int, text string")
+    clean = " ".join(f"été{k}," for k in range(40))
+    texts = [clean, f"{clean} {one.upper()}! {clean}", f"{clean}\n{one} {clean} {two}.", f"x {one} {two}", None, ""]
+    docs = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id bigint, text string, source string")
+
+    def apart(block_words):
+        listed, blocks = decontaminate._blocks(items, "item_id", "text", block_words)
+        return max(len(decontaminate._block(listed, b, blocks)) for b in range(blocks)) == 1
+
+    # The second size puts the items into blocks of their own.
+    for block_words in (decontaminate.BLOCK_WORDS, next(n for n in (20, 13, 8, 7, 6, 5) if apart(n))):
+        left = lambda **limits: {
+            x.doc_id: x.text for x in decontaminate.decontaminated(docs, items, block_words=block_words, **limits).collect()}
+        assert left() == {k: texts[k] for k in (0, 4, 5)}
+        assert left(max_words=15) == {k: texts[k] for k in (0, 1, 4, 5)}
+        assert left(max_coverage=0.2) == {k: texts[k] for k in (0, 1, 4, 5)}
+        assert left(max_coverage=0.5) == {k: texts[k] for k in (0, 1, 2, 4, 5)}
+        assert left(max_coverage=0.5, cut=True) == {0: clean, 1: f"{clean} ! {clean}", 2: f"{clean}\n {clean} .", 4: None, 5: ""}
+        assert left(max_words=24, cut=True)[3] == "x "
+
+
 def test_automaton_against_plain_search():
     r = random.Random(3)
     for _ in range(60):

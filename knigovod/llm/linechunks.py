@@ -1,18 +1,22 @@
-"""Line dedup: on repeated passages of any length from two lines up, or on content-defined chunks of lines.
+"""Line dedup on content-defined chunks of lines.
 
-Passages: a piece is a line that is not blank, with the next such line and what is blank between them; pieces overlap
-and begin at every line, so a repeated passage is a run of repeated pieces wherever it stands and whatever is around
-it. Chunks: a rolling hash over the hashes of the last `SPAN` lines says after which lines a chunk ends; a passage that
-holds no whole chunk is not found. Pieces (or chunks of two or more lines) that occur more than once in the corpus are
-removed after their bytes are compared, but for the first occurrence (least doc_id, then position).
+A rolling hash over the hashes of the last `SPAN` lines that are not blank says which lines are boundaries; a chunk goes
+from one boundary to the next, both included, so it has two such lines at least and neighbouring chunks share the line
+at their border. Whether a line is a boundary depends on the line alone, so a passage has the same chunks wherever it
+stands. Boundaries are dense (all but one line in `PASSED`): a passage of two lines is a chunk of its own in 15 of 16
+cases, and longer ones nearly always hold one.
 
-Texts move twice: the pieces that may be removed to where their hash is, and the documents to where their repeats are.
+Chunks that occur more than once in the corpus are removed, but for the first occurrence (least doc_id, then position),
+after their bytes are compared with it. A removed chunk is then extended line by line, both ways up to the next
+boundary, as far as the lines around the first occurrence are the same; beyond a boundary there is another chunk.
+
+Texts move twice: the chunks that may be removed to where their hash is, and the documents to where their repeats are.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,109 +26,125 @@ from pyspark.sql import functions as F
 from knigovod.llm import words as W
 from knigovod.llm.shared import staged
 
-SPAN, DIVISOR, LEAST_LINES = 3, 4, 2
+SPAN, PASSED = 1, 32
+
 
+def full_lines(lines: list[bytes]) -> list[int]:
+    """Where the lines stand that are not blank."""
+    return [k for k, x in enumerate(lines) if x.strip()]
 
-def chunks(raw: bytes) -> list[tuple[int, int, int]]:
-    """(hash, first line, end line) of the chunks of a text."""
-    lines = raw.split(b"\n")
-    hashes = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=8).digest() for x in lines), np.uint64)
+
+def boundaries(lines: list[bytes], passed: int = PASSED) -> list[int]:
+    """Which of the given lines are boundaries; the first and the last always."""
+    if not lines:
+        return []
+    hashes = np.array([zlib.crc32(x) for x in lines], np.uint64)
     rolled = np.zeros(len(lines), np.uint64)
     for j in range(min(SPAN, len(lines))):
         rolled[j:] += hashes[:len(lines) - j] * np.uint64(pow(W.MULTIPLIER, j, 1 << 64))
-    ends = np.flatnonzero(W.mix(rolled) % np.uint64(DIVISOR) == 0) + 1
-    ends = ends.tolist() if len(ends) and ends[-1] == len(lines) else [*ends.tolist(), len(lines)]
-    out, low = [], 0
-    for high in ends:
-        own = hashlib.blake2b(hashes[low:high].tobytes(), digest_size=8).digest()
-        out.append((int.from_bytes(own, "little", signed=True), low, high))
-        low = high
-    return out
+    chosen = W.mix(rolled) % np.uint64(passed) != 0
+    chosen[[0, -1]] = True
+    return np.flatnonzero(chosen).tolist()
 
 
-def _eligible(lines: list[bytes]) -> bool:
-    """Chunks that may be removed: two lines or more that are not blank."""
-    return sum(1 for x in lines if x.strip()) >= LEAST_LINES
+def chunks(lines: list[bytes], full: list[int], passed: int = PASSED) -> list[tuple[int, int]]:
+    """(first, last) of each chunk, as places in `full`."""
+    ends = boundaries([lines[k] for k in full], passed)
+    return list(zip(ends, ends[1:]))
 
 
-def pieces(raw: bytes) -> list[tuple[int, int, int]]:
-    """(hash, first line, end line) of every two lines of a text that follow each other, but for blank lines between."""
-    lines = raw.split(b"\n")
-    full = [k for k, x in enumerate(lines) if x.strip()]
+def body(lines: list[bytes], full: list[int], low: int, high: int) -> bytes:
+    """From one full line to another, with the blank lines between."""
+    return b"\n".join(lines[full[low]:full[high] + 1])
+
+
+def _around(lines: list[bytes], full: list[int], low: int, high: int) -> list[bytes]:
+    """Single steps from `low` to `high` (either way): each the next full line with the blank lines on the way to it."""
+    step = 1 if high > low else -1
     out = []
-    for low, last in zip(full, full[1:]):
-        own = hashlib.blake2b(b"\n".join(lines[low:last + 1]), digest_size=8).digest()
-        out.append((int.from_bytes(own, "little", signed=True), low, last + 1))
+    for k in range(low, high, step):
+        a, b = sorted((full[k], full[k + step]))
+        out.append(b"\n".join(lines[a + 1:b + 1] if step > 0 else lines[a:b]))
     return out
 
 
-def _found(docs: DataFrame, with_text: bool, cut: Callable) -> DataFrame:
-    """One row per piece that may be removed: doc_id, k (hash of the text), place, h, and its bytes if wanted."""
+FOUND = "doc_id bigint, k bigint, place int, h bigint, body binary, before array<binary>, after array<binary>"
+
+
+def _found(docs: DataFrame, with_text: bool, passed: int) -> DataFrame:
+    """One row per chunk: doc_id, k (hash of the text), place (of its first line), h, and if wanted its bytes and the
+    lines before and after it up to the next boundaries, the nearest first."""
+    lines_type = pa.list_(pa.binary())
 
     def run(batches):
         for batch in batches:
-            ids, keys, places, hashes, bodies = [], [], [], [], []
+            ids, keys, places, hashes, bodies, befores, afters = [], [], [], [], [], [], []
             for i, k, value in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 lines = value.split(b"\n")
-                for h, low, high in cut(value):
-                    if high - low >= LEAST_LINES and _eligible(lines[low:high]):
-                        ids.append(i)
-                        keys.append(k)
-                        places.append(low)
-                        hashes.append(h)
-                        bodies.append(b"\n".join(lines[low:high]) if with_text else None)
+                full = full_lines(lines)
+                cut = chunks(lines, full, passed)
+                for n, (low, high) in enumerate(cut):
+                    own = body(lines, full, low, high)
+                    ids.append(i)
+                    keys.append(k)
+                    places.append(low)
+                    hashes.append(int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True))
+                    if with_text:
+                        bodies.append(own)
+                        befores.append(_around(lines, full, low, cut[n - 1][0] + 1) if n and cut[n - 1][0] + 1 < low else [])
+                        afters.append(_around(lines, full, high, cut[n + 1][1] - 1) if n + 1 < len(cut) and cut[n + 1][1] - 1 > high else [])
+            none = [None] * len(ids)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(ids, pa.int64()), "k": pa.array(keys, pa.int64()), "place": pa.array(places, pa.int32()),
-                "h": pa.array(hashes, pa.int64()), "body": pa.array(bodies, pa.binary())})
+                "h": pa.array(hashes, pa.int64()), "body": pa.array(bodies if with_text else none, pa.binary()),
+                "before": pa.array(befores if with_text else none, lines_type), "after": pa.array(afters if with_text else none, lines_type)})
 
-    return docs.select("doc_id", "k", "t").mapInArrow(run, "doc_id bigint, k bigint, place int, h bigint, body binary")
+    return docs.select("doc_id", "k", "t").mapInArrow(run, FOUND)
+
+
+def _alike(one: str, other: str):
+    """How many steps of two lists are the same, from their beginning."""
+    same = f"zip_with({one}, {other}, (x, y) -> coalesce(x = y, false))"
+    return F.expr(f"cast(array_position(array_append({same}, false), false) - 1 as int)")
 
 
 OUT = "doc_id bigint, n_lines bigint, n_chunks bigint, n_removed bigint, kept binary"
 
 
-def without_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def without_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passed: int = PASSED) -> DataFrame:
     """doc_id, n_lines, n_chunks, n_removed (lines), kept (the other lines, joined) for each row of `docs`.
 
     Null texts are empty, and an empty text is one blank line. A null doc_id comes before all others. Rows that repeat
-    (doc_id, text) are one document: what is removed from one is removed from all. Chunks of fewer than two lines that
-    are not blank are never removed. A chunk whose hash is that of another but whose bytes are not stays. Other columns
-    are not read."""
-    return _without(docs, doc_id, text, chunks)
-
-
-def without_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The same columns for repeated passages: every line of a run of two or more lines that are not blank goes if
-    each piece of the run stands, byte for byte, earlier in the corpus; n_chunks counts the pieces. A line goes only if an
-    equal line stands earlier, so each distinct line stays once at least. Blank lines go only between lines that do.
-    Nulls, empty texts and repeated rows as in `without_repeated_chunks`."""
-    return _without(docs, doc_id, text, pieces)
-
-
-def _without(docs: DataFrame, doc_id: str, text: str, cut: Callable) -> DataFrame:
+    (doc_id, text) are one document: what is removed from one is removed from all. A chunk whose hash is that of another
+    but whose bytes are not stays. A line goes only if an equal line stands earlier, so each distinct line stays once at
+    least; blank lines go only between lines that do. Very long texts are read line by line, never cut. Other columns are
+    not read. No rows give no rows."""
     given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t"))
     given = given.withColumn("k", F.xxhash64("t"))
     where = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("i"), "k", "place")
-    firsts = _found(given, False, cut).withColumn("w", where).groupBy("h").agg(
+    firsts = _found(given, False, passed).withColumn("w", where).groupBy("h").agg(
         F.min("w").alias("first"), F.max("w").alias("last")).filter("first <> last").select("h", "first")
     firsts = staged(firsts, "chunks")
     # Both joins move texts: sort-merge at every size, so that what is moved grows as the texts do.
-    repeated = staged(_found(given, True, cut).join(firsts.hint("merge"), "h").withColumn("w", where), "repeats")
-    originals = repeated.filter("w = first").groupBy("h").agg(F.first("body").alias("original"))
-    removed = repeated.filter("w <> first").join(originals, "h").filter("body = original")
-    gone = removed.groupBy("doc_id", "k").agg(F.collect_set("place").alias("places"))
-    joined = given.alias("g").join(gone.alias("r").hint("merge"), F.expr("g.doc_id <=> r.doc_id AND g.k = r.k"), "left").select("g.doc_id", "t", "places")
+    repeated = staged(_found(given, True, passed).join(firsts.hint("merge"), "h").withColumn("w", where), "repeats")
+    originals = repeated.filter("w = first").groupBy("h").agg(F.first(F.struct("body", "before", "after")).alias("o"))
+    removed = repeated.filter("w <> first").join(originals, "h").filter("body = o.body").select(
+        "doc_id", "k", F.struct("place", _alike("before", "o.before").alias("before"), _alike("after", "o.after").alias("after")).alias("gone"))
+    gone = removed.groupBy("doc_id", "k").agg(F.collect_set("gone").alias("gone"))
+    joined = given.alias("g").join(gone.alias("r").hint("merge"), F.expr("g.doc_id <=> r.doc_id AND g.k = r.k"), "left").select("g.doc_id", "t", "gone")
 
     def run(batches):
         for batch in batches:
             n_lines, n_chunks, n_removed, kept = [], [], [], []
-            for value, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                lines, found = value.split(b"\n"), cut(value)
-                dropped = set(places or ())
-                gone_lines = {n for _, low, high in found if low in dropped for n in range(low, high)}
+            for value, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                lines = value.split(b"\n")
+                full = full_lines(lines)
+                cut = chunks(lines, full, passed)
+                last = dict(cut)
+                gone_lines = {n for x in gone or () for n in range(full[x["place"] - x["before"]], full[last[x["place"]] + x["after"]] + 1)}
                 out = [x for n, x in enumerate(lines) if n not in gone_lines] if gone_lines else lines
                 n_lines.append(len(lines))
-                n_chunks.append(len(found))
+                n_chunks.append(len(cut))
                 n_removed.append(len(lines) - len(out))
                 kept.append(b"\n".join(out))
             yield pa.RecordBatch.from_pydict({

@@ -241,46 +241,36 @@ def mix_targets(sizes, weights=(5, 2, 1), most=3):
 
 
 def line_dedup(docs, chunks):
-    """`chunks` cuts a text; everything else is done by comparing bytes."""
-    rows = [(i, (t or "").encode()) for i, t in docs]
-    first = {}
-    for i, t in rows:
-        lines = t.split(b"\n")
-        for _, low, high in chunks(t):
-            body = tuple(lines[low:high])
-            if high - low >= 2 and sum(1 for x in body if x.strip()) >= 2:
-                place = (i is not None, i or 0, xxhash.xxh64(t, seed=42).intdigest() ^ (1 << 63), low)
-                if body not in first or place < first[body]:
-                    first[body] = place
-    out = []
-    for i, t in rows:
-        lines, kept, cut = t.split(b"\n"), [], chunks(t)
-        for _, low, high in cut:
-            body = tuple(lines[low:high])
-            place = (i is not None, i or 0, xxhash.xxh64(t, seed=42).intdigest() ^ (1 << 63), low)
-            if body not in first or first[body] == place:
-                kept += lines[low:high]
-        out.append((i, len(lines), len(cut), len(lines) - len(kept), sha(b"\n".join(kept))))
-    return out
-
-
-def passages(docs):
-    """(id, text left) without the lines of every pair of full lines that stands earlier, byte for byte."""
-    def pairs(t):
+    """(id, text left). `chunks` cuts a text; what is repeated, and how far around, is found by comparing bytes."""
+    cut = []
+    for i, t in docs:
+        t = (t or "").encode()
         lines = t.split(b"\n")
         full = [k for k, x in enumerate(lines) if x.strip()]
-        return lines, [(a, b + 1) for a, b in zip(full, full[1:])]
+        cut.append(((i is not None, i or 0, xxhash.xxh64(t, seed=42).intdigest() ^ (1 << 63)), lines, full, chunks(lines, full)))
+    first = {}
+    for own, lines, full, found in cut:
+        for low, high in found:
+            whole = b"\n".join(lines[full[low]:full[high] + 1])
+            if whole not in first or (*own, low) < first[whole][0]:
+                first[whole] = ((*own, low), (lines, full, found))
 
-    rows = [(i, (t or "").encode()) for i, t in docs]
-    place = lambda i, t, low: (i is not None, i or 0, xxhash.xxh64(t, seed=42).intdigest() ^ (1 << 63), low)
-    first, out = {}, []
-    for i, t in rows:
-        lines, found = pairs(t)
+    out = []
+    for own, lines, full, found in cut:
+        gone = set()
+        edges = {x for pair in found for x in pair}
         for low, high in found:
-            body = tuple(lines[low:high])
-            first[body] = min(first.get(body, place(i, t, low)), place(i, t, low))
-    for i, t in rows:
-        lines, found = pairs(t)
-        gone = {k for low, high in found if first[tuple(lines[low:high])] != place(i, t, low) for k in range(low, high)}
-        out.append((i, b"\n".join(x for k, x in enumerate(lines) if k not in gone)))
+            place, (there, others, theirs) = first[b"\n".join(lines[full[low]:full[high] + 1])]
+            if place == (*own, low):
+                continue
+            a, b, x, y = low, high, place[3], dict(theirs)[place[3]]
+            other_edges = {e for pair in theirs for e in pair}
+            gap = lambda ls, f, k: b"\n".join(ls[f[k] + 1:f[k + 1] + 1])
+            lead = lambda ls, f, k: b"\n".join(ls[f[k]:f[k + 1]])
+            while b + 1 < len(full) and y + 1 < len(others) and b + 1 not in edges and y + 1 not in other_edges and gap(lines, full, b) == gap(there, others, y):
+                b, y = b + 1, y + 1
+            while a > 0 and x > 0 and a - 1 not in edges and x - 1 not in other_edges and lead(lines, full, a - 1) == lead(there, others, x - 1):
+                a, x = a - 1, x - 1
+            gone |= set(range(full[a], full[b] + 1))
+        out.append((own[1] if own[0] else None, len(lines), len(found), len(gone), b"\n".join(x for k, x in enumerate(lines) if k not in gone)))
     return out

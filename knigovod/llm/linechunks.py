@@ -11,6 +11,8 @@ after their bytes are compared with it. A removed chunk is then extended line by
 boundary, as far as the lines around the first occurrence are the same; beyond a boundary there is another chunk.
 
 Texts move twice: the chunks that may be removed to where their hash is, and the documents to where their repeats are.
+Which chunks may be removed is told by a bit map of the repeated hashes, of a fixed size and sent to every worker; chunks
+that share a bit by chance travel in vain, and the joins sort them out.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,8 @@ from knigovod.llm import words as W
 from knigovod.llm.shared import staged
 
 SPAN, PASSED = 1, 32
+#: Bits of the map of repeated hashes: 16 MB.
+MAP_BITS = 1 << 27
 
 
 def full_lines(lines: list[bytes]) -> list[int]:
@@ -71,24 +76,39 @@ def _around(lines: list[bytes], full: list[int], low: int, high: int) -> list[by
 FOUND = "doc_id bigint, k bigint, place int, h bigint, body binary, before array<binary>, after array<binary>"
 
 
-def _found(docs: DataFrame, with_text: bool, passed: int) -> DataFrame:
-    """One row per chunk: doc_id, k (hash of the text), place (of its first line), h, and if wanted its bytes and the
-    lines before and after it up to the next boundaries, the nearest first."""
+def bit_map(hashes: DataFrame) -> bytes:
+    """A bit for each h, at its last 27 bits: MAP_BITS / 64 words reach the driver at most, however many hashes there are."""
+    at = F.col("h").bitwiseAND(F.lit(MAP_BITS - 1))
+    words = hashes.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")).groupBy("word").agg(
+        F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(MAP_BITS // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.tobytes()
+
+
+def _found(docs: DataFrame, passed: int, repeated: Broadcast | None = None) -> DataFrame:
+    """One row per chunk: doc_id, k (hash of the text), place (of its first line), h. With a bit map, only chunks whose
+    bit is set, with their bytes and the lines before and after up to the next boundaries, the nearest first."""
     lines_type = pa.list_(pa.binary())
+    with_text = repeated is not None
 
     def run(batches):
         for batch in batches:
             ids, keys, places, hashes, bodies, befores, afters = [], [], [], [], [], [], []
+            bits = repeated.value if with_text else b""
             for i, k, value in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 lines = value.split(b"\n")
                 full = full_lines(lines)
                 cut = chunks(lines, full, passed)
                 for n, (low, high) in enumerate(cut):
                     own = body(lines, full, low, high)
+                    h = int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True)
+                    if with_text and not bits[(h & (MAP_BITS - 1)) >> 3] >> (h & 7) & 1:
+                        continue
                     ids.append(i)
                     keys.append(k)
                     places.append(low)
-                    hashes.append(int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True))
+                    hashes.append(h)
                     if with_text:
                         bodies.append(own)
                         befores.append(_around(lines, full, low, cut[n - 1][0] + 1) if n and cut[n - 1][0] + 1 < low else [])
@@ -122,11 +142,12 @@ def without_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str =
     given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t"))
     given = given.withColumn("k", F.xxhash64("t"))
     where = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("i"), "k", "place")
-    firsts = _found(given, False, passed).withColumn("w", where).groupBy("h").agg(
+    firsts = _found(given, passed).withColumn("w", where).groupBy("h").agg(
         F.min("w").alias("first"), F.max("w").alias("last")).filter("first <> last").select("h", "first")
     firsts = staged(firsts, "chunks")
+    bits = docs.sparkSession.sparkContext.broadcast(bit_map(firsts))
     # Both joins move texts: sort-merge at every size, so that what is moved grows as the texts do.
-    repeated = staged(_found(given, True, passed).join(firsts.hint("merge"), "h").withColumn("w", where), "repeats")
+    repeated = staged(_found(given, passed, bits).join(firsts.hint("merge"), "h").withColumn("w", where), "repeats")
     originals = repeated.filter("w = first").groupBy("h").agg(F.first(F.struct("body", "before", "after")).alias("o"))
     removed = repeated.filter("w <> first").join(originals, "h").filter("body = o.body").select(
         "doc_id", "k", F.struct("place", _alike("before", "o.before").alias("before"), _alike("after", "o.after").alias("after")).alias("gone"))

@@ -7,6 +7,8 @@ a product of the two tables.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,25 +175,44 @@ def similar_names(names: DataFrame, entries: DataFrame, floor: float) -> DataFra
     return met.select("name_id", "reg_order", score.alias("score")).filter(F.col("score") >= floor)
 
 
-def fuzzy_winner(names: DataFrame, registry: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+@dataclass(frozen=True)
+class Trigrams:
+    """The scorer by shared trigrams. A scorer gives the score of two compared forms, and finds all pairs from a floor
+    upwards among prepared names (name_id, form) and entries (reg_order, form)."""
+
+    floors: tuple[float, ...] = (80.0, 60.0)
+
+    def score(self, a: Column, b: Column) -> Column:
+        return similarity(a, b)
+
+    def prepared(self, names: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        frequency = (
+            entries.select(F.explode(gram_codes(F.col("form"))).alias("gram")).groupBy("gram")
+            .agg(F.count(F.lit(1)).alias("n"))
+        )
+        return staged(_ranked(names, "name_id", frequency), "name-grams"), staged(_ranked(entries, "reg_order", frequency), "entry-grams")
+
+    def pairs(self, names: DataFrame, entries: DataFrame, floor: float) -> DataFrame:
+        return similar_names(names, entries, floor)
+
+
+TRIGRAMS = Trigrams()
+
+
+def fuzzy_winner(names: DataFrame, registry: DataFrame, settings: Settings = DEFAULT, scorer=TRIGRAMS) -> DataFrame:
     """Most similar registry entry of each name (name_id, form), if it leads the runner-up by the margin.
 
     The search goes down from a high floor, where few trigrams decide, and a name leaves it as soon as
     the result is certain: two entries above the floor, or one that leads the floor by the margin. So
     the wide search at the lowest floor is left to names that are like nothing much."""
     entries = registry.select("reg_order", compared_form(F.col("norm_name")).alias("form"))
-    frequency = (
-        entries.select(F.explode(gram_codes(F.col("form"))).alias("gram")).groupBy("gram")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    ranked_entries = staged(_ranked(entries, "reg_order", frequency), "entry-grams")
-    undecided = staged(_ranked(names, "name_id", frequency), "name-grams")
+    undecided, ranked_entries = scorer.prepared(names, entries)
     best_first = Window.partitionBy("name_id").orderBy(F.desc("score"), "reg_order")
     decided = None
     last = settings.match_floor
-    for floor in [f for f in (80.0, 60.0) if f > last] + [last]:
+    for floor in [f for f in scorer.floors if f > last] + [last]:
         # row_number <= 2 prunes each map task to two rows per name before the shuffle.
-        top = similar_names(undecided, ranked_entries, floor).withColumn(
+        top = scorer.pairs(undecided, ranked_entries, floor).withColumn(
             "place", F.row_number().over(best_first)).filter(F.col("place") <= 2)
         first = F.col("place") == 1
         found = top.groupBy("name_id").agg(
@@ -241,8 +262,8 @@ def token_candidates(names: DataFrame, registry: DataFrame, settings: Settings =
     return tokens.join(counted, "token").join(entries, "token").select("name_id", "token", "n", "reg_order")
 
 
-def match_names(names: DataFrame, registry: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Registry entry of each distinct `vendor_name`: alias, then telling token, then similar name.
+def match_names(names: DataFrame, registry: DataFrame, settings: Settings = DEFAULT, scorer=TRIGRAMS) -> DataFrame:
+    """Registry entry of each distinct `vendor_name`: alias, then telling token, then similar name by the given scorer.
 
     Returns vendor_name, komitent_id, komitent_name, komitent_score, komitent_low_confidence, route."""
     asked = (
@@ -263,7 +284,7 @@ def match_names(names: DataFrame, registry: DataFrame, settings: Settings = DEFA
     scored = (
         token_candidates(open_names, registry, settings)
         .join(entries, "reg_order").join(open_names.select("name_id", "form"), "name_id")
-        .withColumn("score", F.when(F.col("n") == 1, F.lit(90.0)).otherwise(similarity(F.col("form"), F.col("reg_form"))))
+        .withColumn("score", F.when(F.col("n") == 1, F.lit(90.0)).otherwise(scorer.score(F.col("form"), F.col("reg_form"))))
         .filter((F.col("n") == 1) | (F.col("score") >= settings.match_threshold))
     )
     # The longest telling token decides, then the more similar entry, then the earlier one.
@@ -275,7 +296,7 @@ def match_names(names: DataFrame, registry: DataFrame, settings: Settings = DEFA
     )
     routes.append(by_token)
     rest = open_names.join(by_token.select("name_id"), "name_id", "left_anti")
-    routes.append(fuzzy_winner(rest.select("name_id", "form"), registry, settings).select(
+    routes.append(fuzzy_winner(rest.select("name_id", "form"), registry, settings, scorer).select(
         "name_id", "reg_order", "score", F.lit("similar").alias("route")))
 
     found = routes[0]
@@ -290,13 +311,13 @@ def match_names(names: DataFrame, registry: DataFrame, settings: Settings = DEFA
     )
 
 
-def resolve(records: DataFrame, registry: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+def resolve(records: DataFrame, registry: DataFrame, settings: Settings = DEFAULT, scorer=TRIGRAMS) -> DataFrame:
     """Counterparty of each record by vendor name; unsure ones by a scan of the document text.
 
     records: doc_id, vendor_name, full_text; read several times, so a scan or a staged table. A scan hit also replaces the vendor name, unless it is
     the buyer."""
     # One row per distinct name; both joins below read it.
-    by_name = staged(match_names(records, registry, settings), "names")
+    by_name = staged(match_names(records, registry, settings, scorer), "names")
     named = records.join(by_name, "vendor_name", "left")
     unsure = named.filter(F.col("komitent_id").isNull() | F.col("komitent_low_confidence"))
     scanned = scan_texts(

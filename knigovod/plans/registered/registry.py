@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from knigovod.operators import registry as rg
+from knigovod.operators.names import EditsAndWords
 from knigovod.plans.bindings import texts, ASKED, REGISTRY, SETTINGS, asked_names, registry, table
 from knigovod.plans.registered import plain, with_sql
 
@@ -28,19 +29,24 @@ fingerprint_sql = with_sql(REGISTRY, FINGERPRINTS, "SELECT token, reg_order FROM
 _FORM = "' ' || trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')) || ' '"
 _GRAMS = "list_distinct([f[i:i+2] for i in range(1, len(f) - 1)])"
 _DICE = "round(200.0 * len(list_intersect(n.g, r.g)) / (len(n.g) + len(r.g)), 1)"
-MATCHED = f"""names AS (SELECT vendor_name, norm, {_GRAMS} AS g FROM (SELECT DISTINCT vendor_name, norm, {_FORM.format('norm')} AS f FROM asked)),
-entries AS (SELECT reg_order, id, name, norm_name, {_GRAMS} AS g FROM (SELECT *, {_FORM.format('norm_name')} AS f FROM reg)),
+
+
+def _matched(given: str, score: str) -> str:
+    """Names against the registry: `given` is what a score takes, of the compared form f; `score` compares n with r."""
+    form = lambda norm: f"{_FORM.format(norm)} AS f"
+    return f"""names AS (SELECT vendor_name, norm, {given} FROM (SELECT DISTINCT vendor_name, norm, {form('norm')} FROM asked)),
+entries AS (SELECT reg_order, id, name, norm_name, {given} FROM (SELECT *, {form('norm_name')} FROM reg)),
 tokens AS (SELECT vendor_name, unnest(list_distinct(list_filter(string_split(norm, ' '), lambda t: len(t) >= 4))) AS token FROM names),
 words AS (SELECT reg_order, unnest(list_distinct(string_split(lower(norm_name), ' '))) AS word FROM reg),
 vocabulary AS (SELECT DISTINCT word FROM words),
 holding AS (SELECT DISTINCT t.token, w.reg_order FROM (SELECT DISTINCT token FROM tokens) t JOIN vocabulary v ON contains(v.word, lower(t.token))
   JOIN words w ON w.word = v.word),
 counted AS (SELECT token, reg_order, count(*) OVER (PARTITION BY token) AS n FROM holding),
-scored AS (SELECT t.vendor_name, lower(t.token) AS token, c.n, c.reg_order, CASE WHEN c.n = 1 THEN 90.0 ELSE {_DICE} END AS score
+scored AS (SELECT t.vendor_name, lower(t.token) AS token, c.n, c.reg_order, CASE WHEN c.n = 1 THEN 90.0 ELSE {score} END AS score
   FROM tokens t JOIN counted c ON c.token = t.token AND c.n <= 4 JOIN names n ON n.vendor_name = t.vendor_name JOIN entries r ON r.reg_order = c.reg_order),
 by_token AS (SELECT vendor_name, reg_order, score, CASE WHEN n = 1 THEN 'token' ELSE 'candidates' END AS route FROM scored WHERE n = 1 OR score >= 60
   QUALIFY row_number() OVER (PARTITION BY vendor_name ORDER BY len(token) DESC, token, score DESC, reg_order) = 1),
-near AS (SELECT n.vendor_name, r.reg_order, {_DICE} AS score FROM names n JOIN entries r ON {_DICE} >= 45
+near AS (SELECT n.vendor_name, r.reg_order, {score} AS score FROM names n JOIN entries r ON {score} >= 45
   WHERE n.vendor_name NOT IN (SELECT vendor_name FROM by_token)),
 top AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS runner_up FROM near
   WINDOW w AS (PARTITION BY vendor_name ORDER BY score DESC, reg_order)),
@@ -50,6 +56,9 @@ matched AS (SELECT w.vendor_name, r.id AS komitent_id, r.name AS komitent_name,
   w.score < 60 AS komitent_low_confidence, w.route FROM winners w JOIN reg r USING (reg_order))"""
 
 
+MATCHED = _matched(f"{_GRAMS} AS g", _DICE)
+
+
 def registry_match(spark, sf):
     return rg.match_names(asked_names(spark, sf), registry(spark, sf), SETTINGS)
 
@@ -92,6 +101,20 @@ FROM asked a, (SELECT * FROM reg WHERE contains(lower(norm_name), 'n03 vendor')
 WHERE regexp_matches(lower(a.vendor_name), 'vndor[0-9]*9( |$)')""")
 
 
+def registry_edits(spark, sf):
+    """Names against the registry by the scorer of edits and words."""
+    return rg.match_names(asked_names(spark, sf), registry(spark, sf), SETTINGS, EditsAndWords())
+
+
+_WORDS = "trim(f) AS f, list_distinct(string_split(trim(f), ' ')) AS w"
+_COMMON = "list_intersect(n.w, r.w)"
+_LONGER = "greatest(len(n.f), len(r.f))"
+_EDITS = f"""greatest(round(100.0 * ({_LONGER} - levenshtein(n.f, r.f)) / {_LONGER}, 1),
+  round(100.0 * len({_COMMON}) / (len(n.w) + len(r.w) - len({_COMMON})), 1),
+  CASE WHEN len({_COMMON}) = least(len(n.w), len(r.w)) AND len(array_to_string({_COMMON}, '')) >= 4 THEN 90.0 ELSE 0.0 END)"""
+edits_sql = with_sql(REGISTRY, ASKED, _matched(_WORDS, _EDITS), "SELECT * FROM matched")
+
+
 def _texts(spark, sf):
     """Given documents with a registered name at the end."""
     d, r = texts(spark, sf), registry(spark, sf)
@@ -164,6 +187,7 @@ QUERIES = {
     "registry_candidates": (registry_candidates, candidates_sql),
     "registry_fuzzy": (registry_fuzzy, fuzzy_sql),
     "registry_alias": (registry_alias, alias_sql),
+    "registry_edits": (registry_edits, edits_sql),
     "registry_scan_text": (registry_scan_text, scan_sql),
     "registry_cascade": (registry_cascade, cascade_sql),
     "registry_search": (registry_search, registry_search_sql),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from knigovod import fixed_values
 from knigovod.fixed_values import OTHER_KONTO_LABELS
 from knigovod.operators import accounts as ac
+from knigovod.operators import featurize
+from knigovod.operators.stages import shared_path
 from knigovod.plans.bindings import (
     texts, ACCOUNTS, PART_RULES, SETTINGS, accounts, corrections, part_rules, rule_case, table, vector_accounts, vector_queries)
 from knigovod.plans.registered import plain, with_sql
@@ -102,6 +105,63 @@ SELECT a.query_id, coalesce(l.konto, d.konto, {rule_case('a.text', DOCUMENT_RULE
 FROM ask a LEFT JOIN learned l USING (query_id) LEFT JOIN described d USING (query_id)""")
 
 
+def _edited(text):
+    """A text with its first thirty characters gone and a line of its own added: what a later document of a vendor looks like."""
+    return F.concat(F.substring(text, 31, 1000000000), F.lit("\n"), F.lit("услуга за месец"))
+
+
+def _n_words(text):
+    return F.size(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1))
+
+
+def konto_from_texts(spark, sf):
+    """All documents, edited, against all documents as past corrections, both by the stored weights of the words."""
+    known = texts(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    path = shared_path(spark, f"weights-{uuid.uuid4().hex}")
+    featurize.save(featurize.fit(known), path)
+    weights = featurize.load(spark, path)
+    corrections = featurize.featurized(known.select(
+        F.col("doc_id").alias("corr_id"), F.concat(F.lit("4"), _n_words(F.col("text")) % 10).alias("konto"), "text"), weights)
+    asked = featurize.featurized(known.select(F.col("doc_id").alias("query_id"), _edited(F.col("text")).alias("text")), weights)
+    near = ac.nearest_correction(asked, corrections, SETTINGS)
+    return near.select("query_id", "konto", F.round("similarity", 3).alias("similarity"))
+
+
+def konto_from_descriptions(spark, sf):
+    """All parts, as printed on an invoice line, against the descriptions of the chart of accounts."""
+    chart = accounts(spark, sf).select("acct_order", F.lower("description").alias("text"))
+    weights = featurize.fit(chart)
+    described = featurize.featurized(chart.withColumn("code", F.concat(F.lit("4"), F.md5(F.col("text").cast("binary")))), weights)
+    asked = featurize.featurized(table(spark, sf, "part").select(
+        F.col("p_partkey").alias("query_id"), F.concat(F.lit("Услуга "), "p_name", F.lit(" / "), "p_type").alias("text")), weights)
+    near = ac.nearest_account(asked, described, SETTINGS)
+    return near.select("query_id", "konto", F.round("similarity", 3).alias("similarity"))
+
+
+def _nearest_sql(items: str, asked: str, least: float) -> str:
+    """Nearest of `items` (id, konto, text) to each of `asked` (id, text), by hashed and weighted words."""
+    hits = " OR ".join(f"contains(lower(x), '{k}')" for k in fixed_values.DESCRIPTION_KEYWORDS)
+    return with_sql(f"""given AS (SELECT 'item' AS side, id, text FROM ({items}) UNION ALL SELECT 'query', id, text FROM ({asked}))""", f"""
+focused AS (SELECT side, id, left(trim(left(text, 350) || ' ' || array_to_string([trim(x, ' ') FOR x IN string_split_regex(text, '\r\n|\r|\n') IF {hits}][1:4], ' '), ' '), 500) AS f FROM given)""", """
+hashed AS (SELECT side, id, md5(unnest(regexp_extract_all(lower(f), '[\p{L}\p{N}]+'))) AS h FROM focused)""", """
+placed AS (SELECT side, id, CAST('0x' || substr(h, 1, 7) AS BIGINT) % 384 AS place, sum(CASE WHEN CAST('0x' || substr(h, 8, 1) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) AS n
+  FROM hashed GROUP BY ALL)""", """
+weights AS (SELECT place, ln(((SELECT count(*) FROM given WHERE side = 'item') + 1.0) / (count(DISTINCT id) + 1.0)) AS w FROM placed WHERE side = 'item' GROUP BY place)""", """
+weighted AS (SELECT side, id, place, n * w AS x FROM placed JOIN weights USING (place))""", """
+vectors AS (SELECT side, id, place, x / sqrt(sum(x * x) OVER (PARTITION BY side, id)) AS x FROM weighted WHERE x <> 0)""", f"""
+products AS (SELECT q.id AS query_id, i.id, round(sum(q.x * i.x), 9) AS s FROM vectors q JOIN vectors i ON q.side = 'query' AND i.side = 'item' AND q.place = i.place
+  GROUP BY q.id, i.id HAVING sum(q.x * i.x) >= {least} QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY round(sum(q.x * i.x), 9) DESC, i.id) = 1)""", f"""
+SELECT query_id, konto, round(s, 3) AS similarity FROM products JOIN ({items}) USING (id)""")
+
+
+from_texts_sql = _nearest_sql(
+    "SELECT doc_id AS id, '4' || len(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) % 10 AS konto, coalesce(text, '') AS text FROM documents",
+    "SELECT doc_id AS id, substr(coalesce(text, ''), 31) || chr(10) || 'услуга за месец' AS text FROM documents", SETTINGS.correction_similarity)
+from_descriptions_sql = _nearest_sql(
+    "SELECT p_partkey AS id, '4' || md5(lower(p_name || ' ' || p_type)) AS konto, lower(p_name || ' ' || p_type) AS text FROM part",
+    "SELECT p_partkey AS id, 'Услуга ' || p_name || ' / ' || p_type AS text FROM part", SETTINGS.description_similarity)
+
+
 def approvals(spark, sf):
     """Every vector backwards as a new approval, some of these again later with another account, and every known correction
     again. Approvals without an account teach nothing."""
@@ -144,6 +204,8 @@ QUERIES = {
     "konto_nearest_correction": (konto_nearest_correction, correction_sql),
     "konto_nearest_account": (konto_nearest_account, account_sql),
     "konto_suggest": (konto_suggest, suggest_sql),
+    "konto_from_texts": (konto_from_texts, from_texts_sql),
+    "konto_from_descriptions": (konto_from_descriptions, from_descriptions_sql),
     "learn_upsert": (learn_upsert, learn_sql),
     "approve_to_correction": (approve_to_correction, approve_sql),
 }

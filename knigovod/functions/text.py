@@ -88,7 +88,7 @@ def focus_text(text: Column) -> Column:
     """Header plus the first description lines: the part that tells what was bought."""
     lines = F.filter(
         F.split(text, r"\r\n|\r|\n"), lambda l: any_keyword(F.lower(l), DESCRIPTION_KEYWORDS))
-    extra = F.array_join(F.transform(F.slice(lines, 1, 4), F.trim), " ")
+    extra = F.array_join(F.transform(F.slice(lines, 1, 4), lambda line: F.trim(line)), " ")
     return F.substring(F.trim(F.concat(F.substring(text, 1, 350), F.lit(" "), extra)), 1, 500)
 
 

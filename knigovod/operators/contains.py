@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from knigovod.config import MAX_INLINE_ROWS
-from knigovod.functions.amounts import let
 
 
 def grams(text, size: int):
@@ -26,8 +30,7 @@ def contains_join(texts: DataFrame, needles: DataFrame, limit: int = MAX_INLINE_
     """Pairs (text_id, needle_id) where the text contains the needle.
 
     texts: text_id, text. needles: needle_id, needle (not empty).
-    Few needles are looked for in one pass over the texts. Otherwise each needle is joined on the
-    rarest of its trigrams, and the candidates are then checked against the whole text.
+    Few needles are looked for in one expression over the texts, more of them by an automaton.
     """
     few = small_rows(needles.select("needle_id", "needle"), limit)
     if few is not None:
@@ -37,27 +40,55 @@ def contains_join(texts: DataFrame, needles: DataFrame, limit: int = MAX_INLINE_
         listed = F.array(*[F.struct(F.lit(r.needle_id).alias("needle_id"), F.lit(r.needle).alias("needle")) for r in few])
         found = F.filter(listed, lambda n: F.contains(F.col("text"), n["needle"]))
         return texts.select("text_id", F.explode(found).alias("hit")).select("text_id", "hit.needle_id")
-    return contains_by_grams(texts, needles)
-
-
-def contains_by_grams(texts: DataFrame, needles: DataFrame) -> DataFrame:
-    size = F.least(F.lit(3), F.length("needle"))
-    # The few gram lengths that occur (1..3) bound how often a text is cut up.
-    sizes = [r[0] for r in needles.select(size.alias("n")).distinct().collect()]
-    cut = F.array_union(F.array().cast("array<string>"), F.flatten(F.array(*[grams(F.col("text"), n) for n in sizes])))
-    text_grams = texts.select("text_id", F.explode(cut).alias("gram"))
-    needle_grams = needles.select(
-        "needle_id", "needle",
-        F.explode(let(size, lambda n: F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.length("needle") - n + 1), lambda i: F.substr(F.col("needle"), i, n))))).alias("gram"))
-    frequency = text_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    anchors = (
-        needle_grams.join(frequency, "gram")
-        .groupBy("needle_id", "needle").agg(F.min(F.struct("n", "gram")).alias("rarest"))
-        .select("needle_id", "needle", F.col("rarest.gram").alias("gram"))
-    )
-    candidates = text_grams.join(anchors, "gram").select("text_id", "needle_id", "needle")
-    return (
-        candidates.join(texts, "text_id")
-        .filter(F.contains(F.col("text"), F.col("needle"))).select("text_id", "needle_id")
-    )
+    return contains_by_automaton(texts, needles)
+
+
+#: Letters of the needles in one automaton, which takes some hundred bytes a letter.
+AUTOMATON_LETTERS = 2_000_000
+
+
+def contains_by_automaton(texts: DataFrame, needles: DataFrame, letters: int | None = None) -> DataFrame:
+    """The pairs of `contains_join` for any number of needles.
+
+    The distinct needles make an Aho-Corasick automaton, which reads each text once and reports every needle in it: texts
+    are not shuffled, only what is found is joined with the needles' ids. Needles of more than `letters` letters together
+    (AUTOMATON_LETTERS if not given) are cut by hash into parts below it, with a pass over the texts for each part, so that
+    what a task holds is bounded."""
+    letters = letters or AUTOMATON_LETTERS
+    distinct = needles.filter("needle <> ''").select("needle").distinct()
+    size = distinct.agg(F.sum(F.length("needle"))).first()[0] or 0
+    # Half full on average, so that no part of the hash is above the bound but by the length of its longest needles.
+    n_parts = 1 if size <= letters else -(-2 * size // letters)
+    part = F.pmod(F.xxhash64("needle"), F.lit(n_parts))
+    schema = T.StructType([texts.schema["text_id"], T.StructField("needle", T.StringType())])
+    found = None
+    for n in range(n_parts):
+        listed = distinct.filter(part == n).toArrow().column("needle").to_pylist()
+        shared = texts.sparkSession.sparkContext.broadcast(listed)
+        hits = texts.select("text_id", "text").mapInArrow(_searched(shared), schema)
+        found = hits if found is None else found.unionByName(hits)
+    return found.join(needles, "needle").select("text_id", "needle_id")
+
+
+def _searched(needles: Broadcast):
+    """(text_id, needle) of every needle in every text, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        listed = needles.value
+        automaton = ahocorasick.Automaton()
+        for k, needle in enumerate(listed):
+            automaton.add_word(needle, k)
+        if listed:
+            automaton.make_automaton()
+        for batch in batches:
+            rows, hits = [], []
+            for row, text in enumerate(batch.column(1).to_pylist() if listed else ()):
+                own = {k for _, k in automaton.iter(text)} if text else ()
+                rows.extend([row] * len(own))
+                hits.extend(own)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array([listed[k] for k in hits], pa.string())], ["text_id", "needle"])
+
+    return run

@@ -38,6 +38,19 @@ def konto_labels(spark, sf):
     return ac.konto_labels(filled, part_rules(spark)).select("p_partkey", "konto", "label")
 
 
+def konto_rules_many(spark, sf):
+    """All documents by a rule for each word of the benchmark items: thousands of keywords, the first item's count first."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("rule_order"), F.explode(
+        F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{4,})"), 1)).alias("keyword"))
+    rules = items.select("rule_order", F.concat(F.lit("4"), F.length("keyword")).alias("konto"), F.lit("").alias("label"), "keyword").distinct()
+    asked = texts(spark, sf).select(F.col("doc_id").alias("text_id"), "text")
+    return ac.suggest_by_rules(asked, rules).select(F.col("text_id").alias("doc_id"), F.col("rule_konto").alias("konto"))
+
+
+rules_many_sql = """WITH words AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '\p{L}{4,}')) AS keyword FROM benchmark),
+firsts AS (SELECT keyword, min(item_id) AS rule_order FROM words GROUP BY 1)
+SELECT doc_id, (SELECT '4' || len(keyword) FROM firsts WHERE contains(lower(text), keyword) ORDER BY rule_order, '4' || len(keyword) LIMIT 1) AS konto FROM documents"""
+
 _LABELS = " ".join(f"WHEN '{k}' THEN '{l}'" for k, l in {**{k: l for _, k, l, _ in PART_RULES}, **OTHER_KONTO_LABELS}.items())
 labels_sql = f"""SELECT p_partkey, konto, CASE konto {_LABELS} ELSE '' END AS label
 FROM (SELECT p_partkey, {rule_case('p_name').replace("ELSE '4499'", "ELSE CASE WHEN p_partkey % 2 = 0 THEN '4499' ELSE '9999' END")} AS konto FROM part)"""
@@ -67,6 +80,17 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY acct_order) A
 FROM (SELECT s_suppkey AS query_id, (s_suppkey % 90 + 10) || CASE WHEN s_suppkey % 2 = 0 THEN '7' ELSE '' END AS query FROM supplier) q
 JOIN acc ON contains(lower(code), query) OR contains(lower(description), query) QUALIFY place <= 8""")
 
+def account_search_many(spark, sf):
+    """What every order's number finds in the chart of accounts."""
+    queries = table(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_orderkey").cast("string").alias("query"))
+    return plain(ac.search_accounts(queries, accounts(spark, sf)))
+
+
+search_many_sql = with_sql(ACCOUNTS, """
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY acct_order) AS place, code, description
+FROM (SELECT o_orderkey AS query_id, CAST(o_orderkey AS VARCHAR) AS query FROM orders) q
+JOIN acc ON contains(lower(code), query) OR contains(lower(description), query) QUALIFY place <= 8""")
+
 VECTORS = """vec AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 corr AS (SELECT vec_id AS id, e, '4' || label AS konto FROM vec),
 chart AS (SELECT vec_id AS id, e, '41' || label AS konto FROM vec WHERE vec_id % 4 <> 1),
@@ -198,6 +222,8 @@ SELECT invoice_id, konto, left(text, 120) AS preview FROM (SELECT invoice_id, ko
 
 QUERIES = {
     "konto_rules": (konto_rules, konto_rules_sql),
+    "konto_rules_many": (konto_rules_many, rules_many_sql),
+    "account_search_many": (account_search_many, search_many_sql),
     "konto_labels": (konto_labels, labels_sql),
     "konto_describe": (konto_describe, describe_sql),
     "account_search": (account_search, account_search_sql),

@@ -31,6 +31,12 @@ def test_contains_join_ways_agree(spark):
     wanted = {(i, j) for i, text in texts for j, needle in needles if needle in text}
     assert pairs(ct.contains_join(t, n)) == wanted
     assert pairs(ct.contains_join(t, n, limit=5)) == wanted
+    assert pairs(ct.contains_by_automaton(t, n, letters=10)) == wanted
+    more = spark.createDataFrame([(None, "abc"), (7, None)], "text_id int, text string")
+    again = n.unionByName(spark.createDataFrame([(100, needles[0][1]), (101, "")], "needle_id int, needle string"))
+    got = pairs(ct.contains_by_automaton(t.unionByName(more), again))
+    assert {x for x in got if x[0] is not None and x[1] < 100} == wanted and {i for i, j in got if j == 100 and i is not None} == {i for i, j in wanted if j == 0}
+    assert pairs(ct.contains_by_automaton(t.limit(0), n)) == pairs(ct.contains_by_automaton(t, n.limit(0))) == set()
     assert pairs(ct.contains_join(t, n.filter("needle_id < 0"))) == set()
 
 

@@ -12,8 +12,9 @@ Every byte covered by a string of `length` bytes that also starts in a document
    equal, and the smallest id among equal windows says which are removed.
 3. Each pack gets its windows back as bit masks and marks the bytes.
 
-Within a pack, equal surroundings are sent once, with their smallest id, and the others are settled at once; so a
-passage that a third of all documents hold is sent once per pack.
+Within a pack, equal surroundings are sent once, with their smallest id, and the others are settled at once or get the
+answer of the one that was sent; so a passage that a third of all documents hold is sent once per pack, and a run of one
+character, in which every place is an anchor, as often as it has different surroundings.
 """
 
 from __future__ import annotations
@@ -134,23 +135,71 @@ def _answers(asks: DataFrame) -> DataFrame:
     return asks.groupBy("bucket").applyInArrow(run, ANSWERED)
 
 
-def _surroundings(p: Pack, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes around anchors (`side` before, the k-gram, `side` after; zero outside the document), and how many
-    bytes of the document there are on the left and on the right, `side` at most."""
+#: Anchors whose surroundings are looked at together.
+BLOCK = 1 << 16
+
+
+def _room(p: Pack, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes of the document stand before an anchor and after its k-gram, `length - gram` at most."""
     side, document = length - gram, np.searchsorted(p.ends, at, "right")
-    left = np.minimum(at - p.starts[document], side).astype(np.uint8)
-    right = np.minimum(p.ends[document] - at - gram, side).astype(np.uint8)
+    return np.minimum(at - p.starts[document], side).astype(np.uint8), np.minimum(p.ends[document] - at - gram, side).astype(np.uint8)
+
+
+def _around(p: Pack, at: np.ndarray, left: np.ndarray, right: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """The bytes around anchors (`length - gram` before, the k-gram, as many after), zero outside the document."""
+    side = length - gram
     offsets = np.arange(-side, gram + side)
-    around = p.bytes[np.clip(at[:, None] + offsets, 0, len(p.bytes) - 1)]
-    around[(offsets < -left[:, None].astype(np.int64)) | (offsets >= gram + right[:, None].astype(np.int64))] = 0
-    return around, left, right
+    out = np.empty((len(at), len(offsets)), np.uint8)
+    for low in range(0, len(at), BLOCK):
+        part = slice(low, low + BLOCK)
+        rows = p.bytes[np.clip(at[part, None] + offsets, 0, len(p.bytes) - 1)]
+        rows[(offsets < -left[part, None].astype(np.int64)) | (offsets >= gram + right[part, None].astype(np.int64))] = 0
+        out[part] = rows
+    return out
+
+
+def settled_within(p: Pack, at: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each anchor, a leader: the first anchor of the pack by id with the same surroundings, itself if there is none;
+    and the order that it was found in. Surroundings are told apart by their bytes, in blocks, so that a run of millions
+    of equal ones takes a few numbers each."""
+    value = np.zeros(len(at), np.uint64)
+    for low in range(0, len(at), BLOCK):
+        part = slice(low, low + BLOCK)
+        rows = np.concatenate([_around(p, at[part], left[part], right[part], length, gram), left[part, None], right[part, None]], axis=1)
+        for j in range(rows.shape[1]):
+            value[part] = value[part] * np.uint64(W.MULTIPLIER) + rows[:, j].astype(np.uint64)
+    order = np.lexsort((ids, W.mix(value)))
+    first = np.ones(len(order), bool)
+    again = np.flatnonzero(value[order[1:]] == value[order[:-1]]) + 1
+    for low in range(0, len(again), BLOCK):
+        one, other = order[again[low:low + BLOCK]], order[again[low:low + BLOCK] - 1]
+        same = (left[one] == left[other]) & (right[one] == right[other])
+        same &= (_around(p, at[one], left[one], right[one], length, gram) == _around(p, at[other], left[other], right[other], length, gram)).all(axis=1)
+        first[again[low:low + BLOCK][same]] = False
+    leader = np.empty(len(order), np.int64)
+    leader[order] = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))] if len(order) else order
+    return leader, order
+
+
+def joined_parts(parts: list[bytes]) -> bytes:
+    return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+
+
+def split_parts(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at:at + 8], "little")
+        out.append(data[at + 8:at + 8 + n])
+        at += 8 + n
+    return out
 
 
 def _all_windows(left: np.ndarray, right: np.ndarray, side: int) -> np.ndarray:
     """Bit o of a mask: the window that starts o bytes before the anchor. Here, all those within the document."""
-    o = np.arange(side + 1)
-    inside = (o <= left[:, None]) & (side - o <= right[:, None])
-    return (inside * (np.uint64(1) << o.astype(np.uint64))).sum(axis=1, dtype=np.uint64)
+    out = np.zeros(len(left), np.uint64)
+    for o in range(side + 1):
+        out |= ((o <= left) & (side - o <= right)).astype(np.uint64) << np.uint64(o)
+    return out
 
 
 def _known_ids(ids: list, at_document: np.ndarray) -> np.ndarray:
@@ -173,30 +222,20 @@ def _sent(packs: DataFrame, answers: DataFrame, buckets: int, length: int, gram:
         if len(at):
             kept = shared[np.searchsorted(keys, full >> np.uint64(64 - KEY_BITS))] == 1
             at, full = at[kept], full[kept]
-        around, left, right = _surroundings(p, at, length, gram)
+        left, right = _room(p, at, length, gram)
         ids = _known_ids(p.ids, np.searchsorted(p.ends, at, "right"))
-        # Equal surroundings are told apart by their bytes: the rows are sorted whole.
-        whole = np.concatenate([around, left[:, None], right[:, None]], axis=1) if len(at) else np.empty((0, 1), np.uint8)
-        rows = np.ascontiguousarray(whole).view(np.dtype((np.void, whole.shape[1]))).reshape(-1)
-        value = np.zeros(len(at), np.uint64)
-        for j in range(whole.shape[1]):
-            value = value * np.uint64(W.MULTIPLIER) + whole[:, j].astype(np.uint64)
-        order = np.lexsort((ids, W.mix(value)))
-        first = np.ones(len(order), bool)
-        if len(order) > 1:
-            first[1:] = rows[order[1:]] != rows[order[:-1]]
-        leader = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))] if len(order) else order
-        later = ids[order] > ids[leader]
-        done = order[later]
-        settled_masks = _all_windows(left[done], right[done], side)
-        chosen = np.sort(order[~later])
+        leader, _ = settled_within(p, at, left, right, ids, length, gram)
+        done = np.flatnonzero(ids > ids[leader])
+        # Equal surroundings in documents of one id do not remove each other: one asks for all of them.
+        twins = np.flatnonzero((ids == ids[leader]) & (leader != np.arange(len(at))))
+        chosen = np.flatnonzero(leader == np.arange(len(at)))
         bucket = bucket_of(full[chosen], buckets)
         by = np.argsort(bucket, kind="stable")
         chosen, bucket = chosen[by], bucket[by]
-        settled = store(at[done].astype(np.uint32)) if len(done) else b""
         parts = cuts(bucket)
         pick = [chosen[lo:hi] for _, lo, hi in parts]
-        own = [len(settled).to_bytes(8, "little") + settled + store(settled_masks)] + [None] * (len(parts) - 1)
+        own = [joined_parts([store(at[done].astype(np.uint32)), store(_all_windows(left[done], right[done], side)),
+                             store(at[twins].astype(np.uint32)), store(at[leader[twins]].astype(np.uint32))])] + [None] * (len(parts) - 1)
         return pa.table({
             "bucket": pa.array([b for b, _, _ in parts], pa.int64()), "pack": pa.array([p.number] * len(parts), pa.int64()),
             "n": pa.array([len(i) for i in pick], pa.int64()),
@@ -204,7 +243,7 @@ def _sent(packs: DataFrame, answers: DataFrame, buckets: int, length: int, gram:
             "ids": pa.array([store(ids[i]) for i in pick], pa.binary()),
             "lefts": pa.array([store(left[i]) for i in pick], pa.binary()),
             "rights": pa.array([store(right[i]) for i in pick], pa.binary()),
-            "around": pa.array([squeezed(around[i]) for i in pick], pa.binary()),
+            "around": pa.array([squeezed(_around(p, at[i], left[i], right[i], length, gram)) for i in pick], pa.binary()),
             "settled": pa.array(own[:len(parts)], pa.binary())})
 
     return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(run, SENT)
@@ -367,16 +406,25 @@ def _marked(sent: DataFrame, length: int, gram: int) -> DataFrame:
 def _cover(p: Pack, table: pa.Table, length: int, gram: int) -> np.ndarray:
     """Which bytes of a pack are removed."""
     starts = np.zeros(len(p.bytes) + 1, bool)
-    at, masks = [], []
+    at, masks, twins = [], [], []
     for a, m, s in zip(table.column("at").to_pylist(), table.column("masks").to_pylist(), table.column("settled").to_pylist()):
         at.append(load(a, np.uint32))
         masks.append(load(m, np.uint64))
         if s:
-            n = int.from_bytes(s[:8], "little")
-            at.append(load(s[8:8 + n], np.uint32))
-            masks.append(load(s[8 + n:], np.uint64))
+            done, all_windows, *pair = split_parts(s)
+            at.append(load(done, np.uint32))
+            masks.append(load(all_windows, np.uint64))
+            twins.append([load(x, np.uint32) for x in pair])
     if at:
-        places, masks = np.concatenate(at).astype(np.int64), np.concatenate(masks)
+        places, masks = np.concatenate(at), np.concatenate(masks)
+        by = np.argsort(places)
+        sorted_places = places[by]
+        for place, leader in twins:
+            where = np.searchsorted(sorted_places, leader)
+            found = np.flatnonzero(np.append(sorted_places, np.uint32(0xFFFFFFFF))[where] == leader)
+            places = np.concatenate([places, place[found]])
+            masks = np.concatenate([masks, masks[by[where[found]]]])
+        places = places.astype(np.int64)
         for o in range(length - gram + 1):
             starts[places[(masks >> np.uint64(o)) & np.uint64(1) == 1] - o] = True
     # A byte is covered if one of the `length` windows that hold it is removed.
@@ -394,7 +442,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Texts are UTF-8 bytes; null is empty. Rows with the same doc_id do not remove each other's bytes. A null doc_id
     comes after all others. Strings are judged on the input, not on what is left, and never cross documents. `length`
-    may be up to `gram` + 39."""
+    may be up to `gram` + 39. Texts are never cut: one longer than a pack is a pack of its own, of up to 4 GB. Other
+    columns are not read."""
     if not 8 <= gram <= length <= gram + 39:
         raise ValueError("gram must be at least 8, and length from gram to gram + 39")
     spark = docs.sparkSession

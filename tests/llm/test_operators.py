@@ -389,6 +389,32 @@ def test_repeated_bytes(docs, nothing):
     assert suffixes.remove_repeats(nothing).count() == 0
 
 
+def test_runs_of_one_character(spark):
+    """Long runs and short periods, within and over documents and under repeated ids."""
+    texts = ["a" * 30000 + "end", "x" + "a" * 20000, "ab" * 9000, "b" * 70 + "ab" * 8000 + "q", "\n" * 5000, " " * 49, " " * 51, "abc" * 4000, "-" * 80 + "abc" * 40]
+    rows = list(enumerate(texts)) + [(1, "a" * 6000), (20, "a" * 75), (20, "y" + "a" * 74), (None, "\n" * 60), (21, " " * 52)]
+    out = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), digest=True).collect()
+    same(out, brute.remove_repeats(rows))
+
+
+@pytest.mark.parametrize("unit", [b"a", b"ab"])
+def test_memory_of_a_pack_of_one_run(unit):
+    """8 MB of one character or of period 2, every place an anchor: less than 2 GB, and few surroundings are left."""
+    import tracemalloc
+
+    raw = unit * ((8 << 20) // len(unit)) + b"\n"
+    pack = type("Run", (), {"bytes": np.frombuffer(raw, np.uint8), "starts": np.array([0]), "ends": np.array([len(raw) - 1])})
+    tracemalloc.start()
+    at = suffixes.anchors(pack.bytes, pack.starts, pack.ends, 50, 24)
+    left, right = suffixes._room(pack, at, 50, 24)
+    leader, _ = suffixes.settled_within(pack, at, left, right, np.zeros(len(at), np.int64), 50, 24)
+    suffixes._all_windows(left, right, 26)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(at) > 4 << 20 or len(unit) > 1
+    assert (leader == np.arange(len(at))).sum() < 200 and peak < 2 << 30
+
+
 def test_deep_shallow_sorting():
     r = np.random.default_rng(3)
     for width, letters in ((50, 2), (50, 200), (26, 2), (9, 3)):

@@ -22,19 +22,26 @@ from knigovod.llm.shared import partitions, staged
 WEIGHTS = (5, 2, 1)
 #: No document is taken more often, and no target is more than so many times its source's size.
 MOST = 3
-#: Documents of one cell that are ranked together; larger cells are split.
+#: Documents of one cell that are ranked together; larger cells are split by ranges of the hash.
 RANKED = 10_000
+#: Rows of one document that repeats that are written together.
+REPEATED = 10_000
 
 
 def _size(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
+def _kind(doc_id: str, text: str, source: str) -> list[Column]:
+    """doc_id, source, size (the number of words: runs without space and 0x09-0x0D), and h, which tells texts apart: rows
+    that agree in all four are alike."""
+    return [F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), _size(text).alias("size"),
+            F.xxhash64(doc_id, F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("h")]
+
+
 def sized(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    """doc_id, source, size: the number of words (runs without space and 0x09-0x0D)."""
-    return docs.select(
-        F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"),
-        _size(text).alias("size"))
+    """doc_id, source, size, h, m: kinds of documents, and how many rows are of each."""
+    return docs.select(*_kind(doc_id, text, source)).groupBy("doc_id", "source", "size", "h").agg(F.count(F.lit(1)).alias("m"))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -90,16 +97,15 @@ def rounded(cells: list[tuple[int, int]], rate: float, most: int) -> list[int]:
     return out
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-          weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """doc_id, size, source_size, target, rate, copies, taken (copies * size) for each row of `docs`.
+def planned(docs: DataFrame, doc_id: str, text: str, source: str, weights: tuple[int, ...], most: int, ranked: int) -> DataFrame:
+    """doc_id, source, size, h, m, source_size, target, rate, base, extra: each of the m rows of a kind is taken `base`
+    times, and `extra` of them once more.
 
-    Null, empty and blank texts have size 0 and no copies; a null source is a source of its own, the last. Sources
-    without words have target 0. Documents of equal source and size are told apart by the hash of their id; rows that
-    repeat an id count each. The result depends only on the rows, so reruns agree. Other columns are not read."""
-    spark = docs.sparkSession
+    Extra copies go to the rows of a cell in order of their hash. Cells of more than `ranked` rows are cut into ranges of
+    the hash; what comes before a range is the sum of the real counts of those before it, so the plan is the same however
+    cells are cut."""
     sizes = staged(sized(docs, doc_id, text, source), "sizes")
-    cells = staged(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "cells")
+    cells = staged(sizes.groupBy("source", "size").agg(F.sum("m").alias("n")), "cells")
     sources = targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most)
     rates = multipliers(cells, sources)
 
@@ -113,25 +119,59 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
         "c.source", "size", "n", "source_size", "target", "rate")
     plan = joined.groupBy("source").applyInArrow(
         run, "source string, size bigint, n bigint, source_size bigint, target double, rate double, whole bigint")
-    met = sizes.alias("s").join(staged(plan, "copies").alias("p"), F.expr("s.source <=> p.source AND s.size = p.size"))
-    met = met.select("s.doc_id", "s.source", "s.size", "p.n", "p.source_size", "p.target", "p.rate", "p.whole")
-    # What is over after equal shares goes to the documents that come first by hash; large cells do so in parts.
-    parts = F.ceil(F.col("n") / RANKED)
-    met = met.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")))
-    met = met.repartition(partitions(spark), "source", "size", "part")
-    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    over = F.col("whole") % F.col("n")
-    share = F.floor((F.col("part") + 1) * over / F.col("parts")) - F.floor(F.col("part") * over / F.col("parts"))
-    copies = F.floor(F.col("whole") / F.col("n")) + F.when(rank <= share, 1).otherwise(0)
-    out = met.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0).cast("bigint"))
+    plan = staged(plan, "copies")
+    met = sizes.alias("s").join(plan.alias("p"), F.expr("s.source <=> p.source AND s.size = p.size")).select(
+        "s.*", "p.n", "p.source_size", "p.target", "p.rate", "p.whole")
+    # The upper 31 bits of the hash, cut into as many equal ranges as the cell has parts.
+    top = F.shiftrightunsigned("h", 33)
+    parts = F.ceil(F.col("n") / ranked)
+    met = met.withColumns({"top": top, "part": F.floor(top * parts / F.lit(1 << 31)).cast("int")})
+    counts = met.groupBy("source", "size", "part").agg(F.sum("m").alias("held"))
+    earlier = F.sum("held").over(Window.partitionBy("source", "size").orderBy("part")) - F.col("held")
+    before = staged(counts.withColumn("before", earlier).drop("held"), "parts")
+    met = met.alias("s").join(before.alias("b"), F.expr("s.source <=> b.source AND s.size = b.size AND s.part = b.part")).select("s.*", "b.before")
+    rows = Window.partitionBy("source", "size", "part").orderBy("top", "h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = F.col("before") + F.sum("m").over(rows) - F.col("m")
+    extra = F.least(F.greatest(F.col("whole") % F.col("n") - place, F.lit(0)), F.col("m"))
+    worded = F.col("size") > 0
+    return met.select(
+        "doc_id", "source", "size", "h", "m", "source_size", "target", "rate",
+        F.when(worded, F.floor(F.col("whole") / F.col("n"))).otherwise(0).cast("bigint").alias("base"),
+        F.when(worded, extra).otherwise(0).cast("bigint").alias("extra"))
+
+
+def _numbered(rows: DataFrame, count: str, *columns) -> DataFrame:
+    """Each row `count` times, with its number k from 1; rows of a large count are dealt out."""
+    last = F.greatest(F.lit(0), F.floor((F.col(count) - 1) / REPEATED))
+    cut = rows.filter(F.col(count) > 0).select(*columns, count, F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_chunk"))
+    cut = cut.repartition(partitions(rows.sparkSession))
+    first, upto = F.col("_chunk") * REPEATED + 1, F.least((F.col("_chunk") + 1) * REPEATED, F.col(count))
+    return cut.select(*columns, F.explode(F.sequence(first, upto)).alias("k"))
+
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+          weights: tuple[int, ...] = WEIGHTS, most: int = MOST, ranked: int = RANKED) -> DataFrame:
+    """doc_id, size, source_size, target, rate, copies, taken (copies * size) for each row of `docs`.
+
+    Null, empty and blank texts have size 0 and no copies; a null source is a source of its own, the last. Sources
+    without words have target 0. Documents of equal source and size are told apart by the hash of their id and text; rows
+    that repeat an id count each. Very long texts are counted whole. The result depends only on the rows, so reruns
+    agree. Other columns are not read."""
+    plan = planned(docs, doc_id, text, source, weights, most, ranked)
+    rows = _numbered(plan, "m", "doc_id", "size", "source_size", "target", "rate", "base", "extra")
+    out = rows.withColumn("copies", F.col("base") + F.when(F.col("k") <= F.col("extra"), 1).otherwise(0).cast("bigint"))
     return out.select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def resampled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-              weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """The rows of `docs`, all columns, each as often as `mixed` takes it. Rows of equal id and size are taken alike,
-    as often as the one that is taken most."""
-    plan = mixed(docs, doc_id, text, source, weights, most).groupBy("doc_id", "size").agg(F.max("copies").alias("copies")).filter("copies > 0")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _size(text).alias("size"), F.col(doc_id).cast("bigint").alias("doc_id"))
-    met = keyed.alias("d").join(plan.alias("p"), F.expr("d.doc_id <=> p.doc_id AND d.size = p.size"))
-    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+              weights: tuple[int, ...] = WEIGHTS, most: int = MOST, ranked: int = RANKED) -> DataFrame:
+    """The rows of `docs`, all columns, as often as `mixed` takes them. Of rows alike in id, source and text that are not
+    all taken equally often, what some are taken more is added as copies of one of them."""
+    plan = planned(docs, doc_id, text, source, weights, most, ranked).filter("base > 0 OR extra > 0").select("doc_id", "source", "h", "m", "base", "extra")
+    plan = staged(plan, "plan")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_kind(doc_id, text, source))
+    met = keyed.alias("d").join(plan.alias("p"), F.expr("d.doc_id <=> p.doc_id AND d.source <=> p.source AND d.h = p.h")).select("d.*", "m", "base", "extra")
+    copies = F.col("base") + F.when(F.col("m") == 1, F.col("extra")).otherwise(0)
+    own = met.withColumn("copies", copies).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    more = met.filter("m > 1 AND extra > 0").groupBy("doc_id", "source", "h").agg(F.first("row").alias("row"), F.first("extra").alias("extra"))
+    return own.select("row.*").unionByName(_numbered(more, "extra", "row").select("row.*"))

@@ -245,6 +245,46 @@ def test_mixing(docs, nothing):
     assert again.columns == docs.columns and again.count() >= sum(r.copies > 0 for r in rows)
 
 
+def plain_copies(rows, ranked_by):
+    """{(id, source, text): (rows, base, extra)}: the plan of a mix, cell by cell, by a plain loop over sorted rows."""
+    size = lambda t: len(brute.WORD.findall(t or ""))
+    sizes = Counter()
+    for _, s, t in rows:
+        sizes[s] += size(t)
+    wanted, out = brute.mix_targets(sizes), Counter()
+    for s in sizes:
+        own = [r for r in rows if r[1] == s]
+        rate = round(wanted[s] / sizes[s], 9) if sizes[s] else 0.0
+        cells = sorted(Counter(size(t) for _, _, t in own).items(), reverse=True)
+        for (n_words, n), whole in zip(cells, mixing.rounded(cells, rate, 3)):
+            cell = sorted((r for r in own if size(r[2]) == n_words), key=ranked_by)
+            for k, r in enumerate(cell):
+                out[r] += (whole // n + (k < whole % n)) if n_words else 0
+    return out
+
+
+@pytest.mark.parametrize("ranked", [mixing.RANKED, 10, 3])
+def test_copies_equal_the_unsplit_plan(spark, ranked):
+    """Large cells in parts, ids that repeat, with one text and with several: the same copies as a plain loop gives."""
+    r = random.Random(4)
+    rows = [(k, "abc"[k % 3] if k % 20 else None, " ".join(["w"] * r.choice([1, 4, 4, 4, 9]))) for k in range(400)]
+    rows += [(1000, "b", "hot text of six words here")] * 150 + [(1000, "b", f"hot text number {k} words here") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string").repartition(3)
+    keyed = docs.distinct().select("doc_id", "source", "text", *[c.alias(f"_{n}") for n, c in enumerate(mixing._kind("doc_id", "text", "source"))])
+    h = {(x.doc_id, x.source, x.text): x._3 for x in keyed.collect()}
+    wanted = plain_copies(rows, lambda x: ((h[x] & ((1 << 64) - 1)) >> 33, h[x], x[0]))
+    taken = Counter()
+    for x in mixing.mixed(docs, ranked=ranked).collect():
+        taken[x.doc_id, x.size] += x.copies
+        assert x.taken <= 3 * x.size
+    by_size = Counter()
+    for (i, s, t), n in wanted.items():
+        by_size[i, len(t.split())] += n
+    assert +taken == +by_size
+    again = Counter((x.doc_id, x.source, x.text) for x in mixing.resampled(docs, ranked=ranked).collect())
+    assert again == +wanted
+
+
 def test_targets_stop_at_three_times(spark):
     sizes = {"a": 1, "b": 100, "c": 2, None: 1000, "z": 0}
     out = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")).collect()

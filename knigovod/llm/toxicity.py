@@ -28,16 +28,9 @@ SAMPLE, LEAST_TEXTS, CHI_SQUARED, COMMON, MANY = 20_000, 4, 25.0, 0.05, 100
 EPOCHS, STEPS, RATE, L2 = 8, 40_000, 0.1, 1e-3
 
 
-def slots_of(text: bytes, cache: dict) -> np.ndarray:
-    """The numbers of a text's terms, each once, in order."""
-    out = set()
-    for term in set(words_of(text)):
-        slot = cache.get(term)
-        if slot is None:
-            slot = zlib.crc32(term) % SLOTS
-            if len(cache) < 500_000:
-                cache[term] = slot
-        out.add(slot)
+def slots_of(text: bytes) -> np.ndarray:
+    """The numbers of a text's terms, each once."""
+    out = {zlib.crc32(term) % SLOTS for term in set(words_of(text))}
     return np.fromiter(out, np.int64, len(out))
 
 
@@ -112,9 +105,8 @@ def labelled(docs: DataFrame, labels: DataFrame, may_learn: Column, doc_id: str,
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
 
     def run(batches):
-        cache: dict = {}
         for batch in batches:
-            slots = [slots_of(t.as_py(), cache) for t in batch.column(2)]
+            slots = [slots_of(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_pydict({
                 "id": batch.column(0), "toxic": batch.column(1), "slots": pa.array([np.sort(s) for s in slots], pa.list_(pa.int64()))})
 
@@ -135,7 +127,9 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, doc_id: str = "
         # Rows that repeat an id count once.
         ids = np.asarray(table.column("id"))
         first = np.concatenate([[True], ids[1:] != ids[:-1]])
-        texts = [np.array(s, np.int64) for s, keep in zip(table.column("slots").to_pylist(), first) if keep]
+        slots = table.column("slots").combine_chunks()
+        flat, edges = slots.values.to_numpy(), slots.offsets.to_numpy()
+        texts = [flat[a:b] for a, b, keep in zip(edges[:-1], edges[1:], first) if keep]
         bias, slots, w, v = fit(texts, np.asarray(table.column("toxic"), dtype=float)[first])
         return pa.table({
             "bias": pa.array([bias], pa.float64()), "slots": pa.array([slots], pa.list_(pa.int64())),
@@ -160,9 +154,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, doc_id: str
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, may_learn, doc_id, text, label, sample))
 
     def run(batches):
-        m, cache = Machine(*model.value) if model.value else None, {}
+        m = Machine(*model.value) if model.value else None
         for batch in batches:
-            scores = [m.score(slots_of(t.as_py(), cache)) if m else 0.0 for t in batch.column(1)]
+            scores = [m.score(slots_of(t.as_py())) if m else 0.0 for t in batch.column(1)]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0), "score": pa.array(scores, pa.float64()),
                 "predicted": pa.array([int(s >= 0.5) for s in scores], pa.int32())})
@@ -178,9 +172,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame, may_learn: Column, doc_id:
     at = docs.columns.index(text)
 
     def run(batches):
-        m, cache = Machine(*model.value) if model.value else None, {}
+        m = Machine(*model.value) if model.value else None
         for batch in batches:
-            keep = [m is None or m.score(slots_of((t.as_py() or "").encode(), cache)) < 0.5 for t in batch.column(at)]
+            keep = [m is None or m.score(slots_of((t.as_py() or "").encode())) < 0.5 for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

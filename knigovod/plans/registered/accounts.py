@@ -47,7 +47,7 @@ def konto_rules_many(spark, sf):
     return ac.suggest_by_rules(asked, rules).select(F.col("text_id").alias("doc_id"), F.col("rule_konto").alias("konto"))
 
 
-rules_many_sql = """WITH words AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '\p{L}{4,}')) AS keyword FROM benchmark),
+rules_many_sql = """WITH words AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '\\p{L}{4,}')) AS keyword FROM benchmark),
 firsts AS (SELECT keyword, min(item_id) AS rule_order FROM words GROUP BY 1)
 SELECT doc_id, (SELECT '4' || len(keyword) FROM firsts WHERE contains(lower(text), keyword) ORDER BY rule_order, '4' || len(keyword) LIMIT 1) AS konto FROM documents"""
 
@@ -167,7 +167,7 @@ def _nearest_sql(items: str, asked: str, least: float) -> str:
     hits = " OR ".join(f"contains(lower(x), '{k}')" for k in fixed_values.DESCRIPTION_KEYWORDS)
     return with_sql(f"""given AS (SELECT 'item' AS side, id, text FROM ({items}) UNION ALL SELECT 'query', id, text FROM ({asked}))""", f"""
 focused AS (SELECT side, id, left(trim(left(text, 350) || ' ' || array_to_string([trim(x, ' ') FOR x IN string_split_regex(text, '\r\n|\r|\n') IF {hits}][1:4], ' '), ' '), 500) AS f FROM given)""", """
-hashed AS (SELECT side, id, md5(unnest(regexp_extract_all(lower(f), '[\p{L}\p{N}]+'))) AS h FROM focused)""", """
+hashed AS (SELECT side, id, md5(unnest(regexp_extract_all(lower(f), '[\\p{L}\\p{N}]+'))) AS h FROM focused)""", """
 placed AS (SELECT side, id, CAST('0x' || substr(h, 1, 7) AS BIGINT) % 384 AS place, sum(CASE WHEN CAST('0x' || substr(h, 8, 1) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) AS n
   FROM hashed GROUP BY ALL)""", """
 weights AS (SELECT place, ln(((SELECT count(*) FROM given WHERE side = 'item') + 1.0) / (count(DISTINCT id) + 1.0)) AS w FROM placed WHERE side = 'item' GROUP BY place)""", """
@@ -179,7 +179,7 @@ SELECT query_id, konto, round(s, 3) AS similarity FROM products JOIN ({items}) U
 
 
 from_texts_sql = _nearest_sql(
-    "SELECT doc_id AS id, '4' || len(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) % 10 AS konto, coalesce(text, '') AS text FROM documents",
+    "SELECT doc_id AS id, '4' || len(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')) % 10 AS konto, coalesce(text, '') AS text FROM documents",
     "SELECT doc_id AS id, substr(coalesce(text, ''), 31) || chr(10) || 'услуга за месец' AS text FROM documents", SETTINGS.correction_similarity)
 from_descriptions_sql = _nearest_sql(
     "SELECT p_partkey AS id, '4' || md5(lower(p_name || ' ' || p_type)) AS konto, lower(p_name || ' ' || p_type) AS text FROM part",

@@ -17,7 +17,7 @@ from knigovod.functions.amounts import let
 from knigovod.functions.sql import rx
 from knigovod.functions.text import match_form
 from knigovod.operators.contains import contains_join, grams
-from knigovod.operators.stages import staged
+from knigovod.operators.stages import left_join_dealt, staged
 
 
 def with_match_form(registry: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def lookup_ids(rows: DataFrame, registry: DataFrame) -> DataFrame:
     """Registry name of each row's id."""
     first = registry.groupBy("id").agg(F.min(F.struct("reg_order", "name")).alias("first"))
     names = first.select(F.col("id").alias("_id"), F.col("first.name").alias("komitent_name"))
-    return rows.join(names, F.trim("komitent_id") == F.col("_id"), "left").drop("_id")
+    return left_join_dealt(rows.withColumn("_id", F.trim("komitent_id")), names, "_id").drop("_id")
 
 
 def search(queries: DataFrame, registry: DataFrame, n: int = 8) -> DataFrame:
@@ -318,7 +318,7 @@ def resolve(records: DataFrame, registry: DataFrame, settings: Settings = DEFAUL
     the buyer."""
     # One row per distinct name; both joins below read it.
     by_name = staged(match_names(records, registry, settings, scorer), "names")
-    named = records.join(by_name, "vendor_name", "left")
+    named = left_join_dealt(records, by_name, "vendor_name")
     unsure = named.filter(F.col("komitent_id").isNull() | F.col("komitent_low_confidence"))
     scanned = scan_texts(
         unsure.select(F.col("doc_id").alias("text_id"), F.col("full_text").alias("text")), registry, settings)
@@ -351,7 +351,7 @@ def fill_siblings(rows: DataFrame, registry: DataFrame, settings: Settings = DEF
     matched = match_names(asked, registry, settings).select(
         F.col("vendor_name").alias("_name"), F.col("komitent_id").alias("_found"))
     return (
-        by_id.join(matched, F.trim("written") == F.col("_name"), "left")
+        left_join_dealt(by_id.withColumn("_name", F.trim("written")), matched, "_name")
         .withColumns({
             "komitent_id": F.when(id_known, F.col("komitent_id")).otherwise(F.col("_found")),
             "komitent_name": F.when(id_known, F.coalesce("komitent_name", "written")).otherwise(F.col("written")),

@@ -25,6 +25,18 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def left_join_dealt(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join of `rows` and `table` (one row per key) on `key`, a column of both that many rows may lack.
+
+    Rows without it get a key from their other values and are dealt out in a shuffle instead of meeting in one task."""
+    others = [f"`{c}`" for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    own = F.concat(F.lit("no key "), F.xxhash64(*others).cast("string"))
+    # The marker keeps a key of the table apart from one made here.
+    made = F.when(F.col(key).isNull(), own).otherwise(F.concat(F.lit("="), F.col(key).cast("string")))
+    keyed = table.filter(F.col(key).isNotNull()).withColumn("_key", F.concat(F.lit("="), F.col(key).cast("string"))).drop(key)
+    return rows.withColumn("_key", made).join(keyed, "_key", "left").drop("_key")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path below the session's `spark.checkpoint.dir`, the folder all executors share. What is kept
     there must outlive the loss of any executor, so a session without one is an error."""

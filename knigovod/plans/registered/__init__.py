@@ -31,9 +31,9 @@ def money_text(c: str) -> str:
 
 
 def all_queries() -> dict:
-    from knigovod.plans.registered import accounts, checks, documents, exports, journals, registry, reports, scalars, templates, workflow
+    from knigovod.plans.registered import accounts, checks, documents, exports, journals, registry, reports, scalars, tables, templates, workflow
 
     merged = {}
-    for module in (checks, journals, exports, reports, scalars, registry, accounts, documents, templates, workflow):
+    for module in (checks, journals, exports, reports, scalars, registry, accounts, documents, templates, workflow, tables):
         merged.update(module.QUERIES)
     return merged

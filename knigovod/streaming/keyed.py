@@ -82,7 +82,8 @@ def status_keyed(events: DataFrame, invoices: DataFrame, delay: str = "1 day", k
     """Status of each invoice with actions, for output mode "update".
 
     events: stream of invoice_id, action, seq, event_ts. invoices: table of invoice_id, status, blocked; what it says of an invoice
-    counts when the invoice is first seen. Events of invoices that are not in it are left out, as are those later than `delay`."""
+    counts when the invoice is first seen. Events of invoices that are not in it are left out, as are those later than `delay`
+    (judged, as Spark does, by the watermark that held in the batch before)."""
     rows = events.join(
         invoices.select("invoice_id", "status", F.coalesce("blocked", F.lit(False)).alias("blocked")), "invoice_id")
     kind = events.schema["invoice_id"].dataType.simpleString()

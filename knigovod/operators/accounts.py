@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from knigovod.config import DEFAULT, MAX_BROADCAST_BYTES, Settings
 from knigovod.fixed_values import DEFAULT_KONTO, DOCUMENT_RULES, LINE_RULES, OTHER_KONTO_LABELS
 from knigovod.functions.amounts import let
-from knigovod.functions.vectors import best_match, stack
+from knigovod.functions.vectors import best_match, first_match, stack
 from knigovod.operators.contains import contains_join, small_rows
+from knigovod.operators.stages import staged
 
 # --- Keyword rules -----------------------------------------------------------------------------------
 
@@ -114,44 +115,63 @@ def nearest(queries: DataFrame, items: DataFrame, at_least: float, earlier: bool
     """Most similar item of each query: (query_id, item_id, similarity >= at_least).
 
     queries: query_id, embedding; items: item_id, embedding; unit vectors. `earlier` admits only items
-    with an id smaller than the query's. Ties go to the smaller item id.
+    with an id smaller than the query's; items may then have a column `until`, the last query id that still
+    meets them (null: all). Ties go to the smaller item id.
 
     Items that fit `max_bytes` (their count is checked) go to every task as one matrix. More items are
     partitioned around pivots, and by the triangle inequality of angles a query visits only the
     partitions that can hold a hit. Both ways are exact.
     """
+    return _searched(queries, items, at_least, earlier, False, max_bytes)
+
+
+def first_later(queries: DataFrame, items: DataFrame, at_least: float, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """The item of the smallest id above the query's that is at least so similar: (query_id, item_id, similarity),
+    in the ways of `nearest`."""
+    return _searched(queries, items, at_least, False, True, max_bytes)
+
+
+def _with_until(items: DataFrame) -> DataFrame:
+    until = F.col("until") if "until" in items.columns else F.lit(None)
+    return items.select("item_id", "embedding", F.coalesce(until.cast("bigint"), F.lit(2**63 - 1)).alias("until"))
+
+
+def _searched(queries: DataFrame, items: DataFrame, at_least: float, earlier: bool, later: bool, max_bytes: int) -> DataFrame:
     first = items.select(F.size("embedding")).head()
     if first is None:
         return queries.sparkSession.createDataFrame([], _nearest_schema(queries))
     if items.count() * first[0] * 8 <= max_bytes:
-        return _nearest_in_matrix(queries, items, at_least, earlier)
-    return _nearest_by_pivots(queries, items, at_least, earlier, first[0], max_bytes)
+        return _nearest_in_matrix(queries, items, at_least, earlier, later)
+    return _nearest_by_pivots(queries, items, at_least, earlier, first[0], max_bytes, later=later)
 
 
-def _nearest_in_matrix(queries: DataFrame, items: DataFrame, at_least: float, earlier: bool) -> DataFrame:
-    rows = items.select("item_id", "embedding").orderBy("item_id").collect()
-    shared = queries.sparkSession.sparkContext.broadcast(
-        (np.array([r.item_id for r in rows], dtype=np.int64), stack([r.embedding for r in rows])))
+def _nearest_in_matrix(queries: DataFrame, items: DataFrame, at_least: float, earlier: bool, later: bool) -> DataFrame:
+    rows = _with_until(items).orderBy("item_id").collect()
+    shared = queries.sparkSession.sparkContext.broadcast((
+        np.array([r.item_id for r in rows], dtype=np.int64), np.array([r.until for r in rows], dtype=np.int64),
+        stack([r.embedding for r in rows])))
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = shared.value
+        ids, until, matrix = shared.value
         for batch in batches:
             if len(batch):
-                yield _hits(batch["query_id"].to_numpy(), stack(batch["embedding"]), ids, matrix, at_least, earlier)
+                yield _hits(batch["query_id"].to_numpy(), stack(batch["embedding"]), ids, until, matrix, at_least, earlier, later)
 
     return queries.select("query_id", "embedding").mapInPandas(match, _nearest_schema(queries))
 
 
-def _hits(query_ids, queries, item_ids, items, at_least: float, earlier: bool) -> pd.DataFrame:
-    order = (query_ids, item_ids) if earlier else (None, None)
-    index, score = best_match(queries, items, *order)
+def _hits(query_ids, queries, item_ids, until, items, at_least: float, earlier: bool, later: bool) -> pd.DataFrame:
+    if later:
+        index, score = first_match(queries, items, at_least, query_ids, item_ids)
+    else:
+        index, score = best_match(queries, items, *((query_ids, item_ids, until) if earlier else ()))
     found = (index >= 0) & (score >= at_least)
     return pd.DataFrame({
         "query_id": query_ids[found], "item_id": item_ids[index[found]], "similarity": score[found]})
 
 
 def _nearest_by_pivots(queries: DataFrame, items: DataFrame, at_least: float, earlier: bool, dim: int,
-                       max_bytes: int, block_rows: int = 4096, max_pivots: int = 1024) -> DataFrame:
+                       max_bytes: int, block_rows: int = 4096, max_pivots: int = 1024, later: bool = False) -> DataFrame:
     spark = queries.sparkSession
     pivots_wanted = max(1, min(max_pivots, max_bytes // (8 * dim)))
     chosen = items.orderBy(F.xxhash64("item_id")).limit(pivots_wanted).select("embedding").collect()
@@ -163,8 +183,8 @@ def _nearest_by_pivots(queries: DataFrame, items: DataFrame, at_least: float, ea
                 index, score = best_match(stack(batch["embedding"]), pivots.value)
                 yield batch.assign(pivot=index, angle=np.arccos(np.clip(score, -1.0, 1.0)))
 
-    placed = items.select("item_id", "embedding").mapInPandas(
-        assign, "item_id bigint, embedding array<float>, pivot bigint, angle double")
+    placed = _with_until(items).mapInPandas(
+        assign, "item_id bigint, embedding array<float>, until bigint, pivot bigint, angle double")
     # At most one row per pivot.
     sizes = placed.groupBy("pivot").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
     radius = np.full(len(chosen), -np.inf)
@@ -193,7 +213,7 @@ def _nearest_by_pivots(queries: DataFrame, items: DataFrame, at_least: float, ea
         placed.withColumn("block", F.pmod(F.xxhash64("item_id"), n_blocks).cast("int"))
         .join(F.broadcast(chunks), "pivot")
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("pivot", "block", "chunk", "item_id", "embedding")
+        .select("pivot", "block", "chunk", "item_id", "until", "embedding")
     )
     query_blocks = (
         visits.join(F.broadcast(chunks), "pivot")
@@ -208,10 +228,13 @@ def _nearest_by_pivots(queries: DataFrame, items: DataFrame, at_least: float, ea
                 {"item_id": "int64", "similarity": "float64"})
         right = right.sort_values("item_id")
         return _hits(left["query_id"].to_numpy(), stack(left["embedding"]), right["item_id"].to_numpy(),
-                     stack(right["embedding"]), at_least, earlier)
+                     right["until"].to_numpy(), stack(right["embedding"]), at_least, earlier, later)
 
     key = ["pivot", "block", "chunk"]
     partial = query_blocks.groupBy(*key).cogroup(item_blocks.groupBy(*key)).applyInPandas(multiply, _nearest_schema(queries))
+    if later:
+        return partial.groupBy("query_id").agg(F.min(F.struct("item_id", "similarity")).alias("best")).select(
+            "query_id", "best.item_id", "best.similarity")
     best = F.max(F.struct("similarity", (-F.col("item_id")).alias("minus")))
     return partial.groupBy("query_id").agg(best.alias("best")).select(
         "query_id", (-F.col("best.minus")).alias("item_id"), F.col("best.similarity").alias("similarity"))
@@ -260,31 +283,53 @@ def suggest(queries: DataFrame, corrections: DataFrame, accounts: DataFrame, rul
     )
 
 
+def taken_over(known: DataFrame, approvals: DataFrame, at_least: float) -> DataFrame:
+    """(corr_id, follows): the correction whose place each approval takes when all are learned one by one in the order of
+    corr_id. Approvals that take a new place have no row. Both tables: corr_id, embedding.
+
+    An approval follows the most similar of the corrections that hold a place when it comes, those before it that nothing
+    has followed yet. So who follows whom depends on earlier approvals only, and rounds that search with the lifetimes of
+    the last one settle at least one more approval each, in order, until nothing changes; then all are as one-by-one learning
+    has them. The first round takes every correction to end at the first later approval that is like it, which is already
+    right for groups in which all are alike, however large."""
+    asked = approvals.select(F.col("corr_id").alias("query_id"), "embedding")
+    nodes = known.select("corr_id", "embedding").unionByName(approvals.select("corr_id", "embedding"))
+    ends = staged(first_later(nodes.withColumnRenamed("corr_id", "query_id"), asked.withColumnRenamed("query_id", "item_id"), at_least)
+                  .select(F.col("query_id").alias("item_id"), F.col("item_id").alias("until")), "learn-ends")
+    # Only these can be followed, and only approvals that are like one of them can follow.
+    held = staged(nodes.withColumnRenamed("corr_id", "item_id").join(ends.select("item_id"), "item_id", "left_semi"), "learn-held")
+    liked = nearest(asked, held, at_least, earlier=True).select("query_id")
+    asked = staged(asked.join(liked, "query_id", "left_semi"), "learn-asked")
+    while True:
+        found = staged(nearest(asked, held.join(ends, "item_id", "left"), at_least, earlier=True).select("query_id", "item_id"), "learn-found")
+        now = staged(found.groupBy("item_id").agg(F.min("query_id").alias("until")), "learn-ends")
+        changed = now.withColumnRenamed("until", "now").join(ends, "item_id", "full").filter(~F.col("now").eqNullSafe(F.col("until")))
+        if changed.isEmpty():
+            return found.select(F.col("query_id").alias("corr_id"), F.col("item_id").alias("follows"))
+        ends = now
+
+
+def places(follows: DataFrame) -> DataFrame:
+    """(corr_id, place): the first correction of the chain that each follower stands in, by doubled steps."""
+    steps = follows.select("corr_id", F.col("follows").alias("place"))
+    while True:
+        on = steps.select(F.col("corr_id").alias("place"), F.col("place").alias("further"))
+        further = staged(steps.join(on, "place", "left").select("corr_id", F.coalesce("further", "place").alias("place"),
+                                                                F.col("further").isNotNull().alias("moved")), "learn-places")
+        steps = further.select("corr_id", "place")
+        if further.filter("moved").isEmpty():
+            return steps
+
+
 def learn(corrections: DataFrame, approvals: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Corrections table after a batch of approvals (corr_id = arrival order, larger than any known).
-
-    An approval at least `duplicate_similarity` like a known correction replaces the nearest one, the
-    latest such approval wins. Among the others, an approval like an earlier one is the newer version
-    of it. Chains inside one batch (a like b, b like c, a unlike c) follow the earliest member, where
-    one-by-one learning would follow the latest."""
-    usable = approvals.filter((F.coalesce("konto", F.lit("")) != "") & F.col("embedding").isNotNull())
-    asked = usable.select(F.col("corr_id").alias("query_id"), "embedding")
-    known = corrections.select(F.col("corr_id").alias("item_id"), "embedding")
-    replaced = nearest(asked, known, settings.duplicate_similarity).select(
-        F.col("query_id").alias("corr_id"), F.col("item_id").alias("place"))
-    fresh = usable.join(replaced.select("corr_id"), "corr_id", "left_anti")
-    fresh_ids = fresh.select(F.col("corr_id").alias("query_id"), "embedding")
-    followers = nearest(
-        fresh_ids, fresh.select(F.col("corr_id").alias("item_id"), "embedding"), settings.duplicate_similarity,
-        earlier=True)
-    leaders = fresh.join(followers.select(F.col("query_id").alias("corr_id")), "corr_id", "left_anti")
-    follow = nearest(
-        fresh_ids, leaders.select(F.col("corr_id").alias("item_id"), "embedding"), settings.duplicate_similarity
-    ).select(F.col("query_id").alias("corr_id"), F.col("item_id").alias("leader"))
-    placed = (
-        usable.join(replaced, "corr_id", "left").join(follow, "corr_id", "left")
-        .withColumn("place", F.coalesce("place", "leader", "corr_id")).drop("leader")
-    )
+    """Corrections table after a batch of approvals (corr_id = arrival order, each its own, larger than any known).
+
+    The table is the one that learning them one by one gives: an approval at least `duplicate_similarity` like a correction
+    takes the place of the nearest one as the table stands then (equally near ones: the smaller corr_id), and others are added.
+    Approvals without an account or a vector teach nothing. Needs `spark.checkpoint.dir`."""
+    usable = staged(approvals.filter((F.coalesce("konto", F.lit("")) != "") & F.col("embedding").isNotNull()), "learn-approvals")
+    follows = taken_over(corrections.filter(F.col("embedding").isNotNull()), usable, settings.duplicate_similarity)
+    placed = usable.join(places(follows), "corr_id", "left").withColumn("place", F.coalesce("place", "corr_id"))
     newest = placed.groupBy("place").agg(F.max("corr_id").alias("corr_id"))
     updates = placed.join(newest, ["place", "corr_id"]).select(
         F.col("place").alias("corr_id"), "embedding", "konto", "komitent_id", "preview")

@@ -208,6 +208,28 @@ learn_sql = """SELECT vec_id AS corr_id, CASE WHEN vec_id % 50 = 0 THEN '7' ELSE
 UNION ALL SELECT vec_id + 1000000000000, CASE WHEN vec_id % 20 = 2 THEN '6' ELSE '5' END || label FROM embeddings"""
 
 
+def drifting(spark, sf):
+    """Four approvals of each vector, each turned on a little from the one before: like that one, unlike the one before it.
+    In every third chain the second approval has no account, so that the third is like nothing that was learned."""
+    turned = F.expr("""transform(embedding, (x, i) -> cast(
+        cos(0.2D * step) * x + sin(0.2D * step) * if(i % 2 = 0, -embedding[i + 1], embedding[i - 1]) AS float))""")
+    steps = table(spark, sf, "embeddings").withColumn("step", F.explode(F.expr("sequence(1, 4)")))
+    taught = (F.col("step") != 2) | (F.col("vec_id") % 3 != 0)
+    return steps.select(
+        (F.col("vec_id") + F.col("step") * F.lit(10**12)).alias("corr_id"), turned.alias("embedding"),
+        F.when(taught, F.concat(F.col("step").cast("string"), F.col("label").cast("string"))).alias("konto"),
+        F.lit(None).cast("string").alias("komitent_id"), F.lit("").alias("preview"))
+
+
+def learn_chains(spark, sf):
+    """Chains of approvals inside one batch end as one-by-one learning has them: the last one in the first one's place."""
+    return ac.learn(corrections(spark, sf), drifting(spark, sf), SETTINGS).select("corr_id", "konto")
+
+
+chains_sql = """SELECT vec_id AS corr_id, CASE WHEN vec_id % 3 = 0 THEN '1' ELSE '4' END || label AS konto FROM embeddings
+UNION ALL SELECT vec_id + 3000000000000, '4' || label FROM embeddings WHERE vec_id % 3 = 0"""
+
+
 def approve_to_correction(spark, sf):
     """What approving the orders that have a document of the same number would teach."""
     from knigovod.operators.journal import first_expense_line
@@ -233,5 +255,6 @@ QUERIES = {
     "konto_from_texts": (konto_from_texts, from_texts_sql),
     "konto_from_descriptions": (konto_from_descriptions, from_descriptions_sql),
     "learn_upsert": (learn_upsert, learn_sql),
+    "learn_chains": (learn_chains, chains_sql),
     "approve_to_correction": (approve_to_correction, approve_sql),
 }

@@ -153,3 +153,39 @@ def test_expense_accounts(spark):
     assert [r.code for r in ac.expense_accounts(chart.filter("code = '2200'")).collect()] == ["2200"]
     twice = spark.createDataFrame([(0, "1", "a"), (1, " 1 ", "b"), (2, "", "c")], chart.schema)
     assert [(r.acct_order, r.code, r.description) for r in ac.clean_accounts(twice).collect()] == [(0, "1", "b")]
+
+
+def one_by_one(known, new, at_least):
+    """The corrections after the approvals, learned in order: (corr_id, konto) of each place."""
+    held = [[i, np.array(v, np.float32).astype(float), k] for i, v, k in known]
+    for i, v, k in new:
+        if not k:
+            continue
+        v = np.array(v, np.float32).astype(float)
+        sims = [h[1] @ v for h in held]
+        if sims and max(sims) >= at_least:
+            held[int(np.argmax(sims))][1:] = [v, k]
+        else:
+            held.append([i, v, k])
+    return {(h[0], h[2]) for h in held}
+
+
+@pytest.mark.parametrize("max_bytes", [None, 8 * 8 * 7])
+def test_learning_in_order_of_arrival(spark, monkeypatch, max_bytes):
+    """Chains, groups of near copies, equal vectors; small table and partitions around pivots."""
+    if max_bytes:
+        searched = ac._searched
+        monkeypatch.setattr(ac, "_searched", lambda q, i, t, e, l, _: searched(q, i, t, e, l, max_bytes))
+    rng = np.random.default_rng(4)
+    wide, chain = vectors(rng, 60), vectors(rng, 1)[0]
+    other = vectors(rng, 1)[0]
+    other -= (other @ chain) * chain
+    other /= np.linalg.norm(other)
+    drift = [np.cos(a) * chain + np.sin(a) * other for a in np.arange(0, 3, 0.2)]
+    rows = [*wide[:20], *vectors(rng, 60, around=wide[:6]), *drift, *drift[::3], *wide[:10], *[wide[0]] * 15]
+    rng.shuffle(rows)
+    known = [(i, list(v), f"k{i}") for i, v in enumerate([*wide[:4], *wide[40:], drift[5]])]
+    new = [(1000 + i, list(v), "" if i % 17 == 5 else f"n{i}") for i, v in enumerate(rows)]
+    settings = ac.Settings(duplicate_similarity=0.95)
+    out = ac.learn(approvals(spark, *known), approvals(spark, *new), settings)
+    assert {(r.corr_id, r.konto) for r in out.collect()} == one_by_one(known, new, 0.95)

@@ -22,8 +22,11 @@ from knigovod.llm.decontaminate import words_of
 
 SLOTS, FACTORS = 1 << 18, 4
 #: At most so many labelled texts are learned from. A term is learned if at least `LEAST_TEXTS` of them hold it and it
-#: goes with the label, or if a share of `COMMON` of them holds it, `MANY` at least.
-SAMPLE, LEAST_TEXTS, CHI_SQUARED, COMMON, MANY = 20_000, 4, 25.0, 0.05, 100
+#: goes with the label, if a share of `COMMON` of them holds it, `MANY` at least, or if it goes with the label together with
+#: another term: more than `CHANCE` would ever let any of the pairs do.
+SAMPLE, LEAST_TEXTS, CHI_SQUARED, COMMON, MANY, CHANCE = 20_000, 4, 25.0, 0.05, 100, 0.01
+#: Counts of pairs held at a time.
+PAIR_COUNTS = 4_000_000
 #: Passes over the texts, and steps, at least.
 EPOCHS, STEPS, RATE, L2 = 8, 40_000, 0.1, 1e-3
 
@@ -53,15 +56,58 @@ class Machine:
 
 def chosen_slots(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """The terms that are learned: those that go with the label beyond chance (chi-squared with one degree of freedom),
-    and those so common that their weights cannot fit single texts; the latter may matter in pairs only."""
+    those so common that their weights cannot fit single texts, and those that go with it in pairs, however rare."""
     flat = np.concatenate([*texts, np.empty(0, np.int64)]).astype(np.int64)
     of = np.repeat(labels, [len(t) for t in texts]) if len(texts) else np.empty(0)
     n, toxic = max(len(texts), 1), max(float(np.sum(labels)), 1e-9)
     seen, bad = np.bincount(flat, minlength=SLOTS).astype(float), np.bincount(flat, weights=of, minlength=SLOTS)
     with np.errstate(divide="ignore", invalid="ignore"):
         square = n * (bad * n - seen * toxic) ** 2 / (seen * (n - seen) * toxic * max(n - toxic, 1e-9))
-    associated = (np.nan_to_num(square, posinf=0.0) >= CHI_SQUARED) & (seen >= LEAST_TEXTS)
-    return np.flatnonzero(associated | (seen >= max(COMMON * n, MANY)))
+    chosen = (np.nan_to_num(square, posinf=0.0) >= CHI_SQUARED) & (seen >= LEAST_TEXTS) | (seen >= max(COMMON * n, MANY))
+    chosen[paired_slots(texts, labels, seen, bad)] = True
+    return np.flatnonzero(chosen)
+
+
+def paired_slots(texts: list[np.ndarray], labels: np.ndarray, seen: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """The terms of the pairs that go with the label more often than either of the two alone does, each text a set of terms.
+
+    A pair in k texts, b of them toxic, counts if a share of b / k is too unlikely (Chernoff's bound) for texts that are toxic
+    as often as those of its more toxic term: below `CHANCE` for all pairs that are looked at. Pairs of terms in too few
+    toxic texts for that are not counted, of the others every one is, block by block."""
+    share = float(np.mean(labels)) if len(labels) else 0.0
+    if not 0.0 < share < 1.0:
+        return np.empty(0, np.int64)
+    fewest, terms = float(LEAST_TEXTS), np.empty(0, np.int64)
+    for _ in range(2):  # the number of terms sets how unlikely a pair must be, and that the number of terms
+        terms = np.flatnonzero(bad >= fewest)
+        needed = np.log(max(len(terms) * (len(terms) - 1) / 2, 1) / CHANCE)
+        fewest = max(fewest, needed / np.log(1 / share))
+    terms = np.flatnonzero(bad >= fewest)
+    where = np.full(SLOTS, -1, np.int64)
+    where[terms] = np.arange(len(terms))
+    rows = [np.sort(i[i >= 0]) for i in (where[t] for t in texts)]
+    alone = bad[terms] / np.maximum(seen[terms], 1)
+    found = np.zeros(len(terms), bool)
+    step = max(1, PAIR_COUNTS // max(len(terms), 1))
+    for low in range(0, len(terms), step):
+        size = min(step, len(terms) - low)
+        both, toxic = np.zeros((size, len(terms) - low), np.int32), np.zeros((size, len(terms) - low), np.int32)
+        for row, label in zip(rows, labels):
+            a, b = np.searchsorted(row, (low, low + size))
+            if a < b:
+                at = np.ix_(row[a:b] - low, row[a:] - low)
+                both[at] += 1
+                if label:
+                    toxic[at] += 1
+        x, y = np.nonzero(toxic >= fewest)
+        x, y = x[y > x], y[y > x]
+        k, b = both[x, y].astype(float), toxic[x, y].astype(float)
+        p, q = np.maximum(alone[x + low], alone[y + low]), b / k
+        with np.errstate(divide="ignore", invalid="ignore"):
+            unlikely = b * np.log(q / p) + np.where(k > b, (k - b) * np.log((1 - q) / (1 - p)), 0.0)
+        hit = (q > p) & (np.nan_to_num(unlikely) >= needed)
+        found[x[hit] + low] = found[y[hit] + low] = True
+    return terms[found]
 
 
 def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:

@@ -358,6 +358,47 @@ def test_machine_learns_pairs():
     assert both > 0.5 > max(one, two)
 
 
+def test_machine_learns_rare_pairs():
+    """An insult and a group word, each in 1 % of the texts and as harmless alone as any word, together in 15 toxic texts."""
+    r = random.Random(5)
+    texts, labels = [], []
+    for k in range(20_000):
+        both = k < 15
+        own = ([1] if both or r.random() < 0.01 else []) + ([2] if both or r.random() < 0.01 else [])
+        if not both and len(own) == 2:
+            own.pop()
+        texts.append(np.array(sorted({*own, *(r.randint(10, 3000) for _ in range(12))}), np.int64))
+        labels.append(float(both or r.random() < 0.05))
+    flat = np.concatenate(texts)
+    seen = np.bincount(flat, minlength=toxicity.SLOTS).astype(float)
+    bad = np.bincount(flat, weights=np.repeat(labels, [len(t) for t in texts]), minlength=toxicity.SLOTS)
+    assert toxicity.paired_slots(texts, np.array(labels), seen, bad).tolist() == [1, 2]
+    m = toxicity.Machine(*toxicity.fit(texts, np.array(labels)))
+    both, one, two = (np.mean([m.score(np.array([*x, *range(k, k + 12)], np.int64)) for k in range(100, 1100, 100)])
+                      for x in ([1, 2], [1], [2]))
+    assert both > 4 * max(one, two)
+
+
+def test_paired_slots_equal_plain_counts(monkeypatch):
+    """Blocks of pair counts, against all pairs one by one."""
+    monkeypatch.setattr(toxicity, "PAIR_COUNTS", 50)
+    r = random.Random(6)
+    texts = [np.array(sorted(r.sample(range(30), r.randint(0, 8))), np.int64) for _ in range(600)]
+    labels = np.array([float({3, 4} <= set(t.tolist()) or {7, 21} <= set(t.tolist()) or r.random() < 0.05) for t in texts])
+    flat = np.concatenate(texts)
+    seen = np.bincount(flat, minlength=toxicity.SLOTS).astype(float)
+    bad = np.bincount(flat, weights=np.repeat(labels, [len(t) for t in texts]), minlength=toxicity.SLOTS)
+    wanted = set()
+    for a in range(30):
+        for b in range(a + 1, 30):
+            held = [y for t, y in zip(texts, labels) if a in t and b in t]
+            p, q = max(bad[a] / seen[a], bad[b] / seen[b]), sum(held) / max(len(held), 1)
+            chance = sum(y * np.log(q / p) if y else np.log((1 - q) / (1 - p)) for y in held) if q > p else 0
+            if sum(held) >= toxicity.LEAST_TEXTS and chance >= np.log(30 * 29 / 2 / toxicity.CHANCE):
+                wanted |= {a, b}
+    assert set(toxicity.paired_slots(texts, labels, seen, bad).tolist()) == wanted >= {3, 4, 7, 21}
+
+
 def test_katz(docs, nothing):
     train = [brute.fold(i) != 1 for i, _ in ROWS]
     wanted, chance, one = brute.katz(ROWS, train, katz.discounts)

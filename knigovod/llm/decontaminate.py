@@ -4,8 +4,10 @@ The words of the test items are put into one suffix automaton. A document's word
 says the longest stretch that ends at this word and occurs in some item. Wherever that length reaches the window (ten
 words), the last ten words are a window of an item and are hit. An item of fewer words, but not none, is one window.
 
-Items are taken in blocks of at most `BLOCK_WORDS` words, so the automaton in a task has a fixed bound; each block is
-one pass over the documents, which are not shuffled for it.
+Repeated items are taken once, longer ones in overlapping pieces, and put into blocks of about `BLOCK_WORDS` words by
+running counts, so the automaton in a task has a fixed bound. One block is one pass over the documents, which are not
+shuffled for it. Where there are more, a pass for each `SIEVE_BLOCKS` of them first finds the documents that share the hash
+of a window with an item; only these meet the automata, block by block.
 """
 
 from __future__ import annotations
@@ -13,8 +15,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
@@ -22,13 +26,13 @@ from knigovod.llm.shared import staged
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
+#: Blocks whose window hashes, 8 bytes for each word, are sent to the tasks together.
+SIEVE_BLOCKS = 40
 
 #: Bytes of words: 0-9, a-z and all of non-ASCII characters; A-Z are lower-cased, the rest separates.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 WORD = re.compile(rb"[^ ]+")
-#: The column that carries spans from block to block.
-MARKS = "_hit_spans"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -162,51 +166,134 @@ def _pairs(items: list) -> list[tuple[str, list[bytes]]]:
     return [("" if i is None else str(i), words_of((t or "").encode())) for i, t in items]
 
 
-def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_words: int) -> tuple[DataFrame, int]:
-    """(i, t) of the items with text, and how many blocks they make."""
-    items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter(F.length("t") > 0)
-    # A word takes a character and a separator at least, which bounds the words of an item.
-    total = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    return items, max(1, -(-total // (2 * block_words)))
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_words: int, window: int = WINDOW) -> tuple[DataFrame, int]:
+    """(i, t, b): the words of the items and the block of each, and how many blocks there are. A block has `block_words`
+    words and part of an item more at most. An item of more words than that is cut into pieces that share a window less one."""
+    most = max(block_words, 4 * window)
 
+    def run(batches):
+        for batch in batches:
+            names, texts, sizes = [], [], []
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = words_of(value.as_py() or b"")
+                for low in range(0, max(len(words) - window + 1, min(len(words), 1)), most - window + 1):
+                    piece = words[low:low + most]
+                    names.append(name)
+                    texts.append(b" ".join(piece).decode())
+                    sizes.append(len(piece))
+            yield pa.RecordBatch.from_pydict({
+                "i": pa.array(names, pa.string()), "t": pa.array(texts, pa.string()), "n": pa.array(sizes, pa.int64())})
+
+    given = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("binary").alias("t"))
+    pieces = staged(given.mapInArrow(run, "i string, t string, n bigint").dropDuplicates(["i", "t"]), "items")
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    # Running counts: over the cells, of which a block has four, and inside of each.
+    cells = max(1, 4 * total // block_words)
+    placed = pieces.withColumn("cell", F.pmod(F.xxhash64("i", "t"), F.lit(cells)))
+    bases, before = [], 0
+    for row in placed.groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").collect():
+        bases.append((row["cell"], before))
+        before += row["n"]
+    if not bases:
+        return pieces.select("i", "t", F.lit(0).cast("bigint").alias("b")), 1
+    known = benchmark.sparkSession.createDataFrame(bases, "cell bigint, base bigint")
+    inside = F.sum("n").over(Window.partitionBy("cell").orderBy("i", "t").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    placed = placed.withColumn("inside", inside).join(F.broadcast(known), "cell")
+    place = F.floor((F.col("base") + F.col("inside")) / block_words)
+    return staged(placed.select("i", "t", place.alias("b")), "blocks"), (total - 1) // block_words + 1
+
+
+def _block(listed: DataFrame, b: int, blocks: int) -> list:
+    return listed.filter(F.col("b") == b).select("i", "t").collect()
+
+
+def _sent(listed: DataFrame, b: int, blocks: int):
+    """The items of a block, sent to the tasks: of bounded size by how blocks are made."""
+    return listed.sparkSession.sparkContext.broadcast(_pairs(_block(listed, b, blocks)))
+
+
+def _keys(words: list[bytes], size: int) -> np.ndarray:
+    """A hash of each `size` words in a row."""
+    if len(words) < size:
+        return np.empty(0, np.uint64)
+    own = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    out = np.zeros(len(words) - size + 1, np.uint64)
+    for k in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + own[k:len(words) - size + 1 + k]
+    return out
 
-def _block(items: DataFrame, b: int, blocks: int) -> list:
-    return items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
+
+def _sift(docs: DataFrame, sieve, text: str, hit: bool) -> DataFrame:
+    """The rows that share, or do not share, the hash of a window with the items of a sieve."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        sizes, keys = sieve.value
+        for batch in batches:
+            keep = []
+            for value in batch.column(at):
+                words = words_of((value.as_py() or "").encode())
+                met = False
+                for size in sizes:
+                    own = _keys(words, size)
+                    place = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+                    met = met or bool(len(keys) and (keys[place] == own).any())
+                keep.append(met == hit)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _sifted(docs: DataFrame, listed: DataFrame, blocks: int, window: int, text: str) -> tuple[DataFrame, DataFrame]:
+    """(rows without a word of any item's window, the others, written): a superset of what the automata find."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sizes, keys = set(), [np.empty(0, np.uint64)]
+        for value in table.column("t"):
+            words = value.as_py().encode().split()
+            sizes.add(min(len(words), window))
+            keys.append(_keys(words, min(len(words), window)))
+        return pa.table({"sizes": pa.array([sorted(sizes)], pa.list_(pa.int64())), "keys": [np.unique(np.concatenate(keys)).tobytes()]})
+
+    suspects = None
+    for low in range(0, blocks, SIEVE_BLOCKS):
+        group = listed.filter(F.col("b").between(low, low + SIEVE_BLOCKS - 1)).groupBy(F.lit(0).alias("g"))
+        # One group of a bounded number of words, and one row of it.
+        row = group.applyInArrow(run, "sizes array<bigint>, keys binary").first()
+        sieve = docs.sparkSession.sparkContext.broadcast((row["sizes"], np.frombuffer(row["keys"], np.uint64)) if row else ([], np.empty(0, np.uint64)))
+        found = staged(_sift(docs, sieve, text, True), "suspects")
+        suspects = found if suspects is None else suspects.unionByName(found)
+        docs = _sift(docs, sieve, text, False)
+    return docs, suspects
 
 
 FOUND = "n_words bigint, spans array<struct<low:int,high:int>>, items array<string>"
 
 
-def _scanned(docs: DataFrame, items: list, window: int, text: str) -> DataFrame:
-    """The rows of `docs` with the columns of FOUND, for one block of items. The rows stay where they are."""
-    kept = [c for c in docs.columns if c != text]
-    pairs = _pairs(items)
-    span = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
+SPAN = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
+
+
+def _scanned(docs: DataFrame, pairs, window: int, carried: bool = False, last: bool = True) -> DataFrame:
+    """The rows of `docs` (doc_id, text) with the columns of FOUND, for one block of items, put to those of the blocks before
+    if these are `carried`. The text goes at the last block. The rows stay where they are."""
 
     def run(batches):
-        automaton = Automaton(pairs, window)
+        automaton = Automaton(pairs.value if pairs else [], window)
         for batch in batches:
             sizes, spans, names = [], [], []
-            for value in batch.column(batch.num_columns - 1):
-                words = words_of(value.as_py() or b"")
+            known = zip(*(batch.column(k).to_pylist() for k in (3, 4))) if carried else [((), ())] * batch.num_rows
+            for value, (marked, listed) in zip(batch.column(1), known):
+                words = words_of((value.as_py() or "").encode())
                 s, i, _ = automaton.found(words)
                 sizes.append(len(words))
-                spans.append([{"low": a, "high": b} for a, b in s])
-                names.append(sorted(i))
-            columns = {c: batch.column(k) for k, c in enumerate(kept)}
-            yield pa.RecordBatch.from_pydict(columns | {
-                "n_words": pa.array(sizes, pa.int64()), "spans": pa.array(spans, span), "items": pa.array(names, pa.list_(pa.string()))})
+                spans.append([{"low": a, "high": b} for a, b in _merged([*((x["low"], x["high"]) for x in marked), *map(tuple, s)])])
+                names.append(sorted({*listed, *i}))
+            kept = {"doc_id": batch.column(0)} | ({} if last else {"text": batch.column(1)})
+            yield pa.RecordBatch.from_pydict(kept | {
+                "n_words": pa.array(sizes, pa.int64()), "spans": pa.array(spans, SPAN), "items": pa.array(names, pa.list_(pa.string()))})
 
-    given = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("binary").alias("_text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]] + [FOUND])
-    return given.mapInArrow(run, schema)
-
-
-#: Overlapping spans of several blocks put together: a fold over the sorted spans.
-MERGED = """aggregate(array_sort(spans), cast(array() as array<struct<low:int,high:int>>), (done, s) -> CASE
-  WHEN size(done) > 0 AND done[size(done) - 1].high >= s.low THEN concat(slice(done, 1, size(done) - 1),
-    array(named_struct('low', done[size(done) - 1].low, 'high', greatest(done[size(done) - 1].high, s.high))))
-  ELSE concat(done, array(s)) END)"""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, " + ("" if last else "text string, ") + FOUND)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -219,24 +306,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     reported as ''. Repeated items count once by id. With no items, all documents are clean. Repeated rows give
     repeated results. Other columns are not read."""
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    listed, blocks = _blocks(benchmark, item_id, item_text, block_words)
+    listed, blocks = _blocks(benchmark, item_id, item_text, block_words, window)
     if blocks == 1:
-        found = _scanned(given, _block(listed, 0, 1), window, "text")
+        found = _scanned(given, _sent(listed, 0, 1), window)
     else:
-        keyed = given.withColumn("k", F.xxhash64("text"))
-        parts = []
+        clean, found = _sifted(given, listed, blocks, window, "text")
         for b in range(blocks):
-            parts.append(staged(_scanned(keyed, _block(listed, b, blocks), window, "text").filter("size(spans) > 0"), "contamination"))
-        hits = parts[0]
-        for part in parts[1:]:
-            hits = hits.unionByName(part)
-        hits = hits.groupBy("doc_id", "k").agg(
-            F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-        hits = hits.withColumn("spans", F.expr(MERGED))
-        sizes = _scanned(keyed, [], window, "text").select("doc_id", "k", "n_words")
-        found = sizes.alias("s").join(hits.alias("h"), F.expr("s.doc_id <=> h.doc_id AND s.k = h.k"), "left").select(
-            "s.doc_id", "n_words", F.coalesce("spans", F.expr("cast(array() as array<struct<low:int,high:int>>)")).alias("spans"),
-            F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+            found = staged(_scanned(found, _sent(listed, b, blocks), window, b > 0, b == blocks - 1), "contamination")
+        found = found.unionByName(_scanned(clean, None, window))
     hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.high - s.low)")
     return found.select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items",
@@ -261,39 +338,37 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
 
 
-def _marked(docs: DataFrame, items: list, window: int, text: str, last: Callable | None) -> DataFrame:
-    """The rows with `MARKS`, the spans that this block of items hits put to those of the blocks before. At the last
-    block, `last` (words, spans -> whether the row stays, whether its text is cut) is applied instead and `MARKS` goes.
+def _marked(docs: DataFrame, pairs, window: int, text: str, marks: str, last: Callable | None) -> DataFrame:
+    """The rows with a column `marks`, the spans that this block of items hits put to those of the blocks before. At the last
+    block, `last` (words, spans -> whether the row stays, whether its text is cut) is applied instead and `marks` goes.
     Rows stay where they are."""
-    pairs, at = _pairs(items), docs.columns.index(text)
-    columns = [c for c in docs.columns if c != MARKS]
+    at, columns = docs.columns.index(text), [c for c in docs.columns if c != marks]
     before = len(columns) < len(docs.columns)
-    span = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
 
     def run(batches):
-        automaton = Automaton(pairs, window)
+        automaton = Automaton(pairs.value, window)
         for batch in batches:
             known = batch.column(len(columns)).to_pylist() if before else [()] * batch.num_rows
-            marks, keep, texts = [], [], []
+            spans_of, keep, texts = [], [], []
             for value, earlier in zip(batch.column(at), known):
                 raw = (value.as_py() or "").encode()
                 words = words_of(raw)
                 spans = _merged([*((x["low"], x["high"]) for x in earlier), *map(tuple, automaton.found(words)[0])])
                 if last is None:
-                    marks.append([{"low": a, "high": b} for a, b in spans])
+                    spans_of.append([{"low": a, "high": b} for a, b in spans])
                 else:
                     stays, cut = last(len(words), spans)
                     keep.append(stays)
                     texts.append(without_spans(raw, spans).decode() if stays and cut and spans else value.as_py())
             arrays = [batch.column(k) for k in range(len(columns))]
             if last is None:
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(marks, span)], names=[*columns, MARKS])
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(spans_of, SPAN)], names=[*columns, marks])
             else:
                 arrays[at] = pa.array(texts, batch.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(keep, pa.bool_()))
 
-    schema = StructType([f for f in docs.schema.fields if f.name != MARKS])
-    return docs.mapInArrow(run, schema if last else schema.add(MARKS, ArrayType(StructType().add("low", IntegerType()).add("high", IntegerType()))))
+    schema = StructType([f for f in docs.schema.fields if f.name != marks])
+    return docs.mapInArrow(run, schema if last else schema.add(marks, ArrayType(StructType().add("low", IntegerType()).add("high", IntegerType()))))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -302,13 +377,17 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     """The rows of `docs`, all columns, without the documents of which the items, all blocks together, hit more than
     `max_words` words and more than a share of `max_coverage`. By default any hit excludes a document. With `cut`, the
     texts of those that stay lose the words that are hit; what then meets is not searched again. Nulls, empty texts
-    and repeated rows as in `contamination`."""
+    and repeated rows as in `contamination`; columns of any name are kept."""
 
     def last(n_words: int, spans: list[tuple[int, int]]) -> tuple[bool, bool]:
         hit = sum(b - a for a, b in spans)
         return hit <= max_words or hit <= max_coverage * n_words, cut
 
-    items, blocks = _blocks(benchmark, item_id, item_text, block_words)
+    marks = "_".join(["spans", *docs.columns])  # longer than any name given
+    listed, blocks = _blocks(benchmark, item_id, item_text, block_words, window)
+    if blocks == 1:
+        return _marked(docs, _sent(listed, 0, 1), window, text, marks, last)
+    clean, found = _sifted(docs, listed, blocks, window, text)
     for b in range(blocks):
-        docs = _marked(docs, _block(items, b, blocks), window, text, last if b == blocks - 1 else None)
-    return docs
+        found = staged(_marked(found, _sent(listed, b, blocks), window, text, marks, last if b == blocks - 1 else None), "contamination")
+    return clean.unionByName(found)

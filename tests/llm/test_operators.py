@@ -111,14 +111,18 @@ ITEMS = [(1, " ".join((ROWS[5][1] or "").split()[10:25])), (2, "Four words, in H
          (2, "the the the the the the the the the the the")]
 
 
-def test_contamination(spark, docs, nothing):
+def test_contamination(spark, docs, nothing, monkeypatch):
     items = spark.createDataFrame(ITEMS, "item_id int, text string")
     wanted = brute.contamination(ROWS, ITEMS)
     columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     same(decontaminate.contamination(docs, items).select(*columns).collect(), wanted)
-    # In several blocks of items, rows that repeat (doc_id, text) are joined, so each appears as often as before.
-    blocks = decontaminate.contamination(docs, items, block_words=10).select(*columns).collect()
-    assert {tuple(r) for r in blocks} == set(wanted)
+    same(decontaminate.contamination(docs, items, block_words=10).select(*columns).collect(), wanted)
+    # Two sieves, one block each; copies of items change nothing.
+    monkeypatch.setattr(decontaminate, "SIEVE_BLOCKS", 1)
+    many = items.unionByName(items).unionByName(items)
+    same(decontaminate.contamination(docs, many, block_words=30).select(*columns).collect(), wanted)
+    same(decontaminate.decontaminated(docs.withColumn("_hit_spans", F.lit(1)), many, block_words=30).select("doc_id", "_hit_spans").collect(),
+         [(r[0], 1) for r in wanted if not r[5]])
     kept = decontaminate.decontaminated(docs, items, block_words=10)
     assert kept.columns == docs.columns
     same(kept.select("doc_id").collect(), [(r[0],) for r in wanted if not r[5]])
@@ -150,6 +154,22 @@ def test_limits_hold_over_all_blocks(spark):
         assert left(max_words=24, cut=True)[3] == "x "
 
 
+def test_blocks_are_bounded(spark):
+    """Copies of an item are one, a long item is cut into pieces that lose no window, and no block exceeds its words by more than a piece."""
+    r = random.Random(8)
+    text = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    long, hot = text(1000), text(30)
+    items = [(1, long), *[(2, hot)] * 200, *((3 + k, text(20)) for k in range(60)), (99, "one"), (100, None), (None, text(15))]
+    listed, blocks = decontaminate._blocks(spark.createDataFrame(items, "item_id int, text string"), "item_id", "text", 100)
+    sizes = [sum(len(x["t"].split()) for x in decontaminate._block(listed, b, blocks)) for b in range(blocks)]
+    assert blocks > 10 and max(sizes) <= 200 and listed.filter("i = '2'").count() == 1
+    words = long.split()
+    docs = spark.createDataFrame([(k, " ".join(words[k:k + 10])) for k in range(991)] + [(2000, "x " + hot)], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(items, "item_id int, text string")
+    out = decontaminate.contamination(docs, benchmark, block_words=600).collect()
+    assert all(x.n_hit == 10 and x.items == ["1"] for x in out if x.doc_id < 2000) and [x.n_hit for x in out if x.doc_id == 2000] == [30]
+
+
 def test_automaton_against_plain_search():
     r = random.Random(3)
     for _ in range(60):

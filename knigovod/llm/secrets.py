@@ -10,8 +10,8 @@ assignment with a guess inside holds a strong secret, one without a placeholder
 rated and reported, however long: what can no longer cost less than the least is not followed.
 
 The dictionary is the corpus's own: all its words of letters by rank, but for those that stand as a value in credential
-context, so that copies of a secret do not make it a word. Only the words that some value may be made of leave the
-executors.
+context, so that copies of a secret do not make it a word. Most values are decided without it, by the cost with no words and
+with all words for nothing; each distinct value of the rest is brought together with the ranks of the words in it.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knigovod.llm.shared import staged
@@ -151,15 +151,18 @@ def values_of(raw: bytes) -> list[tuple[int, int]]:
     return [(a, b) for a, b in found if b - a >= 6]
 
 
-def spans_of(raw: bytes, ranks: dict[str, int], least: float = LEAST_GUESSES) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of all secrets of a text, in bytes, sorted."""
+def base_spans(raw: bytes) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of what the base patterns find in a text, in bytes."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(raw) if m.end(1) - m.start(1) >= 12]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(raw) if m.end() - m.start() >= 18]
-    found += [(a, 2, b) for a, b in hex_runs(raw)]
-    for low, high in values_of(raw):
-        if guesses(raw[low:high].decode("utf-8", "ignore"), ranks, least) >= least:
-            found.append((low, 3, high))
-    return sorted(found)
+    return found + [(a, 2, b) for a, b in hex_runs(raw)]
+
+
+def decided(value: str, least: float) -> bool | None:
+    """Whether a value takes `least` guesses or more, None where that is up to the ranks of words."""
+    if guesses(value, Asked(), least) >= least:
+        return True
+    return None if guesses(value, {}, least) >= least else False
 
 
 def code_points(raw: bytes, places: list[int]) -> list[int]:
@@ -170,23 +173,18 @@ def code_points(raw: bytes, places: list[int]) -> list[int]:
     return before[places].tolist()
 
 
-def counted_words(docs: DataFrame, text: str, least: float | None = None) -> DataFrame:
-    """(word, n, asked) of the corpus's words of 3 to 24 letters that are not values in credential context, n counted over
-    all texts; with `least`, also of the words that could make a value cheaper than that, as `asked`."""
+def counted_words(docs: DataFrame, text: str) -> DataFrame:
+    """(word, n) of the corpus's words of 3 to 24 letters that are not values in credential context, n counted over all
+    texts."""
 
     def run(batches):
         from collections import Counter
 
         for batch in batches:
             counts: Counter = Counter()
-            asked: set[str] = set()
             for value in batch.column(0):
                 raw = value.as_py()
                 found = values_of(raw)
-                for low, high in found if least is not None else ():
-                    own = Asked()
-                    if guesses(raw[low:high].decode("utf-8", "ignore"), own, least) < least:
-                        asked |= own.words
                 if found:
                     ends = [0, *(high for _, high in found)]
                     raw = b" ".join(raw[a:b] for a, b in zip(ends, [*(low for low, _ in found), len(raw)]))
@@ -196,30 +194,58 @@ def counted_words(docs: DataFrame, text: str, least: float | None = None) -> Dat
                 word = w.decode("utf-8", "ignore").lower()
                 if LETTERS[0] <= len(word) <= LETTERS[1] and word.isalpha():
                     kept[word] += n
-            words = [*kept, *(asked - kept.keys())]
-            yield pa.RecordBatch.from_pydict({
-                "word": pa.array(words, pa.string()), "n": pa.array([kept[w] for w in words], pa.int64()),
-                "asked": pa.array([w in asked for w in words], pa.bool_())})
+            yield pa.RecordBatch.from_pydict({"word": pa.array(list(kept), pa.string()), "n": pa.array(list(kept.values()), pa.int64())})
 
-    given = docs.select(F.col(text).cast("binary")).dropna().mapInArrow(run, "word string, n bigint, asked boolean")
-    return given.groupBy("word").agg(F.sum("n").alias("n"), F.max("asked").alias("asked")).filter("n > 0")
+    given = docs.select(F.col(text).cast("binary")).dropna().mapInArrow(run, "word string, n bigint")
+    return given.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def ranks_of(docs: DataFrame, text: str = "text", least: float = LEAST_GUESSES) -> dict[str, float]:
-    """Ranks among all words of the corpus, for those that values in credential context may be made of. Words of equal
-    count share the middle of their ranks."""
-    counted = staged(counted_words(docs, text, least), "words")
-    # How many words have each count: few rows, as counts repeat.
-    middle, above = {}, 0
-    for row in counted.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect():
-        middle[row["n"]] = above + (row["words"] + 1) / 2
+def ranked_counts(counted: DataFrame) -> DataFrame:
+    """(n, rank): the rank among all words of those that occur n times, the middle of theirs. Running sums over the counts,
+    inside each power of two, and over these."""
+    sizes = counted.groupBy("n").agg(F.count("*").alias("words")).withColumn("power", F.floor(F.log2("n")).cast("int"))
+    sizes = staged(sizes, "counts")
+    # A row for each power of two, of which there are 63.
+    above, bases = 0, []
+    for row in sizes.groupBy("power").agg(F.sum("words").alias("words")).orderBy(F.desc("power")).collect():
+        bases.append((row["power"], above))
         above += row["words"]
-    return {row["word"]: middle[row["n"]] for row in counted.filter("asked").select("word", "n").collect()}
+    known = F.broadcast(counted.sparkSession.createDataFrame(bases, "power int, base bigint"))
+    before = Window.partitionBy("power").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.sum("words").over(before) - F.col("words")
+    return sizes.withColumn("inside", inside).join(known, "power").select(
+        "n", (F.col("base") + F.col("inside") + (F.col("words") + 1) / 2).alias("rank"))
+
+
+def rated(values: DataFrame, counted: DataFrame, least: float = LEAST_GUESSES) -> DataFrame:
+    """(v, strong) for distinct values (v): whether one takes `least` guesses or more, words costing their rank in the corpus."""
+
+    def asked(batches):
+        for batch in batches:
+            at, words = [], []
+            for value in batch.column(0).to_pylist():
+                own = Asked()
+                guesses(value, own, least)
+                at.extend([value] * len(own.words))
+                words.extend(sorted(own.words))
+            yield pa.RecordBatch.from_pydict({"v": pa.array(at, pa.string()), "word": pa.array(words, pa.string())})
+
+    def rate(batches):
+        for batch in batches:
+            values, known = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            strong = [guesses(v, {x["word"]: x["rank"] for x in k or ()}, least) >= least for v, k in zip(values, known)]
+            yield pa.RecordBatch.from_pydict({"v": batch.column(0), "strong": pa.array(strong, pa.bool_())})
+
+    needed = values.mapInArrow(asked, "v string, word string")
+    # Words that several values ask about are looked up once.
+    ranks = counted.join(needed.select("word").distinct(), "word", "left_semi").join(ranked_counts(counted), "n").select("word", "rank")
+    held = needed.join(ranks, "word").groupBy("v").agg(F.collect_list(F.struct("word", "rank")).alias("known"))
+    return values.join(held, "v", "left").select("v", "known").mapInArrow(rate, "v string, strong boolean")
 
 
 def frequent_words(docs: DataFrame, text: str = "text", most: int = DICTIONARY) -> dict[str, int]:
     """Ranks of the corpus's most frequent words, as `counted_words` counts them. Ties go by the word."""
-    counted = staged(counted_words(docs, text).filter("n > 1").select("word", "n"), "words")
+    counted = staged(counted_words(docs, text).filter("n > 1"), "words")
     # A top-k sends k rows of each partition to the driver. So the least count among the top comes first, from the number of
     # words of each count, of which there are few; then only the words that reach it are sorted.
     least, above = 1, 0
@@ -231,7 +257,7 @@ def frequent_words(docs: DataFrame, text: str = "text", most: int = DICTIONARY)
     return {row["word"]: rank for rank, row in enumerate(rows, 1)}
 
 
-FOUND = "doc_id bigint, kinds array<string>, starts array<bigint>, ends array<bigint>"
+SPANS = "array<struct<s:bigint,k:int,e:bigint>>"
 
 
 def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: dict[str, int] | None = None,
@@ -241,21 +267,44 @@ def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
 
     Null and empty texts have none. Repeated rows give repeated results, also in the counts of the dictionary. Very
     long texts and values are rated whole. `ranks` replaces the corpus's dictionary. Other columns are not read."""
-    words = docs.sparkSession.sparkContext.broadcast(ranks_of(docs, text, least) if ranks is None else ranks)
+    span = pa.list_(pa.struct([("s", pa.int64()), ("k", pa.int32()), ("e", pa.int64())]))
+    asked = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("v", pa.string())]))
 
     def run(batches):
-        known = words.value
         for batch in batches:
-            kinds, starts, ends = [], [], []
+            sure, rest = [], []
             for value in batch.column(1):
                 raw = value.as_py()
-                found = spans_of(raw, known, least)
-                kinds.append([KINDS[k] for _, k, _ in found])
-                starts.append(code_points(raw, [a for a, _, _ in found]) if found else [])
-                ends.append(code_points(raw, [b for _, _, b in found]) if found else [])
+                found, doubtful = base_spans(raw), []
+                for low, high in values_of(raw):
+                    own = raw[low:high].decode("utf-8", "ignore")
+                    strong = decided(own, least) if ranks is None else guesses(own, ranks, least) >= least
+                    if strong:
+                        found.append((low, 3, high))
+                    elif strong is None:
+                        doubtful.append((low, high, own))
+                places = iter(code_points(raw, [x for a, _, b in found for x in (a, b)] + [x for a, b, _ in doubtful for x in (a, b)]) if found or doubtful else [])
+                sure.append([{"s": next(places), "k": k, "e": next(places)} for _, k, _ in found])
+                rest.append([{"s": next(places), "e": next(places), "v": v} for _, _, v in doubtful])
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column(0), "kinds": pa.array(kinds, pa.list_(pa.string())),
-                "starts": pa.array(starts, pa.list_(pa.int64())), "ends": pa.array(ends, pa.list_(pa.int64()))})
-
-    given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t"))
-    return given.mapInArrow(run, FOUND)
+                "doc_id": batch.column(0), "h": batch.column(2), "sure": pa.array(sure, span), "rest": pa.array(rest, asked)})
+
+    raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
+    given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), raw.alias("t"), F.sha2(raw, 256).alias("h"))
+    found = given.mapInArrow(run, f"doc_id bigint, h string, sure {SPANS}, rest array<struct<s:bigint,e:bigint,v:string>>")
+    if ranks is None:
+        found = staged(found, "spans")
+        values = staged(found.select(F.explode("rest.v").alias("v")).distinct(), "values")
+        strong = rated(values, staged(counted_words(docs, text), "words"), least).filter("strong").select("v")
+        # Equal texts have equal spans, so a text is enough to bring the rated ones back to their rows.
+        texts = found.filter(F.size("rest") > 0).select("h", "rest").dropDuplicates(["h"]).select("h", F.inline("rest"))
+        more = staged(texts.join(strong, "v").groupBy("h").agg(
+            F.collect_list(F.struct("s", F.lit(3).alias("k"), "e")).cast(SPANS).alias("more")), "rated")
+        open_rows = found.filter(F.size("rest") > 0).join(more, "h", "left").select(
+            "doc_id", F.concat("sure", F.coalesce("more", F.array().cast(SPANS))).alias("all"))
+        found = found.filter(F.size("rest") == 0).select("doc_id", F.col("sure").alias("all")).unionByName(open_rows)
+    else:
+        found = found.select("doc_id", F.col("sure").alias("all"))
+    kinds = F.array(*[F.lit(k) for k in KINDS])
+    return found.withColumn("all", F.array_sort("all")).select(
+        "doc_id", F.transform("all", lambda x: F.get(kinds, x["k"])).alias("kinds"), F.col("all.s").alias("starts"), F.col("all.e").alias("ends"))

@@ -1,6 +1,7 @@
 """Each operator against its plain version, over texts that are null, empty, blank, short, very long, equal, and over
 rows that repeat; then over no rows, and with extra columns whose names clash."""
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -218,6 +219,38 @@ def test_secrets_in_common_contexts(spark):
     assert not any(guessed[len(texts) + k] for k in range(len(weak) + 2))
 
 
+def test_ranks_and_ratings_by_joins(spark):
+    """Ranks equal those of a sorted list, and the values up to them are rated as a plain dictionary of ranks has them."""
+    r = random.Random(31)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(3, 6))) for _ in range(300)]
+    counts = Counter({w: r.choice([1, 1, 2, 3, 4, 7, 8, 40, 1000, 5000]) for w in words})
+    counted = spark.createDataFrame(list(counts.items()), "word string, n bigint")
+    places = sorted(counts.values(), reverse=True)
+    rank = {n: sum(k + 1 for k, m in enumerate(places) if m == n) / places.count(n) for n in set(places)}
+    assert {x["n"]: x["rank"] for x in secrets.ranked_counts(counted).collect()} == rank
+    ranks = {w: rank[n] for w, n in counts.items()}
+    values = {"".join(r.choice([*words[:40], *words[:40], "12", "Zq", "#"]) for _ in range(r.randint(2, 4))) for _ in range(400)}
+    got = {x["v"]: x["strong"] for x in secrets.rated(spark.createDataFrame([(v,) for v in values], "v string"), counted).collect()}
+    assert got == {v: secrets.guesses(v, ranks, 9.0) >= 9.0 for v in values} and len(set(got.values())) == 2
+    for v in values:
+        assert secrets.decided(v, 9.0) in (None, got[v])
+
+
+def test_guesses_equal_all_segmentations():
+    """The program against every way to cut a value into segments, the cost of a segment as the program has it."""
+    r, ranks = random.Random(32), {"dragon": 5, "abc": 40, "cab": 7}
+    for _ in range(120):
+        value = "".join(r.choice(["abc", "cab", "Abc", "a", "1", "qw", "1999", "#"]) for _ in range(r.randint(1, 4)))[:9]
+        low, place = value.lower(), np.log10(max(secrets.alphabet(value), 10))
+
+        def best(at, used, cost):
+            if at == len(value):
+                return cost + np.log10(float(math.factorial(used)))
+            return min(best(j, used + 1, cost + own) for j, own in secrets._segments(value, low, at, place, float("inf"), ranks)) if used < 10 else np.inf
+
+        assert secrets.guesses(value, ranks) == pytest.approx(best(0, 0, 0.0))
+
+
 def test_limit_of_guesses():
     """Stopping at the limit does not change what is below it."""
     r, ranks = random.Random(21), {"dragon": 5, "monkey": 9, "abc": 40}

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: `spark.checkpoint.dir`. Only a session that names none (as in
-    tests) gets a folder of its own below the warehouse."""
+    """The folder that all executors share: `spark.checkpoint.dir`. Only a local session that names none (as in
+    tests) gets a folder of its own below the warehouse; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/llm-shared"
     return folder.rstrip("/")
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from knigovod.llm.shared import partitions, shared_folder, staged
+from knigovod.llm.shared import partitions, shared_folder, staged, text_bytes
 
 SEQUENCE = 2048
 SEQUENCES_A_BATCH = 256
@@ -178,6 +178,8 @@ def ids_of(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column(0).flatten().filter(batch.column(1).flatten()).to_numpy()
 
 
+#: Bytes of text in a file, more or less.
+RANGE_BYTES = 64 << 20
 MANIFEST = "part bigint, folder string, name string, n_docs bigint, n_tokens bigint"
 
 
@@ -208,7 +210,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, doc
                 "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([sum(counts)], pa.int64())})
 
     given = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = given.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id", "text")
+    # A task holds the ids of its range until they are written, so the number of ranges follows the size of the corpus.
+    ranges = max(partitions(spark), -(-text_bytes(docs, text) // RANGE_BYTES))
+    ordered = given.repartitionByRange(ranges, "id").sortWithinPartitions("id", "text")
     return staged(ordered.mapInArrow(run, MANIFEST), "manifest")
 
 

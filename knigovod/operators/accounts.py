@@ -104,6 +104,9 @@ def expense_accounts(accounts: DataFrame) -> DataFrame:
 
 # --- Nearest vectors ---------------------------------------------------------------------------------
 
+#: Vectors in a block of the partitioned search.
+BLOCK_ROWS = 4096
+
 
 def _nearest_schema(queries: DataFrame) -> str:
     """Hits carry the queries' own type of id."""
@@ -140,9 +143,12 @@ def _searched(queries: DataFrame, items: DataFrame, at_least: float, earlier: bo
     first = items.select(F.size("embedding")).head()
     if first is None:
         return queries.sparkSession.createDataFrame([], _nearest_schema(queries))
-    if items.count() * first[0] * 8 <= max_bytes:
+    count = items.count()
+    if count * first[0] * 8 <= max_bytes:
         return _nearest_in_matrix(queries, items, at_least, earlier, later)
-    return _nearest_by_pivots(queries, items, at_least, earlier, first[0], max_bytes, later=later)
+    # No more pivots than blocks: where angles rule nothing out, a query is then sent no more often than to each block once.
+    return _nearest_by_pivots(queries, items, at_least, earlier, first[0], max_bytes, later=later,
+                              max_pivots=min(1024, -(-count // BLOCK_ROWS)))
 
 
 def _nearest_in_matrix(queries: DataFrame, items: DataFrame, at_least: float, earlier: bool, later: bool) -> DataFrame:
@@ -171,7 +177,7 @@ def _hits(query_ids, queries, item_ids, until, items, at_least: float, earlier:
 
 
 def _nearest_by_pivots(queries: DataFrame, items: DataFrame, at_least: float, earlier: bool, dim: int,
-                       max_bytes: int, block_rows: int = 4096, max_pivots: int = 1024, later: bool = False) -> DataFrame:
+                       max_bytes: int, block_rows: int = BLOCK_ROWS, max_pivots: int = 1024, later: bool = False) -> DataFrame:
     spark = queries.sparkSession
     pivots_wanted = max(1, min(max_pivots, max_bytes // (8 * dim)))
     chosen = items.orderBy(F.xxhash64("item_id")).limit(pivots_wanted).select("embedding").collect()

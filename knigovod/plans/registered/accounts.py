@@ -109,6 +109,13 @@ def konto_nearest_correction(spark, sf):
 correction_sql = with_sql(VECTORS, "SELECT query_id, konto, round(s, 3) AS similarity FROM learned")
 
 
+def konto_nearest_partitioned(spark, sf):
+    """The same with the corrections partitioned around pivots, as those beyond memory are."""
+    items, fewest = corrections(spark, sf).withColumnRenamed("corr_id", "item_id"), 8 * 64 * 32
+    near = ac.nearest(vector_queries(spark, sf), items, NEAR.correction_similarity, max_bytes=fewest)
+    return near.join(items.select("item_id", "konto"), "item_id").select("query_id", "konto", F.round("similarity", 3).alias("similarity"))
+
+
 def konto_nearest_account(spark, sf):
     near = ac.nearest_account(vector_queries(spark, sf), vector_accounts(spark, sf), NEAR)
     return near.select("query_id", "konto", F.round("similarity", 3).alias("similarity"))
@@ -250,6 +257,7 @@ QUERIES = {
     "konto_describe": (konto_describe, describe_sql),
     "account_search": (account_search, account_search_sql),
     "konto_nearest_correction": (konto_nearest_correction, correction_sql),
+    "konto_nearest_partitioned": (konto_nearest_partitioned, correction_sql),
     "konto_nearest_account": (konto_nearest_account, account_sql),
     "konto_suggest": (konto_suggest, suggest_sql),
     "konto_from_texts": (konto_from_texts, from_texts_sql),

@@ -54,9 +54,11 @@ FROM claims""")
 
 
 def tax_invoices(spark, sf):
-    """Invoices that state net, tax rate, tax and total, each wrong or missing for some keys."""
+    """All invoices, stating net, tax rate, tax and total, each wrong or missing for some keys."""
     key = F.col("invoice_id")
-    sums = verify.line_sums(stated_lines(spark, sf)).select("invoice_id", F.col("line_sum").alias("net"))
+    sums = verify.line_sums(stated_lines(spark, sf)).select("invoice_id", "line_sum")
+    sums = invoices(spark, sf).select("invoice_id", "total").join(sums, "invoice_id", "left").select(
+        "invoice_id", F.coalesce("line_sum", "total").alias("net"))
     rate = F.when(key % 3 == 0, 5).otherwise(18)
     tax = F.floor((F.col("net") * 100 * rate + 50) / 100).cast("bigint")
     c = lambda col: money(col.cast("decimal(20,2)") / 100)
@@ -68,15 +70,16 @@ def tax_invoices(spark, sf):
         money(F.col("net") + c(tax) + F.when(key % 4 == 0, money(F.lit(9))).otherwise(money(F.lit(0)))).alias("total"))
 
 
-TAX_INVOICES = """net AS (SELECT invoice_id, sum(stated_c) AS net_c FROM stated GROUP BY 1),
-tax AS (SELECT invoice_id, net_c, CASE WHEN invoice_id % 3 = 0 THEN 5 ELSE 18 END AS rate,
-  (net_c * CASE WHEN invoice_id % 3 = 0 THEN 5 ELSE 18 END + 50) // 100 AS right_c FROM net),
-said AS (SELECT invoice_id, net_c, right_c, net_c + CASE WHEN invoice_id % 5 = 0 THEN 100 ELSE 0 END AS sub_c,
-  CASE WHEN invoice_id % 11 <> 0 THEN rate END AS rate,
-  CASE WHEN invoice_id % 13 <> 0 THEN right_c + CASE WHEN invoice_id % 7 = 0 THEN 200 ELSE 0 END END AS tax_c,
-  net_c + right_c + CASE WHEN invoice_id % 4 = 0 THEN 900 ELSE 0 END AS total_c FROM tax),
+TAX_INVOICES = """net AS (SELECT invoice_id, sum_c, coalesce(sum_c, total_c) AS net_c FROM inv
+  LEFT JOIN (SELECT invoice_id, sum(stated_c) AS sum_c FROM stated GROUP BY 1) USING (invoice_id)),
+tax AS (SELECT *, CASE WHEN invoice_id % 3 = 0 THEN 5 ELSE 18 END AS r, (net_c * CASE WHEN invoice_id % 3 = 0 THEN 5 ELSE 18 END + 50) // 100 AS own_c FROM net),
+said AS (SELECT invoice_id, sum_c, net_c + CASE WHEN invoice_id % 5 = 0 THEN 100 ELSE 0 END AS sub_c, CASE WHEN invoice_id % 11 <> 0 THEN r END AS rate,
+  CASE WHEN invoice_id % 13 <> 0 THEN own_c + CASE WHEN invoice_id % 7 = 0 THEN 200 ELSE 0 END END AS tax_c,
+  net_c + own_c + CASE WHEN invoice_id % 4 = 0 THEN 900 ELSE 0 END AS total_c FROM tax),
+-- The lines decide the net amount; an invoice without any keeps what it states, and its tax follows from that.
+netted AS (SELECT *, coalesce(sum_c, sub_c) AS good_sub_c, (coalesce(sum_c, sub_c) * rate + 50) // 100 AS right_c FROM said),
 judged AS (SELECT *,
-  CASE WHEN rate IS NULL THEN tax_c WHEN tax_c IS NULL OR abs(tax_c - right_c) > 1 THEN right_c ELSE tax_c END AS good_c FROM said)"""
+  CASE WHEN rate IS NULL THEN tax_c WHEN tax_c IS NULL OR abs(tax_c - right_c) > 1 THEN right_c ELSE tax_c END AS good_c FROM netted)"""
 
 
 def _code(flag: str):
@@ -88,8 +91,8 @@ def subtotal_check(spark, sf):
     return plain(checked.withColumn("code", F.coalesce(_code("subtotal_flag"), F.lit(""))), "invoice_id", "subtotal", "code")
 
 
-subtotal_sql = with_sql(STATED_LINES, TAX_INVOICES, """
-SELECT invoice_id, net_c / 100.0 AS subtotal, CASE WHEN sub_c <> net_c THEN 'SUBTOTAL_MISMATCH' ELSE '' END AS code FROM judged""")
+subtotal_sql = with_sql(INVOICES, STATED_LINES, TAX_INVOICES, """
+SELECT invoice_id, good_sub_c / 100.0 AS subtotal, CASE WHEN sub_c <> sum_c THEN 'SUBTOTAL_MISMATCH' ELSE '' END AS code FROM judged""")
 
 
 def tax_check(spark, sf):
@@ -100,12 +103,12 @@ def tax_check(spark, sf):
         "invoice_id", "tax_amount", "total", "tax_code", "total_code")
 
 
-tax_sql = with_sql(STATED_LINES, TAX_INVOICES, """
+tax_sql = with_sql(INVOICES, STATED_LINES, TAX_INVOICES, """
 SELECT invoice_id, good_c / 100.0 AS tax_amount,
-  CASE WHEN abs(net_c + coalesce(good_c, 0) - total_c) > 1 THEN net_c + coalesce(good_c, 0) ELSE total_c END / 100.0 AS total,
+  CASE WHEN abs(good_sub_c + coalesce(good_c, 0) - total_c) > 1 THEN good_sub_c + coalesce(good_c, 0) ELSE total_c END / 100.0 AS total,
   CASE WHEN rate IS NULL AND tax_c IS NULL THEN '' WHEN rate IS NULL THEN 'TAX_RATE_MISSING'
        WHEN tax_c IS NULL THEN 'TAX_AMOUNT_MISSING' WHEN abs(tax_c - right_c) > 1 THEN 'TAX_MISMATCH' ELSE '' END AS tax_code,
-  CASE WHEN abs(net_c + coalesce(good_c, 0) - total_c) > 1 THEN 'TOTAL_MISMATCH' ELSE '' END AS total_code
+  CASE WHEN abs(good_sub_c + coalesce(good_c, 0) - total_c) > 1 THEN 'TOTAL_MISMATCH' ELSE '' END AS total_code
 FROM judged""")
 
 

@@ -97,7 +97,7 @@ def flag_parse(spark, sf):
     key = F.col("invoice_id")
     flag = F.when(key % 3 == 0, F.concat(F.lit("TOTAL_MISMATCH [HIGH SEVERITY]: stated "), "total")).when(
         key % 3 == 1, F.concat(F.lit("date_suspect: year "), F.year("received"))).otherwise(F.lit("no colon here"))
-    f = invoices(spark, sf).select("invoice_id", text.parse_flag(flag).alias("f"), F.array_repeat(flag, (key % 3).cast("int")).alias("flags"))
+    f = invoices(spark, sf).select("invoice_id", text.parse_flag(flag).alias("f"), F.array_repeat(flag, (key % 4).cast("int")).alias("flags"))
     return f.select("invoice_id", "f.severity", "f.label", "f.text", text.flag_summary(F.col("flags")).alias("summary"))
 
 
@@ -105,7 +105,8 @@ flag_sql = with_sql(INVOICES, f"""
 SELECT invoice_id, CASE WHEN invoice_id % 3 = 0 THEN 'high' ELSE 'warn' END AS severity,
   CASE invoice_id % 3 WHEN 0 THEN 'Total mismatch' WHEN 1 THEN 'Date suspect' ELSE 'No colon here' END AS label,
   CASE invoice_id % 3 WHEN 0 THEN 'stated ' || {money_text('total_c')} WHEN 1 THEN 'year ' || year(received) ELSE 'no colon here' END AS text,
-  CASE invoice_id % 3 WHEN 1 THEN '1 warning' WHEN 2 THEN '2 warnings' END AS summary
+  CASE WHEN invoice_id % 4 = 0 THEN NULL WHEN invoice_id % 3 = 0 THEN invoice_id % 4 || ' · critical'
+    WHEN invoice_id % 4 = 1 THEN '1 warning' ELSE invoice_id % 4 || ' warnings' END AS summary
 FROM inv""")
 
 

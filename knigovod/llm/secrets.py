@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from knigovod.llm.shared import staged
+from knigovod.llm.shared import partitions, staged
 
 DICTIONARY = 30_000
 #: log10 of the guesses from which a value in credential context is a secret.
@@ -236,11 +236,14 @@ def rated(values: DataFrame, counted: DataFrame, least: float = LEAST_GUESSES) -
             strong = [guesses(v, {x["word"]: x["rank"] for x in k or ()}, least) >= least for v, k in zip(values, known)]
             yield pa.RecordBatch.from_pydict({"v": batch.column(0), "strong": pa.array(strong, pa.bool_())})
 
+    # Values are few bytes and much work: dealt out by number, or they would meet in a task or two.
+    values = values.repartition(partitions(values.sparkSession), "v")
     needed = values.mapInArrow(asked, "v string, word string")
     # Words that several values ask about are looked up once.
     ranks = counted.join(needed.select("word").distinct(), "word", "left_semi").join(ranked_counts(counted), "n").select("word", "rank")
     held = needed.join(ranks, "word").groupBy("v").agg(F.collect_list(F.struct("word", "rank")).alias("known"))
-    return values.join(held, "v", "left").select("v", "known").mapInArrow(rate, "v string, strong boolean")
+    known = values.join(held, "v", "left").select("v", "known").repartition(partitions(values.sparkSession), "v")
+    return known.mapInArrow(rate, "v string, strong boolean")
 
 
 def frequent_words(docs: DataFrame, text: str = "text", most: int = DICTIONARY) -> dict[str, int]:

@@ -228,14 +228,13 @@ class Pairs:
         c, w = np.concatenate([c, extra_c]), np.concatenate([w, np.full(len(extra_c), -1)])
         part, counts = np.concatenate([own, extra_part]), np.concatenate([counts, np.zeros(len(extra_c), np.int64)])
         bucket = bucket_of(W.mix(c.astype(np.uint64) + part.astype(np.uint64) * np.uint64(W.MULTIPLIER)), buckets)
-        by = np.lexsort((w, part, c, bucket))
+        by = np.lexsort((w, c, bucket))
         place = np.empty(len(by), np.int64)
         place[by] = np.arange(len(by))
         self.pair = place[pair]
-        self.bucket, self.c, self.part, self.w, self.counts = bucket[by], c[by], part[by], w[by], counts[by]
-        # Groups: one context's part in one bucket.
-        self.group_starts = np.flatnonzero(np.concatenate([[True], (
-            (self.c[1:] != self.c[:-1]) | (self.part[1:] != self.part[:-1]) | (self.bucket[1:] != self.bucket[:-1]))]))
+        self.bucket, self.c, self.w, self.counts = bucket[by], c[by], w[by], counts[by]
+        # Groups: all of one context that is in one bucket. Parts that meet there are answered by one sum, so they make one group.
+        self.group_starts = np.flatnonzero(np.concatenate([[True], (self.c[1:] != self.c[:-1]) | (self.bucket[1:] != self.bucket[:-1])]))
 
 
 def _asked_pairs(packs: DataFrame, numbers: DataFrame, model: Model, buckets: int) -> DataFrame:
@@ -327,7 +326,7 @@ def katz_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: st
         pair_counts = np.concatenate([load(r["one"], np.uint32) for r in answers]).astype(np.int64)
         kept = np.concatenate([load(r["two"], np.float64) for r in answers])
         lower = np.concatenate([load(r["three"], np.float64) for r in answers])
-        # Sums of a split context's parts; every group is one part.
+        # Sums of a split context over the buckets its parts are in; every group is one bucket.
         known, of = np.unique(q.c[q.group_starts], return_inverse=True)
         kept, lower = np.bincount(of, weights=kept), np.bincount(of, weights=lower)
         total = model.count(known).astype(np.float64)

@@ -471,6 +471,17 @@ def test_katz_splits_frequent_contexts(spark):
     same(katz.katz_scores(docs, fold() != 1).collect(), wanted, 6)
 
 
+def test_katz_parts_of_a_context_that_share_a_bucket(spark):
+    """After a frequent context, words it was not followed by in training are backed off to; its parts outnumber the buckets."""
+    r = random.Random(7)
+    rows = [(k, " ".join(x for _ in range(30) for x in ("the", f"n{r.randint(0, 400)}")) + f" new{k} n{k} the new{k}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    wanted, _, _ = brute.katz(rows, [brute.fold(i) != 1 for i, _ in rows], katz.discounts)
+    found = katz.katz_scores(docs, fold() != 1).collect()
+    assert all(math.isfinite(x.score) for x in found) and any(x.held_out for x in found)
+    same(found, wanted, 6)
+
+
 def test_token_files(spark, docs, nothing, tmp_path):
     from tokenizers import Tokenizer
 

@@ -3,8 +3,10 @@
 The score is the highest of three: the share of letters that need no edit, the share of common words, and a fixed score
 where all words of one name are in the other. Each has a join of its own that looks at few pairs:
 
-* Edits: of two names at most `d` edits apart, when one is cut into d + 1 pieces, one piece occurs unchanged in the other,
-  at a place that the edits before and after it allow. Names meet on piece, number of the piece and both lengths.
+* Edits: an edit changes at most three trigrams, so of two names at most `d` edits apart one holds, among its rarest
+  trigrams, one of the other's rarest, no more than d places off. Names meet on it and on the length of one. Where so many
+  edits are allowed that no trigram need be left, one name is cut into d + 1 pieces, of which one occurs unchanged in the
+  other, at a place that the edits before and after it allow; names meet on piece, its number and both lengths.
 * Common words: names meet on their rarest words, as many as must hold one common word.
 * Words in the other: the rarest word of the shorter name must be one of the other's."""
 
@@ -45,22 +47,33 @@ def _edits(floor: float, longer: str) -> str:
     return f"cast(floor({longer} * {(100.05 - floor) / 100.0} + 1e-9) as int)"
 
 
+#: Whether names of the lengths l_length and r_length that are at most d edits apart must share a trigram.
+_SHARES = "greatest(l_length, r_length) - 2 - 3 * d > 0"
+
+
 def _pieces(entries: DataFrame, floor: float) -> DataFrame:
-    """One row per entry, number of edits that some length allows, and piece."""
+    """One row per entry, number of edits that some length allows, and piece; for edits that may leave no trigram."""
     share = (floor - 0.05) / 100.0
     least, most = _edits(floor, "length(form)"), _edits(floor, f"floor(length(form) / {share} + 1e-9)")
     cut = entries.filter("form <> ''").select("reg_order", "form", F.expr("length(form)").alias("r_length"), F.expr(f"explode(sequence({least}, {most}))").alias("d"))
     at = lambda i: f"cast(floor(({i}) * r_length / (d + 1)) as int)"
     piece = f"struct(i as i, substr(form, {at('i')} + 1, {at('i + 1')} - {at('i')}) as piece)"
-    return cut.select("reg_order", F.col("form").alias("r_form"), "r_length", "d", F.expr(f"inline(transform(sequence(0, d), i -> {piece}))"))
+    return cut.filter("r_length - 2 - 3 * d <= 0").select(
+        "reg_order", F.col("form").alias("r_form"), "r_length", "d", F.expr(f"inline(transform(sequence(0, d), i -> {piece}))"))
+
+
+def _sized(names: DataFrame, floor: float) -> DataFrame:
+    """One row per name and length of a possible entry, with the edits that these allow."""
+    share = (floor - 0.05) / 100.0
+    sized = names.filter("form <> ''").withColumn("l_length", F.expr("length(form)")).withColumn("r_length", F.expr(
+        f"explode(sequence(cast(ceil(l_length * {share} - 1e-9) as int), cast(floor(l_length / {share} + 1e-9) as int)))"))
+    return sized.filter("r_length > 0").withColumn("d", F.expr(_edits(floor, "greatest(l_length, r_length)")))
 
 
 def _places(names: DataFrame, floor: float) -> DataFrame:
     """One row per name, length of a possible entry, number of a piece, and what may stand there in the name."""
-    share = (floor - 0.05) / 100.0
-    sized = names.filter("form <> ''").select("name_id", "form", F.expr("length(form)").alias("l_length")).select("*", F.expr(
-        f"explode(sequence(cast(ceil(l_length * {share} - 1e-9) as int), cast(floor(l_length / {share} + 1e-9) as int)))").alias("r_length"))
-    sized = sized.filter("r_length > 0").withColumn("d", F.expr(_edits(floor, "greatest(l_length, r_length)"))).select("*", F.expr("explode(sequence(0, d))").alias("i"))
+    sized = _sized(names, floor).filter(f"not ({_SHARES})").select(
+        "name_id", "form", "l_length", "r_length", "d", F.expr("explode(sequence(0, d))").alias("i"))
     at = lambda i: f"cast(floor(({i}) * r_length / (d + 1)) as int)"
     sized = sized.withColumns({"start": F.expr(at("i")), "n": F.expr(f"{at('i + 1')} - {at('i')}")})
     # A piece moves by no more than the edits before it, and by what is left of the difference of lengths after it.
@@ -71,10 +84,37 @@ def _places(names: DataFrame, floor: float) -> DataFrame:
         "explode(array_distinct(transform(sequence(low, high), p -> substr(form, p + 1, n))))").alias("piece"))
 
 
+def with_rare_grams(rows: DataFrame, key: str, entries: DataFrame) -> DataFrame:
+    """Rows with `grams`: their trigrams with their places, as often as they occur, those that entries (form) hold least first."""
+    cut = lambda form: F.expr(f"transform(if(length({form}) > 2, sequence(1, length({form}) - 2), cast(array() as array<int>)), "
+                              f"i -> struct(substr({form}, i, 3) as gram, i as at))")
+    held = entries.select(F.inline(cut("form"))).groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+    each = rows.select(key, F.inline(cut("form"))).join(held, "gram", "left")
+    listed = each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram", "at"))).alias("grams"))
+    return rows.join(listed, key, "left")
+
+
+def _gram_pairs(names: DataFrame, entries: DataFrame, floor: float) -> DataFrame:
+    """(name_id, reg_order, l_form, r_form, d) of names and entries that share a rare trigram, where they must."""
+    share = (floor - 0.05) / 100.0
+    # Of n trigrams, 3 d may be changed, and the other name may have fewer: of the rest the rarest is among these.
+    few = lambda own: f"slice(grams, 1, greatest(0, least(size(grams), {own} + 3 * d + 1 - greatest(l_length, r_length))))"
+    left = _sized(names, floor).filter(_SHARES).filter("size(grams) > 0").select(
+        "name_id", F.col("form").alias("l_form"), "r_length", "d", F.expr(f"inline({few('l_length')})")).filter("held > 0")
+    # For an entry, as many as the least favourable length of a name asks for.
+    most = f"array_max(transform(sequence(length(form), cast(floor(length(form) / {share} + 1e-9) as int)), l -> length(form) + 3 * {_edits(floor, 'l')} + 1 - l))"
+    right = entries.filter("size(grams) > 0").select(
+        "reg_order", F.col("form").alias("r_form"), F.expr("length(form)").alias("r_length"),
+        F.expr(f"inline(slice(grams, 1, least(size(grams), {most})))")).drop("held").withColumnRenamed("at", "r_at")
+    return left.join(right, ["r_length", "gram"]).filter("abs(at - r_at) <= d")
+
+
 def edit_pairs(names: DataFrame, entries: DataFrame, floor: float) -> DataFrame:
-    """All (name_id, reg_order, score) whose edit score is at least `floor`. names: name_id, form; entries: reg_order,
-    form. Empty forms are like nothing."""
-    met = _places(names, floor).join(_pieces(entries, floor), ["r_length", "d", "i", "piece"])
+    """All (name_id, reg_order, score) whose edit score is at least `floor`. names: name_id, form, grams; entries: reg_order,
+    form, grams. Empty forms are like nothing."""
+    told = ["name_id", "reg_order", "l_form", "r_form", "d"]
+    by_piece = _places(names, floor).join(_pieces(entries, floor), ["r_length", "d", "i", "piece"])
+    met = _gram_pairs(names, entries, floor).select(*told).unionByName(by_piece.select(*told))
     close = met.filter(F.expr("levenshtein(l_form, r_form, d) >= 0")).select(
         "name_id", "reg_order", edit_score(F.col("l_form"), F.col("r_form")).alias("score"))
     return close.filter(F.col("score") >= floor).distinct()
@@ -101,21 +141,22 @@ def word_pairs(names: DataFrame, entries: DataFrame, floor: float) -> DataFrame:
 class EditsAndWords:
     """The scorer by edits and words. High floors first: there few edits are allowed, and most names are decided."""
 
-    floors: tuple[float, ...] = (96.0, 90.0, 80.0, 70.0, 60.0)
+    floors: tuple[float, ...] = (96.0, 90.0, 88.0, 80.0, 70.0, 60.0)
 
     def score(self, a: Column, b: Column) -> Column:
         one, two = F.trim(a), F.trim(b)
         return F.greatest(edit_score(one, two), word_score(words(one), words(two)))
 
     def prepared(self, names: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Both sides (name_id or reg_order, form) with their words, those that few entries hold first."""
+        """Both sides (name_id or reg_order, form) with their words and trigrams, those that few entries hold first."""
         count = entries.select(F.explode(words(F.col("form"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
         def ranked(rows: DataFrame, key: str) -> DataFrame:
             rows = rows.select(key, F.trim("form").alias("form"))
             cut = rows.select(key, F.explode(words(F.col("form"))).alias("word")).join(count, "word", "left")
             listed = cut.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)), "word"))).alias("ranked"))
-            return rows.join(listed, key, "left").select(key, "form", F.coalesce(F.col("ranked.word"), F.array().cast("array<string>")).alias("ranked"))
+            worded = rows.join(listed, key, "left").select(key, "form", F.coalesce(F.col("ranked.word"), F.array().cast("array<string>")).alias("ranked"))
+            return with_rare_grams(worded, key, entries.select(F.trim("form").alias("form")))
 
         return staged(ranked(names, "name_id"), "names-by-words"), staged(ranked(entries, "reg_order"), "entries-by-words")
 

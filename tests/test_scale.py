@@ -1,9 +1,13 @@
 """What keeps the work in proportion to the input: repeated questions asked once, candidates few, blocks of bounded size."""
 
-from pyspark.sql import functions as F
+import numpy as np
+import pandas as pd
+import pytest
 
 from knigovod.operators import accounts as ac
 from knigovod.operators import contains
+from knigovod.operators import names as nm
+from knigovod.operators import registry as rg
 
 
 def test_equal_queries_are_searched_once(spark, monkeypatch):
@@ -24,3 +28,60 @@ def test_equal_queries_are_searched_once(spark, monkeypatch):
     assert of(0) == ["4003", "4010", "4017", "4024"] and of(1) == ["4001", "4010", "4011", "4012"]
     # A query id that stands for two queries has the first of both, as rows.
     assert of(5) == ["4001", "4003", "4010", "4010"]
+
+
+def _forms(n):
+    """Names that share their first word and differ in a number."""
+    return [f"household n{k % 7} vendor{k * 7919 % 100000:05d}" for k in range(n)]
+
+
+def _dice(a, b):
+    grams = lambda t: {t[i:i + 3] for i in range(len(t) - 2)}
+    return round(200.0 * len(grams(a) & grams(b)) / max(len(grams(a)) + len(grams(b)), 1) + 1e-9, 1)
+
+
+@pytest.mark.parametrize("floor", [95.0, 85.0, 60.0, 45.0])
+@pytest.mark.parametrize("most_bytes", [0, 1 << 26])
+def test_similar_names_of_all_sizes(spark, monkeypatch, floor, most_bytes):
+    monkeypatch.setattr(rg, "MAX_BROADCAST_BYTES", most_bytes)
+    known = [f" {f} " for f in _forms(40)] + [" vendor12345 ", " ab ", " solo00012 ", "  "]
+    asked = [f.replace("vendor", "vndor") for f in known[:25]] + [" vendor07919 ", " solo00013 ", " abc ", "  "]
+    names = spark.createDataFrame([(f"n{k}", f) for k, f in enumerate(asked)], "name_id string, form string")
+    entries = spark.createDataFrame(list(enumerate(known)), "reg_order long, form string")
+    left, right = rg.TRIGRAMS.prepared(names, entries)
+    assert "bits" in left.columns
+    got = {(r.name_id, r.reg_order): r.score for r in rg.similar_names(left, right, floor).collect()}
+    assert got == {(f"n{i}", j): x for i, a in enumerate(asked) for j, b in enumerate(known) if (x := _dice(a, b)) >= floor}
+
+
+def test_edits_meet_at_rare_trigrams(spark):
+    """Names that share their first word with all entries are compared with few of them."""
+    known = _forms(200)
+    names = spark.createDataFrame([(f"n{k}", f.replace("vendor", "vndor")) for k, f in enumerate(known)], "name_id string, form string")
+    entries = spark.createDataFrame(list(enumerate(known)), "reg_order int, form string")
+    left, right = nm.EditsAndWords().prepared(names, entries)
+    met = nm._gram_pairs(left, right, 95.0).select("name_id", "reg_order").distinct()
+    assert nm._places(left, 95.0).count() == 0
+    assert 200 <= met.count() < 200 * 200 / 10
+
+
+def test_distinct_vectors_are_compared_once(spark):
+    r = np.random.default_rng(3)
+    vectors = r.normal(size=(30, 8))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    listed = [v.astype(np.float32).tolist() for v in vectors]
+    items = spark.createDataFrame([(k, listed[k % 30]) for k in range(300)][::-1], "item_id bigint, embedding array<float>")
+    queries = spark.createDataFrame([(f"q{k}", listed[k % 30]) for k in range(90)], "query_id string, embedding array<float>")
+    got = {x.query_id: x.item_id for x in ac.nearest(queries, items, 0.99, max_bytes=8 * 8 * 7).collect()}
+    assert got == {f"q{k}": k % 30 for k in range(90)}
+
+
+def test_visits_leave_in_bounded_pieces():
+    """A query that may visit every pivot is not copied for a whole batch at once."""
+    vectors = np.random.default_rng(4).normal(size=(1000, 4))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    batch = pd.DataFrame({"query_id": np.arange(1000), "embedding": list(vectors)})
+    parts = list(ac._visits(batch, vectors[:50], np.full(50, 0.1), np.pi, 400))
+    assert max(len(p) for p in parts) <= 400
+    whole = pd.concat(parts)
+    assert len(whole) == 1000 * 50 and whole.groupby("pivot").size().tolist() == [1000] * 50

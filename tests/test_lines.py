@@ -50,6 +50,40 @@ def test_hot_height_settles(spark):
     assert (got[32.0] == 0.0) == (wanted[32.0] == 0) and (got[34.0] == got[32.0]) == (wanted[34.0] == wanted[32.0])
 
 
+def test_lines_across_batches(spark):
+    """Rows are put together in one walk: whatever the batches, equal heights, ties, and nulls."""
+    rng = random.Random(11)
+    rows = [(f"d{k % 3}", k % 2 + 1, rng.choice([None, *map(float, range(40))]), y, y, rng.choice(["a", "b", "", " c", None]), 0.9)
+            for k in range(900) for y in [float(rng.choice(range(0, 2000, 7)))]]
+    rows += [("d0", 1, 1.0, None, 2.0, "no height", 0.9), ("d0", None, 1.0, 2.0, 2.0, "no page", 0.9), (None, 1, 1.0, 2.0, 2.0, "no id", 0.9)]
+    wanted = {}
+    for page in {r[:2] for r in rows if None not in r[:2]}:
+        on_page = [r for r in rows if r[:2] == page and r[3] is not None]
+        placed = {}
+        for y, row in walk([r[3] for r in on_page]):
+            placed.setdefault(y, row)
+        for row in set(placed.values()):
+            parts = sorted((r for r in on_page if placed[r[3]] == row), key=lambda r: (r[2] is not None, r[2] or 0.0, r[3], r[5] or ""))
+            line = " ".join(r[5] for r in parts if r[5] is not None).strip(" ")
+            if line:
+                wanted[(*page, min(r[3] for r in parts))] = line
+    given = spark.createDataFrame(rows, "doc_id string, page int, x_left double, y_top double, y_bottom double, text string, conf double")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in (1, 7, 10000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            got = ln.segment_lines(given).collect()
+            assert {(r.doc_id, r.page, r.row_y): r.line for r in got} == wanted and len(got) == len(wanted)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_one_shuffle_makes_lines(spark):
+    """No aggregate, window or join over segments: they held more than an executor has."""
+    plan = ln.segment_lines(segments(spark, [1.0, 2.0]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and not any(word in plan for word in ("Aggregate", "Window", "Join"))
+
+
 def test_segment_text(spark):
     rows = [("d", 1, 50.0, 5.0, 15.0, "b", 0.9), ("d", 1, 10.0, 8.0, 18.0, "a", 0.9), ("d", 1, 90.0, 5.0, 15.0, "x", 0.25),
             ("d", 2, 1.0, 5.0, 15.0, "c", 0.9)]

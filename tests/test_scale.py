@@ -30,6 +30,20 @@ def test_equal_queries_are_searched_once(spark, monkeypatch):
     assert of(5) == ["4001", "4003", "4010", "4010"]
 
 
+def test_needles_beyond_an_automaton_take_one_pass(spark, monkeypatch):
+    """However many the needles, the texts are read once, and nothing is found or lost by chance."""
+    needles = ["мк%05d" % k for k in range(0, 3000, 3)] + ["a", "aa", "ж😀", "no such", "", "мк0000", "aa", None]
+    texts = [f"x мк{k:05d} aaa мк0000" for k in range(200)] + ["", None, "ж😀ж😀a", "ж", "😀", "мк00003" * 3000]
+    known = spark.createDataFrame(list(enumerate(needles)), "needle_id long, needle string")
+    asked = spark.createDataFrame([(f"t{k}", t) for k, t in enumerate(texts)], "text_id string, text string")
+    wanted = sorted((f"t{i}", j) for i, t in enumerate(texts) for j, n in enumerate(needles) if t and n and n in t)
+    monkeypatch.setattr(contains, "MOST_BITS", 1 << 16)
+    found = contains.contains_by_automaton(asked, known, letters=100)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.text_id, r.needle_id) for r in found.collect()) == wanted
+    assert sorted((r.text_id, r.needle_id) for r in contains.contains_by_automaton(asked, known).collect()) == wanted
+
+
 def _forms(n):
     """Names that share their first word and differ in a number."""
     return [f"household n{k % 7} vendor{k * 7919 % 100000:05d}" for k in range(n)]

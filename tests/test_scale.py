@@ -68,6 +68,16 @@ def test_similar_names_of_all_sizes(spark, monkeypatch, floor, most_bytes):
     assert got == {(f"n{i}", j): x for i, a in enumerate(asked) for j, b in enumerate(known) if (x := _dice(a, b)) >= floor}
 
 
+def test_entries_beyond_the_checked_size_stay_off_the_driver(spark, monkeypatch):
+    """Staged in a few kilobytes, the entries look small to the planner, which would broadcast what is cut from them."""
+    monkeypatch.setattr(rg, "MAX_BROADCAST_BYTES", 0)
+    known = _forms(40)
+    names = spark.createDataFrame([(f"n{k}", f) for k, f in enumerate(known)], "name_id string, form string")
+    left, right = rg.TRIGRAMS.prepared(names, spark.createDataFrame(list(enumerate(known)), "reg_order long, form string"))
+    plan = rg.similar_names(left, right, 60.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plan
+
+
 def test_edits_meet_at_rare_trigrams(spark):
     """Names that share their first word with all entries are compared with few of them."""
     known = _forms(200)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knigovod.llm import words as W
-from knigovod.llm.packs import Pack, bucket_of, cuts, load, load_sorted, pack, store, store_sorted
+from knigovod.llm.packs import Pack, bucket_of, cuts, length, load, load_sorted, pack, store, store_sorted
 from knigovod.llm.shared import buckets_for, staged, text_bytes
 
 CUTOFF = 5
@@ -143,6 +143,15 @@ class Model:
         """P(w)."""
         return self.chances[self.step(numbers)]
 
+    def keys(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Pairs as one number each, in the order of context and word; -1 stands for no word. There is room for 4e9 words."""
+        return contexts.astype(np.uint64) * np.uint64(self.known + 3) + (words + 1).astype(np.uint64)
+
+    def split(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts and words of such numbers."""
+        contexts, words = np.divmod(keys, np.uint64(self.known + 3))
+        return contexts.astype(np.int64), words.astype(np.int64) - 1
+
     def discounted(self, counts: np.ndarray) -> np.ndarray:
         return self.d2[np.minimum(counts, CUTOFF + 1)] * counts
 
@@ -207,16 +216,10 @@ class Pairs:
         keys, where = np.unique(t.hashes, return_inverse=True)
         runs = [load(r["one"], np.int64) for r in _blobs(answers, 1)]
         self.words = np.concatenate(runs)[where] if runs else np.full(len(where), model.unknown)
-        contexts = np.concatenate([[model.begin], self.words[:-1]])
-        contexts[t.first] = model.begin
-        self.contexts = contexts
-        order = np.lexsort((self.words, contexts))
-        c, w = contexts[order], self.words[order]
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
-        pair = np.empty(len(order), np.int64)
-        pair[order] = np.cumsum(fresh) - 1
-        c, w = c[fresh], w[fresh]
+        del keys, where, runs
+        keys, pair = np.unique(model.keys(self.contexts(t, model), self.words), return_inverse=True)
+        c, w = model.split(keys)
+        del keys
         counts = np.bincount(pair[t.train], minlength=len(c))
         # Every part of a split context is asked about, with no pair if the pack has none there.
         parts = model.parts(c, buckets)
@@ -227,15 +230,24 @@ class Pairs:
         extra_part = np.arange(len(extra_c)) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
         c, w = np.concatenate([c, extra_c]), np.concatenate([w, np.full(len(extra_c), -1)])
         part, counts = np.concatenate([own, extra_part]), np.concatenate([counts, np.zeros(len(extra_c), np.int64)])
+        del parts, own, extra_c, extra_part
         bucket = bucket_of(W.mix(c.astype(np.uint64) + part.astype(np.uint64) * np.uint64(W.MULTIPLIER)), buckets)
-        by = np.lexsort((w, c, bucket))
+        del part
+        by = np.lexsort((model.keys(c, w), bucket))
         place = np.empty(len(by), np.int64)
         place[by] = np.arange(len(by))
         self.pair = place[pair]
+        del pair, place
         self.bucket, self.c, self.w, self.counts = bucket[by], c[by], w[by], counts[by]
         # Groups: all of one context that is in one bucket. Parts that meet there are answered by one sum, so they make one group.
         self.group_starts = np.flatnonzero(np.concatenate([[True], (self.c[1:] != self.c[:-1]) | (self.bucket[1:] != self.bucket[:-1])]))
 
+    def contexts(self, t: Tokens, model: Model) -> np.ndarray:
+        """The word before each token."""
+        out = np.concatenate([[model.begin], self.words[:-1]])
+        out[t.first] = model.begin
+        return out
+
 
 def _asked_pairs(packs: DataFrame, numbers: DataFrame, model: Model, buckets: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -261,30 +273,31 @@ def _contexts(asked: DataFrame, model: Model) -> DataFrame:
     next words that the training texts hold in this bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        per, runs = [], []
-        for r in table.to_pylist():
-            contexts, sizes = load(r["contexts"], np.int64), load(r["sizes"], np.uint32).astype(np.int64)
-            runs.append((np.repeat(contexts, sizes), load(r["nexts"], np.int64) - 1, load(r["counts"], np.uint32)))
-            per.append(contexts)
-        c, w, n = (np.concatenate(x) for x in zip(*runs))
-        order = np.lexsort((w, c))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (c[order][1:] != c[order][:-1]) | (w[order][1:] != w[order][:-1])
-        pair = np.empty(len(order), np.int64)
-        pair[order] = np.cumsum(fresh) - 1
+        # A bucket is held as one number and one count for each pair of each pack; contexts are read again for the answers.
+        edges = np.cumsum([0, *(length(x.as_py()) for x in table.column("nexts"))])
+        keys, n = np.empty(edges[-1], np.uint64), np.empty(edges[-1], np.uint32)
+        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+            contexts, sizes, nexts, counts = (table.column(name)[i].as_py() for name in ("contexts", "sizes", "nexts", "counts"))
+            keys[a:b] = model.keys(np.repeat(load(contexts, np.int64), load(sizes, np.uint32)), load(nexts, np.int64) - 1)
+            n[a:b] = load(counts, np.uint32)
+        keys, pair = np.unique(keys, return_inverse=True)
         total = np.bincount(pair, weights=n).astype(np.int64)
-        pc, pw = c[order][fresh], w[order][fresh]
+        one = [store(total[pair[a:b]].astype(np.uint32)) for a, b in zip(edges[:-1], edges[1:])]
+        del pair, n
+        pc, pw = model.split(keys)
+        del keys
         seen = total > 0
         known, of = np.unique(pc, return_inverse=True)
         kept = np.bincount(of, weights=np.where(seen, model.discounted(total), 0.0))
         lower = np.bincount(of, weights=np.where(seen, model.chance(np.maximum(pw, 0)), 0.0))
-        edges = np.cumsum([0, *(len(x[0]) for x in runs)])
-        one = [store(total[pair[a:b]].astype(np.uint32)) for a, b in zip(edges[:-1], edges[1:])]
-        at = [np.searchsorted(known, contexts) for contexts in per]
+        two, three = [], []
+        for contexts in table.column("contexts"):
+            at = np.searchsorted(known, load(contexts.as_py(), np.int64))
+            two.append(store(kept[at]))
+            three.append(store(lower[at]))
         return pa.table({
-            "pack": table.column("pack"), "kind": pa.array([2] * len(per), pa.int32()), "bucket": table.column("bucket"),
-            "one": pa.array(one, pa.binary()), "two": pa.array([store(kept[i]) for i in at], pa.binary()),
-            "three": pa.array([store(lower[i]) for i in at], pa.binary())})
+            "pack": table.column("pack"), "kind": pa.array([2] * len(one), pa.int32()), "bucket": table.column("bucket"),
+            "one": pa.array(one, pa.binary()), "two": pa.array(two, pa.binary()), "three": pa.array(three, pa.binary())})
 
     return asked.groupBy("bucket").applyInArrow(run, ANSWERED)
 
@@ -334,10 +347,10 @@ def katz_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: st
         room = np.where((total > 0) & (kept >= total * (1 - 1e-12)), total + 1, total)
         with np.errstate(divide="ignore", invalid="ignore"):
             alpha = np.where(total > 0, (1 - kept / room) / np.maximum(1 - lower, 1e-300), 1.0)
-        context = np.searchsorted(known, q.contexts)
+        context = np.searchsorted(known, q.contexts(t, model))
         count = pair_counts[q.pair]
-        single = model.chance(q.words)
-        chance = np.where(count > 0, model.discounted(count) / np.maximum(room[context], 1), alpha[context] * single)
+        chance = np.where(count > 0, model.discounted(count) / np.maximum(room[context], 1), alpha[context] * model.chance(q.words))
+        del answers, pair_counts, context, count
         seen = model.count(q.words)
         base = np.log10((seen + 0.5) / (model.total + 0.5 * (model.known + 1)))
         add = lambda x: np.add.reduceat(x, t.first)  # noqa: E731  every document has at least its end

@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 #: Bytes of text in a pack. One longer document is a pack of its own.
 PACK_BYTES = 8 << 20
 
+#: Rows of a batch that are turned into Python values at once.
+_STEP = 512
+
 PACK_SCHEMA = "pack bigint, ids array<bigint>, n_raw bigint, lengths binary, flags binary, data binary"
 
 
@@ -52,6 +55,11 @@ def load(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
 
 
+def length(data: bytes) -> int:
+    """How many integers `store` was given."""
+    return int.from_bytes(data[:8], "little")
+
+
 def store_sorted(keys: np.ndarray) -> bytes:
     """A sorted run of uint64, as differences."""
     return store(np.diff(keys, prepend=np.uint64(0))) if len(keys) else b""
@@ -77,7 +85,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int
                 "n_raw": pa.array([len(raw)], pa.int64()), "lengths": pa.array([store(lengths)], pa.binary()),
                 "flags": pa.array([store(np.array(flags, np.uint8))], pa.binary()), "data": pa.array([squeeze(raw)], pa.binary())})
 
-        for batch in batches:
+        for batch in (whole.slice(at, _STEP) for whole in batches for at in range(0, whole.num_rows, _STEP)):
             for key, value, mark in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if texts and size + len(value) > limit:
                     yield row()

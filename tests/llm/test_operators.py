@@ -482,6 +482,57 @@ def test_katz_parts_of_a_context_that_share_a_bucket(spark):
     same(found, wanted, 6)
 
 
+def test_katz_memory_for_a_token():
+    """What a pack and a bucket of pairs take at most while they are worked on."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 100_000
+    drawn = np.random.default_rng(1).zipf(1.3, n) % 30000
+    text = b" ".join(b"w%d" % w for w in drawn)
+    p = packs.Pack(pa.table({
+        "pack": [1], "ids": [[1]], "n_raw": [len(text) + 1], "lengths": [packs.store(np.array([len(text)], np.uint32))],
+        "flags": [packs.store(np.ones(1, np.uint8))], "data": [packs.squeeze(text + b"\n")]}))
+    t = katz.Tokens(p)
+    keys, counts = np.unique(t.hashes, return_counts=True)
+    kinds = dict(zip(*(x.tolist() for x in np.unique(counts, return_counts=True))))
+    model = katz.Model(kinds, {r: 10 for r in range(1, 7)}, 1)
+    numbers = np.empty(len(keys), np.int64)
+    numbers[np.argsort(-counts, kind="stable")] = np.arange(len(keys))
+    answers = pa.table({"kind": [1], "bucket": [0], "one": [packs.store(numbers)]})
+
+    def peak(f):
+        tracemalloc.start()
+        try:
+            return f(), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    q, taken = peak(lambda: katz.Pairs(p, t, answers, model, 1))
+    assert taken < 70 * n
+    before = np.concatenate([[model.begin], q.words[:-1]])
+    assert (q.c[q.pair] == before).all() and (q.w[q.pair] == q.words).all()
+    runs = 4
+    asked = pa.table({
+        "bucket": [0] * runs, "pack": list(range(runs)), "contexts": [packs.store(q.c[q.group_starts])] * runs,
+        "sizes": [packs.store(np.diff(np.append(q.group_starts, len(q.c))).astype(np.uint32))] * runs,
+        "nexts": [packs.store(q.w + 1)] * runs, "counts": [packs.store(q.counts.astype(np.uint32))] * runs})
+
+    class Grouped:
+        """Gives the function of a group back, to be called here."""
+
+        def groupBy(self, *_):
+            return self
+
+        def applyInArrow(self, run, schema):
+            return run
+
+    out, taken = peak(lambda: katz._contexts(Grouped(), model)(asked))
+    assert taken < 65 * runs * len(q.c)
+    assert all((packs.load(x.as_py(), np.uint32) == runs * q.counts).all() for x in out.column("one"))
+
+
 def test_token_files(spark, docs, nothing, tmp_path):
     from tokenizers import Tokenizer
 

@@ -78,6 +78,38 @@ def test_entries_beyond_the_checked_size_stay_off_the_driver(spark, monkeypatch)
     assert plan.count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plan
 
 
+def test_many_names_and_entries_meet_as_numbers(spark, monkeypatch):
+    """Beyond the checked size pairs are ruled out by their bits in blocks, not row by row in a join; common trigrams are split,
+    and no number of pairs is held at once."""
+    known = [f" {f} " for f in _forms(60)]
+    asked = [f.replace("vendor", "vndor") for f in known]
+    names = spark.createDataFrame([(f"n{k}", f) for k, f in enumerate(asked)], "name_id string, form string")
+    entries = spark.createDataFrame(list(enumerate(known)), "reg_order int, form string")
+    left, right = rg.TRIGRAMS.prepared(names, entries)
+    monkeypatch.setattr(rg, "MAX_BROADCAST_BYTES", 0)
+    monkeypatch.setattr(rg, "SALT_EVERY", 7)
+    monkeypatch.setattr(rg, "MET_PAIRS", 5)
+    found = rg.similar_names(left, right, 70.0)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString() and found.schema["reg_order"].dataType.simpleString() == "int"
+    got = [((r.name_id, r.reg_order), r.score) for r in found.collect()]
+    assert len(got) == len(dict(got))
+    assert dict(got) == {(f"n{i}", j): x for i, a in enumerate(asked) for j, b in enumerate(known) if (x := _dice(a, b)) >= 70}
+
+
+def test_few_names_go_to_every_task(spark, monkeypatch):
+    """Few names left over do not have a large registry cut up and shuffled."""
+    known = [f" {f} " for f in _forms(60)]
+    names = spark.createDataFrame([("n0", known[0].replace("vendor", "vndor"))], "name_id string, form string")
+    entries = spark.createDataFrame(list(enumerate(known)), "reg_order long, form string")
+    left, right = rg.TRIGRAMS.prepared(names, entries)
+    monkeypatch.setattr(rg, "MAX_BROADCAST_BYTES", 30_000)
+    found = rg.similar_names(left, right, 70.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" in plan and "SortMergeJoin" not in plan and "MapInArrow" not in plan
+    assert {r.reg_order: r.score for r in found.collect()} == {
+        j: x for j, b in enumerate(known) if (x := _dice(known[0].replace("vendor", "vndor"), b)) >= 70}
+
+
 def test_edits_meet_at_rare_trigrams(spark):
     """Names that share their first word with all entries are compared with few of them."""
     known = _forms(200)

@@ -2,7 +2,9 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 from knigovod.operators import accounts as ac
 from knigovod.operators import contains
@@ -44,6 +46,21 @@ def test_needles_beyond_an_automaton_take_one_pass(spark, monkeypatch):
     assert sorted((r.text_id, r.needle_id) for r in contains.contains_by_automaton(asked, known).collect()) == wanted
 
 
+def test_a_sieve_reaches_the_driver_in_few_rows(spark, monkeypatch):
+    """The words of a sieve are put together in the tasks, whatever their number."""
+    monkeypatch.setattr(contains, "SIEVE_WORDS", 256)
+    brought, collected = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: brought.append((df.columns, rows := collected(df))) or rows)
+    monkeypatch.setattr(DataFrame, "toArrow", lambda df: pytest.fail("words are brought to the driver"))
+    needles = spark.createDataFrame([(f"мк{k:05d}",) for k in range(3000)], "needle string")
+    sieve, n_bits, lengths = contains._sieve(needles)
+    assert n_bits == 1 << 17 and lengths == [7] and [len(rows) for columns, rows in brought if "bits" in columns] == [n_bits // 64 // 256]
+    held = contains._sifted(sieve, n_bits, lengths)
+    texts = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(["xмк01234мк02999", "мк03"])], ["text_id", "text"])
+    found = [r for b in held([texts]) for r in b.to_pylist()]
+    assert {(r["text_id"], r["needle"]) for r in found} >= {(0, "мк01234"), (0, "мк02999")}
+
+
 def _forms(n):
     """Names that share their first word and differ in a number."""
     return [f"household n{k % 7} vendor{k * 7919 % 100000:05d}" for k in range(n)]

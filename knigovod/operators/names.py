@@ -94,6 +94,18 @@ def with_rare_grams(rows: DataFrame, key: str, entries: DataFrame) -> DataFrame:
     return rows.join(listed, key, "left")
 
 
+#: Entries up to which the planner may choose the joins of what is cut from them.
+FEW_ENTRIES = 20_000
+
+
+def _merged(left: DataFrame, right: DataFrame, keys: list[str], entries: DataFrame) -> DataFrame:
+    """Inner join of rows that were cut out of staged tables. By the size of their files these look small, and the planner would
+    bring all that was cut from them through the driver; beyond a checked number of entries a sort-merge join never does."""
+    if entries.limit(FEW_ENTRIES + 1).count() > FEW_ENTRIES:
+        left, right = left.hint("merge"), right.hint("merge")
+    return left.join(right, keys)
+
+
 def _gram_pairs(names: DataFrame, entries: DataFrame, floor: float) -> DataFrame:
     """(name_id, reg_order, l_form, r_form, d) of names and entries that share a rare trigram, where they must."""
     share = (floor - 0.05) / 100.0
@@ -106,14 +118,14 @@ def _gram_pairs(names: DataFrame, entries: DataFrame, floor: float) -> DataFrame
     right = entries.filter("size(grams) > 0").select(
         "reg_order", F.col("form").alias("r_form"), F.expr("length(form)").alias("r_length"),
         F.expr(f"inline(slice(grams, 1, least(size(grams), {most})))")).drop("held").withColumnRenamed("at", "r_at")
-    return left.join(right, ["r_length", "gram"]).filter("abs(at - r_at) <= d")
+    return _merged(left, right, ["r_length", "gram"], entries).filter("abs(at - r_at) <= d")
 
 
 def edit_pairs(names: DataFrame, entries: DataFrame, floor: float) -> DataFrame:
     """All (name_id, reg_order, score) whose edit score is at least `floor`. names: name_id, form, grams; entries: reg_order,
     form, grams. Empty forms are like nothing."""
     told = ["name_id", "reg_order", "l_form", "r_form", "d"]
-    by_piece = _places(names, floor).join(_pieces(entries, floor), ["r_length", "d", "i", "piece"])
+    by_piece = _merged(_places(names, floor), _pieces(entries, floor), ["r_length", "d", "i", "piece"], entries)
     met = _gram_pairs(names, entries, floor).select(*told).unionByName(by_piece.select(*told))
     close = met.filter(F.expr("levenshtein(l_form, r_form, d) >= 0")).select(
         "name_id", "reg_order", edit_score(F.col("l_form"), F.col("r_form")).alias("score"))
@@ -132,7 +144,7 @@ def word_pairs(names: DataFrame, entries: DataFrame, floor: float) -> DataFrame:
         listed = F.flatten(F.array(*[F.arrays_zip(F.array_repeat(F.lit(n), F.size(k)).alias("kind"), k.alias("word")) for n, k in enumerate(kept)]))
         return rows.filter(F.size("ranked") > 0).select(key, F.col("ranked").alias(f"{side}_words"), F.inline(listed))
 
-    met = told(names, "name_id", "l").join(told(entries, "reg_order", "r"), ["kind", "word"])
+    met = _merged(told(names, "name_id", "l"), told(entries, "reg_order", "r"), ["kind", "word"], entries)
     scored = met.select("name_id", "reg_order", word_score(F.col("l_words"), F.col("r_words")).alias("score"))
     return scored.filter(F.col("score") >= floor).distinct()
 

@@ -138,6 +138,16 @@ def test_edits_meet_at_rare_trigrams(spark):
     assert 200 <= met.count() < 200 * 200 / 10
 
 
+def test_rows_cut_for_edits_and_words_stay_off_the_driver(spark, monkeypatch):
+    """Staged in a few kilobytes, both sides look small to the planner, which would broadcast what is cut from them."""
+    monkeypatch.setattr(nm, "FEW_ENTRIES", 39, raising=False)
+    known = _forms(40)
+    names = spark.createDataFrame([(f"n{k}", f) for k, f in enumerate(known)], "name_id string, form string")
+    left, right = nm.EditsAndWords().prepared(names, spark.createDataFrame(list(enumerate(known)), "reg_order long, form string"))
+    for pairs in (nm.edit_pairs, nm.word_pairs):
+        assert "BroadcastHashJoin" not in pairs(left, right, 80.0)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_distinct_vectors_are_compared_once(spark):
     r = np.random.default_rng(3)
     vectors = r.normal(size=(30, 8))

@@ -1,9 +1,12 @@
 """What keeps the work in proportion to the input: repeated questions asked once, candidates few, blocks of bounded size."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
 from knigovod.operators import accounts as ac
@@ -148,6 +151,17 @@ def test_rows_cut_for_edits_and_words_stay_off_the_driver(spark, monkeypatch):
         assert "BroadcastHashJoin" not in pairs(left, right, 80.0)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_trigrams_of_a_long_name(spark):
+    """A name as long as a text takes time in proportion to its length."""
+    form = "".join(chr(97 + k * k % 23) + "ж😀"[k % 2] for k in range(100_000))
+    known = spark.createDataFrame([(form,), ("ab",), ("",), ("a😀ж",)], "form string").repartition(1)
+    started = time.time()
+    got = [set(r[0]) for r in known.select(rg.gram_codes(F.col("form"))).collect()]
+    assert time.time() - started < 20
+    code = lambda t: (ord(t[0]) << 42) + (ord(t[1]) << 21) + ord(t[2])
+    assert sorted(got, key=len) == [set(), set(), {code("a😀ж")}, {code(form[i:i + 3]) for i in range(len(form) - 2)}]
+
+
 def test_distinct_vectors_are_compared_once(spark):
     r = np.random.default_rng(3)
     vectors = r.normal(size=(30, 8))
